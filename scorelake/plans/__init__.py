@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retail",)
+MODULES = ("retail", "finance", "scoring")
 
 for _name in MODULES:
     import_module(f"scorelake.plans.{_name}")

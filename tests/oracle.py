@@ -82,7 +82,7 @@ def main(argv):
     if argv[:1] == ["--dir"]:
         sf_dir, argv = argv[1], argv[2:]
     spark = build_session("oracle", "local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
+        "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false",
     })
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connect(sf_dir), 0
