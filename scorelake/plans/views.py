@@ -144,12 +144,13 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     truth = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("truth")
     )
+    items = table(spark, sf_dir, "benchmark").agg(F.max("item_id") + 1)
     answered = (
         turns.where(F.col("role") == "assistant")
         .join(asked, ["conv_id", "turn"])
         .select(
             F.concat_ws("_", "conv_id", "turn").alias("id"),
-            (F.col("conv_id") % 40).alias("question_id"),
+            (F.col("conv_id") % items.scalar()).alias("question_id"),
             F.concat(F.lit("provider_"), F.col("conv_id") % 3).alias("provider"),
             F.concat(F.lit("model_"), F.col("conv_id") % 6).alias("model"),
             "query",
@@ -161,11 +162,11 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return answered.join(truth, "question_id", "left")
 
 
-EVAL_SQL = """eval_log AS (SELECT a.conv_id || '_' || a.turn AS id, a.conv_id % 40 AS question_id,
+EVAL_SQL = """eval_log AS (SELECT a.conv_id || '_' || a.turn AS id, a.conv_id % (SELECT max(item_id) + 1 FROM benchmark) AS question_id,
     'provider_' || (a.conv_id % 3) AS provider, 'model_' || (a.conv_id % 6) AS model,
     q.text AS query, a.text AS response,
     length(a.text) * 2.5 + a.turn * 100 + 50 AS response_time_ms,
     CAST(ceil(length(a.text) / 4) AS BIGINT) AS tokens_used, b.text AS truth
     FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
-    LEFT JOIN benchmark b ON b.item_id = a.conv_id % 40
+    LEFT JOIN benchmark b ON b.item_id = a.conv_id % (SELECT max(item_id) + 1 FROM benchmark)
     WHERE a.role = 'assistant')"""
