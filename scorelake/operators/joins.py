@@ -21,12 +21,17 @@ def attach_truth(responses: DataFrame, truth: DataFrame, key: str, scores: Seque
 
 
 def work_plan(
-    questions: DataFrame, models: DataFrame, domain_of_question: str, domain_of_model: str,
-    only_models: DataFrame | None = None, model: str = "model",
+    questions: DataFrame, models: DataFrame, provider: str = "provider", model: str = "model",
+    only_models: DataFrame | None = None,
 ) -> DataFrame:
-    """Every question with every model that serves its domain."""
+    """Every question for every provider, with each provider's (listed) models.
+
+    The provider list is one small array laid beside each question; the models then
+    follow by an equi-join on the provider.
+    """
     chosen = models if only_models is None else models.join(only_models, model, "left_semi")
-    return questions.join(chosen, F.col(domain_of_question) == F.col(domain_of_model))
+    providers = chosen.agg(F.sort_array(F.collect_set(provider)))
+    return questions.withColumn(provider, F.explode(providers.scalar())).join(chosen, provider)
 
 
 def enrich(log: DataFrame, metadata: DataFrame, keys: Sequence[str], tags: str = "tags") -> DataFrame:

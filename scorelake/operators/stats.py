@@ -101,22 +101,19 @@ def t_test(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
 
 def anova(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row (per ``by``): F, degrees of freedom, eta squared."""
-    sums = m.groupBy(*by).agg(
+    by = list(by)
+    grand = m.groupBy(*by).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand_mean"))
+    centred = m.join(grand, by) if by else m.withColumn("grand_mean", grand.scalar())
+    sums = centred.groupBy(*by).agg(
         F.count(F.lit(1)).alias("k"), F.sum("n").alias("total_n"),
-        (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("grand_mean"),
+        F.sum(F.col("n") * F.pow(F.col("mean") - F.col("grand_mean"), 2)).alias("ss_between"),
         F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0))).alias("ss_within"),
-        F.collect_list(F.struct("n", "mean")).alias("_groups"),
-    )
-    between = F.aggregate(
-        "_groups", F.lit(0.0),
-        lambda acc, g: acc + g["n"] * F.pow(g["mean"] - F.col("grand_mean"), 2),
     )
-    wide = sums.withColumn("ss_between", between).drop("_groups")
     d1, d2 = F.col("k") - 1, F.col("total_n") - F.col("k")
     ratio = (F.col("ss_between") / d1) / (F.col("ss_within") / d2)
     total = F.col("ss_between") + F.col("ss_within")
     enough = F.col("k") >= 2
-    return wide.select(
+    return sums.select(
         *by, "k", "total_n",
         F.when(enough, ratio).otherwise(0.0).alias("statistic"), d1.alias("df1"), d2.alias("df2"),
         F.when(enough & (total > 0), F.col("ss_between") / total).when(enough, 0.0).alias("effect_size"),

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("retail", "finance", "scoring", "statistics")
+MODULES = ("retail", "finance", "scoring", "statistics", "evaluation", "operations")
 
 for _name in MODULES:
     import_module(f"scorelake.plans.{_name}")
