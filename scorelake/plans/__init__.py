@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ("retail", "finance", "scoring", "statistics", "evaluation", "operations")
+MODULES = (
+    "retail", "finance", "scoring", "statistics", "evaluation", "operations", "people", "hygiene",
+)
 
 for _name in MODULES:
     import_module(f"scorelake.plans.{_name}")

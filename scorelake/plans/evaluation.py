@@ -160,10 +160,10 @@ def truth_attach(spark, d):
 
 
 @query("remaining_work", """SELECT c_custkey AS user_id, c_mktsegment AS domain FROM customer
-    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+    WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')""")
 def remaining_work(spark, d):
     assigned = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("domain"))
-    done = table(spark, d, "orders").select(F.col("o_custkey").alias("user_id"))
+    done = table(spark, d, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("user_id"))
     return J.remaining_work(assigned, done, ["user_id"])
 
 
