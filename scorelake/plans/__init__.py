@@ -4,6 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "retail", "finance", "scoring", "statistics", "evaluation", "operations", "people", "hygiene",
+    "search",
 )
 
 for _name in MODULES:
