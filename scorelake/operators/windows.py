@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.operators.ordering import row_positions
+
 
 def within_budget(df: DataFrame, by: Sequence[str], rank: str, length: Column, budget: int) -> DataFrame:
     """Leading rows whose running length stays within the budget; stops at the first overflow."""
@@ -17,9 +19,10 @@ def within_budget(df: DataFrame, by: Sequence[str], rank: str, length: Column, b
 
 
 def trailing_count(
-    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "in_window"
+    df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "in_window", oldest: str | None = None
 ) -> DataFrame:
-    """Events of the key in the last ``seconds`` up to and including each event.
+    """Events of the key in the last ``seconds`` up to and including each event, and
+    optionally the time of the oldest of them.
 
     Time is cut into buckets of the window's length and every event also enters the next
     bucket as history, so a window only ever covers one bucket of one key, however hot.
@@ -32,6 +35,8 @@ def trailing_count(
     )
     frame = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-span, 0)
     counted = both.withColumn(name, F.count(F.lit(1)).over(frame))
+    if oldest:
+        counted = counted.withColumn(oldest, F.timestamp_micros(F.min("_us").over(frame)))
     return counted.where(F.col("_step") == 0).drop("_us", "_b", "_step", "_bucket")
 
 
@@ -57,13 +62,28 @@ def activity_islands(
     return placed.join(numbered, [*keys, "_cell"]).drop("_us", "_cell")
 
 
-def consecutive_runs(df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: Column) -> DataFrame:
-    """Runs of rows where the flag holds: first row, last row and length of each run."""
-    whole = Window.partitionBy(*keys).orderBy(*order)
-    same = Window.partitionBy(*keys, "_flag").orderBy(*order)
-    marked = df.withColumn("_flag", flag).withColumn("_run", F.row_number().over(whole) - F.row_number().over(same))
-    runs = marked.where("_flag").groupBy(*keys, "_run")
-    first, last = order[0], order[0]
-    return runs.agg(
-        F.min(first).alias("run_start"), F.max(last).alias("run_end"), F.count(F.lit(1)).alias("run_length")
-    ).drop("_run")
+def consecutive_runs(
+    df: DataFrame, keys: Sequence[str], order: str, flag: Column, ties: Sequence[str] = (), least: int = 1
+) -> DataFrame:
+    """Runs of neighbouring rows where the flag holds: first and last order value, length.
+
+    A row's position among all rows of its key minus its position among the flagged rows
+    is constant within a run; both positions come from bucketed ordering, so one busy
+    key does not end up in one task.
+    """
+    keys = list(keys)
+    marked = df.select(*keys, order, *ties, F.coalesce(flag, F.lit(False)).alias("_flag"))
+    placed = row_positions(marked, order, keys, "_all", ties)
+    placed = row_positions(placed.where("_flag"), order, keys, "_own", ties)
+    runs = placed.groupBy(*keys, (F.col("_all") - F.col("_own")).alias("_run")).agg(
+        F.min(order).alias("run_start"), F.max(order).alias("run_end"), F.count(F.lit(1)).alias("run_length")
+    )
+    return runs.where(F.col("run_length") >= least).drop("_run")
+
+
+def sessions(df: DataFrame, keys: Sequence[str], ts: str, gap_seconds: int, *extra: Column) -> DataFrame:
+    """Activity sessions of each key: start, end, events."""
+    numbered = activity_islands(df, keys, ts, gap_seconds, "session_number")
+    return numbered.groupBy(*keys, "session_number").agg(
+        F.min(ts).alias("session_start"), F.max(ts).alias("session_end"), F.count(F.lit(1)).alias("events"), *extra
+    )
