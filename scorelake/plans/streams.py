@@ -78,7 +78,7 @@ def error_timeline_dense(spark, d):
 
 
 @query("stream_error_timeline", f"""WITH {TIMELINE_SQL} SELECT strftime(bucket, '%Y-%m-%d %H:%M:%S') AS bucket, provider, errors FROM tl
-    WHERE bucket + INTERVAL 10 MINUTE <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) FROM events) - INTERVAL 10 MINUTE""")
+    WHERE bucket + INTERVAL 10 MINUTE <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) FROM events WHERE event_type = 'error') - INTERVAL 10 MINUTE""")
 def stream_error_timeline(spark, d):
     """Buckets the watermark has closed, computed as a stream over the event table."""
     stream = S.stream_parquet(spark, f"{d}/events*.parquet")

@@ -170,16 +170,21 @@ STATE = T.StructType([
 
 def rate_limit_stream(
     stream: DataFrame, identifier: str, ts: str, request_id: str, checks: Sequence[Check],
-    block_seconds: int = BLOCK_SECONDS,
+    block_seconds: int = BLOCK_SECONDS, expire_after: str | None = None,
 ) -> DataFrame:
     """The same decisions on a stream, with the gate as keyed state.
 
     Rows are decided in time order within a micro-batch; a row that arrives after a later
-    one was decided counts as happening then.  Idle identifiers leave the state store.
+    one was decided counts as happening then.  Without ``expire_after`` every identifier
+    keeps its bounded state.  With it (a watermark delay) idle identifiers leave the
+    store, and rows later than the watermark are not decided.
     """
     slim = stream.select(identifier, request_id, F.col(ts).cast("timestamp").alias(ts))
     schema = _verdict_schema(slim, identifier, request_id, ts)
     quiet_ms = 1000 * max(block_seconds, *[c.window // MICROS for c in checks])
+    timeout = GroupStateTimeout.NoTimeout
+    if expire_after:
+        slim, timeout = slim.withWatermark(ts, expire_after), GroupStateTimeout.EventTimeTimeout
 
     def decide(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -201,11 +206,12 @@ def rate_limit_stream(
         state.update((
             gate.blocked, int(micros[-1]), [int(x) for h in gate.history for x in h], [len(h) for h in gate.history],
         ))
-        state.setTimeoutDuration(quiet_ms)
+        if expire_after:
+            state.setTimeoutTimestamp(max(int(micros[-1]) // 1000, state.getCurrentWatermarkMs()) + quiet_ms)
         yield _verdict_frame(batch, identifier, request_id, ts, verdicts)
 
     return slim.groupBy(identifier).applyInPandasWithState(
-        decide, schema, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        decide, schema, STATE, "append", timeout
     )
 
 
