@@ -3,7 +3,7 @@
 A window over a group sorts that group in a single task, and the built-in exact
 ``percentile`` keeps every distinct value of a group in one map.  Both fail when one
 key owns a third of the rows.  Everything here cuts the value range into buckets that
-hold about the same number of rows (boundaries from a bounded sketch), orders each
+hold about the same number of rows (boundaries from a bounded sketch of the rows), orders each
 (group, bucket) cell on its own and shifts it by the sizes of the cells before it.
 The sketch only decides where the cuts fall; the results are exact.
 """
@@ -20,16 +20,32 @@ from scorelake.session import shuffle_width
 MAX_BUCKETS = 1000
 
 
-def _with_bucket(df: DataFrame, value: str, buckets: int | None) -> DataFrame:
+def _sortable(df: DataFrame, value: str) -> Column:
+    """A number with the order of the value."""
+    kind = df.schema[value].dataType.typeName()
+    if kind.startswith("timestamp"):
+        return F.unix_micros(F.col(value).cast("timestamp"))
+    return F.unix_date(value) if kind == "date" else F.col(value)
+
+
+def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list:
+    """At most ``buckets - 1`` boundaries of nearly equal row counts.
+
+    Merging sketches is not deterministic, so the boundaries are fetched once and enter
+    every later expression, and every retried task, as the same literals.
+    """
     n = min(MAX_BUCKETS, buckets or shuffle_width(df.sparkSession))
-    cuts = [i / n for i in range(1, n)]
-    bounds = df.agg(F.percentile_approx(value, cuts, max(1000, 20 * n)).alias("cuts"))
-    lower = F.filter("_cuts", lambda cut: cut < F.col(value))
-    return (
-        df.withColumn("_cuts", bounds.scalar())
-        .withColumn("_bucket", F.size(F.coalesce(lower, F.array())))
-        .drop("_cuts")
-    )
+    steps = [i / n for i in range(1, n)]
+    found = df.agg(F.percentile_approx(_sortable(df, value), steps, max(1000, 20 * n))).first()[0]
+    return sorted(set(found or []))
+
+
+def _with_bucket(df: DataFrame, value: str, cuts: list) -> DataFrame:
+    if not cuts:
+        return df.withColumn("_bucket", F.lit(0))
+    key = _sortable(df, value)
+    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < key)
+    return df.withColumn("_bucket", F.coalesce(F.size(below), F.lit(0)))
 
 
 def _cell_offsets(cells: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -44,29 +60,22 @@ def _cell_offsets(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
-def _attach(df: DataFrame, offsets: DataFrame, by: Sequence[str]) -> DataFrame:
-    keys = [*by, "_bucket"]
-    right = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], "_offset", "n_group")
-    condition = None
-    for k in keys:
-        same = F.col(k).eqNullSafe(F.col(f"_o_{k}"))
-        condition = same if condition is None else condition & same
-    return df.join(right, condition).drop(*[f"_o_{k}" for k in keys])
-
-
 def value_positions(
     df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None
 ) -> DataFrame:
-    """One row per (group, value): ``n_rows`` with it, ``n_before`` smaller, ``n_group``."""
+    """One row per (group, value): ``n_rows`` with it, ``n_before`` smaller, ``n_group``.
+
+    Rows without a value or a group are left out.  Counting, joining the offsets and the
+    running sum all hash on (group, bucket), so the counted values move twice in all.
+    """
     by = list(by)
-    counted = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*by, value)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-    )
-    spread = _with_bucket(counted, value, buckets)
+    rows = df.select(*by, value)
+    for c in (value, *by):
+        rows = rows.where(F.col(c).isNotNull())
+    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_rows"))
+    spread = _with_bucket(counted, value, cut_points(rows, value, buckets))
     cells = spread.groupBy(*by, "_bucket").agg(F.sum("n_rows").alias("_cell_rows"))
-    placed = _attach(spread, _cell_offsets(cells, by), by)
+    placed = spread.join(_cell_offsets(cells, by), [*by, "_bucket"])
     running = (
         Window.partitionBy(*by, "_bucket")
         .orderBy(value)
@@ -85,11 +94,18 @@ def row_positions(
 ) -> DataFrame:
     """Adds the 0-based position of every row inside its group, ordered by ``order``."""
     by = list(by)
-    spread = _with_bucket(df, order, buckets)
+    spread = _with_bucket(df, order, cut_points(df, order, buckets))
     cells = spread.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_cell_rows"))
-    placed = _attach(spread, _cell_offsets(cells, by), by)
-    local = F.row_number().over(Window.partitionBy(*by, "_bucket").orderBy(order, *ties))
-    return placed.withColumn(name, F.col("_offset") + local - 1).drop("_bucket", "_offset", "n_group")
+    offsets = _cell_offsets(cells, by)
+    keys = [*by, "_bucket"]
+    right = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], "_offset")
+    met = F.lit(True)
+    for k in keys:
+        # a missing group key is a group of its own here, so no row is lost
+        met = met & (F.col(k).eqNullSafe(F.col(f"_o_{k}")) if k in by else F.col(k) == F.col(f"_o_{k}"))
+    placed = spread.join(right, met)
+    local = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))
+    return placed.withColumn(name, F.col("_offset") + local - 1).drop("_bucket", "_offset", *[f"_o_{k}" for k in keys])
 
 
 def _at(position: Column, value: str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import similarity, text
 from scorelake.operators import scoring
 from scorelake.plans.registry import query
-from scorelake.plans.views import EVAL_SQL, eval_log, table
+from scorelake.plans.views import EVAL_SQL, eval_log, table, texts
 
 
 def quoted(value: str) -> str:
@@ -84,7 +84,7 @@ def fact_f1(spark, d):
 
 @query("document_facts", f"SELECT doc_id, len({facts_sql('text')}) AS n_facts FROM documents")
 def document_facts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.facts("text")).alias("n_facts"))
+    return texts(spark, d, "documents", "doc_id").select("doc_id", F.size(text.facts("text")).alias("n_facts"))
 
 
 ASKED = f"list_distinct(list_filter({words_sql('lower(query)')}, lambda w: NOT list_contains({sql_list(text.STOP_WORDS)}, w)))"
@@ -151,7 +151,7 @@ def keyword_case_sql() -> str:
 def keyword_relevance(spark, d):
     k = F.col("doc_id") % 4
     domain = F.when(k == 0, "retail").when(k == 1, "finance").when(k == 2, "healthcare").otherwise("other")
-    docs = table(spark, d, "documents").withColumn("domain", domain)
+    docs = texts(spark, d, "documents", "doc_id").withColumn("domain", domain)
     return docs.select("doc_id", "domain", F.round(text.keyword_relevance("text", "domain"), 8).alias("relevance"))
 
 
@@ -169,7 +169,7 @@ def token_overlap(spark, d):
 @query("length_coherence", f"""WITH w AS (SELECT doc_id, len({words_sql('text')}) AS n FROM documents)
     SELECT doc_id, CASE WHEN n < 10 THEN 0.5 WHEN n > 200 THEN 0.5 ELSE 1.0 END AS score FROM w""")
 def length_coherence(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.length_coherence("text").alias("score"))
+    return texts(spark, d, "documents", "doc_id").select("doc_id", text.length_coherence("text").alias("score"))
 
 
 @query("shape_features", f"""WITH w AS (SELECT doc_id, len({words_sql('text')}) AS word_count,
@@ -181,20 +181,20 @@ def length_coherence(spark, d):
 def shape_features(spark, d):
     parts = text.shape("text")
     parts["structure_score"] = F.round(parts["structure_score"], 8)
-    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in parts.items()])
+    return texts(spark, d, "documents", "doc_id").select("doc_id", *[c.alias(n) for n, c in parts.items()])
 
 
 @query("context_quality", f"""WITH w AS (SELECT doc_id, length(text) AS n, {words_sql('text')} AS w FROM documents)
     SELECT doc_id, round(CASE WHEN n = 0 THEN 0.0 ELSE (least(n / 1000, 1.0) +
     CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END) / 2 END, 8) AS quality FROM w""")
 def context_quality(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.round(text.context_quality("text"), 8).alias("quality"))
+    return texts(spark, d, "documents", "doc_id").select("doc_id", F.round(text.context_quality("text"), 8).alias("quality"))
 
 
 @query("previews", """SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview,
     length(text) AS full_length FROM documents""")
 def previews(spark, d):
-    return table(spark, d, "documents").select(
+    return texts(spark, d, "documents", "doc_id").select(
         "doc_id", text.preview("text", 200).alias("preview"), F.length("text").alias("full_length"))
 
 

@@ -14,6 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, *key: str) -> DataFrame:
+    """A text table for work that is heavy per row.
+
+    A table of one or two files would leave most cores idle, so then its rows are hashed
+    over all of them.  A large table has more splits than cores and is read in place.
+    """
+    rows = table(spark, sf_dir, name)
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, *key) if len(rows.inputFiles()) < cores else rows
+
+
 _SALES = {
     # column: (expression, tables needed besides lineitem)
     "order_key": ("l_orderkey", ()),
@@ -139,7 +150,7 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     Turns are dense, so the turn before is an equi-join on (conv_id, turn) that spreads
     even one dominant conversation over all tasks; a window would not.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = texts(spark, sf_dir, "conversations", "conv_id", "turn")
     asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("query"))
     truth = table(spark, sf_dir, "benchmark").select(
         F.col("item_id").alias("question_id"), F.col("text").alias("truth")
