@@ -87,9 +87,11 @@ def norm_ppf(p):
     return _invert(norm_cdf, np.atleast_1d(np.asarray(p, dtype=float)).copy(), -40.0, 40.0)
 
 
-def _masked(fn, *columns: pd.Series) -> pd.Series:
+def _masked(fn, *columns: pd.Series, freedom: int = 0) -> pd.Series:
+    """Null where an input is missing or one of the last ``freedom`` inputs is not positive."""
     values = [c.to_numpy(dtype="float64", na_value=np.nan) for c in columns]
-    ok = np.logical_and.reduce([np.isfinite(v) for v in values])
+    usable = [np.isfinite(v) for v in values] + [v > 0 for v in values[len(values) - freedom :]]
+    ok = np.logical_and.reduce(usable)
     out = np.full(len(ok), np.nan)
     if ok.any():
         out[ok] = fn(*[v[ok] for v in values])
@@ -98,22 +100,22 @@ def _masked(fn, *columns: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def p_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(t_two_sided, t, df)
+    return _masked(t_two_sided, t, df, freedom=1)
 
 
 @F.pandas_udf(DoubleType())
 def p_less(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(t_cdf, t, df)
+    return _masked(t_cdf, t, df, freedom=1)
 
 
 @F.pandas_udf(DoubleType())
 def p_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _masked(f_sf, f, d1, d2)
+    return _masked(f_sf, f, d1, d2, freedom=2)
 
 
 @F.pandas_udf(DoubleType())
 def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(t_ppf, p, df)
+    return _masked(t_ppf, p, df, freedom=1)
 
 
 @F.pandas_udf(DoubleType())

@@ -44,6 +44,11 @@ def _with_bucket(df: DataFrame, value: str, cuts: list) -> DataFrame:
     if not cuts:
         return df.withColumn("_bucket", F.lit(0))
     key = _sortable(df, value)
+    if len(cuts) <= 32:  # a short chain stays inside generated code
+        bucket = F.lit(len(cuts))
+        for i, c in reversed(list(enumerate(cuts))):
+            bucket = F.when(key <= F.lit(c), i).otherwise(bucket)
+        return df.withColumn("_bucket", F.when(key.isNull(), 0).otherwise(bucket))
     below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < key)
     return df.withColumn("_bucket", F.coalesce(F.size(below), F.lit(0)))
 
