@@ -126,3 +126,34 @@ def normal_cdf(z: pd.Series) -> pd.Series:
 @F.pandas_udf(DoubleType())
 def normal_quantile(p: pd.Series) -> pd.Series:
     return _masked(norm_ppf, p)
+
+
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
+
+
+def studentized_range_sf(q, k, df):
+    """Tail of the studentised range by quadrature over the normal and the scale."""
+
+    def one(q, k, df):
+        z = 8.0 * _NODES
+        density = 8.0 * _WEIGHTS * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
+        upper = norm_cdf(z)
+
+        def below(width):
+            return k * np.sum(density * (upper - norm_cdf(z - width)) ** (k - 1))
+
+        spread = min(0.999, 8.0 / math.sqrt(2 * df))
+        low, high = max(1e-9, 1 - spread), 1 + 8.0 / math.sqrt(2 * df)
+        s = 0.5 * (high - low) * _NODES + 0.5 * (high + low)
+        log_f = (
+            math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
+        )
+        weights = 0.5 * (high - low) * _WEIGHTS * np.exp(log_f)
+        return 1.0 - float(np.sum(weights * np.array([below(q * x) for x in s])) / np.sum(weights))
+
+    return np.array([min(1.0, max(0.0, one(*row))) for row in zip(q, k, df)])
+
+
+@F.pandas_udf(DoubleType())
+def p_studentized_range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
+    return _masked(studentized_range_sf, q, k, df, freedom=1)

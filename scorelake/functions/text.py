@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values ---------------------------------------------------------------
@@ -67,6 +67,11 @@ def col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once per row, also inside nested lambdas."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def strip(text: str | Column) -> Column:
     return F.btrim(col(text), F.lit(SPACES))
 
@@ -96,11 +101,13 @@ def terms(text: str | Column, stop_words: Sequence[str] = STOP_WORDS) -> Column:
     tokens = F.filter(
         F.regexp_extract_all(F.lower(col(text)), F.lit(WORD_TOKEN), 0), lambda w: ~w.isin(*stop_words)
     )
-    pairs = F.greatest(F.size(tokens) - 1, F.lit(0))
-    bigrams = F.zip_with(
-        F.slice(tokens, 1, pairs), F.slice(tokens, 2, pairs), lambda a, b: F.concat(a, F.lit(" "), b)
-    )
-    return F.concat(tokens, bigrams)
+
+    def with_bigrams(t: Column) -> Column:
+        pairs = F.greatest(F.size(t) - 1, F.lit(0))
+        bigrams = F.zip_with(F.slice(t, 1, pairs), F.slice(t, 2, pairs), lambda a, b: F.concat(a, F.lit(" "), b))
+        return F.concat(t, bigrams)
+
+    return let(tokens, with_bigrams)
 
 
 def facts(text: str | Column) -> Column:
@@ -111,10 +118,12 @@ def facts(text: str | Column) -> Column:
 
 
 def fact_f1(response: str | Column, truth: str | Column) -> Column:
-    said, true = facts(response), facts(truth)
-    shared = F.size(F.array_intersect(said, true))
-    # 2pr / (p + r) with p = shared/said and r = shared/true
-    return F.when(shared > 0, 2 * shared / (F.size(said) + F.size(true))).otherwise(0.0)
+    def f1(both: Column) -> Column:
+        shared = F.size(F.array_intersect(both["said"], both["true"]))
+        # 2pr / (p + r) with p = shared/said and r = shared/true
+        return F.when(shared > 0, 2 * shared / (F.size(both["said"]) + F.size(both["true"]))).otherwise(0.0)
+
+    return let(F.struct(facts(response).alias("said"), facts(truth).alias("true")), f1)
 
 
 def token_efficiency(response, tokens, query) -> Column:
@@ -130,16 +139,22 @@ def time_efficiency(ms, length) -> Column:
 
 
 def completeness(response, query) -> Column:
-    lowered = F.lower(col(response))
-    asked = F.array_except(words(F.lower(col(query))), F.array(*[F.lit(w) for w in STOP_WORDS]))
-    met = F.size(F.filter(asked, lambda w: F.contains(lowered, w)))
-    concluded = contains_count(lowered, CONCLUSIONS) > 0
-    score = (
-        0.5 * met / F.size(asked)
-        + 0.3 * F.least(word_count(response) / 10, F.lit(1.0))
-        + 0.2 * F.when(concluded, 1.0).otherwise(0.5)
+    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
+    both = F.struct(
+        F.lower(col(response)).alias("low"), F.array_except(words(F.lower(col(query))), stop).alias("asked")
     )
-    return F.when(F.size(asked) == 0, 1.0).otherwise(score)
+
+    def score(x: Column) -> Column:
+        asked = F.size(x["asked"])
+        met = F.size(F.filter(x["asked"], lambda w: F.contains(x["low"], w)))
+        covered = (
+            0.5 * met / asked
+            + 0.3 * F.least(word_count(response) / 10, F.lit(1.0))
+            + 0.2 * F.when(contains_count(x["low"], CONCLUSIONS) > 0, 1.0).otherwise(0.5)
+        )
+        return F.when(asked == 0, 1.0).otherwise(covered)
+
+    return let(both, score)
 
 
 def connector_score(response) -> Column:
@@ -158,9 +173,13 @@ def keyword_relevance(response, domain, keywords=KEYWORDS, floor: float = MIN_KE
 
 
 def token_overlap(response, truth, threshold: float = 0.7) -> Column:
-    wanted = F.array_distinct(words(F.lower(col(truth))))
-    match = F.size(F.array_intersect(wanted, words(F.lower(col(response))))) / F.greatest(F.size(wanted), F.lit(1))
-    return F.when(match >= threshold, 1.0).otherwise(match)
+    said = words(F.lower(col(response)))
+
+    def share(wanted: Column) -> Column:
+        return F.size(F.array_intersect(wanted, said)) / F.greatest(F.size(wanted), F.lit(1))
+
+    match = let(F.array_distinct(words(F.lower(col(truth)))), share)
+    return let(match, lambda m: F.when(m >= threshold, 1.0).otherwise(m))
 
 
 def exact_match(response, truth) -> Column:
@@ -187,10 +206,12 @@ def shape(response) -> dict[str, Column]:
 
 
 def context_quality(context) -> Column:
-    all_words = words(context)
-    variety = F.when(F.size(all_words) > 0, F.size(F.array_distinct(all_words)) / F.size(all_words)).otherwise(0.0)
-    return F.when(F.length(col(context)) == 0, 0.0).otherwise(
-        (F.least(F.length(col(context)) / 1000, F.lit(1.0)) + variety) / 2
+    def variety(w: Column) -> Column:
+        return F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0)
+
+    length = F.length(col(context))
+    return F.when(length == 0, 0.0).otherwise(
+        (F.least(length / 1000, F.lit(1.0)) + let(words(context), variety)) / 2
     )
 
 
@@ -236,3 +257,11 @@ def requirements(question_id) -> Column:
         listed = F.array(*[F.lit(x) for x in needs])
         chosen = F.when(F.startswith(col(question_id), F.lit(prefix)), listed).otherwise(chosen)
     return chosen
+
+
+def display_name(name) -> Column:
+    return F.initcap(F.replace(col(name), F.lit("_"), F.lit(" ")))
+
+
+def metric_catalogue(spark) -> DataFrame:
+    return spark.createDataFrame(list(METRIC_DESCRIPTIONS.items()), "metric string, description string")

@@ -46,23 +46,26 @@ def unpivoted(df: DataFrame, columns: Sequence[str], dtype: str, *keep: str) ->
     return casted.unpivot(list(keep), list(columns), "column", "value")
 
 
-def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    long = unpivoted(df, columns, "double").where(F.col("value").isNotNull())
-    basic = long.groupBy("column").agg(
+def numeric_profile(df: DataFrame, columns: Sequence[str], *by: str) -> DataFrame:
+    """Count, mean, deviation, range and quartiles of each column, per group if given."""
+    long = unpivoted(df, columns, "double", *by).where(F.col("value").isNotNull())
+    keys = [*by, "column"]
+    basic = long.groupBy(*keys).agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"),
     )
-    return basic.join(exact_quantiles(long, "value", {"q25": .25, "q50": .5, "q75": .75}, ["column"]), "column")
+    return basic.join(exact_quantiles(long, "value", {"q25": .25, "q50": .5, "q75": .75}, keys), keys)
 
 
-def categorical_profile(df: DataFrame, columns: Sequence[str], top: int = 5) -> DataFrame:
-    """Distinct count and the most frequent values of each column."""
-    long = unpivoted(df, columns, "string").where(F.col("value").isNotNull())
-    counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+def categorical_profile(df: DataFrame, columns: Sequence[str], *by: str, top: int = 5) -> DataFrame:
+    """Distinct count and the most frequent values of each column, per group if given."""
+    long = unpivoted(df, columns, "string", *by).where(F.col("value").isNotNull())
+    keys = [*by, "column"]
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy(*keys).orderBy(F.desc("n"), "value")
     leading = counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
-    distinct = counts.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
-    return leading.join(distinct, "column")
+    distinct = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
+    return leading.join(distinct, keys)
 
 
 def range_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:

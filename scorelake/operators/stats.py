@@ -9,8 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorelake.functions import dist
 from scorelake.operators.ordering import average_ranks, exact_quantiles, row_positions
@@ -60,10 +63,6 @@ def pooled(prefix_a: str = "a_", prefix_b: str = "b_") -> dict[str, Column]:
     }
 
 
-def prefixed(m: DataFrame, prefix: str) -> DataFrame:
-    return m.select(*[F.col(c).alias(prefix + c) for c in m.columns])
-
-
 def with_p(tested: DataFrame, alternative: str = "two-sided", alpha: float = 0.05) -> DataFrame:
     t, df = F.col("statistic"), F.col("df").cast("double")
     p = {
@@ -85,13 +84,18 @@ def with_p(tested: DataFrame, alternative: str = "two-sided", alpha: float = 0.0
 
 
 def pairs(m: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Every ordered pair of different groups of the same metric, from group moments."""
-    keyed = m if by else m.withColumn("metric", F.lit("score"))
-    keys = list(by) or ["metric"]
-    left, right = prefixed(keyed, "a_"), prefixed(keyed, "b_")
-    same = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
-    joined = left.join(right, [*same, F.col("a_grp") != F.col("b_grp")])
-    return joined.withColumns(pooled())
+    """Every ordered pair of different groups (of the same metric), from group moments.
+
+    The moments are one short row per group.  They are laid beside every group as an
+    array, so the raw scores take no part in the pairing.
+    """
+    by, others = list(by), [c for c in m.columns if c not in by]
+    left = m.select(*by, *[F.col(c).alias("a_" + c) for c in others])
+    listed = m.groupBy(*by).agg(F.collect_list(F.struct(*others)).alias("_all"))
+    beside = left.join(listed, by) if by else left.withColumn("_all", listed.scalar())
+    long = beside.withColumn("_b", F.explode("_all")).select(
+        *by, *["a_" + c for c in others], *[F.col(f"_b.{c}").alias("b_" + c) for c in others])
+    return long.where(F.col("a_grp") != F.col("b_grp")).withColumns(pooled())
 
 
 def t_test(df: DataFrame, group: str, value: str, first, second) -> DataFrame:
@@ -176,10 +180,12 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
 
 def effect_vs_best(m: DataFrame) -> DataFrame:
     """Cohen's d of the group with the best mean against every other group."""
-    best = m.agg(F.min(F.struct(-F.col("mean"), F.col("grp"))).grp)
-    return pairs(m).where(F.col("a_grp") == best.scalar()).select(
-        F.concat("a_grp", F.lit("_vs_"), "b_grp").alias("comparison"), "effect_size"
-    )
+    columns = ["grp", "n", "mean", "var"]
+    top = m.agg(F.min_by(F.struct(*columns), F.struct(-F.col("mean"), F.col("grp")))).scalar()
+    other = m.select(*[F.col(c).alias("b_" + c) for c in columns]).withColumn("_top", top)
+    both = other.select(*[F.col(f"_top.{c}").alias("a_" + c) for c in columns], *["b_" + c for c in columns])
+    tested = both.where(F.col("a_grp") != F.col("b_grp")).withColumns(pooled())
+    return tested.select(F.concat("a_grp", F.lit("_vs_"), "b_grp").alias("comparison"), "effect_size")
 
 
 def rank_groups(m: DataFrame) -> DataFrame:
@@ -205,3 +211,69 @@ def power(n: Column, d: Column, alpha: float = 0.05) -> Column:
     """Normal-approximation power of a two-sided two-sample test with n per group."""
     critical = dist.normal_quantile(F.lit(1 - alpha / 2))
     return dist.normal_cdf(F.abs(d) * F.sqrt(n / 2) - critical)
+
+
+def tukey_pairs(m: DataFrame) -> DataFrame:
+    """Tukey's honest significant differences of all pairs of groups."""
+    whole = anova(m).select("k", "df2")
+    within = m.agg(F.sum((F.col("n") - 1) * F.coalesce("var", F.lit(0.0)))).scalar()
+    df2, k = whole.select("df2").scalar(), whole.select("k").scalar()
+    both = pairs(m).where(F.col("a_grp") < F.col("b_grp"))
+    error = F.sqrt(within / df2 / 2 * (1 / F.col("a_n") + 1 / F.col("b_n")))
+    tested = both.select(
+        "a_grp", "b_grp", (F.col("a_mean") - F.col("b_mean")).alias("difference"),
+        (F.abs(F.col("a_mean") - F.col("b_mean")) / error).alias("q"), k.cast("double").alias("k"), df2.cast("double").alias("df"))
+    return tested.withColumn("p_value", dist.p_studentized_range("q", "k", "df"))
+
+
+def bootstrap_intervals(
+    df: DataFrame, group: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 7
+) -> DataFrame:
+    """Percentile interval of the mean over Poisson-weighted resamples.
+
+    Equal values are counted first; each task then draws the weights of its values for
+    all replicates and hands on sums only, so rows are never multiplied by replicates.
+    Draws depend on the value, not on the task, so a retried task repeats them.
+    """
+    counted = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(
+        F.col(group).alias("grp"), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
+    keyed = counted.withColumn("key", F.xxhash64("grp", "x", F.lit(seed)))
+    schema = T.StructType([
+        T.StructField("grp", df.schema[group].dataType), T.StructField("replicate", T.IntegerType()),
+        T.StructField("w", T.DoubleType()), T.StructField("wx", T.DoubleType()),
+    ])
+
+    def draw(batches):
+        sums = {}
+        for batch in batches:
+            for g, x, c, key in zip(batch["grp"], batch["x"], batch["c"], batch["key"]):
+                rng = np.random.Generator(np.random.Philox(key=int(key) & (2**64 - 1)))
+                w = rng.poisson(c, replicates)
+                held = sums.setdefault(g, np.zeros((2, replicates)))
+                held[0] += w
+                held[1] += w * x
+        for g, held in sums.items():
+            yield pd.DataFrame({"grp": g, "replicate": np.arange(replicates, dtype="int32"), "w": held[0], "wx": held[1]})
+
+    means = keyed.mapInPandas(draw, schema).groupBy("grp", "replicate").agg((F.sum("wx") / F.sum("w")).alias("m"))
+    tail = (1 - level) / 2
+    ends = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
+    return means.groupBy("grp").agg(ends.alias("_e"), F.avg("m").alias("mean")).select(
+        F.col("grp").alias(group), "mean", F.col("_e")[0].alias("ci_low"), F.col("_e")[1].alias("ci_high"))
+
+
+def full_report(df: DataFrame, group: str, value: str) -> DataFrame:
+    """Ranking, one-way test, pairs and effect sizes as one long table."""
+    m = moments(df, group, value)
+    ranked = rank_groups(with_interval(m))
+
+    def long(section: str, frame: DataFrame, key: Column, names: Sequence[str]) -> DataFrame:
+        wide = frame.select(key.alias("subject"), *[F.col(n).cast("double").alias(n) for n in names])
+        return wide.unpivot("subject", list(names), "measure", "value").select(F.lit(section).alias("section"), "subject", "measure", "value")
+
+    return (
+        long("ranking", ranked, F.col("grp"), ["n", "mean", "min", "max", "ci_low", "ci_high", "rank", "percentile"])
+        .unionByName(long("anova", anova_p(anova(m)), F.lit("all groups"), ["statistic", "p_value", "effect_size"]))
+        .unionByName(long("pairs", with_p(pairs(m)), F.concat_ws(" vs ", "a_grp", "b_grp"), ["statistic", "p_value", "effect_size"]))
+        .unionByName(long("effects", effect_vs_best(m), F.col("comparison"), ["effect_size"]))
+    )
