@@ -52,8 +52,9 @@ def _tagged(tokens: Column, longest: int, said: int) -> Column:
         starts = F.when(last >= 0, F.sequence(F.lit(0), F.greatest(last, F.lit(0)))).otherwise(
             F.array().cast("array<int>")
         )
+        # single places are read in constant time, a slice inside a lambda is not
         return F.transform(starts, lambda i: F.struct(
-            F.lit(n).alias("n"), F.array_join(F.slice(t, i + 1, F.lit(n)), " ").alias("g"), F.lit(said).alias("said")))
+            F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(t, i + j) for j in range(n)]).alias("g"), F.lit(said).alias("said")))
 
     return let(tokens, lambda t: F.concat(*[grams(t, n) for n in range(1, longest + 1)]))
 
@@ -62,7 +63,10 @@ def reference_overlap(df: DataFrame, key: str, response: str, truth: str, longes
     """BLEU with clipped n-gram counts and ROUGE-1/2 of each response against its truth."""
     said, true = words(F.lower(response)), words(F.lower(truth))
     tagged = [_tagged(side, longest, s) for s, side in ((1, said), (0, true))]
-    sized = df.select(key, F.size(said).alias("said_words"), F.size(true).alias("true_words"), F.explode_outer(F.concat(*tagged)).alias("x"))
+    # the lengths are fixed before the explode, or they would be recomputed for every n-gram
+    sized = df.select(
+        key, F.size(said).alias("said_words"), F.size(true).alias("true_words"), F.concat(*tagged).alias("_grams")
+    ).select(key, "said_words", "true_words", F.explode_outer("_grams").alias("x"))
     counted = sized.groupBy(key, "said_words", "true_words", F.col("x.n").alias("n"), F.col("x.g").alias("g")).agg(
         F.coalesce(F.sum("x.said"), F.lit(0)).alias("s"), F.coalesce(F.sum(1 - F.col("x.said")), F.lit(0)).alias("t"))
 
