@@ -41,16 +41,14 @@ def chunk_text(
     )
 
 
-BLOCK = ["source_file", "block"]
-
-
 def blocked(df: DataFrame, order: str, size: int, source: str) -> DataFrame:
     """Rows with their block of ``size`` rows in input order and the block's id."""
+    total = df.agg(F.count(F.lit(1))).scalar()
     placed = row_blocks(df, order, size).withColumn("source_file", F.lit(source))
-    sizes = placed.groupBy("block").agg(F.count(F.lit(1)).alias("block_rows"))
-    joined = placed.join(sizes, "block")
+    # only the last block is short, so its size follows from the table's
+    sized = placed.withColumn("block_rows", F.least(F.lit(size), total - F.col("start_row")))
     last = F.col("start_row") + F.col("block_rows") - 1
-    return joined.withColumn("end_row", last).withColumn(
+    return sized.withColumn("end_row", last).withColumn(
         "chunk_id", F.concat_ws("_", F.lit(source), "start_row", "end_row")
     )
 

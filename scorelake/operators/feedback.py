@@ -69,7 +69,10 @@ def flatten_map(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
     return df.select(*others, *[F.try_element_at(F.col(column), F.lit(k)).alias(k) for k in keys])
 
 
-def map_keys_of(df: DataFrame, column: str) -> list[str]:
-    """Distinct map keys; they become columns, so they are few by nature."""
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct().orderBy("k")
-    return [r.k for r in keys.limit(10_000).collect()]
+def map_keys_of(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
+    """Distinct map keys, as they become columns; too many for that is an error."""
+    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct()
+    found = [r.k for r in keys.limit(limit + 1).collect()]
+    if len(found) > limit:
+        raise ValueError(f"{column} has more than {limit} keys")
+    return sorted(found)

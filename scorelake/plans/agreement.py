@@ -96,7 +96,7 @@ def profile_by_source(spark, d):
 
 @query("categories_by_source", """SELECT source, 'lang' AS "column", lang AS value, count(*) AS n,
     row_number() OVER (PARTITION BY source ORDER BY count(*) DESC, lang) AS place,
-    count(*) OVER (PARTITION BY source) AS n_distinct FROM documents GROUP BY source, lang QUALIFY place <= 5""")
+    count(*) OVER (PARTITION BY source) AS n_distinct FROM documents GROUP BY source, lang QUALIFY place <= 5""", place="INTEGER")
 def categories_by_source(spark, d):
     return Q.categorical_profile(table(spark, d, "documents"), ["lang"], "source")
 

@@ -66,7 +66,7 @@ def grouping_sets_counts(spark, d):
     len({words_sql('response')}) AS n FROM eval_log)
     SELECT coalesce(provider, '(overall)') AS provider, count(*) AS responses, round(avg(ms), 4) AS mean_latency,
     min(ms) AS min_latency, max(ms) AS max_latency, round(avg(n), 6) AS mean_words, min(n) AS min_words,
-    max(n) AS max_words FROM w GROUP BY ROLLUP (provider)""")
+    max(n) AS max_words FROM w GROUP BY ROLLUP (provider)""", min_words="INTEGER", max_words="INTEGER")
 def response_metrics(spark, d):
     rows = eval_log(spark, d).withColumn("n", text.word_count("response"))
     return E.per_group_and_overall(rows, "provider", [
@@ -152,7 +152,7 @@ def models_with_tag(spark, d):
 @query("truth_attach", f"""WITH {EVAL_SQL}, t AS (SELECT doc_id AS question_id, quality FROM labels)
     SELECT id, e.question_id, t.question_id IS NOT NULL AS has_truth,
     CASE WHEN t.question_id IS NOT NULL THEN response_time_ms ELSE 0.0 END AS score
-    FROM eval_log e LEFT JOIN t ON e.question_id = t.question_id""")
+    FROM eval_log e LEFT JOIN t ON e.question_id = t.question_id""", score="DOUBLE")
 def truth_attach(spark, d):
     truth = table(spark, d, "labels").select(F.col("doc_id").alias("question_id"), "quality")
     rows = eval_log(spark, d).select("id", "question_id", F.col("response_time_ms").alias("score"))

@@ -46,7 +46,7 @@ def volume_stats(spark, d):
 
 @query("yearly_volume", f"""WITH {BARS_SQL} SELECT symbol, year(date) AS year, round(avg(volume), 4) AS mean_volume,
     round(stddev_samp(volume), 4) AS std_volume, count(volume) AS days,
-    quantile_cont(volume, 0.5) AS median_volume FROM bars GROUP BY 1, 2""")
+    quantile_cont(volume, 0.5) AS median_volume FROM bars GROUP BY 1, 2""", year="INTEGER")
 def yearly_volume(spark, d):
     frame = bars(spark, d).withColumn("year", F.year("date"))
     keys = ["symbol", "year"]
@@ -101,7 +101,7 @@ YEARLY_SQL = f"""{BARS_SQL}, y AS (SELECT symbol, year(date) AS year, round(min_
     round((year_end - year_start) / year_start * 100, 1) AS annual_return FROM y)"""
 
 
-@query("yearly_returns", f"WITH {YEARLY_SQL} SELECT * FROM yr")
+@query("yearly_returns", f"WITH {YEARLY_SQL} SELECT * FROM yr", year="INTEGER")
 def yearly_returns(spark, d):
     return S.yearly_returns(bars(spark, d), BY)
 
@@ -221,7 +221,7 @@ register_largest("big_moves_absolute_top", F.abs, "abs(b.change_pct)")
 
 @query("up_day_share", f"""WITH {DERIVED_SQL} SELECT symbol, year(date) AS year, count(*) AS days,
     count(*) FILTER (closed_higher) AS up_days, round(avg(CASE WHEN closed_higher THEN 1.0 ELSE 0.0 END) * 100, 4) AS up_pct
-    FROM b GROUP BY GROUPING SETS ((symbol, year(date)), (symbol))""")
+    FROM b GROUP BY GROUPING SETS ((symbol, year(date)), (symbol))""", year="INTEGER")
 def up_day_share(spark, d):
     up = F.when(F.col("closed_higher"), 1.0).otherwise(0.0)
     frame = derived(spark, d).withColumn("year", F.year("date"))

@@ -40,7 +40,7 @@ CATEGORIES = ["o_orderstatus", "o_orderpriority", "o_custkey"]
 
 @query("profile_categorical", " UNION ALL ".join(f"""(SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n,
     row_number() OVER (ORDER BY count(*) DESC, CAST({c} AS VARCHAR)) AS place,
-    (SELECT count(DISTINCT {c}) FROM orders) AS n_distinct FROM orders GROUP BY 2 QUALIFY place <= 5)""" for c in CATEGORIES))
+    (SELECT count(DISTINCT {c}) FROM orders) AS n_distinct FROM orders GROUP BY 2 QUALIFY place <= 5)""" for c in CATEGORIES), place="INTEGER")
 def profile_categorical(spark, d):
     return Q.categorical_profile(table(spark, d, "orders"), CATEGORIES)
 

@@ -121,7 +121,7 @@ def flatten_ratings(spark, d):
 
 @query("last_n", f"""WITH {FB_SQL} SELECT session_id, event_id, row_number() OVER
     (PARTITION BY session_id ORDER BY ts DESC, event_id DESC) AS place FROM fb WHERE record_type = 'industry_feedback'
-    QUALIFY place <= 5""")
+    QUALIFY place <= 5""", place="INTEGER")
 def last_n(spark, d):
     order = Window.partitionBy("session_id").orderBy(F.desc("ts"), F.desc("event_id"))
     given = feedback(spark, d).where(P.is_feedback())
@@ -174,7 +174,7 @@ def blind_map(spark, d):
 
 
 @query("stratified_sample", """SELECT doc_id, source, row_number() OVER (PARTITION BY source
-    ORDER BY md5(doc_id || '|7'), doc_id) AS sample_order FROM documents QUALIFY sample_order <= 5""")
+    ORDER BY md5(doc_id || '|7'), doc_id) AS sample_order FROM documents QUALIFY sample_order <= 5""", sample_order="INTEGER")
 def stratified_sample(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "source")
     return B.sample_per_stratum(docs, "source", "doc_id", 5, "7")

@@ -14,7 +14,9 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, **types: str) -> Callable[[Query], Query]:
+    """Registers a query; ``types`` are SQL column types to cast to, where they differ."""
+
     def register(fn: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(use_utc(spark), sf_dir)
@@ -23,7 +25,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         run.__doc__ = fn.__doc__
         QUERIES[name] = run
         if sql:
-            ORACLES[name] = sql
+            casts = ", ".join(f"CAST({c} AS {t}) AS {c}" for c, t in types.items())
+            ORACLES[name] = f"SELECT * REPLACE ({casts}) FROM ({sql})" if casts else sql
         return fn
 
     return register

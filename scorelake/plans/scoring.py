@@ -72,7 +72,7 @@ FACT_SQL = f"""fact AS (SELECT id, {facts_sql('response')} AS said, {facts_sql('
 
 
 @query("fact_f1", f"""WITH {EVAL_SQL}, {FACT_SQL} SELECT id, n_said, n_known, n_shared,
-    round(CASE WHEN n_shared > 0 THEN 2 * n_shared / (n_said + n_known) ELSE 0.0 END, 8) AS fact_f1 FROM f1""")
+    round(CASE WHEN n_shared > 0 THEN 2 * n_shared / (n_said + n_known) ELSE 0.0 END, 8) AS fact_f1 FROM f1""", n_said="INTEGER", n_known="INTEGER", n_shared="INTEGER")
 def fact_f1(spark, d):
     said, known = text.facts("response"), text.facts("truth")
     return eval_log(spark, d).select(
@@ -82,7 +82,7 @@ def fact_f1(spark, d):
     )
 
 
-@query("document_facts", f"SELECT doc_id, len({facts_sql('text')}) AS n_facts FROM documents")
+@query("document_facts", f"SELECT doc_id, len({facts_sql('text')}) AS n_facts FROM documents", n_facts="INTEGER")
 def document_facts(spark, d):
     return texts(spark, d, "documents", "doc_id").select("doc_id", F.size(text.facts("text")).alias("n_facts"))
 
@@ -158,7 +158,7 @@ def keyword_relevance(spark, d):
 @query("token_overlap", f"""WITH {EVAL_SQL}, w AS (SELECT id, trim(response, {SPACES_SQL}) = trim(truth, {SPACES_SQL}) AS same,
     list_distinct({words_sql('lower(truth)')}) AS wanted, {words_sql('lower(response)')} AS said FROM eval_log WHERE truth IS NOT NULL),
     m AS (SELECT id, same, len(list_intersect(wanted, said)) / greatest(len(wanted), 1) AS m FROM w)
-    SELECT id, round(CASE WHEN m >= 0.7 THEN 1.0 ELSE m END, 8) AS overlap, CASE WHEN same THEN 1.0 ELSE 0.0 END AS exact FROM m""")
+    SELECT id, round(CASE WHEN m >= 0.7 THEN 1.0 ELSE m END, 8) AS overlap, CASE WHEN same THEN 1.0 ELSE 0.0 END AS exact FROM m""", exact="DOUBLE")
 def token_overlap(spark, d):
     return eval_log(spark, d).where(F.col("truth").isNotNull()).select(
         "id", F.round(text.token_overlap("response", "truth"), 8).alias("overlap"),
@@ -167,7 +167,7 @@ def token_overlap(spark, d):
 
 
 @query("length_coherence", f"""WITH w AS (SELECT doc_id, len({words_sql('text')}) AS n FROM documents)
-    SELECT doc_id, CASE WHEN n < 10 THEN 0.5 WHEN n > 200 THEN 0.5 ELSE 1.0 END AS score FROM w""")
+    SELECT doc_id, CASE WHEN n < 10 THEN 0.5 WHEN n > 200 THEN 0.5 ELSE 1.0 END AS score FROM w""", score="DOUBLE")
 def length_coherence(spark, d):
     return texts(spark, d, "documents", "doc_id").select("doc_id", text.length_coherence("text").alias("score"))
 
@@ -177,7 +177,7 @@ def length_coherence(spark, d):
     contains(text, '```') AS has_code_blocks,
     regexp_matches(text, '(?m)^[\\t\\n\\x0B\\f\\r ]*(•|-|\\*|1\\.|2\\.)') AS has_bullet_points FROM documents)
     SELECT *, round(least(word_count / 100 * 0.5 + sentence_count / 10 * 0.3
-    + CASE WHEN has_code_blocks THEN 0.2 ELSE 0.0 END, 1.0), 8) AS structure_score FROM w""")
+    + CASE WHEN has_code_blocks THEN 0.2 ELSE 0.0 END, 1.0), 8) AS structure_score FROM w""", word_count="INTEGER", sentence_count="INTEGER", character_count="INTEGER")
 def shape_features(spark, d):
     parts = text.shape("text")
     parts["structure_score"] = F.round(parts["structure_score"], 8)
@@ -192,7 +192,7 @@ def context_quality(spark, d):
 
 
 @query("previews", """SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview,
-    length(text) AS full_length FROM documents""")
+    length(text) AS full_length FROM documents""", full_length="INTEGER")
 def previews(spark, d):
     return texts(spark, d, "documents", "doc_id").select(
         "doc_id", text.preview("text", 200).alias("preview"), F.length("text").alias("full_length"))

@@ -124,13 +124,13 @@ TOPK_SQL = f"""u AS (SELECT label, unnest(range(1, len(embedding) + 1)) AS i, un
     topk AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS rank FROM s QUALIFY rank <= {K})"""
 
 
-@query("cosine_topk", f"WITH {TOPK_SQL} SELECT label, vec_id, rank, round(score, 6) AS score FROM topk")
+@query("cosine_topk", f"WITH {TOPK_SQL} SELECT label, vec_id, rank, round(score, 6) AS score FROM topk", rank="INTEGER")
 def cosine_topk(spark, d):
     out = R.cosine_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K)
     return rounded(out, 6, "score")
 
 
-@query("cosine_topk_blocks", f"WITH {TOPK_SQL} SELECT label, vec_id, rank, round(score, 6) AS score FROM topk")
+@query("cosine_topk_blocks", f"WITH {TOPK_SQL} SELECT label, vec_id, rank, round(score, 6) AS score FROM topk", rank="INTEGER")
 def cosine_topk_blocks(spark, d):
     """The block join that serves query tables beyond the size bound."""
     out = R.cosine_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, max_block_values=1)
@@ -178,7 +178,7 @@ def retrieval_quality(spark, d):
 
 
 @query("threshold_matches", f"""WITH {TOPK_SQL} SELECT label, vec_id, row_number() OVER (PARTITION BY label
-    ORDER BY round(score, 9) DESC, vec_id) AS rank FROM topk WHERE round(score, 9) >= 0.25 QUALIFY rank <= 5""")
+    ORDER BY round(score, 9) DESC, vec_id) AS rank FROM topk WHERE round(score, 9) >= 0.25 QUALIFY rank <= 5""", rank="INTEGER")
 def threshold_matches(spark, d):
     """Similar enough (0.25 here, as the vectors are random), at most five per query."""
     found = R.cosine_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", 5)
@@ -187,7 +187,7 @@ def threshold_matches(spark, d):
 
 @query("context_budget", """WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank FROM documents
     QUALIFY rank <= 20), c AS (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY rank) AS used FROM r)
-    SELECT source, doc_id, rank FROM c WHERE used <= 2000""")
+    SELECT source, doc_id, rank FROM c WHERE used <= 2000""", rank="INTEGER")
 def context_budget(spark, d):
     order = Window.partitionBy("source").orderBy("n_chars", "doc_id")
     ranked = table(spark, d, "documents").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
@@ -227,7 +227,7 @@ def prompt_contexts(spark, d):
     c AS (SELECT doc_id, n, 'Complete dataset analysis for ' || domain || ' domain:' || chr(10) || 'Data source: Unknown' || chr(10) ||
     'Analysis type: Unknown' || chr(10) || 'Key insights: ' || array_to_string(points, ', ') || chr(10) || 'Factual claims: ' || question || chr(10) ||
     'Dataset coverage: 100.0% (Full access)' AS full_context FROM x)
-    SELECT doc_id, full_context, length(full_context) AS full_length, CAST(n AS INT) AS key_points_count, 1 AS factual_claims_count FROM c""")
+    SELECT doc_id, full_context, length(full_context) AS full_length, CAST(n AS INT) AS key_points_count, 1 AS factual_claims_count FROM c""", full_length="INTEGER")
 def truth_contexts(spark, d):
     n = (F.col("n_chars") % 4 + 1).cast("int")
     points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("point "), "n_chars", F.lit("-"), i))

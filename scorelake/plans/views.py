@@ -176,7 +176,7 @@ def eval_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVAL_SQL = """eval_log AS (SELECT a.conv_id || '_' || a.turn AS id, a.conv_id % (SELECT max(item_id) + 1 FROM benchmark) AS question_id,
     'provider_' || (a.conv_id % 3) AS provider, 'model_' || (a.conv_id % 6) AS model,
     q.text AS query, a.text AS response,
-    length(a.text) * 2.5 + a.turn * 100 + 50 AS response_time_ms,
+    CAST(length(a.text) * 2.5 + a.turn * 100 + 50 AS DOUBLE) AS response_time_ms,
     CAST(ceil(length(a.text) / 4) AS BIGINT) AS tokens_used, b.text AS truth
     FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
     LEFT JOIN benchmark b ON b.item_id = a.conv_id % (SELECT max(item_id) + 1 FROM benchmark)

@@ -96,7 +96,7 @@ def evaluation_history(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, dict[str, str]]:
-    settings = {r.name: r.value for r in spark.read.json(f"{folder}/settings").limit(1000).collect()}
+    settings = {r.name: r.value for r in spark.read.json(f"{folder}/settings").collect()}
     return spark.read.parquet(f"{folder}/chunks"), settings
 
 
