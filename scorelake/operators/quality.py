@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.text import strip
+from scorelake.operators.blinding import hash_number
 from scorelake.operators.ordering import exact_quantiles
 from scorelake.operators.privacy import strip_markup
 
@@ -73,6 +74,14 @@ def range_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return long.groupBy("column").agg(F.min("value").alias("low"), F.max("value").alias("high"))
 
 
+def table_checksum(df: DataFrame) -> DataFrame:
+    """Row count and the sum of row hashes, which no order of rows changes."""
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(hash_number(*[F.col(c).cast("string") for c in df.columns])).alias("checksum"),
+    )
+
+
 def issues(rules: Mapping[str, Column]) -> Column:
     """Messages of all rules whose condition holds, in rule order."""
     return F.array_compact(F.array(*[F.when(c, F.lit(m)) for m, c in rules.items()]))

@@ -15,6 +15,28 @@ STAMP = "yyyy-MM-dd HH:mm:ss"
 CHECKS = [L.Check("queries_per_minute", 1), L.Check("queries_per_hour", 2)]
 
 
+HOUR_US = 3600 * 1_000_000
+ORDERED_SQL = """o AS (SELECT event_id, user_id, epoch_us(ts) AS t,
+    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)"""
+# one request an hour: the state is the last admitted time and the time of the block
+SINGLE_SQL = f"""{ORDERED_SQL}, s AS (SELECT event_id, user_id, t, rn, NULL::BIGINT AS blocked, t AS held, 'admitted' AS reason FROM o WHERE rn = 1
+    UNION ALL SELECT o.event_id, o.user_id, o.t, o.rn,
+    CASE WHEN o.t - blocked < {HOUR_US} THEN blocked WHEN held >= o.t - {HOUR_US} THEN o.t END,
+    CASE WHEN o.t - blocked < {HOUR_US} OR held >= o.t - {HOUR_US} THEN held ELSE o.t END,
+    CASE WHEN o.t - blocked < {HOUR_US} THEN 'blocked' WHEN held >= o.t - {HOUR_US} THEN 'limit' ELSE 'admitted' END
+    FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1)"""
+# one a minute and two an hour: last minute slot m, last two hour slots h1 and h2
+DOUBLE_SQL = f"""{ORDERED_SQL}, s AS (SELECT event_id, user_id, t, rn, NULL::BIGINT AS blocked, t AS m, t AS h1, NULL::BIGINT AS h2, 'admitted' AS reason
+    FROM o WHERE rn = 1 UNION ALL SELECT event_id, user_id, t, rn,
+    CASE verdict WHEN 'blocked' THEN blocked WHEN 'admitted' THEN NULL ELSE t END,
+    CASE WHEN verdict IN ('admitted', 'hour') THEN t ELSE m END, CASE verdict WHEN 'admitted' THEN t ELSE h1 END,
+    CASE verdict WHEN 'admitted' THEN h1 ELSE h2 END, CASE WHEN verdict IN ('minute', 'hour') THEN 'limit' ELSE verdict END
+    FROM (SELECT o.*, blocked, m, h1, h2, CASE WHEN o.t - blocked < {HOUR_US} THEN 'blocked' WHEN m >= o.t - 60000000 THEN 'minute'
+        WHEN h2 >= o.t - {HOUR_US} THEN 'hour' ELSE 'admitted' END AS verdict
+        FROM s JOIN o ON o.user_id = s.user_id AND o.rn = s.rn + 1))"""
+DECIDED = "SELECT event_id, user_id, reason = 'admitted' AS allowed, reason FROM s"
+
+
 def stamp(c):
     return F.date_format(c, STAMP)
 
@@ -23,19 +45,20 @@ def requests(spark, d):
     return table(spark, d, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"))
 
 
-@query("rate_limit")
+@query("rate_limit", f"WITH RECURSIVE {SINGLE_SQL} {DECIDED}")
 def rate_limit(spark, d):
     out = L.rate_limit(requests(spark, d), "user_id", "ts", "event_id", [L.Check("queries_per_hour", 1)])
     return out.select("event_id", "user_id", "allowed", "reason")
 
 
-@query("provider_rate_limit")
+@query("provider_rate_limit", f"WITH RECURSIVE {DOUBLE_SQL} {DECIDED}")
 def provider_rate_limit(spark, d):
     out = L.rate_limit(requests(spark, d), "user_id", "ts", "event_id", CHECKS)
     return out.select("event_id", "user_id", "allowed", "reason")
 
 
-@query("limiter_stats")
+@query("limiter_stats", f"""WITH RECURSIVE {SINGLE_SQL} SELECT count(DISTINCT user_id) AS identifiers,
+    count(DISTINCT user_id) AS actions, count(DISTINCT user_id) FILTER (reason <> 'admitted') AS blocked_identifiers FROM s""")
 def limiter_stats(spark, d):
     return L.limiter_stats(L.rate_limit(requests(spark, d), "user_id", "ts", "event_id", [L.Check("queries_per_hour", 1)]), "user_id")
 
@@ -93,14 +116,17 @@ def _stream_health(events):
         "user_id", "event_id")
 
 
-@query("stream_sessions")
+@query("stream_sessions", """WITH g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 6 * 3600 * 1000000::BIGINT THEN 0 ELSE 1 END AS new
+    FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS n FROM g)
+    SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS session_start, count(*) AS events FROM s GROUP BY user_id, n
+    HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT time_bucket(INTERVAL 1 MILLISECOND, max(ts)) FROM events) - INTERVAL 1 HOUR""")
 def stream_sessions(spark, d):
     stream = _stream_health(S.stream_parquet(spark, f"{d}/events*.parquet"))
     out = S.drain(S.session_flow(stream, "ts", "user_id", "6 hours"), "sessions")
     return out.select("user_id", stamp("session_start").alias("session_start"), "events")
 
 
-@query("stream_rate_limit")
+@query("stream_rate_limit", f"WITH RECURSIVE {SINGLE_SQL} {DECIDED}")
 def stream_rate_limit(spark, d):
     stream = S.stream_parquet(spark, f"{d}/events*.parquet")
     out = S.drain(L.rate_limit_stream(stream, "user_id", "ts", "event_id", [L.Check("queries_per_hour", 1)]), "limits")

@@ -8,9 +8,8 @@ from oracle import compare, connect
 
 # checked against brute force in the other test files instead
 WITHOUT_SQL = {
-    "coherence", "overall_score", "fuzzy_accuracy", "intervals", "p_values", "test_power", "archive_checksum",
-    "chunk_summary", "ann_cells", "ann_hyperplanes", "prompt_contexts", "hashed_embedding", "rate_limit",
-    "provider_rate_limit", "limiter_stats", "stream_sessions", "stream_rate_limit", "bootstrap_intervals",
+    "coherence", "overall_score", "fuzzy_accuracy", "intervals", "p_values", "test_power",
+    "chunk_summary", "ann_cells", "ann_hyperplanes", "prompt_contexts", "hashed_embedding", "bootstrap_intervals",
     "tukey_pairs", "evaluation_report",
 }
 
