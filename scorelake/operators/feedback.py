@@ -12,6 +12,14 @@ def is_feedback():
     return F.col("record_type") == "industry_feedback"
 
 
+def session_feedback(log: DataFrame, session_id) -> DataFrame:
+    return log.where(F.col("session_id") == session_id)
+
+
+def industry_feedback(log: DataFrame, industry: str) -> DataFrame:
+    return log.where(is_feedback() & (F.col("industry") == industry))
+
+
 def feedback_summary(log: DataFrame) -> DataFrame:
     return log.agg(
         F.count_if(is_feedback()).alias("feedback_records"),

@@ -75,6 +75,21 @@ def patch(base: DataFrame, recovered: DataFrame, keys: Sequence[str], columns: S
     ).drop(*[f"_fix_{c}" for c in columns])
 
 
+def lookup(df: DataFrame, key: str, value) -> DataFrame:
+    """The record with the key; no row when there is none."""
+    return df.where(F.col(key) == value)
+
+
+def lookup_many(ids: DataFrame, df: DataFrame, key: str) -> DataFrame:
+    """A row per asked id; unknown ids keep nulls."""
+    return ids.join(df, key, "left")
+
+
+def attach_context(rows: DataFrame, contexts: DataFrame, domain: str = "domain") -> DataFrame:
+    """Dataset context and evaluation criteria of each row's domain."""
+    return rows.join(contexts.select(domain, "context", "evaluation_criteria"), domain, "left")
+
+
 def upsert(base: DataFrame, delta: DataFrame, key: str) -> DataFrame:
     """New keys are added; for known keys every non-null value of the delta wins."""
     changed = delta.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_d_{c}") for c in delta.columns if c != key])

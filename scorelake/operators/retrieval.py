@@ -7,7 +7,7 @@ pair ever becomes a row; each task hands on at most ``k`` rows per query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -72,14 +72,27 @@ def _ranked(partial: DataFrame, query_id: str, corpus_id: str, k: int) -> DataFr
     return partial.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _merge(parts: list, k: int):
+    """The k best of several (query row, id, score) results, per query row."""
+    rows, ids, scores = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    first = np.searchsorted(rows, rows, side="left")
+    keep = np.arange(len(rows)) - first < k
+    return rows[keep], ids[keep], scores[keep]
+
+
 def _scan_topk(block: pd.DataFrame, corpus: DataFrame, query_id, corpus_id, vector, k, schema) -> DataFrame:
     matrix, names = _unit_rows(block[vector]), block[query_id].to_numpy()
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
             if len(batch):
-                r, ids, scores = _best(matrix, batch[corpus_id].to_numpy(), _unit_rows(batch[vector]), k)
-                yield pd.DataFrame({query_id: names[r], corpus_id: ids, "score": scores})
+                found = _best(matrix, batch[corpus_id].to_numpy(), _unit_rows(batch[vector]), k)
+                held = found if held is None else _merge([held, found], k)
+        if held is not None:
+            yield pd.DataFrame({query_id: names[held[0]], corpus_id: held[1], "score": held[2]})
 
     return corpus.select(corpus_id, vector).mapInPandas(search, schema)
 
@@ -208,6 +221,16 @@ def hashed_embedding(df: DataFrame, text: str, width: int = 256, name: str = "em
     return unit.withColumn(name, vector_to_array("_unit")).drop("_tokens", "_tf", "_tfidf", "_unit")
 
 
+def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], name: str = "embedding") -> DataFrame:
+    """Vectors from a given encoder, called once per Arrow batch of texts."""
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def vectors(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(np.asarray(encoder(texts.fillna("").tolist()), dtype="float32")))
+
+    return df.withColumn(name, vectors(text))
+
+
 def store_stats(chunks: DataFrame, vector: str, source: str) -> DataFrame:
     return chunks.agg(
         F.count(F.lit(1)).alias("total_chunks"), F.max(F.size(vector)).alias("dimension"),

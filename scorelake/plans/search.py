@@ -13,6 +13,7 @@ from scorelake.plans.registry import query
 from scorelake.plans.scoring import SPACES_SQL, words_sql
 from scorelake.plans.statistics import rounded
 from scorelake.plans.views import table, texts
+from scorelake.session import saved
 
 SIZE, OVERLAP, BLOCK_ROWS = 300, 50, 150
 
@@ -212,10 +213,11 @@ def prompt_contexts(spark, d):
     asked = table(spark, d, "conversations").where(F.col("role") == "user").select(
         F.concat_ws("_", "conv_id", "turn").alias("query_id"), F.col("text").alias("query_text"),
         F.when(F.col("conv_id") % 2 == 0, "retail_01").otherwise("finance_01").alias("question_id"))
-    summaries = chunk_summary(spark, d).withColumn("source_file", F.lit("events"))
+    # both are used several times, so they are computed once
+    summaries = saved(chunk_summary(spark, d).withColumn("source_file", F.lit("events")), "summaries")
     both = asked.select(F.lit("q").alias("side"), F.col("query_id").alias("id"), F.col("query_text").alias("t")).unionByName(
         summaries.select(F.lit("c").alias("side"), F.col("chunk_id").alias("id"), F.col("content").alias("t")))
-    embedded = R.hashed_embedding(both, "t")
+    embedded = saved(R.hashed_embedding(both, "t").select("side", "id", "embedding"), "vectors")
     queries = embedded.where("side = 'q'").select(F.col("id").alias("query_id"), "embedding")
     vectors = embedded.where("side = 'c'").select(F.col("id").alias("chunk_id"), "embedding")
     found = R.cosine_topk(queries, vectors, "query_id", "chunk_id", "embedding", K)

@@ -52,6 +52,7 @@ def test_feedback(spark):
     ).withColumn("ts", F.timestamp_seconds("t"))
     assert tuple(P.feedback_summary(log).first()) == (2, 2, 1)
     assert {(r.industry, r.n) for r in P.industry_counts(log).collect()} == {("retail", 1), ("unknown", 1)}
+    assert P.session_feedback(log, "s1").count() == 3 and P.industry_feedback(log, "retail").count() == 1
     got = {r.session_id: r for r in P.session_stats(log).collect()}
     assert got["s1"].mean_rating == 3.0 and got["s1"].started and not got["s1"].completed
     assert got["s2"].mean_rating == 0.0 and got["s2"].completed
@@ -63,6 +64,12 @@ def test_joins(spark):
     delta = spark.createDataFrame([(2, None, 7), (3, "c", None)], "k int, s string, n int")
     assert sorted(tuple(r) for r in J.upsert(base, delta, "k").collect()) == [(1, "a", None), (2, "b", 7), (3, "c", None)]
     assert J.delete(base, delta, "k").count() == 1
+    assert J.lookup(base, "k", 2).first().s == "b" and J.lookup(base, "k", 9).count() == 0
+    asked = spark.createDataFrame([(2,), (9,)], "k int")
+    assert sorted((r.k, r.s) for r in J.lookup_many(asked, base, "k").collect()) == [(2, "b"), (9, None)]
+    context = spark.createDataFrame([("retail", "c", "e")], "domain string, context string, evaluation_criteria string")
+    rows = spark.createDataFrame([("retail",), ("other",)], "domain string")
+    assert {(r.domain, r.context) for r in J.attach_context(rows, context).collect()} == {("retail", "c"), ("other", None)}
     meta = spark.createDataFrame([("p", "m", "fam", ["fast"])], "provider string, model string, family string, tags array<string>")
     log = spark.createDataFrame([("p", "m"), ("p", "other")], "provider string, model string")
     got = {r.model: (r.family, r.tags) for r in J.enrich(log, meta, ["provider", "model"]).collect()}

@@ -149,3 +149,20 @@ def test_embedding_is_deterministic(spark):
     out = {r.id: np.array(r.embedding) for r in R.hashed_embedding(df, "t").collect()}
     assert np.array_equal(out[1], out[2]) and abs(np.linalg.norm(out[1]) - 1) < 1e-9
     assert out[1] @ out[2] > out[1] @ out[3]
+
+
+def test_given_encoder(spark):
+    df = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, None)], "id long, t string")
+    out = {r.id: r.embedding for r in R.encode(df, "t", lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()}
+    assert out == {1: [2.0, 1.0], 2: [4.0, 1.0], 3: [0.0, 1.0]}
+
+
+def test_results_merge_over_small_batches(vectors, spark):
+    df, queries, best = vectors
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        out = R.cosine_topk(queries, df, "qid", "vid", "v", 10).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.qid, r.vid) for r in out} == best
