@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from scorelake.functions.text import let, words
 from scorelake.operators.blinding import hash_key
+from scorelake.session import kept
 
 
 def agreement(ratings: DataFrame, unit: str, category: str) -> DataFrame:
@@ -14,8 +15,8 @@ def agreement(ratings: DataFrame, unit: str, category: str) -> DataFrame:
 
     Units may have different numbers of ratings; units with a single one carry no pair.
     """
-    cells = ratings.where(F.col(unit).isNotNull() & F.col(category).isNotNull()).groupBy(
-        F.col(unit).alias("_unit"), F.col(category).alias("_category")).agg(F.count(F.lit(1)).alias("_cell"))
+    cells = kept(ratings.where(F.col(unit).isNotNull() & F.col(category).isNotNull()).groupBy(
+        F.col(unit).alias("_unit"), F.col(category).alias("_category")).agg(F.count(F.lit(1)).alias("_cell")))
     units = cells.groupBy("_unit").agg(F.sum("_cell").alias("_n"), F.sum(F.col("_cell") * F.col("_cell")).alias("_squares"))
     paired = units.where(F.col("_n") > 1)
     n, squares = F.col("_n"), F.col("_squares")

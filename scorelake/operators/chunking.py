@@ -74,14 +74,18 @@ def block_statistics(blocks: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def block_outliers(blocks: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Values outside 1.5 interquartile ranges, for block columns that have any."""
-    iqr = F.col("q75") - F.col("q25")
-    bounds = block_statistics(blocks, columns).select(
-        "chunk_id", "column", (F.col("q25") - 1.5 * iqr).alias("lower"), (F.col("q75") + 1.5 * iqr).alias("upper")
-    )
-    values = long_numbers(blocks, columns).join(bounds, ["chunk_id", "column"])
+    """Values outside 1.5 interquartile ranges, for block columns that have any.
+
+    The quartiles come from a window over the block's own rows, and the final grouping
+    has the same keys, so the values move once.
+    """
+    keys = ["chunk_id", "column"]
+    marks = F.percentile("value", F.array(F.lit(.25), F.lit(.75))).over(Window.partitionBy(*keys))
+    marked = long_numbers(blocks, columns).withColumn("_m", marks)
+    q25, q75 = F.col("_m")[0], F.col("_m")[1]
+    bounded = marked.withColumn("lower", q25 - 1.5 * (q75 - q25)).withColumn("upper", q75 + 1.5 * (q75 - q25))
     outside = (F.col("value") < F.col("lower")) | (F.col("value") > F.col("upper"))
-    found = values.groupBy("chunk_id", "column").agg(
+    found = bounded.groupBy(*keys).agg(
         F.count_if(outside).alias("outliers"), (F.count_if(outside) / F.count(F.lit(1)) * 100).alias("outlier_pct"),
         F.max("lower").alias("lower"), F.max("upper").alias("upper"),
         F.sort_array(F.collect_list(F.when(outside, F.col("value")))).alias("outlier_values"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.operators.ordering import exact_quantiles
+from scorelake.session import kept
 
 
 def present(df: DataFrame, *columns: str) -> DataFrame:
@@ -20,6 +21,7 @@ def present(df: DataFrame, *columns: str) -> DataFrame:
 def share_of_total(df: DataFrame, measure: str, name: str, digits: int | None = None) -> DataFrame:
     """Percent of the grand total of an aggregated measure; the total is a scalar
     subquery, so the rows never meet in one task."""
+    df = kept(df)
     total = df.agg(F.sum(measure).alias("total"))
     share = F.col(measure) / total.scalar() * 100
     return df.withColumn(name, share if digits is None else F.round(share, digits))
@@ -76,7 +78,7 @@ MAX_COLUMNS = 10_000  # the same bound Spark puts on pivot columns
 
 def crosstab_share(df: DataFrame, row: str, column: str) -> DataFrame:
     """Percent of each column value within a row value; absent cells are zero."""
-    counts = present(df, row, column).groupBy(row, column).agg(F.count(F.lit(1)).alias("n"))
+    counts = kept(present(df, row, column).groupBy(row, column).agg(F.count(F.lit(1)).alias("n")))
     keys = counts.agg(F.sort_array(F.collect_set(column)).alias("keys"))
     bounded = keys.select(
         F.when(F.size("keys") <= MAX_COLUMNS, F.col("keys"))
@@ -99,7 +101,7 @@ def extremes(df: DataFrame, key: str, measure: str) -> DataFrame:
 
 def variation_by_column(crosstab: DataFrame, column: str) -> DataFrame:
     """Sample deviation of each column's row shares (zero cells count)."""
-    return crosstab.groupBy(column).agg(F.stddev_samp("pct").alias("share_std"))
+    return kept(crosstab.groupBy(column).agg(F.stddev_samp("pct").alias("share_std")))
 
 
 def value_counts(df: DataFrame, *keys: str) -> DataFrame:

@@ -17,14 +17,15 @@ from pyspark.sql import types as T
 
 from scorelake.functions import dist
 from scorelake.operators.ordering import average_ranks, exact_quantiles, row_positions
+from scorelake.session import kept
 
 
 def moments(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
     rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
-    return rows.groupBy(*by, F.col(group).alias("grp")).agg(
+    return kept(rows.groupBy(*by, F.col(group).alias("grp")).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"),
         F.var_samp(value).alias("var"), F.min(value).alias("min"), F.max(value).alias("max"),
-    )
+    ))
 
 
 def describe(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -10,6 +10,7 @@ from scorelake.operators import feedback as P
 from scorelake.operators.grouped import share_of_total
 from scorelake.plans.registry import query
 from scorelake.plans.views import table
+from scorelake.session import kept
 
 INDUSTRIES = ("retail", "finance", "healthcare")
 PROVIDERS = ("alpha", "beta", "delta", "gamma")
@@ -159,7 +160,7 @@ def unblinded_rows(spark, d):
     provider = (SELECT provider FROM c ORDER BY n DESC, provider LIMIT 1) AS most_selected FROM c""")
 def preference_share(spark, d):
     chosen = rankings(spark, d).select(B.chosen_item("selected", "blind_map").alias("provider"))
-    counts = chosen.groupBy("provider").agg(F.count(F.lit(1)).alias("n"))
+    counts = kept(chosen.groupBy("provider").agg(F.count(F.lit(1)).alias("n")))
     top = counts.agg(F.min(F.struct(-F.col("n"), F.col("provider"))).provider)
     shared = share_of_total(counts, "n", "pct", 6)
     return shared.withColumn("most_selected", F.col("provider") == top.scalar())

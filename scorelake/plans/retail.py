@@ -8,6 +8,7 @@ from scorelake.operators import grouped as G
 from scorelake.operators.ordering import exact_quantiles
 from scorelake.plans.registry import query
 from scorelake.plans.views import SALES_SQL, sales
+from scorelake.session import kept
 
 AGE_EDGES = (0, 12, 25, 38, 50)
 AGE_LABELS = ("1-12", "13-25", "26-38", "39-50")
@@ -194,7 +195,7 @@ def conditional_means(spark, d):
     WHERE member IS NOT NULL AND shipping IS NOT NULL GROUP BY 1, 2)
     SELECT *, row_number() OVER (PARTITION BY member ORDER BY n DESC, shipping) = 1 AS is_top FROM c""")
 def freq_by_group(spark, d):
-    counts = G.value_counts(sales(spark, d, "member", "shipping"), "member", "shipping")
+    counts = kept(G.value_counts(sales(spark, d, "member", "shipping"), "member", "shipping"))
     top = counts.groupBy("member").agg(F.min(F.struct(-F.col("n"), F.col("shipping"))).shipping.alias("_top"))
     return counts.join(top, "member").select(
         "member", "shipping", "n", (F.col("shipping") == F.col("_top")).alias("is_top")
@@ -217,9 +218,9 @@ def high_value_shipping(spark, d):
     (SELECT round(count(*) FILTER (previous > 0) / count(*) * 100, 4) FROM sales) AS repeat_pct FROM g""")
 def repeat_pattern(spark, d):
     rows = sales(spark, d, "previous", "amount")
-    groups = rows.where("previous > 0").groupBy("previous").agg(
+    groups = kept(rows.where("previous > 0").groupBy("previous").agg(
         F.count("amount").alias("n"), F.round(F.avg("amount"), 4).alias("avg_amount")
-    )
+    ))
     repeat = rows.agg(F.round(F.count_if(F.col("previous") > 0) / F.count(F.lit(1)) * 100, 4))
     return groups.withColumn(
         "modal_previous", G.extremes(groups, "previous", "n").select("highest").scalar()

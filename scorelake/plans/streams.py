@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scorelake.operators.windows import consecutive_runs, sessions, trailing_count
 from scorelake.plans.registry import query
 from scorelake.plans.views import HEALTH_SQL, health, table
+from scorelake.session import kept
 from scorelake.streaming import flows as S
 from scorelake.streaming import gate as L
 
@@ -92,7 +93,7 @@ def error_timeline(spark, d):
     LEFT JOIN tl ON tl.bucket = b.bucket AND tl.provider = p.provider""")
 def error_timeline_dense(spark, d):
     """The timeline with a zero for every provider that had no error in a bucket."""
-    lined = S.error_timeline(health(spark, d), "ts", "provider", "status")
+    lined = kept(S.error_timeline(health(spark, d), "ts", "provider", "status"))
     names = lined.agg(F.sort_array(F.collect_set("provider")))
     per_bucket = lined.groupBy("bucket").agg(F.map_from_entries(F.collect_list(F.struct("provider", "errors"))).alias("m"))
     dense = per_bucket.withColumn("provider", F.explode(names.scalar()))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -57,3 +58,12 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """An aggregate that several parts of a plan read, computed from the raw rows once.
+
+    Column pruning gives each reader its own version of the aggregate, so exchange reuse
+    does not save the scans.  Lost blocks are computed again from the lineage.
+    """
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
