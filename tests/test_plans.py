@@ -53,7 +53,26 @@ def test_hot_groups_do_not_reach_one_window(spark):
 
 
 def test_shared_folder(spark):
-    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert shared_dir(spark) == shared_dir(spark)
+    if configured:
+        assert shared_dir(spark) == configured.rstrip("/")
+
+
+def test_shared_folder_without_setting():
+    class Context:
+        applicationId, master = "app-x", "local[2]"
+
+    class Session:
+        sparkContext = Context
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    assert shared_dir(Session) == shared_dir(Session)
+    Context.master = "spark://host:7077"
+    with pytest.raises(RuntimeError):
+        shared_dir(Session)
 
 
 def test_agreement(spark):
