@@ -37,8 +37,8 @@ _WORD = ((_LOWER >= 48) & (_LOWER <= 57)) | ((_LOWER >= 97) & (_LOWER <= 122)) |
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE ** i and its inverse, modulo 2 ** 64."""
     inverse = pow(BASE, -1, 1 << 64)
-    with np.errstate(over="ignore"):
-        return tuple(np.cumprod(np.concatenate([[1], np.full(n, b, np.uint64)]).astype(np.uint64), dtype=np.uint64) for b in (BASE, inverse))
+    one = np.ones(1, np.uint64)
+    return tuple(np.cumprod(np.concatenate([one, np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (BASE, inverse))
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -57,7 +57,8 @@ class Words:
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[::2], edges[1::2]
         power, inverse = powers if len(powers[0]) > len(joined) else _powers(len(joined))
-        total = np.concatenate([[0], np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[:len(joined)], dtype=np.uint64)]).astype(np.uint64)
+        summed = np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * power[:len(joined)], dtype=np.uint64)
+        total = np.concatenate([np.zeros(1, np.uint64), summed])
         self.hash = _mixed((total[self.end] - total[self.start]) * inverse[self.start])
         ends = np.cumsum([len(t) + 1 for t in texts])
         self.text = np.searchsorted(ends, self.start, side="right")
