@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import decontaminate, exact_dedup, simhash_dedup
+from scorelake.llm import decontaminate, exact_dedup, packing, secrets, simhash_dedup, token_files, toxicity
 from scorelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,12 +23,30 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op3_secrets")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in each document."""
+    return secrets.secrets(table(spark, sf_dir, "documents"))
+
+
 @query("op4_decontaminate")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words and items that each document shares with the benchmark."""
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op5_token_files")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place and checksum of each document in the token files, read back from them."""
+    return token_files.token_documents(table(spark, sf_dir, "documents"))
+
+
+@query("op7_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of each document."""
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op8_simhash_dedup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and near-duplicate component of each document."""
@@ -48,3 +66,9 @@ FROM n WINDOW w AS (PARTITION BY text_sha256)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Group of equal texts of each document and the row that stays."""
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@query("op10_packing")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents packed into sequences."""
+    return packing.pack(table(spark, sf_dir, "documents"))
