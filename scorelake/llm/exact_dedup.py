@@ -17,7 +17,7 @@ from scorelake.llm.common import keep_rows, saved, text_key, text_of
 TOP = 1000
 #: Counters of the sketch: a digest with over 1/4000 of the rows is always among its items.
 COUNTERS = 16_384
-#: Sketches are merged in this many groups first, so that the last merge reads this many at most.
+#: Groups of tasks with a sketch each, so that no task merges the sketches of all.
 LANES = 64
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -34,11 +34,15 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def frequent(base: DataFrame, top: int = TOP, counters: int = COUNTERS) -> DataFrame:
-    """h (64 bits of a digest) of at most ``top`` candidates, by the frequent-items sketch."""
+    """item (64 bits of a digest) of at most ``top`` candidates, by frequent-items sketches.
+
+    Each lane is a share of the tasks with a sketch of its own, and what is frequent in all rows is
+    as frequent in one lane at least.
+    """
     lanes = base.groupBy((F.spark_partition_id() % LANES).alias("lane")).agg(
-        F.expr(f"approx_top_k_accumulate(xxhash64(text_sha256), {counters})").alias("sketch"))
-    merged = lanes.agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
-    return merged.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {top})")).alias("found")).select("found.item")
+        F.expr(f"approx_top_k(xxhash64(text_sha256), {top}, {counters})").alias("found"))
+    merged = lanes.select(F.explode("found").alias("found")).groupBy("found.item").agg(F.sum("found.count").alias("n"))
+    return merged.orderBy(F.desc("n"), "item").limit(top).select("item")
 
 
 def exact_groups(docs: DataFrame, top: int = TOP, counters: int = COUNTERS) -> DataFrame:
