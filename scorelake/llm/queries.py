@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scorelake.llm import decontaminate, exact_dedup, packing, secrets, simhash_dedup, token_files, toxicity
+from scorelake.llm import (
+    decontaminate, exact_dedup, html_blocks, licenses, packing, secrets, simhash_dedup, suffix_dedup, token_files, toxicity,
+)
 from scorelake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +25,18 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of each document that long repeats cover."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query("op2_html_blocks")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of each page."""
+    return html_blocks.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op3_secrets")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in each document."""
@@ -41,6 +55,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op6_licenses")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License texts in the documents."""
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
 @query("op7_toxicity")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of each document."""
