@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 # --- fixed values ---------------------------------------------------------------
 # Unicode white space, as characters and as a pattern.
 SPACES = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0         "
-    "       　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85"
+    "\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 SPACE_RUN = (
     r"[\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
@@ -41,6 +41,29 @@ STOP_WORDS = (
     "hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't shouldn "
     "shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
+# The vectoriser behind relevance leaves out another list: the one above without these words and without
+# contractions, and the words after them.
+NOT_FOR_RELEVANCE = (
+    "s t d ll m o ve y ma "
+    "theirs having does did doing just don ain aren couldn didn doesn hadn hasn haven isn mightn mustn needn shan "
+    "shouldn wasn weren won wouldn"
+).split()
+MORE_FOR_RELEVANCE = (
+    "across afterwards almost alone along already also although always among amongst amoungst amount another "
+    "anyhow anyone anything anyway anywhere around back became become becomes becoming beforehand behind beside "
+    "besides beyond bill bottom call cannot cant co con could couldnt cry de describe detail done due eg eight "
+    "either eleven else elsewhere empty enough etc even ever every everyone everything everywhere except fifteen "
+    "fifty fill find fire first five former formerly forty found four front full get give go hasnt hence "
+    "hereafter hereby herein hereupon however hundred ie inc indeed interest keep last latter latterly least less "
+    "ltd made many may meanwhile might mill mine moreover mostly move much must name namely neither never "
+    "nevertheless next nine nobody none noone nothing nowhere often one onto others otherwise part per perhaps "
+    "please put rather see seem seemed seeming seems serious several show side since sincere six sixty somehow "
+    "someone something sometime sometimes somewhere still system take ten thence thereafter thereby therefore "
+    "therein thereupon thick thin third though three throughout thru thus together top toward towards twelve "
+    "twenty two un upon us via well whatever whence whenever whereafter whereas whereby wherein whereupon "
+    "wherever whether whither whoever whole whose within without would yet"
+).split()
+RELEVANCE_STOP_WORDS = [w for w in STOP_WORDS if "'" not in w and w not in NOT_FOR_RELEVANCE] + MORE_FOR_RELEVANCE
 OVERALL_WEIGHTS = {
     "relevance": 0.25, "factual_accuracy": 0.25, "coherence": 0.20, "completeness": 0.15,
     "token_efficiency": 0.10, "time_efficiency": 0.05,
@@ -51,15 +74,6 @@ KEYWORDS = {
     "healthcare": ("patient", "compliance", "care", "HIPAA"),
 }
 MIN_KEYWORD_SCORE = 0.2
-METRIC_DESCRIPTIONS = {
-    "relevance_score": "How well the response addresses the query and context",
-    "factual_accuracy": "Accuracy of factual claims compared to ground truth",
-    "response_time_ms": "Time taken to generate response in milliseconds",
-    "token_efficiency": "Information density per token consumed",
-    "coherence_score": "Logical flow and structure of the response",
-    "completeness_score": "How thoroughly the response covers the query",
-    "overall_score": "Weighted combination of all metrics",
-}
 # --------------------------------------------------------------------------------
 
 
@@ -261,7 +275,3 @@ def requirements(question_id) -> Column:
 
 def display_name(name) -> Column:
     return F.initcap(F.replace(col(name), F.lit("_"), F.lit(" ")))
-
-
-def metric_catalogue(spark) -> DataFrame:
-    return spark.createDataFrame(list(METRIC_DESCRIPTIONS.items()), "metric string, description string")

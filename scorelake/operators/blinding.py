@@ -22,6 +22,11 @@ def hash_number(*parts: Column | str) -> Column:
     return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("long")
 
 
+def hash_long(*parts: Column | str) -> Column:
+    """The first 60 bits of the hash as a non-negative long."""
+    return F.conv(F.substring(hash_key(*parts), 1, 15), 16, 10).cast("long")
+
+
 def shuffled(items: Column, key: Column | str, salt: str = "") -> Column:
     """The array's items in hash order for this row."""
     tagged = F.transform(
@@ -64,8 +69,9 @@ def sample_for_sessions(
 ) -> DataFrame:
     """An own sample of ``n`` pool rows per stratum for every session.
 
-    The pool is put in hash order once and cut into ``n`` runs; a session takes one
-    hash-chosen row of each run.  Rows are found by an equi-join on their position, so
+    The pool is put in hash order once; a session then draws ``n`` distinct positions, every set
+    of them being equally likely (each draw from one position more, a repeat becoming the new one),
+    and takes them in a random order.  Rows are found by an equi-join on their position, so
     sessions and pool are never multiplied.
     """
     ordered = row_positions(
@@ -74,20 +80,19 @@ def sample_for_sessions(
     )
     sizes = pool.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
     listed = sizes.agg(F.collect_list(F.struct(F.col(stratum), F.col("n"))))
-    slots = (
-        sessions.withColumn("_s", F.explode(listed.scalar()))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(n), F.col(f"_s.n")) - 1)))
-        .withColumn("_take", F.least(F.lit(n), F.col("_s.n")))
-    )
-    low = F.floor(F.col("_j") * F.col("_s.n") / F.col("_take"))
-    high = F.floor((F.col("_j") + 1) * F.col("_s.n") / F.col("_take"))
-    drawn = hash_number(
-        F.col(session).cast("string"), F.col(f"_s.{stratum}").cast("string"), F.col("_j").cast("string"), F.lit(seed)
-    )
-    wanted = slots.select(
-        session, F.col(f"_s.{stratum}").alias(stratum), (F.col("_j") + 1).alias("sample_order"),
-        (low + drawn % (high - low)).alias("_pos"),
-    )
+    slots = sessions.withColumn("_s", F.explode(listed.scalar())).select(
+        session, F.col(f"_s.{stratum}").alias(stratum), F.col("_s.n").alias("_n"), F.least(F.lit(n), F.col("_s.n")).alias("_take"))
+    names = [F.col(session).cast("string"), F.col(stratum).cast("string")]
+
+    def drawn(taken: Column, i: Column) -> Column:
+        last = F.col("_n") - F.col("_take") + i
+        at = hash_long(*names, i.cast("string"), F.lit(seed)) % (last + 1)
+        return F.concat(taken, F.array(F.when(F.array_contains(taken, at), last).otherwise(at)))
+
+    positions = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("_take") - 1), F.array().cast("array<bigint>"), drawn)
+    tagged = F.transform(positions, lambda p: F.struct(hash_long(*names, p.cast("string"), F.lit(seed), F.lit("order")).alias("h"), p.alias("p")))
+    wanted = slots.select(session, stratum, F.posexplode(F.array_sort(tagged)).alias("_i", "_x")).select(
+        session, stratum, (F.col("_i") + 1).alias("sample_order"), F.col("_x.p").alias("_pos"))
     return wanted.join(ordered.drop("_h"), [stratum, "_pos"]).drop("_pos")
 
 

@@ -72,15 +72,11 @@ def progress(log: DataFrame, user: str, target: int = 5) -> DataFrame:
 
 
 def flatten_map(df: DataFrame, column: str, keys: Sequence[str]) -> DataFrame:
-    """Turns map entries into columns; keys are listed by the caller or by ``map_keys_of``."""
+    """Turns the entries of the given keys into columns; ``map_entries`` is the form for keys not known beforehand."""
     others = [c for c in df.columns if c != column]
     return df.select(*others, *[F.try_element_at(F.col(column), F.lit(k)).alias(k) for k in keys])
 
 
-def map_keys_of(df: DataFrame, column: str, limit: int = 10_000) -> list[str]:
-    """Distinct map keys, as they become columns; too many for that is an error."""
-    keys = df.select(F.explode(F.map_keys(column)).alias("k")).distinct()
-    found = [r.k for r in keys.limit(limit + 1).collect()]
-    if len(found) > limit:
-        raise ValueError(f"{column} has more than {limit} keys")
-    return sorted(found)
+def map_entries(df: DataFrame, column: str) -> DataFrame:
+    """Map entries as rows: the other columns, ``key`` and ``value``."""
+    return df.select(*[c for c in df.columns if c != column], F.explode(column).alias("key", "value"))

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from scorelake.session import shuffle_width
 
-MAX_BUCKETS = 1000
-
 
 def _sortable(df: DataFrame, value: str) -> Column:
     """A number with the order of the value."""
@@ -34,7 +32,7 @@ def cut_points(df: DataFrame, value: str, buckets: int | None = None) -> list:
     Merging sketches is not deterministic, so the boundaries are fetched once and enter
     every later expression, and every retried task, as the same literals.
     """
-    n = min(MAX_BUCKETS, buckets or shuffle_width(df.sparkSession))
+    n = buckets or shuffle_width(df.sparkSession)
     steps = [i / n for i in range(1, n)]
     found = df.agg(F.percentile_approx(_sortable(df, value), steps, max(1000, 20 * n))).first()[0]
     return sorted(set(found or []))
@@ -44,13 +42,15 @@ def _with_bucket(df: DataFrame, value: str, cuts: list) -> DataFrame:
     if not cuts:
         return df.withColumn("_bucket", F.lit(0))
     key = _sortable(df, value)
-    if len(cuts) <= 32:  # a short chain stays inside generated code
-        bucket = F.lit(len(cuts))
-        for i, c in reversed(list(enumerate(cuts))):
-            bucket = F.when(key <= F.lit(c), i).otherwise(bucket)
-        return df.withColumn("_bucket", F.when(key.isNull(), 0).otherwise(bucket))
-    below = F.filter(F.array(*[F.lit(c) for c in cuts]), lambda cut: cut < key)
-    return df.withColumn("_bucket", F.coalesce(F.size(below), F.lit(0)))
+
+    def within(low: int, high: int) -> Column:
+        """Number of cuts below the value, of those between; halving keeps the comparisons per row few."""
+        if low == high:
+            return F.lit(low)
+        half = (low + high) // 2
+        return F.when(key <= F.lit(cuts[half]), within(low, half)).otherwise(within(half + 1, high))
+
+    return df.withColumn("_bucket", F.when(key.isNull(), 0).otherwise(within(0, len(cuts))))
 
 
 def _cell_offsets(cells: DataFrame, by: Sequence[str]) -> DataFrame:

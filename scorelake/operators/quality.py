@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scorelake.functions.text import strip
-from scorelake.operators.blinding import hash_number
 from scorelake.operators.ordering import exact_quantiles
 from scorelake.operators.privacy import strip_markup
 
@@ -22,10 +21,19 @@ def tidy_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[tidy_name(c) for c in df.columns])
 
 
+def whole_row(df: DataFrame, *columns: str) -> Column:
+    """A digest that is equal for equal rows only, so that long texts are no shuffle keys."""
+    return F.sha2(F.to_json(F.struct(*(columns or df.columns)), {"ignoreNullFields": "false"}), 256)
+
+
+def drop_duplicate_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """One row of each set of rows that are equal in the given columns, or in all."""
+    return df.withColumn("_row", whole_row(df, *columns)).dropDuplicates(["_row"]).drop("_row")
+
+
 def duplicate_report(df: DataFrame, *columns: str) -> DataFrame:
     """Rows, distinct rows and removed rows over whole rows or the given columns."""
-    keys = list(columns) or df.columns
-    groups = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    groups = df.groupBy(whole_row(df, *columns).alias("_row")).agg(F.count(F.lit(1)).alias("_n"))
     return groups.agg(
         F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("kept"),
         (F.sum("_n") - F.count(F.lit(1))).alias("removed"),
@@ -75,11 +83,13 @@ def range_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def table_checksum(df: DataFrame) -> DataFrame:
-    """Row count and the sum of row hashes, which no order of rows changes."""
-    return df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.sum(hash_number(*[F.col(c).cast("string") for c in df.columns])).alias("checksum"),
-    )
+    """Row count and the sum of 60-bit row hashes, which no order of rows changes.
+
+    Every value is hashed by itself, a missing one as such, so values cannot move between columns.
+    """
+    values = [F.coalesce(F.md5(F.col(c).cast("string")), F.lit("missing")) for c in df.columns]
+    row = F.conv(F.substring(F.md5(F.concat_ws("|", *values)), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.sum(row).cast("string").alias("checksum"))
 
 
 def issues(rules: Mapping[str, Column]) -> Column:

@@ -7,6 +7,7 @@ pair ever becomes a row; each task hands on at most ``k`` rows per query.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,14 +37,31 @@ def normalised(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_norm", l2_norm(vector)).withColumn(vector, scaled).drop("_norm")
 
 
+def with_vectors(df: DataFrame, vector: str) -> DataFrame:
+    """Rows that have a vector; one with a missing number counts as none."""
+    return df.where(F.col(vector).isNotNull() & ~F.exists(vector, lambda x: x.isNull()))
+
+
 def _unit_rows(vectors) -> np.ndarray:
     m = np.stack([np.asarray(v, dtype="float64") for v in vectors])
     norms = np.linalg.norm(m, axis=1, keepdims=True)
     return m / np.where(norms > 0, norms, 1.0)
 
 
+TILE_SCORES = 1 << 19  # scores computed at a time, 4 MB
+
+
 def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
     """Query row, id and score of the k best vectors per query; ties go to the lower id."""
+    step = max(1, TILE_SCORES // max(1, len(ids)))
+    found = []
+    for at in range(0, len(queries), step):
+        rows, chosen, values = _best_of_tile(queries[at:at + step], ids, vectors, k)
+        found.append((rows + at, chosen, values))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _best_of_tile(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int):
     scores = np.round(queries @ vectors.T, 9)
     rows, chosen, values = [], [], []
     for i, line in enumerate(scores):
@@ -149,6 +167,7 @@ def cosine_topk(
     scanned in place, without a shuffle of vectors.  A larger one meets the corpus in a
     block join; the answer is the same.
     """
+    queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
     width = queries.select(F.max(F.size(vector))).first()[0] or 0
     fits = max_block_values // max(1, width)
     block = queries.select(query_id, vector).limit(fits + 1).toPandas()
@@ -169,12 +188,10 @@ def _nearest(centres: np.ndarray, probes: int):
     return nearest
 
 
-def train_cells(corpus: DataFrame, vector: str, seed: int = 7, rows: int = 200_000) -> np.ndarray:
-    """Unit centroids of up to 100 cells; at most about ``rows`` vectors are used for training."""
-    n = corpus.count()
-    cells = max(1, min(100, n // 10))
-    sample = corpus if n <= rows else corpus.sample(rows / n, seed=seed)
-    training = normalised(sample.select(vector), vector).select(array_to_vector(vector).alias("features"))
+def train_cells(corpus: DataFrame, vector: str, seed: int = 7, cells: int | None = None) -> np.ndarray:
+    """Unit centroids, trained on all vectors; as many as the square root of their number unless told."""
+    cells = cells or max(1, math.isqrt(corpus.count()))
+    training = normalised(corpus.select(vector), vector).select(array_to_vector(vector).alias("features"))
     model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
     return _unit_rows(model.clusterCenters())
 
@@ -184,6 +201,7 @@ def ivf_topk(
     probes: int = 1, seed: int = 7,
 ) -> DataFrame:
     """Approximate top-k: only the ``probes`` nearest cells of a query are searched."""
+    queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
     centres = train_cells(corpus, vector, seed)
     probes = min(probes, len(centres))
     home, near = _nearest(centres, 1), _nearest(centres, probes)
@@ -194,9 +212,15 @@ def ivf_topk(
 
 def hyperplane_topk(
     queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int,
-    tables: int = 8, bits: int = 4, seed: int = 7,
+    tables: int = 8, bits: int | None = None, seed: int = 7,
 ) -> DataFrame:
-    """Approximate top-k through random-hyperplane signatures in several tables."""
+    """Approximate top-k through random-hyperplane signatures in several tables.
+
+    Unless told, a signature has half as many bits as the corpus size has, so the share of pairs
+    that are scored falls as the corpus grows.
+    """
+    queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
+    bits = bits or max(4, corpus.count().bit_length() // 2)
     width = corpus.select(F.max(F.size(vector))).first()[0] or 1
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
     weights = 1 << np.arange(bits)
@@ -276,6 +300,11 @@ def format_contexts(
     )
 
 
+# --- fixed values: prose that prompts and contexts must hold word for word ---
+LIMITED_INSTRUCTIONS = (
+    "Instructions: Use the available dataset information ({} coverage) along with the ground truth insights above to provide a comprehensive business "
+    "analysis. The ground truth serves as a reference for what information should be included and verified."
+)
 CLOSING = (
     "=== CROSS-CHUNK ANALYSIS INSTRUCTIONS ===",
     "Use the enhanced dataset information above to provide a comprehensive business analysis.",
@@ -373,12 +402,12 @@ def truth_contexts(truth: DataFrame, coverage: float = 0.4) -> DataFrame:
     limited = F.concat_ws(
         "\n", F.concat(F.lit("Business Analysis Task for "), "domain", F.lit(" domain:")),
         F.concat(F.lit("Question: "), "question"), F.lit(""),
-        F.lit("Available Dataset Information (40% coverage):"),
+        F.lit(f"Available Dataset Information ({coverage:.0%} coverage):"),
         F.concat(F.lit("Data source: "), source, F.lit(" (Partial access)")), F.concat(F.lit("Analysis type: "), kind),
         F.lit(f"Dataset coverage: {coverage * 100}% (Limited access)"), F.lit(""),
         F.lit("Ground Truth Reference (for guidance):"),
         F.concat(F.lit("Key insights to consider: "), points), F.concat(F.lit("Factual claims to verify: "), claims),
-        F.concat(F.lit("Expected analysis depth: "), "expected_length"),
+        F.concat(F.lit("Expected analysis depth: "), "expected_length"), F.lit(""), F.lit(LIMITED_INSTRUCTIONS.format(f"{coverage:.0%}")),
         F.when(F.size("key_points") > 0, some),
     )
     both = truth.withColumn("full_context", full).withColumn("limited_context", limited)

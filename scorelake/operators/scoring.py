@@ -15,30 +15,32 @@ UNSHARED_IDF = 1 + math.log(3 / 2)
 
 def tfidf_relevance(
     df: DataFrame, key: str, query: str, response: str, context: str | None = None,
-    stop_words: Sequence[str] = text.STOP_WORDS, max_terms: int = 1000,
+    stop_words: Sequence[str] = text.RELEVANCE_STOP_WORDS, max_terms: int | None = None,
 ) -> DataFrame:
     """Cosine of the two texts of each row under TF-IDF fitted on just those two texts.
 
-    Terms are counted by (row, term), so a long text spreads over tasks while counting;
-    only its at most ``max_terms`` kept terms meet again.
+    The fit concerns one row, so rows are dealt out by their key once and its terms are counted,
+    weighted and summed where they are.  ``max_terms`` keeps a row's most frequent terms only.
     """
     asked = F.col(query)
     if context:
         asked = F.when(F.length(context) > 0, F.concat_ws(" ", query, context)).otherwise(asked)
-    both = df.select(
+    both = df.select(key, asked.alias("_asked"), F.col(response).alias("_said")).repartition(key).select(
         key,
         F.explode_outer(
             F.concat(
-                F.transform(text.terms(asked, stop_words), lambda t: F.struct(t.alias("term"), F.lit(1).alias("q"), F.lit(0).alias("r"))),
-                F.transform(text.terms(response, stop_words), lambda t: F.struct(t.alias("term"), F.lit(0).alias("q"), F.lit(1).alias("r"))),
+                F.transform(text.terms("_asked", stop_words), lambda t: F.struct(t.alias("term"), F.lit(1).alias("q"), F.lit(0).alias("r"))),
+                F.transform(text.terms("_said", stop_words), lambda t: F.struct(t.alias("term"), F.lit(0).alias("q"), F.lit(1).alias("r"))),
             )
         ).alias("x"),
     )
     counted = both.groupBy(key, F.col("x.term").alias("term")).agg(
         F.coalesce(F.sum("x.q"), F.lit(0)).alias("q"), F.coalesce(F.sum("x.r"), F.lit(0)).alias("r")
     )
-    order = Window.partitionBy(key).orderBy((F.col("q") + F.col("r")).desc(), "term")
-    kept = counted.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= max_terms)
+    kept = counted
+    if max_terms:
+        order = Window.partitionBy(key).orderBy((F.col("q") + F.col("r")).desc(), "term")
+        kept = counted.withColumn("_place", F.row_number().over(order)).where(F.col("_place") <= max_terms)
     shared = (F.col("q") > 0) & (F.col("r") > 0)
     idf = F.when(shared, 1.0).otherwise(UNSHARED_IDF)
     sums = kept.groupBy(key).agg(

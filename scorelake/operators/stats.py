@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from scorelake.functions import dist
 from scorelake.operators.ordering import average_ranks, exact_quantiles, row_positions
-from scorelake.session import kept
+from scorelake.session import kept, shuffle_width
 
 
 def moments(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -233,26 +233,33 @@ def bootstrap_intervals(
     """Percentile interval of the mean over Poisson-weighted resamples.
 
     Equal values are counted first; each task then draws the weights of its values for
-    all replicates and hands on sums only, so rows are never multiplied by replicates.
-    Draws depend on the value, not on the task, so a retried task repeats them.
+    all replicates, a block of values at a time, and hands on sums only, so rows are never
+    multiplied by replicates.  Values are dealt out by buckets of their hash; a bucket is drawn
+    in order from a seed of its own, so a retried task repeats its draws.
     """
     counted = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(
         F.col(group).alias("grp"), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    keyed = counted.withColumn("key", F.xxhash64("grp", "x", F.lit(seed)))
+    buckets = 64 * shuffle_width(df.sparkSession)
+    keyed = counted.withColumn("bucket", F.pmod(F.xxhash64("grp", "x", F.lit(seed)), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "grp", "x")
     schema = T.StructType([
         T.StructField("grp", df.schema[group].dataType), T.StructField("replicate", T.IntegerType()),
         T.StructField("w", T.DoubleType()), T.StructField("wx", T.DoubleType()),
     ])
 
     def draw(batches):
-        sums = {}
+        sums, bucket, rng = {}, None, None
         for batch in batches:
-            for g, x, c, key in zip(batch["grp"], batch["x"], batch["c"], batch["key"]):
-                rng = np.random.Generator(np.random.Philox(key=int(key) & (2**64 - 1)))
-                w = rng.poisson(c, replicates)
-                held = sums.setdefault(g, np.zeros((2, replicates)))
-                held[0] += w
-                held[1] += w * x
+            codes, names = pd.factorize(batch["grp"])
+            x, c, b = (batch[k].to_numpy() for k in ("x", "c", "bucket"))
+            starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (b[1:] != b[:-1])])
+            for s, e in zip(starts, np.r_[starts[1:], len(x)]):
+                if b[s] != bucket:
+                    bucket, rng = b[s], np.random.Generator(np.random.Philox(key=[seed, int(b[s])]))
+                held = sums.setdefault(names[codes[s]], np.zeros((2, replicates)))
+                for at in range(s, e, 256):
+                    w = rng.poisson(c[at:min(e, at + 256), None], (min(e, at + 256) - at, replicates))
+                    held[0] += w.sum(axis=0)
+                    held[1] += x[at:min(e, at + 256)] @ w
         for g, held in sums.items():
             yield pd.DataFrame({"grp": g, "replicate": np.arange(replicates, dtype="int32"), "w": held[0], "wx": held[1]})
 

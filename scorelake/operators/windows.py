@@ -18,6 +18,24 @@ def within_budget(df: DataFrame, by: Sequence[str], rank: str, length: Column, b
     return df.withColumn("_used", running).where(F.col("_used") <= budget).drop("_used")
 
 
+def leading_within(
+    df: DataFrame, by: str, order: str, ties: Sequence[str], length: str, budget: int, name: str = "rank"
+) -> DataFrame:
+    """Rows of each group in the given order as long as their running length stays within the budget.
+
+    ``order`` never falls with the length, so rows of length 0 come first and all stay; their
+    places come from bucketed ordering.  Of the others no more than ``budget`` can fit, so the rank
+    limit in front of the shuffle loses none and a busy group sends that many rows per task at most.
+    """
+    nothing = row_positions(df.where(F.coalesce(F.col(length), F.lit(0)) <= 0), order, [by], name, ties).withColumn(name, F.col(name) + 1)
+    before = nothing.groupBy(F.col(by).alias("_by")).agg(F.count(F.lit(1)).alias("_before"))
+    some = df.where(F.col(length) > 0).withColumn(name, F.row_number().over(Window.partitionBy(by).orderBy(order, *ties)))
+    fitting = within_budget(some.where(F.col(name) <= budget), [by], name, F.col(length), budget)
+    placed = fitting.join(before, fitting[by].eqNullSafe(before["_by"]), "left")
+    shifted = placed.withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0))).drop("_by", "_before")
+    return nothing.select(shifted.columns).unionByName(shifted)
+
+
 def trailing_count(
     df: DataFrame, keys: Sequence[str], ts: str, seconds: int, name: str = "in_window", oldest: str | None = None
 ) -> DataFrame:
@@ -59,7 +77,11 @@ def activity_islands(
     numbered = cells.withColumn("_new", starts).select(
         *keys, "_cell", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(name)
     )
-    return placed.join(numbered, [*keys, "_cell"]).drop("_us", "_cell")
+    met = F.lit(True)
+    for k in [*keys, "_cell"]:  # rows without a key or a time keep their place: such a time is a cell of its own
+        numbered = numbered.withColumnRenamed(k, f"_n_{k}")
+        met = met & placed[k].eqNullSafe(numbered[f"_n_{k}"])
+    return placed.join(numbered, met).drop("_us", "_cell", *[f"_n_{k}" for k in [*keys, "_cell"]])
 
 
 def consecutive_runs(

@@ -12,7 +12,7 @@ from scorelake.operators.evallog import best_and_worst
 from scorelake.plans.registry import query
 from scorelake.plans.scoring import words_sql
 from scorelake.plans.statistics import rounded, score_moments
-from scorelake.plans.views import EVAL_SQL, eval_log, scores, table, texts
+from scorelake.plans.views import EVAL_SQL, eval_log, scores, table
 from scorelake.sources.writers import report_lines
 
 
@@ -35,7 +35,7 @@ QUALITY_SQL = f"""w AS (SELECT doc_id, length(text) AS n, {words_sql('text')} AS
 @query("discrepancies", f"""WITH {QUALITY_SQL} SELECT doc_id, round(abs(quality - score), 8) AS discrepancy
     FROM drawn JOIN auto USING (doc_id) WHERE abs(quality - score) > 0.2""")
 def discrepancies(spark, d):
-    auto = texts(spark, d, "documents", "doc_id").select("doc_id", text.context_quality("text").alias("score"))
+    auto = table(spark, d, "documents").select("doc_id", text.context_quality("text").alias("score"))
     out = A.discrepancies(table(spark, d, "labels"), auto, "doc_id", "quality", "score")
     return out.select("doc_id", F.round("discrepancy", 8).alias("discrepancy"))
 
@@ -81,7 +81,8 @@ def evaluation_report(spark, d):
     m = S.moments(rows, "provider", "score")
     ranked = S.rank_groups(S.with_interval(m)).withColumn("std", F.sqrt("var")).withColumnRenamed("grp", "provider")
     ends = best_and_worst(m, "grp", "mean")
-    totals = rows.agg(F.count(F.lit(1)).alias("evaluations"), F.avg("score").alias("avg_overall"), F.avg("score").alias("avg_time_ms"))
+    time = eval_log(spark, d).agg(F.avg("response_time_ms"))
+    totals = rows.agg(F.count(F.lit(1)).alias("evaluations"), F.avg("score").alias("avg_overall")).withColumn("avg_time_ms", time.scalar())
     overall = totals.withColumn("best", ends.select("best").scalar()).withColumn("worst", ends.select("worst").scalar())
     return report_lines("scores", ranked, S.anova_p(S.anova(m)), overall)
 
@@ -110,5 +111,5 @@ def distinct_domains(spark, d):
 @query("domain_documents", """SELECT lang, count(*) AS n, count(*) FILTER (contains(lower(text), 'the')) AS with_word FROM documents GROUP BY 1""")
 def domain_documents(spark, d):
     found = F.contains(F.lower("text"), F.lit("the"))
-    return texts(spark, d, "documents", "doc_id").groupBy("lang").agg(
+    return table(spark, d, "documents").groupBy("lang").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(found).alias("with_word"))

@@ -10,7 +10,7 @@ from scorelake.operators import quality as Q
 from scorelake.plans.registry import query
 from scorelake.plans.scoring import SPACES_SQL, quoted, sentences_sql
 from scorelake.plans.statistics import rounded
-from scorelake.plans.views import EVAL_SQL, eval_log, table, texts
+from scorelake.plans.views import EVAL_SQL, eval_log, table
 
 
 @query("dedup_documents", """SELECT count(*) AS rows, count(DISTINCT (text, lang)) AS kept,
@@ -21,7 +21,7 @@ def dedup_documents(spark, d):
 
 @query("distinct_documents", "SELECT DISTINCT text, lang FROM documents")
 def distinct_documents(spark, d):
-    return Q.tidy_names(table(spark, d, "documents").select("text", "lang")).dropDuplicates()
+    return Q.drop_duplicate_rows(Q.tidy_names(table(spark, d, "documents").select("text", "lang")))
 
 
 NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -60,7 +60,7 @@ def range_report(spark, d):
 
 
 ANSWERS_SQL = """ans AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'q' || doc_id END AS question_id,
-    substr(text, 1, 40) AS question, CASE WHEN n_chars < 200 THEN '' ELSE text END AS answer,
+    text AS question, CASE WHEN n_chars < 200 THEN '' ELSE text END AS answer,
     CASE doc_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'medium' WHEN 2 THEN 'hard' ELSE 'extreme' END AS difficulty,
     CASE doc_id % 3 WHEN 0 THEN 'short' WHEN 1 THEN 'long' END AS expected_length, n_chars % 3 AS points FROM documents)"""
 
@@ -74,9 +74,9 @@ ANSWERS_SQL = """ans AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE
     CASE WHEN points < 1 THEN 'At least one key point is required' END) AS issues FROM ans""")
 def issues(spark, d):
     k4, k3 = F.col("doc_id") % 4, F.col("doc_id") % 3
-    rows = texts(spark, d, "documents", "doc_id").select(
+    rows = table(spark, d, "documents").select(
         "doc_id", F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit("q"), "doc_id")).alias("question_id"),
-        F.substring("text", 1, 40).alias("question"), F.when(F.col("n_chars") < 200, "").otherwise(F.col("text")).alias("answer"),
+        F.col("text").alias("question"), F.when(F.col("n_chars") < 200, "").otherwise(F.col("text")).alias("answer"),
         F.when(k4 == 0, "easy").when(k4 == 1, "medium").when(k4 == 2, "hard").otherwise("extreme").alias("difficulty"),
         F.when(k3 == 0, "short").when(k3 == 1, "long").alias("expected_length"),
         F.array_repeat(F.lit("point"), (F.col("n_chars") % 3).cast("int")).alias("key_points"),
@@ -96,7 +96,7 @@ def response_issues(spark, d):
     SELECT doc_id, n_chars < 50 AS is_short, round(CASE WHEN len(s) > 0 THEN 1 - len(list_distinct(s)) / len(s) ELSE 0.0 END, 8)
     AS repeated_share FROM s""")
 def quality_flags(spark, d):
-    return texts(spark, d, "documents", "doc_id").select(
+    return table(spark, d, "documents").select(
         "doc_id", (F.col("n_chars") < 50).alias("is_short"),
         F.round(Q.repeated_share(text.sentences("text")), 8).alias("repeated_share"))
 
@@ -120,7 +120,7 @@ def markup_sql(t: str) -> str:
 
 @query("html_strip", f"SELECT page_id, {markup_sql('html')} AS text FROM pages")
 def html_strip(spark, d):
-    return texts(spark, d, "pages", "page_id").select("page_id", Y.strip_markup("html").alias("text"))
+    return table(spark, d, "pages").select("page_id", Y.strip_markup("html").alias("text"))
 
 
 @query("query_check", f"""WITH q AS (SELECT conv_id, turn, text, {markup_sql('text')} AS clean FROM conversations)
@@ -140,7 +140,7 @@ def plain_sql(t: str) -> str:
     for k, p in Y.PII_PATTERNS.items())}) GROUP BY 1, 2""")
 def pii_scan(spark, d):
     counts = Y.pii_counts("text")
-    wide = texts(spark, d, "documents", "doc_id").groupBy("source").agg(*[F.sum(c).alias(n) for n, c in counts.items()])
+    wide = table(spark, d, "documents").groupBy("source").agg(*[F.sum(c).alias(n) for n, c in counts.items()])
     return wide.unpivot("source", list(counts), "kind", "n")
 
 
@@ -152,7 +152,7 @@ def redact_sql(t: str) -> str:
 
 @query("pii_redact", f"SELECT doc_id, {redact_sql('text')} AS text FROM documents")
 def pii_redact(spark, d):
-    return texts(spark, d, "documents", "doc_id").select("doc_id", Y.redact("text").alias("text"))
+    return table(spark, d, "documents").select("doc_id", Y.redact("text").alias("text"))
 
 
 @query("pseudonymise", "SELECT c_custkey, substr(sha256(c_name), 1, 16) AS pseudonym FROM customer")
@@ -163,7 +163,7 @@ def pseudonymise(spark, d):
 @query("mask_fields", f"""SELECT doc_id, '{Y.REDACTED}' AS user_name, {redact_sql('text')} AS note_text,
     source AS note_source, '{Y.REDACTED}' AS note_email FROM documents""")
 def mask_fields(spark, d):
-    nested = texts(spark, d, "documents", "doc_id").select(
+    nested = table(spark, d, "documents").select(
         "doc_id", F.col("source").alias("user_name"),
         F.struct("text", "source", F.col("lang").alias("email")).alias("note"))
     masked = Y.mask_fields(nested)
@@ -181,8 +181,9 @@ def audit_events(spark, d):
     return out.withColumn("at", F.col("timestamp").cast("string")).drop("timestamp")
 
 
-@query("archive_checksum", """SELECT count(*) AS rows, CAST(sum(('0x' || substr(md5(concat_ws('|', doc_id, text, lang, source, n_chars)), 1, 8))::BIGINT)
-    AS BIGINT) AS checksum FROM documents""")
+@query("archive_checksum", "SELECT count(*) AS rows, CAST(sum(CAST(('0x' || substr(md5(concat_ws('|', " + ", ".join(
+    f"coalesce(md5(CAST({c} AS VARCHAR)), 'missing')" for c in ("doc_id", "text", "lang", "source", "n_chars"))
+    + ")), 1, 15)) AS BIGINT)::HUGEINT) AS VARCHAR) AS checksum FROM documents")
 def archive_checksum(spark, d):
     """Order-insensitive checksum of a whole table."""
     return Q.table_checksum(table(spark, d, "documents"))

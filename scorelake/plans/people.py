@@ -113,11 +113,21 @@ def progress(spark, d):
     return P.progress(feedback(spark, d), "session_id")
 
 
+RATINGS = ("clarity", "quality")
+
+
+@query("rating_entries", f"""WITH {FB_SQL} SELECT event_id, 'clarity' AS key, clarity AS value FROM fb WHERE record_type = 'industry_feedback'
+    UNION ALL SELECT event_id, 'quality', quality FROM fb WHERE record_type = 'industry_feedback'""")
+def rating_entries(spark, d):
+    given = feedback(spark, d).where(P.is_feedback()).select("event_id", "ratings")
+    return P.map_entries(given, "ratings")
+
+
 @query("flatten_ratings", f"""WITH {FB_SQL} SELECT event_id, session_id, clarity, quality FROM fb
     WHERE record_type = 'industry_feedback'""")
 def flatten_ratings(spark, d):
     given = feedback(spark, d).where(P.is_feedback()).select("event_id", "session_id", "ratings")
-    return P.flatten_map(given, "ratings", P.map_keys_of(given, "ratings"))
+    return P.flatten_map(given, "ratings", RATINGS)
 
 
 @query("last_n", f"""WITH {FB_SQL} SELECT session_id, event_id, row_number() OVER
@@ -185,11 +195,13 @@ def stratified_sample(spark, d):
     o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY h, doc_id) - 1 AS pos FROM h),
     z AS (SELECT lang, count(*) AS n, least(count(*), 5) AS take FROM documents GROUP BY 1),
     s AS (SELECT DISTINCT user_id AS session_id FROM events),
-    w AS (SELECT session_id, lang, j + 1 AS sample_order, CAST(floor(j * n / take) AS BIGINT) AS lo,
-        CAST(floor((j + 1) * n / take) AS BIGINT) AS hi,
-        ('0x' || substr(md5(session_id || '|' || lang || '|' || j || '|7'), 1, 8))::BIGINT AS r
-        FROM s, z, range(5) t(j) WHERE j < take)
-    SELECT session_id, w.lang, sample_order, doc_id FROM w JOIN o ON o.lang = w.lang AND o.pos = lo + r % (hi - lo)""")
+    w AS (SELECT session_id, lang, list_reduce(range(take), lambda a, i: list_append(a, CASE WHEN list_contains(a,
+        ('0x' || substr(md5(session_id || '|' || lang || '|' || i || '|7'), 1, 15))::BIGINT % (n - take + i + 1)) THEN n - take + i ELSE
+        ('0x' || substr(md5(session_id || '|' || lang || '|' || i || '|7'), 1, 15))::BIGINT % (n - take + i + 1) END), []::BIGINT[]) AS ps FROM s, z),
+    u AS (SELECT session_id, lang, unnest(ps) AS pos FROM w),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session_id, lang
+        ORDER BY ('0x' || substr(md5(session_id || '|' || lang || '|' || pos || '|7|order'), 1, 15))::BIGINT, pos) AS sample_order FROM u)
+    SELECT session_id, r.lang, sample_order, doc_id FROM r JOIN o ON o.lang = r.lang AND o.pos = r.pos""", sample_order="INTEGER")
 def session_sample(spark, d):
     pool = table(spark, d, "documents").select("doc_id", "lang")
     sessions = table(spark, d, "events").select(F.col("user_id").alias("session_id")).distinct()

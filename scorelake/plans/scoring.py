@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scorelake.functions import similarity, text
 from scorelake.operators import scoring
 from scorelake.plans.registry import query
-from scorelake.plans.views import EVAL_SQL, eval_log, table, texts
+from scorelake.plans.views import EVAL_SQL, eval_log, table
 
 
 def quoted(value: str) -> str:
@@ -46,7 +46,7 @@ def facts_sql(t: str) -> str:
 
 def tokens_sql(t: str) -> str:
     return (f"list_filter(regexp_extract_all(lower({t}), {quoted(text.WORD_TOKEN)}), "
-            f"lambda w: NOT list_contains({sql_list(text.STOP_WORDS)}, w))")
+            f"lambda w: NOT list_contains({sql_list(text.RELEVANCE_STOP_WORDS)}, w))")
 
 
 TFIDF_SQL = f"""tok AS (SELECT id, 1 AS q, 0 AS r, {tokens_sql('query')} AS t FROM eval_log
@@ -54,8 +54,7 @@ TFIDF_SQL = f"""tok AS (SELECT id, 1 AS q, 0 AS r, {tokens_sql('query')} AS t FR
     term AS (SELECT id, q, r, unnest(t) AS term FROM tok UNION ALL
         SELECT id, q, r, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) FROM tok WHERE len(t) > 1),
     cnt AS (SELECT id, term, sum(q) AS q, sum(r) AS r FROM term GROUP BY 1, 2),
-    kept AS (SELECT *, CASE WHEN q > 0 AND r > 0 THEN 1.0 ELSE {scoring.UNSHARED_IDF!r} END AS idf FROM cnt
-        QUALIFY row_number() OVER (PARTITION BY id ORDER BY q + r DESC, term) <= 1000),
+    kept AS (SELECT *, CASE WHEN q > 0 AND r > 0 THEN 1.0 ELSE {scoring.UNSHARED_IDF!r} END AS idf FROM cnt),
     sums AS (SELECT id, sum(q * r) AS dot, sum(pow(q * idf, 2)) AS qq, sum(pow(r * idf, 2)) AS rr FROM kept GROUP BY 1),
     rel AS (SELECT e.id, CASE WHEN qq > 0 AND rr > 0 THEN dot / sqrt(qq * rr) ELSE 0.0 END AS relevance
         FROM eval_log e LEFT JOIN sums s ON e.id = s.id)"""
@@ -84,7 +83,7 @@ def fact_f1(spark, d):
 
 @query("document_facts", f"SELECT doc_id, len({facts_sql('text')}) AS n_facts FROM documents", n_facts="INTEGER")
 def document_facts(spark, d):
-    return texts(spark, d, "documents", "doc_id").select("doc_id", F.size(text.facts("text")).alias("n_facts"))
+    return table(spark, d, "documents").select("doc_id", F.size(text.facts("text")).alias("n_facts"))
 
 
 ASKED = f"list_distinct(list_filter({words_sql('lower(query)')}, lambda w: NOT list_contains({sql_list(text.STOP_WORDS)}, w)))"
@@ -151,7 +150,7 @@ def keyword_case_sql() -> str:
 def keyword_relevance(spark, d):
     k = F.col("doc_id") % 4
     domain = F.when(k == 0, "retail").when(k == 1, "finance").when(k == 2, "healthcare").otherwise("other")
-    docs = texts(spark, d, "documents", "doc_id").withColumn("domain", domain)
+    docs = table(spark, d, "documents").withColumn("domain", domain)
     return docs.select("doc_id", "domain", F.round(text.keyword_relevance("text", "domain"), 8).alias("relevance"))
 
 
@@ -169,7 +168,7 @@ def token_overlap(spark, d):
 @query("length_coherence", f"""WITH w AS (SELECT doc_id, len({words_sql('text')}) AS n FROM documents)
     SELECT doc_id, CASE WHEN n < 10 THEN 0.5 WHEN n > 200 THEN 0.5 ELSE 1.0 END AS score FROM w""", score="DOUBLE")
 def length_coherence(spark, d):
-    return texts(spark, d, "documents", "doc_id").select("doc_id", text.length_coherence("text").alias("score"))
+    return table(spark, d, "documents").select("doc_id", text.length_coherence("text").alias("score"))
 
 
 @query("shape_features", f"""WITH w AS (SELECT doc_id, len({words_sql('text')}) AS word_count,
@@ -181,20 +180,20 @@ def length_coherence(spark, d):
 def shape_features(spark, d):
     parts = text.shape("text")
     parts["structure_score"] = F.round(parts["structure_score"], 8)
-    return texts(spark, d, "documents", "doc_id").select("doc_id", *[c.alias(n) for n, c in parts.items()])
+    return table(spark, d, "documents").select("doc_id", *[c.alias(n) for n, c in parts.items()])
 
 
 @query("context_quality", f"""WITH w AS (SELECT doc_id, length(text) AS n, {words_sql('text')} AS w FROM documents)
     SELECT doc_id, round(CASE WHEN n = 0 THEN 0.0 ELSE (least(n / 1000, 1.0) +
     CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END) / 2 END, 8) AS quality FROM w""")
 def context_quality(spark, d):
-    return texts(spark, d, "documents", "doc_id").select("doc_id", F.round(text.context_quality("text"), 8).alias("quality"))
+    return table(spark, d, "documents").select("doc_id", F.round(text.context_quality("text"), 8).alias("quality"))
 
 
 @query("previews", """SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS preview,
     length(text) AS full_length FROM documents""", full_length="INTEGER")
 def previews(spark, d):
-    return texts(spark, d, "documents", "doc_id").select(
+    return table(spark, d, "documents").select(
         "doc_id", text.preview("text", 200).alias("preview"), F.length("text").alias("full_length"))
 
 

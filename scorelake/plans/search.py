@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from scorelake.functions import text as X
 from scorelake.operators import chunking as C
 from scorelake.operators import retrieval as R
-from scorelake.operators.windows import trailing_count, within_budget
+from scorelake.operators.windows import leading_within, trailing_count
 from scorelake.plans.registry import query
-from scorelake.plans.scoring import SPACES_SQL, words_sql
+from scorelake.plans.scoring import SPACES_SQL, quoted, words_sql
 from scorelake.plans.statistics import rounded
-from scorelake.plans.views import table, texts
+from scorelake.plans.views import table
 from scorelake.session import saved
 
 SIZE, OVERLAP, BLOCK_ROWS = 300, 50, 150
@@ -25,7 +26,7 @@ CHUNK_SQL = f"""w AS (SELECT doc_id, source, text, {words_sql('text')} AS w FROM
 
 
 def chunks(spark, d):
-    return C.chunk_text(texts(spark, d, "documents", "doc_id"), "text", "doc_id", SIZE, OVERLAP, "source")
+    return C.chunk_text(table(spark, d, "documents"), "text", "doc_id", SIZE, OVERLAP, "source")
 
 
 @query("chunk_text", f"WITH {CHUNK_SQL} SELECT * FROM chunks")
@@ -108,10 +109,10 @@ K = 8
 
 def label_queries(spark, d):
     """One query vector per label: the mean of the label's vectors."""
-    parts = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
-    means = parts.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return means.groupBy("label").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("embedding"))
+    known = table(spark, d, "embeddings").where("embedding IS NOT NULL")
+    vectors = known.select("label", array_to_vector(F.col("embedding").cast("array<double>")).alias("v"))
+    means = vectors.groupBy("label").agg(Summarizer.mean(F.col("v")).alias("m"))
+    return saved(means.select("label", vector_to_array("m").alias("embedding")), "label-vectors")
 
 
 def corpus(spark, d):
@@ -187,12 +188,12 @@ def threshold_matches(spark, d):
 
 
 @query("context_budget", """WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY n_chars, doc_id) AS rank FROM documents
-    QUALIFY rank <= 20), c AS (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY rank) AS used FROM r)
+    ), c AS (SELECT *, sum(n_chars) OVER (PARTITION BY source ORDER BY rank) AS used FROM r)
     SELECT source, doc_id, rank FROM c WHERE used <= 2000""", rank="INTEGER")
 def context_budget(spark, d):
-    order = Window.partitionBy("source").orderBy("n_chars", "doc_id")
-    ranked = table(spark, d, "documents").withColumn("rank", F.row_number().over(order)).where("rank <= 20")
-    return within_budget(ranked, ["source"], "rank", F.col("n_chars"), 2000).select("source", "doc_id", "rank")
+    docs = table(spark, d, "documents").select("source", "doc_id", "n_chars")
+    kept = leading_within(docs, "source", "n_chars", ["doc_id"], "n_chars", 2000)
+    return kept.select("source", "doc_id", F.col("rank").cast("int").alias("rank"))
 
 
 @query("format_contexts", f"""WITH {TOPK_SQL}, p AS (SELECT label, rank, '[Document ' || rank || '] (Similarity: ' ||
@@ -224,21 +225,28 @@ def prompt_contexts(spark, d):
     return R.prompt_contexts(asked, found, summaries, "query_id", "query_text", "question_id", "chunk_id", K)
 
 
-@query("truth_contexts", """WITH t AS (SELECT doc_id, lang AS domain, substr(text, 1, 60) AS question, 'point ' || n_chars AS p, n_chars % 4 + 1 AS n FROM documents),
+@query("truth_contexts", f"""WITH t AS (SELECT doc_id, lang AS domain, text AS question, 'point ' || n_chars AS p, n_chars % 4 + 1 AS n FROM documents),
     x AS (SELECT *, list_transform(range(n), lambda i: p || '-' || i) AS points FROM t),
     c AS (SELECT doc_id, n, 'Complete dataset analysis for ' || domain || ' domain:' || chr(10) || 'Data source: Unknown' || chr(10) ||
     'Analysis type: Unknown' || chr(10) || 'Key insights: ' || array_to_string(points, ', ') || chr(10) || 'Factual claims: ' || question || chr(10) ||
-    'Dataset coverage: 100.0% (Full access)' AS full_context FROM x)
-    SELECT doc_id, full_context, length(full_context) AS full_length, CAST(n AS INT) AS key_points_count, 1 AS factual_claims_count FROM c""", full_length="INTEGER")
+    'Dataset coverage: 100.0% (Full access)' AS full_context,
+    'Business Analysis Task for ' || domain || ' domain:' || chr(10) || 'Question: ' || question || chr(10) || chr(10) ||
+    'Available Dataset Information (40% coverage):' || chr(10) || 'Data source: Unknown (Partial access)' || chr(10) || 'Analysis type: Unknown' || chr(10) ||
+    'Dataset coverage: 40.0% (Limited access)' || chr(10) || chr(10) || 'Ground Truth Reference (for guidance):' || chr(10) ||
+    'Key insights to consider: ' || array_to_string(points, ', ') || chr(10) || 'Factual claims to verify: ' || question || chr(10) ||
+    'Expected analysis depth: medium' || chr(10) || chr(10) || {quoted(R.LIMITED_INSTRUCTIONS.format("40%"))} || chr(10) ||
+    'Available dataset insights: ' || array_to_string(points[1:greatest(1, CAST(floor(n * 0.4) AS BIGINT))], ', ') AS limited_context FROM x)
+    SELECT doc_id, full_context, length(full_context) AS full_length, limited_context, length(limited_context) AS limited_length,
+    CAST(n AS INT) AS key_points_count, 1 AS factual_claims_count FROM c""", full_length="INTEGER", limited_length="INTEGER")
 def truth_contexts(spark, d):
     n = (F.col("n_chars") % 4 + 1).cast("int")
     points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.concat(F.lit("point "), "n_chars", F.lit("-"), i))
-    truth = texts(spark, d, "documents", "doc_id").select(
-        "doc_id", F.col("lang").alias("domain"), F.substring("text", 1, 60).alias("question"), points.alias("key_points"),
-        F.array(F.substring("text", 1, 60)).alias("factual_claims"), F.lit("medium").alias("expected_length"),
+    truth = table(spark, d, "documents").select(
+        "doc_id", F.col("lang").alias("domain"), F.col("text").alias("question"), points.alias("key_points"),
+        F.array("text").alias("factual_claims"), F.lit("medium").alias("expected_length"),
         F.create_map().cast("map<string,string>").alias("metadata"))
     return R.truth_contexts(truth).select(
-        "doc_id", "full_context", "full_length", "key_points_count", "factual_claims_count")
+        "doc_id", "full_context", "full_length", "limited_context", "limited_length", "key_points_count", "factual_claims_count")
 
 
 @query("trailing_count", """SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts
@@ -250,6 +258,6 @@ def trailing_counts(spark, d):
 
 @query("hashed_embedding")
 def hashed_embedding(spark, d):
-    out = R.hashed_embedding(texts(spark, d, "documents", "doc_id").select("doc_id", "text"), "text")
+    out = R.hashed_embedding(table(spark, d, "documents").select("doc_id", "text"), "text")
     nonzero = F.size(F.filter("embedding", lambda x: x != 0))
     return out.select("doc_id", F.round(R.l2_norm("embedding"), 6).alias("norm"), nonzero.alias("nonzero"))

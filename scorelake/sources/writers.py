@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from scorelake.functions.text import strip
 from scorelake.operators.blinding import chosen_item
-from scorelake.operators.feedback import flatten_map, is_feedback, map_keys_of
+from scorelake.operators.feedback import flatten_map, is_feedback
 from scorelake.operators.privacy import strip_markup
 
 
@@ -33,12 +33,12 @@ def append_rows(rows: DataFrame, path: str, *partitions: str) -> None:
     (writer.partitionBy(*partitions) if partitions else writer).parquet(path)
 
 
-def export_feedback(log: DataFrame, path: str) -> str:
-    """Feedback rows as CSV with one column per rating; nothing is written without rows."""
+def export_feedback(log: DataFrame, path: str, ratings: Sequence[str]) -> str:
+    """Feedback rows as CSV with one column per given rating; nothing is written without rows."""
     given = log.where(is_feedback())
     if given.isEmpty():
         return ""
-    flat = flatten_map(given, "ratings", map_keys_of(given, "ratings"))
+    flat = flatten_map(given, "ratings", ratings)
     nested = [f.name for f in flat.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
     flat.withColumns({c: F.to_json(c) for c in nested}).write.mode("overwrite").option("header", True).csv(path)
     return path

@@ -56,7 +56,8 @@ def test_feedback(spark):
     got = {r.session_id: r for r in P.session_stats(log).collect()}
     assert got["s1"].mean_rating == 3.0 and got["s1"].started and not got["s1"].completed
     assert got["s2"].mean_rating == 0.0 and got["s2"].completed
-    assert P.flatten_map(log, "ratings", P.map_keys_of(log, "ratings")).columns[-2:] == ["a", "b"]
+    assert P.flatten_map(log, "ratings", ["a", "b"]).columns[-2:] == ["a", "b"]
+    assert P.map_entries(log.select("ratings"), "ratings").count() == 3
 
 
 def test_joins(spark):

@@ -72,10 +72,10 @@ def test_feedback_export(spark, tmp_path):
     log = spark.createDataFrame(
         [("s", "industry_feedback", "retail", {"quality": 4}, ["x"]), ("s", "session_event", None, {}, [])],
         "session_id string, record_type string, industry string, ratings map<string,int>, response_order array<string>")
-    path = W.export_feedback(log, str(tmp_path / "csv"))
+    path = W.export_feedback(log, str(tmp_path / "csv"), ["quality"])
     rows = R.read_csv(spark, path).collect()
     assert len(rows) == 1 and rows[0].quality == 4
-    assert W.export_feedback(log.where("session_id = 'none'"), str(tmp_path / "none")) == ""
+    assert W.export_feedback(log.where("session_id = 'none'"), str(tmp_path / "none"), ["quality"]) == ""
 
 
 def test_evaluation_round_trip(spark, tmp_path):
@@ -133,7 +133,6 @@ def test_report(spark, tmp_path):
 
 
 def test_catalogue_and_names(spark):
-    assert text.metric_catalogue(spark).count() == 7
     assert spark.range(1).select(text.display_name(F.lit("overall_score"))).first()[0] == "Overall Score"
     truth = spark.createDataFrame([("retail", "q1", "a", {"k": "v"})], "domain string, question_id string, answer string, details map<string,string>")
     assert json.loads(W.truth_document(truth).first().document) == {"answer": "a", "details": {"k": "v"}}
