@@ -101,12 +101,18 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
     return best[m][0], best[m][1], best.index(best[m])
 
 
+def _band(size: int) -> int:
+    """Short templates drift less, so that neighbouring copies stay apart."""
+    return min(BAND, size // 2)
+
+
 def _stretches(index: Index, words: Words, of: int) -> Iterator[tuple[int, int, int]]:
     """(template, first word, end) of the gathered hits of text ``of``, with a band of words around."""
     first, last = int(words.first[of]), int(words.first[of + 1])
     for template, place, near in words.hits.get(of, ()):
         size = len(index.words[template])
-        yield template, max(first, near - place - BAND), min(last, near - place + size + BAND)
+        drift = _band(size)
+        yield template, max(first, near - place - drift), min(last, near - place + size + drift)
 
 
 def scan(index: Index, texts: list[bytes], powers) -> list[list[tuple]]:
@@ -121,14 +127,14 @@ def scan(index: Index, texts: list[bytes], powers) -> list[list[tuple]]:
         for e in range(int(low[k]), int(high[k])):
             template, place = int(index.template[e]), int(index.place[e])
             # hits of one template on neighbouring diagonals are one candidate
-            words.hits[of].setdefault((template, (int(at[k]) - place) // (BAND // 2)), (template, place, int(at[k])))
+            words.hits[of].setdefault((template, (int(at[k]) - place) // max(1, _band(len(index.words[template])) // 2)), (template, place, int(at[k])))
     out: list[list[tuple]] = []
     for of in range(len(texts)):
         found = []
         if of in words.hits:
             words.hits[of] = list(words.hits[of].values())
             for template, a, b in _stretches(index, words, of):
-                matched, s, e = align(index.words[template], words.hash[a:b], BAND)
+                matched, s, e = align(index.words[template], words.hash[a:b], _band(len(index.words[template])))
                 coverage = matched / len(index.words[template])
                 if coverage >= COVERAGE:
                     found.append((matched, coverage, -(a + s), -(a + e), -template))

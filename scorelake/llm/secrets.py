@@ -43,7 +43,7 @@ _IDENTIFIER = re.compile(
     "|(?:sha|md)[0-9]+[-_=].*"  # named digest
     "|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9:]*Z?"  # time stamp
     "|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})")  # bank account number
-_ADDRESS = re.compile(r"\S*(?:@|://)\S*$")
+_ADDRESS = re.compile(r"(?:@|://)\S*$")
 
 
 @cache
@@ -75,7 +75,7 @@ def random_spans(text: str, known: list[tuple[int, int, int]], vocabulary: str =
         word = m.group()
         if not _MIXED.match(word) or _DIGEST.fullmatch(word) or _IDENTIFIER.fullmatch(word):
             continue
-        if any(s < m.end() and m.start() < e for s, e in taken) or _ADDRESS.match(text[max(0, m.start() - 200):m.start()].rpartition(" ")[2]):
+        if any(s < m.end() and m.start() < e for s, e in taken) or _ADDRESS.search(text, max(0, m.start() - 200), m.end()):
             continue
         if efficiency(word, vocabulary) < below:
             found.append((m.start(), 3, m.end()))

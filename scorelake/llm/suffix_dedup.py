@@ -198,7 +198,7 @@ def _common(a: bytes, b: bytes) -> int:
 def intervals(common: list[int]) -> Iterator[tuple[int, int, int]]:
     """(length, first, last) of the common-prefix interval tree; ``common[i]``: of the suffixes i and i + 1.
 
-    Children come before their parents; leaves are left out.
+    Children come before their parents; leaves and the root are left out.
     """
     stack: list[tuple[int, int]] = [(0, 0)]
     for i, here in enumerate([*common, 0]):

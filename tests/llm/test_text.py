@@ -1,0 +1,210 @@
+"""HTML, secrets, licenses, contamination and toxicity."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from scorelake.llm import decontaminate, html_blocks, licenses, queries, secrets, toxicity
+from scorelake.llm.decontaminate import CHUNK, _powers
+
+SMALL, LARGER = "/root/testdata/sf0.001", "/root/testdata/sf0.1"
+P = "<p>" + "Lorem ipsum dolor sit amet. " * 8 + "</p>"
+L = ("Lorem ipsum dolor sit amet. " * 8).strip()
+
+
+@pytest.mark.parametrize("html, text", [
+    (None, ""), ("", ""), ("just text", "just text"),
+    (f"<nav><a href=x>Home</a></nav><article><h1>T &amp; x</h1>{P}<p>a\n b&nbsp;c</p></article><footer>(c)</footer>", f"T & x {L} a b c"),
+    (f'<body class="has-sidebar"><div class="menu"><a>Home</a></div><div><h1>T</h1>{P}<p>ok</p></div><div class="comments"><p>{"bla " * 90}</p></div>', f"T {L} ok"),
+    (f'<nav>left open<article>{P}<aside>no</aside><div class="ad">Buy</div><p>x</p><section class="comments"><article>{P}</article></section></article>', f"{L} x"),
+    (f"<script>var t='<p>no</p>';</script><style>p{{}}</style><!-- no --><form>no</form><main>{P}<br>y</main>", f"{L} y"),
+])
+def test_main_text(html, text):
+    assert html_blocks.main_text(html) == text
+
+
+def test_pages(spark):
+    rows = [(1, "u", f"<article>{P}</article>", 5), (None, None, None, 6), (2, "v", "<p>" + "w " * 100_000 + "</p>", 7)]
+    got = {r.page_id: (r.text, r.n_chars) for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
+    assert got == {1: (L, len(L)), None: ("", 0), 2: (("w " * 100_000).strip(), 199_999)}
+    pages = spark.read.parquet(f"{SMALL}/pages.parquet")
+    assert queries.QUERIES["op2_html_blocks"](spark, SMALL).where("n_chars > 0").count() == pages.count()
+
+
+def base(text):
+    name = "(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])"
+    kinds = [
+        [m for m in re.finditer(name + "[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[1]) >= 6],
+        [m for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 20], [m for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 24]]
+    spans = sorted((m.start(), k, m.end()) for k, found in enumerate(kinds) for m in found)
+    return [len(x) for x in kinds], hashlib.sha256(",".join(f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
+def test_secrets(spark):
+    rnd, texts = random.Random(4), [None, "", "é" * 100_000 + " token: abcdefgh"]
+    parts = ["Password", "token", "API_KEY", "apikey", "=", ":", " ", '"', "'", "abcdef", "AKIA", "0123456789ABCDEFX", "0af9" * 7, "é𝒳", "\n", "secret"]
+    texts += ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 30))) for _ in range(300)]
+    rows = [(i, t, "x") for i, t in enumerate(texts)]
+    got = {r.doc_id: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, spans string")).collect()}
+    for i, t in enumerate(texts):
+        counts, digest = base(t or "")
+        assert [got[i].n_assign, got[i].n_access, got[i].n_hex] == counts and got[i].base_sha256 == digest
+    assert secrets.secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_token_efficiency():
+    def found(text):
+        return [text[s:e] for s, _, e in secrets.random_spans(text, secrets.base_spans(text))]
+
+    assert found("key zQ8xV2pL9mK4wR7tY1uB6nC3 end") == ["zQ8xV2pL9mK4wR7tY1uB6nC3"]
+    digest = hashlib.md5(b"x").hexdigest().upper()
+    assert found(f"commit {digest} id 123e4567-e89b-12d3-a456-426614174000 http://h/zQ8xV2pL9mK4wR7tY1uB6nC3 internationalization2024version") == []
+    assert secrets.efficiency("internationalization") > secrets.EFFICIENCY > secrets.efficiency("zQ8xV2pL9mK4wR7tY1uB")
+
+
+def test_licenses(spark):
+    mit = licenses.TEMPLATES["MIT"]
+    changed = mit.replace("free of charge", "at no charge whatsoever").replace("merge, ", "")
+    rows = [(1, f"é foo. {changed} baz", "n"), (2, "Released under the MIT License. x Released under the MIT license", "n"), (3, "no license at all", "n"), (4, None, "n"), (5, "", "n"),
+            (6, "word " * 100_000 + licenses.TEMPLATES["CC-BY-NC-4.0-line"], "n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, license string")
+    got = sorted((r.doc_id, r.license, r.start, r.end, r.coverage > 0.9) for r in licenses.licenses(docs).collect())
+    assert [(g[0], g[1]) for g in got] == [(1, "MIT"), (2, "MIT-line"), (2, "MIT-line"), (6, "CC-BY-NC-4.0-line")] and all(g[4] for g in got)
+    assert rows[0][1][got[0][2]:got[0][3]] == changed.rstrip(".") and rows[1][1][got[1][2]:got[1][3]] == "Released under the MIT License"
+    assert licenses.licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_licenses_against_plain_search(spark):
+    lines = {n: t.rstrip(".").lower() for n, t in licenses.TEMPLATES.items() if n.endswith("line")}
+    docs = spark.read.parquet(f"{LARGER}/documents.parquet")
+    expected = {(r.doc_id, n) for r in docs.collect() for n, t in lines.items() if t in r.text.lower()}
+    assert {(r.doc_id, r.license) for r in queries.QUERIES["op6_licenses"](spark, LARGER).collect()} == expected and len(expected) > 100
+
+
+def test_alignment():
+    def words(text):
+        return np.array([hash(w) for w in text.split()])
+
+    assert licenses.align(words("a b c d"), words("x a b z c d y"), 8) == (4, 1, 6)
+    assert licenses.align(words("a b c d"), words("a b a b c d"), 8) == (4, 2, 6)
+    assert licenses.align(words("a b"), words("x y"), 8)[0] == 0
+
+
+def contaminated(docs, items):
+    def words(text):
+        return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+    windows = {}
+    for item, text in items:
+        found = words(text)
+        n = min(13, len(found))
+        for k in range(len(found) - n + 1 if n else 0):
+            windows.setdefault(tuple(found[k:k + n]), set()).add(item)
+    out = []
+    for doc, text in docs:
+        found, hit, own = words(text), set(), set()
+        for n in {len(w) for w in windows}:
+            for k in range(len(found) - n + 1):
+                if (w := windows.get(tuple(found[k:k + n]))):
+                    hit.update(range(k, k + n))
+                    own |= w
+        digest = hashlib.sha256(",".join(sorted(map(str, own))).encode()).hexdigest()
+        out.append((doc, len(found), len(hit), len(own), digest, bool(hit) and 20 * len(hit) >= len(found)))
+    return sorted(out, key=repr)
+
+
+def test_contamination_with_short_items(spark):
+    rnd = random.Random(1)
+
+    def text(n):
+        return " ".join(rnd.choice(["a", "b", "É", "c1", "Dd"]) for _ in range(n))
+
+    docs = [(i, text(rnd.randint(0, 60))) for i in range(120)] + [(200, None), (201, ""), (5, text(40)), (202, "q " * 300_000 + text(13))]
+    items = [(i, text(n)) for i, n in enumerate([3, 4, 5, 6, 7, 9, 12, 13, 14, 20, 30, 0])] + [(99, None), (3, text(9))]
+    d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id long, text string, n_words int").repartition(3)
+    b = spark.createDataFrame([(*x, "h") for x in items], "item_id long, text string, hits string")
+    got = sorted((tuple(r)[:6] for r in decontaminate.contamination(d, b).collect()), key=repr)
+    expected = contaminated(docs, items)
+    assert got == expected and sum(x[5] for x in expected) > 10
+    clean = decontaminate.drop_contaminated(d, b)
+    assert clean.columns == d.columns
+    assert sorted(r.doc_id for r in clean.collect()) == sorted(x[0] for x in expected if not x[5])
+    nothing = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contamination(d, nothing).where("n_hit > 0 OR contaminated").count() == 0
+    assert decontaminate.contamination(spark.createDataFrame([], "doc_id long, text string"), b).count() == 0
+
+
+def test_contamination_of_documents(spark):
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    got = sorted((tuple(r)[:6] for r in queries.QUERIES["op4_decontaminate"](spark, SMALL).collect()), key=repr)
+    assert got == contaminated([(r.doc_id, r.text) for r in docs], [(r.item_id, r.text) for r in items])
+
+
+def test_winnowing_keeps_a_gram_of_every_window():
+    rng = np.random.default_rng(2)
+    h, valid = rng.integers(0, 50, 400).astype(np.uint64), np.ones(400, bool)
+    at = decontaminate.winnowed(h, valid, 9)
+    assert all(((at >= k) & (at < k + 9)).any() for k in range(400 - 8)) and len(at) < 200
+    words = decontaminate.Words(["Éa 1b?C".encode(), b"", b"c"], _powers(CHUNK))
+    assert [words.words(i, i + 1)[0] for i in range(4)] == ["Éa", "1b", "c", "c"] and words.text.tolist() == [0, 0, 0, 2] and words.hash[2] == words.hash[3]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_levenshtein_automaton():
+    rnd = random.Random(2)
+    terms = {"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 12))): rnd.uniform(4.5, 7) for _ in range(toxicity.CLOSE_TERMS)}
+    trie = toxicity.Trie(terms)
+    for _ in range(1500):
+        word = list(rnd.choice(list(terms)))
+        for _ in range(rnd.randint(0, 3)):
+            i = rnd.randrange(len(word) + 1)
+            word[i:i + rnd.randint(0, 1)] = rnd.choice([[], ["d"], ["a"]])
+        word = "".join(word)
+        near = [w for t, w in terms.items() if len(t) >= 5 and 0 < edits(word, t) <= (1 if len(t) < 10 else 2)]
+        if word not in terms:
+            assert trie.loose.close(word) == max(near, default=0)
+    stems = toxicity.Trie({"run*": 2.0, "running": 5.0})
+    assert (stems.exact("run"), stems.exact("runs"), stems.exact("running"), stems.exact("ru")) == (0, 2, 5, 0)
+
+
+def test_quotation_is_apart():
+    scorer = toxicity.Scorer({"idiot": 6.0})
+    said, cited = scorer.features("you idiot here"), scorer.features('the word "idiot" here')
+    assert said[0] > 0 and said[6] == 0 and cited[0] == 0 and cited[6] > 0
+    assert scorer.features("you id1ot here")[1] == 6.0 and scorer.features("you idoit idiott")[7] == 6.0
+
+
+def test_toxicity_accuracy(spark):
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    got = toxicity.toxicity(spark.read.parquet(f"{LARGER}/documents.parquet"), labels).join(labels, "doc_id").toPandas()
+    assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) for h, i in zip(got.held_out, got.doc_id))
+    held = got[got.held_out]
+    assert held.score.between(0, 1).all()
+    assert (held.predicted[held.toxic == 1]).mean() > 0.85 and (held.predicted[held.toxic == 0]).mean() < 0.01
+
+
+def test_toxicity_edges(spark):
+    rows = [(i, ("you total moron " if i % 3 == 0 else "a fine day ") + f"w{i % 5}", 1) for i in range(90)]
+    rows += [(200, None, 1), (201, "", 1), (202, "word " * 100_000, 1), (None, "you moron", 1), (0, rows[0][1], 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(3, None), (None, 1)], "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.predicted for r in got if r.doc_id == 1 or r.doc_id == 3} == {1: 0, 3: 1}
+    assert all(r.score is not None and 0 <= r.score <= 1 for r in got)
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and not {r.doc_id for r in kept.collect()} & {0, 3, 6}
+    assert toxicity.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
+    assert toxicity.toxicity(docs.limit(0), labels).count() == 0
