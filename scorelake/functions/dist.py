@@ -1,159 +1,133 @@
-"""Tail probabilities of t, F and normal, vectorised; used on aggregated rows only."""
+"""Tail probabilities of t, F, normal and studentised range as column expressions.
+
+Each is a ratio of two integrals of an unnormalised density, taken by Simpson's rule over a
+``sequence``, so no constants from gamma functions are needed.  The variable is stretched so that
+heavy and thin tails both fit the same number of steps; results are good to about eight digits.
+Meant for aggregated rows: one value costs some hundred steps.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
-_erf = np.vectorize(math.erf, otypes=[float])
-_TINY = 1e-300
-
-
-def _fraction(a, b, x, steps=300, tol=1e-15):
-    """Continued fraction of the incomplete beta function (modified Lentz)."""
-    c = np.ones_like(x)
-    d = 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
-    h = d.copy()
-    for m in range(1, steps):
-        for numerator in (
-            m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
-            -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1)),
-        ):
-            d = 1.0 + numerator * d
-            d = 1.0 / np.where(np.abs(d) < _TINY, _TINY, d)
-            c = 1.0 + numerator / c
-            c = np.where(np.abs(c) < _TINY, _TINY, c)
-            step = c * d
-            h = h * step
-        if np.all(np.abs(step - 1.0) < tol):
-            break
-    return h
-
-
-def betainc(a, b, x):
-    a, b, x = np.broadcast_arrays(*[np.asarray(v, dtype=float) for v in (a, b, x)])
-    inside = np.clip(x, 1e-308, 1 - 1e-16)
-    front = np.exp(
-        _lgamma(a + b) - _lgamma(a) - _lgamma(b) + a * np.log(inside) + b * np.log1p(-inside)
-    )
-    direct = inside < (a + 1.0) / (a + b + 2.0)
-    aa, bb = np.where(direct, a, b), np.where(direct, b, a)
-    xx = np.where(direct, inside, 1.0 - inside)
-    part = front * _fraction(aa, bb, xx) / aa
-    out = np.where(direct, part, 1.0 - part)
-    return np.where(x <= 0, 0.0, np.where(x >= 1, 1.0, out))
 
+STEPS = 1000
+RANGE_STEPS = 60
+ROUNDS = 25
 
-def t_two_sided(t, df):
-    t, df = np.asarray(t, dtype=float), np.asarray(df, dtype=float)
-    return betainc(df / 2.0, 0.5, df / (df + t * t))
+# --- fixed values: a published rational fit of the complementary error function, error below 1.2e-7 ---
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
 
 
-def t_cdf(t, df):
-    half = 0.5 * t_two_sided(t, df)
-    return np.where(np.asarray(t) > 0, 1.0 - half, half)
+def col(x: Column | str) -> Column:
+    return F.col(x).cast("double") if isinstance(x, str) else x.cast("double")
 
 
-def f_sf(f, d1, d2):
-    f, d1, d2 = (np.asarray(v, dtype=float) for v in (f, d1, d2))
-    return betainc(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+def integral(low: Column, high: Column, f: Callable[[Column], Column], steps: int = STEPS) -> Column:
+    """Simpson's rule; ``steps`` is even."""
+    width = (high - low) / steps
 
+    def term(total: Column, i: Column) -> Column:
+        weight = F.when((i == 0) | (i == steps), 1.0).otherwise(2.0 + 2.0 * (i % 2))
+        return total + weight * f(low + width * i)
 
-def norm_cdf(z):
-    return 0.5 * (1.0 + _erf(np.asarray(z, dtype=float) / math.sqrt(2.0)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(steps)), F.lit(0.0), term) * width / 3
 
 
-def _invert(cdf, p, low, high, rounds=200):
-    low, high = np.full_like(p, low), np.full_like(p, high)
-    for _ in range(rounds):
-        middle = 0.5 * (low + high)
-        under = cdf(middle) < p
-        low, high = np.where(under, middle, low), np.where(under, high, middle)
-    return 0.5 * (low + high)
+def _valid(value: Column, *freedom: Column) -> Column:
+    ok = value.isNotNull() & ~F.isnan(value)
+    for d in freedom:
+        ok = ok & (d > 0)
+    return ok
 
 
-def t_ppf(p, df):
-    p, df = np.broadcast_arrays(np.asarray(p, dtype=float), np.asarray(df, dtype=float))
-    return _invert(lambda x: t_cdf(x, df), p.copy(), -1e6, 1e6)
+def _t_density(df: Column) -> Callable[[Column], Column]:
+    """Of t = sinh(v), times dt / dv."""
+    return lambda v: F.exp(F.log(F.cosh(v)) - (df + 1) / 2 * F.log1p(F.pow(F.sinh(v), 2) / df))
 
 
-def norm_ppf(p):
-    return _invert(norm_cdf, np.atleast_1d(np.asarray(p, dtype=float)).copy(), -40.0, 40.0)
+def _t_end(df: Column) -> Column:
+    return 3.5 + 40 / df
 
 
-def _masked(fn, *columns: pd.Series, freedom: int = 0) -> pd.Series:
-    """Null where an input is missing or one of the last ``freedom`` inputs is not positive."""
-    values = [c.to_numpy(dtype="float64", na_value=np.nan) for c in columns]
-    usable = [np.isfinite(v) for v in values] + [v > 0 for v in values[len(values) - freedom :]]
-    ok = np.logical_and.reduce(usable)
-    out = np.full(len(ok), np.nan)
-    if ok.any():
-        out[ok] = fn(*[v[ok] for v in values])
-    return pd.Series(out).astype(object).where(ok, None)
+def p_two_sided(t: Column | str, df: Column | str) -> Column:
+    t, df = col(t), col(df)
+    start, f = F.asinh(F.abs(t)), _t_density(df)
+    tail = integral(start, F.greatest(_t_end(df), start), f)
+    return F.when(_valid(t, df), tail / integral(F.lit(0.0), _t_end(df), f))
 
 
-@F.pandas_udf(DoubleType())
-def p_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(t_two_sided, t, df, freedom=1)
+def p_less(t: Column | str, df: Column | str) -> Column:
+    t = col(t)
+    half = p_two_sided(t, df) / 2
+    return F.when(t > 0, 1 - half).otherwise(half)
 
 
-@F.pandas_udf(DoubleType())
-def p_less(t: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(t_cdf, t, df, freedom=1)
+def p_f(f: Column | str, d1: Column | str, d2: Column | str) -> Column:
+    """Upper tail; integrated over the logarithm of the ratio."""
+    f, d1, d2 = col(f), col(d1), col(d2)
+    end = 80 * (1 / d1 + 1 / d2) + 12 * F.sqrt(2 / d1 + 2 / d2)
 
+    def density(w: Column) -> Column:
+        return F.exp(w * d1 / 2 - (d1 + d2) / 2 * F.log((1 + d1 * F.exp(w) / d2) / (1 + d1 / d2)))
 
-@F.pandas_udf(DoubleType())
-def p_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
-    return _masked(f_sf, f, d1, d2, freedom=2)
+    start = F.least(F.greatest(F.log(f), -end), end)
+    part = integral(start, end, density) / integral(-end, end, density)
+    return F.when(_valid(f, d1, d2), F.when(f > 0, part).otherwise(1.0))
 
 
-@F.pandas_udf(DoubleType())
-def t_quantile(p: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(t_ppf, p, df, freedom=1)
+def normal_cdf(z: Column | str) -> Column:
+    z = col(z)
+    end = F.least(F.abs(z), F.lit(40.0))
+    half = integral(F.lit(0.0), end, lambda x: F.exp(-x * x / 2), 400) / math.sqrt(2 * math.pi)
+    return F.when(_valid(z), 0.5 + F.when(z < 0, -half).otherwise(half))
 
 
-@F.pandas_udf(DoubleType())
-def normal_cdf(z: pd.Series) -> pd.Series:
-    return _masked(norm_cdf, z)
+def normal_quantile(p: float) -> float:
+    return NormalDist().inv_cdf(p)
 
 
-@F.pandas_udf(DoubleType())
-def normal_quantile(p: pd.Series) -> pd.Series:
-    return _masked(norm_ppf, p)
+def t_quantile(p: float, df: Column | str) -> Column:
+    """By Newton's method from the normal quantile; from there it never oversteps."""
+    df = col(df)
+    whole = 2 * integral(F.lit(0.0), _t_end(df), _t_density(df))
 
+    def step(x: Column, _: Column) -> Column:
+        density = F.exp(-(df + 1) / 2 * F.log1p(x * x / df)) / whole
+        return x + (F.lit(p) - p_less(x, df)) / density
 
-_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
+    return F.when(df > 0, F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.lit(normal_quantile(p)), step))
 
 
-def studentized_range_sf(q, k, df):
-    """Tail of the studentised range by quadrature over the normal and the scale."""
+def _fast_normal_cdf(z: Column) -> Column:
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + 0.5 * x)
+    power = F.lit(ERFC[-1])
+    for c in reversed(ERFC[:-1]):
+        power = c + t * power
+    tail = t * F.exp(-x * x + power) / 2
+    return F.when(z >= 0, 1 - tail).otherwise(tail)
 
-    def one(q, k, df):
-        z = 8.0 * _NODES
-        density = 8.0 * _WEIGHTS * np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-        upper = norm_cdf(z)
 
-        def below(width):
-            return k * np.sum(density * (upper - norm_cdf(z - width)) ** (k - 1))
+def p_studentized_range(q: Column | str, k: Column | str, df: Column | str) -> Column:
+    """Upper tail by two nested integrals, over the normal and over the scale."""
+    q, k, df = col(q), col(k), col(df)
+    spread = 8 / F.sqrt(2 * df)
+    low, high = F.greatest(F.lit(1e-9), 1 - spread), 1 + spread
 
-        spread = min(0.999, 8.0 / math.sqrt(2 * df))
-        low, high = max(1e-9, 1 - spread), 1 + 8.0 / math.sqrt(2 * df)
-        s = 0.5 * (high - low) * _NODES + 0.5 * (high + low)
-        log_f = (
-            math.log(2) + df / 2 * math.log(df / 2) - math.lgamma(df / 2) + (df - 1) * np.log(s) - df * s * s / 2
-        )
-        weights = 0.5 * (high - low) * _WEIGHTS * np.exp(log_f)
-        return 1.0 - float(np.sum(weights * np.array([below(q * x) for x in s])) / np.sum(weights))
+    def scale(s: Column) -> Column:
+        return F.exp((df - 1) * F.log(s) - df * (s * s - 1) / 2)
 
-    return np.array([min(1.0, max(0.0, one(*row))) for row in zip(q, k, df)])
+    def below(width: Column) -> Column:
+        def density(z: Column) -> Column:
+            inside = F.greatest(_fast_normal_cdf(z) - _fast_normal_cdf(z - width), F.lit(0.0))
+            return F.exp(-z * z / 2) * F.pow(inside, k - 1)
 
+        return k * integral(F.lit(-8.0), F.lit(8.0), density, RANGE_STEPS) / math.sqrt(2 * math.pi)
 
-@F.pandas_udf(DoubleType())
-def p_studentized_range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
-    return _masked(studentized_range_sf, q, k, df, freedom=1)
+    part = integral(low, high, lambda s: scale(s) * below(q * s), RANGE_STEPS) / integral(low, high, scale, RANGE_STEPS)
+    return F.when(_valid(q, k, df), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - part)))

@@ -40,7 +40,7 @@ def describe(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def with_interval(m: DataFrame, level: float = 0.95) -> DataFrame:
     """t interval of the mean; a single observation gives (x, x)."""
-    margin = dist.t_quantile(F.lit(1 - (1 - level) / 2), (F.col("n") - 1).cast("double")) * F.sqrt(
+    margin = dist.t_quantile(1 - (1 - level) / 2, (F.col("n") - 1).cast("double")) * F.sqrt(
         F.col("var") / F.col("n")
     )
     wide = F.when(F.col("n") > 1, margin).otherwise(0.0)
@@ -210,7 +210,7 @@ def effect_label(d: Column) -> Column:
 
 def power(n: Column, d: Column, alpha: float = 0.05) -> Column:
     """Normal-approximation power of a two-sided two-sample test with n per group."""
-    critical = dist.normal_quantile(F.lit(1 - alpha / 2))
+    critical = dist.normal_quantile(1 - alpha / 2)
     return dist.normal_cdf(F.abs(d) * F.sqrt(n / 2) - critical)
 
 

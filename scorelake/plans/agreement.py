@@ -9,9 +9,10 @@ from scorelake.operators import agreement as A
 from scorelake.operators import quality as Q
 from scorelake.operators import stats as S
 from scorelake.operators.evallog import best_and_worst
+from scorelake.plans import tails
 from scorelake.plans.registry import query
 from scorelake.plans.scoring import words_sql
-from scorelake.plans.statistics import rounded, score_moments
+from scorelake.plans.statistics import MOMENTS_SQL, rounded, score_moments
 from scorelake.plans.views import EVAL_SQL, eval_log, scores, table
 from scorelake.sources.writers import report_lines
 
@@ -69,7 +70,11 @@ def bootstrap_intervals(spark, d):
     return rounded(S.bootstrap_intervals(scores(spark, d), "provider", "score"), 6, "mean", "ci_low", "ci_high")
 
 
-@query("tukey_pairs")
+@query("tukey_pairs", f"""WITH {MOMENTS_SQL}, w AS (SELECT count(*) AS k, sum(n) - count(*) AS df, sum((n - 1) * var) / (sum(n) - count(*)) AS v FROM m),
+    x AS (SELECT a.grp AS a_grp, b.grp AS b_grp, a.mean - b.mean AS gap, abs(a.mean - b.mean) / sqrt(v / 2 * (1 / a.n + 1 / b.n)) AS q, k, df
+        FROM m a JOIN m b ON a.grp < b.grp, w)
+    SELECT a_grp, b_grp, round(gap, 6) AS difference, round(q, 6) AS q, CAST(k AS DOUBLE) AS k, CAST(df AS DOUBLE) AS df,
+    round({tails.p_studentized_range("q", "k", "df")}, 6) AS p_value FROM x""")
 def tukey_pairs(spark, d):
     return rounded(S.tukey_pairs(score_moments(spark, d)), 6, "difference", "q", "p_value")
 

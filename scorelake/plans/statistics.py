@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from scorelake.functions import dist
 from scorelake.operators import stats as S
+from scorelake.plans import tails
 from scorelake.plans.registry import query
 from scorelake.plans.views import SCORES_SQL, scores, table
 
@@ -137,14 +139,37 @@ def box_plot(spark, d):
                        F.col("max").alias("high"))
 
 
-@query("intervals")
+@query("intervals", f"""WITH {MOMENTS_SQL}, q AS (SELECT *, CASE WHEN n > 1 THEN {tails.t_quantile(0.975, "(n - 1)")} * sqrt(var / n) ELSE 0.0 END AS h FROM m)
+    SELECT grp AS provider, n, round(mean, 6) AS mean, round(mean - h, 6) AS ci_low, round(mean + h, 6) AS ci_high FROM q""")
 def intervals(spark, d):
     out = S.with_interval(score_moments(spark, d))
     return rounded(out.select(F.col("grp").alias("provider"), "n", "mean", "ci_low", "ci_high"), 6,
                    "mean", "ci_low", "ci_high")
 
 
-@query("p_values")
+def verdict_sql(start: str, found: str, none: str) -> str:
+    return f"{start} || CASE WHEN p < 0.05 THEN '{found}' ELSE '{none}' END || format('{{:.4f}}', p) || ')'"
+
+
+T_TEXT = verdict_sql("'T-test comparing ' || n1 || ' vs ' || n2 || ' samples'", " - Significant difference (p=", " - No significant difference (p=")
+A_TEXT = verdict_sql("'ANOVA comparing ' || k", " groups - Significant differences found (p=", " groups - No significant differences (p=")
+TESTED_SQL = f"""{PAIR_SQL}, tt AS (SELECT *, gap / sqrt(v * (1 / n1 + 1 / n2)) AS t, n1 + n2 - 2 AS df FROM p),
+    tp AS (SELECT *, {tails.p_two_sided("t", "df")} AS p FROM tt)"""
+ANOVA_P_SQL = f"""s AS (SELECT count(*) AS k, sum(n) AS total_n, sum(n * mean) / sum(n) AS gm, sum((n - 1) * var) AS ssw FROM m),
+    b AS (SELECT sum(n * pow(mean - gm, 2)) AS ssb FROM m, s),
+    av AS (SELECT k, ssb, ssw, (ssb / (k - 1)) / (ssw / (total_n - k)) AS f, (k - 1) AS d1, (total_n - k) AS d2 FROM s, b),
+    ap AS (SELECT *, {tails.p_f("f", "d1", "d2")} AS p FROM av)"""
+R_SQL = """ev AS (SELECT event_type AS provider, CAST(props->>'k' AS DOUBLE) AS k, value FROM events),
+    rk AS (SELECT *, rank() OVER (PARTITION BY provider ORDER BY k) + (count(*) OVER (PARTITION BY provider, k) - 1) / 2 AS r1,
+        rank() OVER (PARTITION BY provider ORDER BY value) + (count(*) OVER (PARTITION BY provider, value) - 1) / 2 AS r2 FROM ev),
+    rr AS (SELECT 'pearson' AS test, provider, corr(k, value) AS r, count(*) AS n FROM rk GROUP BY 2
+        UNION ALL SELECT 'spearman', provider, corr(r1, r2), count(*) FROM rk GROUP BY 2)"""
+
+
+@query("p_values", f"""WITH {TESTED_SQL}, {ANOVA_P_SQL}, {R_SQL}
+    SELECT 't_test' AS test, first || ' vs ' || second AS subject, round(t, 6) AS statistic, round(p, 6) AS p_value, {T_TEXT} AS description FROM tp
+    UNION ALL SELECT 'anova', 'all groups', round(f, 6), round(p, 6), {A_TEXT} FROM ap
+    UNION ALL SELECT test, provider, round(r, 6), round({tails.p_two_sided("r * sqrt((n - 2) / (1 - r * r))", "(n - 2)")}, 6), NULL FROM rr""")
 def p_values(spark, d):
     """p values of the pairwise t-tests, the one-way test and both correlations."""
     m = score_moments(spark, d)
@@ -167,9 +192,37 @@ def p_values(spark, d):
     return rounded(out, 6, "statistic", "p_value")
 
 
-@query("test_power")
+@query("one_sided_tests", f"""WITH {PAIR_SQL}, tt AS (SELECT *, gap / sqrt(v * (1 / n1 + 1 / n2)) AS t, n1 + n2 - 2 AS df FROM p),
+    x AS (SELECT first, second, {tails.p_less("t", "df")} AS less FROM tt)
+    SELECT first, second, round(less, 6) AS p_less, round(1 - less, 6) AS p_greater FROM x""")
+def one_sided_tests(spark, d):
+    """Both one-sided alternatives of every pair."""
+    p = S.pairs(score_moments(spark, d))
+    less, greater = (S.with_p(p, a).select("a_grp", "b_grp", F.round("p_value", 6).alias(f"p_{a}")) for a in ("less", "greater"))
+    return less.join(greater, ["a_grp", "b_grp"]).select(F.col("a_grp").alias("first"), F.col("b_grp").alias("second"), "p_less", "p_greater")
+
+
+@query("test_power", f"""WITH {PAIR_SQL}, best AS (SELECT grp FROM m ORDER BY mean DESC, grp LIMIT 1),
+    x AS (SELECT first, second, abs(gap / sqrt(v)) * sqrt(least(n1, n2) / 2) - {dist.normal_quantile(0.975)!r} AS z FROM p JOIN best ON first = best.grp)
+    SELECT first AS a_grp, second AS b_grp, round({tails.normal_cdf("z")}, 6) AS power FROM x""")
 def test_power(spark, d):
     """Power of each comparison with the best group, at the smaller group size."""
-    p = S.pairs(score_moments(spark, d))
+    m = score_moments(spark, d)
+    best = m.agg(F.min_by("grp", F.struct(-F.col("mean"), F.col("grp")))).scalar()
+    p = S.pairs(m).where(F.col("a_grp") == best)
     n = F.least("a_n", "b_n").cast("double")
     return p.select("a_grp", "b_grp", F.round(S.power(n, F.col("effect_size")), 6).alias("power"))
+
+
+@query("full_report", f"""WITH {TESTED_SQL}, {ANOVA_P_SQL},
+    q AS (SELECT *, {tails.t_quantile(0.975, "(n - 1)")} * sqrt(var / n) AS h FROM m),
+    r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, grp) AS rank, count(*) OVER () AS k FROM q),
+    long AS (SELECT 'ranking' AS section, grp AS subject, unnest(['n', 'mean', 'min', 'max', 'ci_low', 'ci_high', 'rank', 'percentile']) AS measure,
+        unnest([n, mean, min, max, mean - h, mean + h, rank, (k - rank + 1) / k * 100]::DOUBLE[]) AS value FROM r
+    UNION ALL SELECT 'anova', 'all groups', unnest(['statistic', 'p_value', 'effect_size']), unnest([f, p, ssb / (ssb + ssw)]::DOUBLE[]) FROM ap
+    UNION ALL SELECT 'pairs', first || ' vs ' || second, unnest(['statistic', 'p_value', 'effect_size']), unnest([t, p, gap / sqrt(v)]::DOUBLE[]) FROM tp
+    UNION ALL SELECT 'effects', first || '_vs_' || second, 'effect_size', gap / sqrt(v) FROM tp WHERE m1 = (SELECT max(mean) FROM m))
+    SELECT section, subject, measure, round(value, 5) AS value FROM long""")
+def full_report(spark, d):
+    """Ranking, one-way test, pairs and effect sizes of the score table."""
+    return rounded(S.full_report(scores(spark, d), "provider", "score"), 5, "value")

@@ -17,13 +17,16 @@ def scores(spark):
     return spark.createDataFrame([(p, s) for p, v in SCORES.items() for s in v], "provider string, score double")
 
 
-def test_published_points():
-    assert abs(float(dist.t_ppf(.975, 10)[()]) - 2.228139) < 1e-5
-    assert abs(float(dist.t_ppf(.975, 4)[()]) - 2.776445) < 1e-5
-    assert abs(float(dist.t_two_sided(2.0, 10)) - 0.0733880) < 1e-6
-    assert abs(float(dist.f_sf(3.885294, 2, 12)) - 0.05) < 1e-6
-    assert abs(float(dist.norm_ppf(.975)[0]) - 1.959964) < 1e-6
-    assert abs(float(dist.t_cdf(0.0, 5)) - .5) < 1e-12
+def test_published_points(spark):
+    ten, four = F.lit(10.0), F.lit(4.0)
+    got = spark.range(1).select(
+        dist.t_quantile(.975, ten), dist.t_quantile(.975, four), dist.t_quantile(.975, F.lit(1.0)), dist.p_two_sided(F.lit(2.0), ten),
+        dist.p_f(F.lit(3.885294), F.lit(2.0), F.lit(12.0)), dist.p_less(F.lit(0.0), F.lit(5.0)), dist.normal_cdf(F.lit(-1.959964)),
+        dist.p_two_sided(F.lit(1.96), F.lit(1e6)), dist.p_studentized_range(F.lit(3.77), F.lit(3.0), F.lit(12.0))).first()
+    assert np.allclose(got[:8], [2.228139, 2.776445, 12.706205, 0.0733880, 0.05, 0.5, 0.025, 0.0499962], atol=1e-5)
+    assert abs(got[8] - 0.05) < 5e-4 and abs(dist.normal_quantile(.975) - 1.959964) < 1e-6
+    none = spark.range(1).select(dist.p_two_sided(F.lit(None).cast("double"), ten), dist.p_f(F.lit(1.0), F.lit(0.0), ten), dist.t_quantile(.975, F.lit(0.0))).first()
+    assert list(none) == [None, None, None]
 
 
 def test_describe(scores):
