@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "retail", "finance", "scoring", "statistics", "evaluation", "operations", "people", "hygiene",
-    "search", "streams", "agreement",
+    "search", "streams", "agreement", "roundtrips",
 )
 
 for _name in MODULES:
