@@ -21,10 +21,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scorelake.llm.common import saved, text_of
+from scorelake.llm.common import saved, shuffle_width, text_of
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most: those least by hash.
-FIT_ROWS = 20_000
+FIT_ROWS = 8000
 #: Terms of the lexicon; how often a term must occur in toxic texts, and its least log odds.
 TERMS, LEAST_COUNT, LEAST_ODDS = 2000, 4, 2.0
 STEMS = range(4, 9)
@@ -32,6 +32,8 @@ STEMS = range(4, 9)
 WINDOW = 25
 #: Whole words of this length and over are also found with one edit, longer ones with two, if their log odds are as high.
 ONE_EDIT, TWO_EDITS, CLOSE_ODDS = 5, 10, 4.5
+#: Such words, at most: those of the highest log odds.
+CLOSE_TERMS = 40
 #: Words remembered by one worker.
 MEMORY = 400_000
 FEATURES = 9
@@ -46,8 +48,10 @@ def _folded(word: str) -> str:
     return word.translate(_LOOKALIKES) if not word.isalpha() and not word.isdigit() else word
 
 
-def _may_be_close(term: str, weight: float) -> bool:
-    return not term.endswith("*") and len(term) >= ONE_EDIT and weight >= CLOSE_ODDS
+def _misspelled(terms: dict[str, float]) -> dict[str, float]:
+    """The terms whose misspellings count."""
+    words = [(-w, t) for t, w in terms.items() if not t.endswith("*") and len(t) >= ONE_EDIT and w >= CLOSE_ODDS]
+    return {t: -w for w, t in sorted(words)[:CLOSE_TERMS]}
 
 
 class Trie:
@@ -56,7 +60,7 @@ class Trie:
     def __init__(self, terms: dict[str, float], top: bool = True):
         self.children: list[dict[str, int]] = [{}]
         self.word, self.stem = [0.0], [0.0]
-        self.loose = Trie({t: w for t, w in terms.items() if _may_be_close(t, w)}, False) if top else self
+        self.loose = Trie(_misspelled(terms), False) if top else self
         forms: list[str] = []
         for term, weight in terms.items():
             node = 0
@@ -219,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     """
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    sample = saved(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic"), "sample")
+    sample = saved(docs.select("doc_id", text_of().alias("text")).join(F.broadcast(some), "doc_id").select("text", "toxic").repartition(shuffle_width(docs.sparkSession)), "sample")
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy(F.expr("int(toxic > 0)").alias("toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Model()
