@@ -130,7 +130,8 @@ def block_summaries(
     order = F.element_at(F.create_map(*[x for c, i in place.items() for x in (F.lit(c), F.lit(i))]), F.col("column"))
     figure = F.format_string(
         "%s:\n  Mean: %.2f, Median: %.2f\n  Std: %.2f, Range: %.2f-%.2f",
-        "column", "mean", "median", F.coalesce("std", F.lit(0.0)), "min", "max",
+        # what computing leaves in the last digits must not decide a half
+        "column", *[F.round(c, 9) for c in ("mean", "median", F.coalesce("std", F.lit(0.0)), "min", "max")],
     )
     figures = block_statistics(blocks, numbers).groupBy("chunk_id").agg(
         F.transform(F.sort_array(F.collect_list(F.struct(order.alias("o"), figure.alias("l")))), lambda s: s["l"]).alias("_figures"))

@@ -12,7 +12,7 @@ from scorelake.operators.evallog import best_and_worst
 from scorelake.plans import tails
 from scorelake.plans.registry import query
 from scorelake.plans.scoring import words_sql
-from scorelake.plans.statistics import MOMENTS_SQL, rounded, score_moments
+from scorelake.plans.statistics import A_TEXT, ANOVA_P_SQL, MOMENTS_SQL, rounded, score_moments
 from scorelake.plans.views import EVAL_SQL, eval_log, scores, table
 from scorelake.sources.writers import report_lines
 
@@ -79,7 +79,21 @@ def tukey_pairs(spark, d):
     return rounded(S.tukey_pairs(score_moments(spark, d)), 6, "difference", "q", "p_value")
 
 
-@query("evaluation_report")
+REPORT_SQL = f"""{MOMENTS_SQL}, {ANOVA_P_SQL}, q AS (SELECT *, {tails.t_quantile(0.975, "(n - 1)")} * sqrt(var / n) AS h FROM m),
+    r AS (SELECT *, row_number() OVER (ORDER BY mean DESC, grp) AS rank FROM q),
+    o AS (SELECT (SELECT count(*) FROM scores) AS n, (SELECT avg(score) FROM scores) AS mean, (SELECT avg(response_time_ms) FROM eval_log) AS ms,
+        (SELECT grp FROM m ORDER BY mean DESC, grp LIMIT 1) AS best, (SELECT grp FROM m ORDER BY mean, grp LIMIT 1) AS worst),
+    parts AS (SELECT 0 AS part, 0 AS place, ['EVALUATION SUMMARY REPORT', repeat('=', 50), '', 'Evaluation ID: scores', 'Total Evaluations: ' || n, '',
+        'PROVIDER RANKINGS', repeat('-', 20)] AS lines FROM o
+    UNION ALL SELECT 1, rank, [grp || ':', '  Rank: ' || rank, format('  Mean Score: {{:.4f}}', mean), format('  Std Dev: {{:.4f}}', sqrt(var)),
+        format('  Confidence Interval: ({{:.4f}}, {{:.4f}})', mean - h, mean + h), ''] FROM r
+    UNION ALL SELECT 2, 0, ['STATISTICAL SIGNIFICANCE', repeat('-', 20), 'ANOVA Result: ' || {A_TEXT}, format('Effect Size: {{:.4f}}', ssb / (ssb + ssw)), ''] FROM ap
+    UNION ALL SELECT 3, 0, ['OVERALL PERFORMANCE', repeat('-', 20), 'Best Provider: ' || best, 'Worst Provider: ' || worst,
+        format('Average Overall Score: {{:.4f}}', mean), format('Average Response Time: {{:.2f}}ms', ms)] FROM o)"""
+
+
+@query("evaluation_report", f"""WITH {EVAL_SQL}, {REPORT_SQL} SELECT part, place, generate_subscripts(lines, 1) - 1 AS line, unnest(lines) AS text FROM parts""",
+       part="INTEGER", place="INTEGER", line="INTEGER")
 def evaluation_report(spark, d):
     """The text report of one evaluation over the score table, as ordered lines."""
     rows = scores(spark, d)

@@ -98,7 +98,31 @@ def chunk_categories(spark, d):
         F.count(F.lit(1)).alias("n"), F.round(F.count(F.lit(1)) / F.max("block_rows") * 100, 6).alias("pct"))
 
 
-@query("chunk_summary")
+def two_digits(x: str) -> str:
+    # halves of the decimal form go up
+    return f"CAST(CAST(CAST({x} AS DECIMAL(30, 9)) AS DECIMAL(30, 2)) AS VARCHAR)"
+
+
+SUMMARY_SQL = f"""{BLOCK_SQL}, st AS (SELECT chunk_id, col, avg(v) AS mean, quantile_cont(v, 0.5) AS median, coalesce(stddev_samp(v), 0) AS std,
+    min(v) AS low, max(v) AS high, corr(CAST(epoch_us(ts) AS DOUBLE), v) AS r, list_position({NUMBERS}, col) AS o FROM long GROUP BY 1, 2),
+    fig AS (SELECT chunk_id, list(col || ':' || chr(10) || '  Mean: ' || {two_digits('mean')} || ', Median: ' || {two_digits('median')} || chr(10) ||
+        '  Std: ' || {two_digits('std')} || ', Range: ' || {two_digits('low')} || '-' || {two_digits('high')} ORDER BY o) AS fig,
+        list(col || ' trend: ' || CASE WHEN r > 0.1 THEN 'Increasing' WHEN r < -0.1 THEN 'Decreasing' ELSE 'Stable' END ||
+        ' (r=' || format('{{:.3f}}', r) || ')' ORDER BY o) FILTER (r IS NOT NULL) AS trend FROM st GROUP BY 1),
+    cat AS (SELECT chunk_id, event_type, count(*) AS n, any_value(block_rows) AS rows FROM blocks GROUP BY 1, 2
+        QUALIFY row_number() OVER (PARTITION BY chunk_id ORDER BY count(*) DESC, event_type) <= 5),
+    top AS (SELECT chunk_id, list('  ' || event_type || ': ' || n || ' (' || CAST(CAST(CAST(n / rows * 100 AS DECIMAL(30, 10)) AS DECIMAL(30, 1)) AS VARCHAR) || '%)'
+        ORDER BY n DESC, event_type) AS top FROM cat GROUP BY 1),
+    rec AS (SELECT chunk_id, list('Record ' || (row_in_block + 1) || ': event_id: ' || event_id || ', ts: ' || CAST(ts AS VARCHAR) || ', event_type: ' || event_type ||
+        ', value: ' || value || ', k: ' || k ORDER BY row_in_block) AS rec FROM blocks WHERE row_in_block < 3 GROUP BY 1),
+    hd AS (SELECT chunk_id, min(start_row) AS start_row, max(end_row) AS end_row, max(block_rows) AS n, min(ts) AS t0, max(ts) AS t1 FROM blocks GROUP BY 1),
+    summary AS (SELECT chunk_id, start_row, end_row, array_to_string(list_concat(['=== CHUNK SUMMARY ===', 'Rows ' || start_row || '-' || end_row || ' (' || n || ' records)',
+        'Source: events', '', '=== NUMERIC STATISTICS ==='], fig, ['', '=== EVENT_TYPE DISTRIBUTION ==='], top, ['', '=== TREND ANALYSIS ===',
+        'Date range: ' || CAST(t0 AS VARCHAR) || ' to ' || CAST(t1 AS VARCHAR)], coalesce(trend, []), ['', '=== SAMPLE RECORDS ==='], rec), chr(10)) AS content
+        FROM hd JOIN fig USING (chunk_id) JOIN top USING (chunk_id) JOIN rec USING (chunk_id))"""
+
+
+@query("chunk_summary", f"WITH {SUMMARY_SQL} SELECT * FROM summary")
 def chunk_summary(spark, d):
     shown = ["event_id", "ts", "event_type", "value", "k"]
     return C.block_summaries(blocks(spark, d), NUMBERS, ["event_type"], "ts", shown)
