@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scorelake.session import shuffle_width
+from scorelake.session import kept, shuffle_width
 
 
 def _sortable(df: DataFrame, value: str) -> Column:
@@ -65,20 +65,26 @@ def _cell_offsets(cells: DataFrame, by: Sequence[str]) -> DataFrame:
     )
 
 
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row per (group, value) with ``n_rows``; written once, so that cuts, moments and places share one read."""
+    rows = df.select(*by, value)
+    for c in (value, *by):
+        rows = rows.where(F.col(c).isNotNull())
+    return kept(rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_rows")))
+
+
 def value_positions(
-    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None
+    df: DataFrame, value: str, by: Sequence[str] = (), buckets: int | None = None, counted: DataFrame | None = None
 ) -> DataFrame:
     """One row per (group, value): ``n_rows`` with it, ``n_before`` smaller, ``n_group``.
 
-    Rows without a value or a group are left out.  Counting, joining the offsets and the
-    running sum all hash on (group, bucket), so the counted values move twice in all.
+    Rows without a value or a group are left out.  The table is read once, for the counts;
+    ``counted`` passes counts that are there already.  Joining the offsets and the running sum hash
+    on (group, bucket).
     """
     by = list(by)
-    rows = df.select(*by, value)
-    for c in (value, *by):
-        rows = rows.where(F.col(c).isNotNull())
-    counted = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("n_rows"))
-    spread = _with_bucket(counted, value, cut_points(rows, value, buckets))
+    counted = value_counts(df, value, by) if counted is None else counted
+    spread = _with_bucket(counted, value, cut_points(counted, value, buckets))
     cells = spread.groupBy(*by, "_bucket").agg(F.sum("n_rows").alias("_cell_rows"))
     placed = spread.join(_cell_offsets(cells, by), [*by, "_bucket"])
     running = (
@@ -120,11 +126,11 @@ def _at(position: Column, value: str) -> Column:
 
 def exact_quantiles(
     df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-    buckets: int | None = None,
+    buckets: int | None = None, counted: DataFrame | None = None,
 ) -> DataFrame:
     """Linearly interpolated quantiles, one column per name in ``probs``."""
     by = list(by)
-    positions = value_positions(df, value, by, buckets)
+    positions = value_positions(df, value, by, buckets, counted)
     picks = []
     for name, p in probs.items():
         exact = F.lit(float(p)) * (F.col("n_group") - 1)
@@ -143,9 +149,11 @@ def exact_quantiles(
     )
 
 
-def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank") -> DataFrame:
+def average_ranks(
+    df: DataFrame, value: str, by: Sequence[str] = (), name: str = "rank", counted: DataFrame | None = None
+) -> DataFrame:
     """Rank of each distinct value where tied rows share their mean rank."""
-    return value_positions(df, value, by).select(
+    return value_positions(df, value, by, counted=counted).select(
         *by, value, (F.col("n_before") + (F.col("n_rows") + 1) / 2).alias(name), "n_group"
     )
 

@@ -166,9 +166,14 @@ def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame
         rows, keys = rows.withColumn("_all", F.lit(0)), ["_all"]
     else:
         keys = by
-    cells = rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("c"))
-    rx = average_ranks(rows, x, keys, "rx").drop("n_group")
-    ry = average_ranks(rows, y, keys, "ry")
+    # the rows are read once, for the counted pairs; both ranks follow from those
+    cells = kept(rows.groupBy(*keys, x, y).agg(F.count(F.lit(1)).alias("c")))
+
+    def ranks(value: str, name: str) -> DataFrame:
+        counted = cells.groupBy(*keys, value).agg(F.sum("c").alias("n_rows"))
+        return average_ranks(cells, value, keys, name, counted)
+
+    rx, ry = ranks(x, "rx").drop("n_group"), ranks(y, "ry")
     ranked = cells.join(rx, [*keys, x]).join(ry, [*keys, y])
     middle = (F.col("n_group") + 1) / 2
     dx, dy = F.col("rx") - middle, F.col("ry") - middle

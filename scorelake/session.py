@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -56,7 +55,8 @@ def saved(df: DataFrame, label: str) -> DataFrame:
 def kept(df: DataFrame) -> DataFrame:
     """An aggregate that several parts of a plan read, computed from the raw rows once.
 
-    Column pruning gives each reader its own version of the aggregate, so exchange reuse
-    does not save the scans.  Lost blocks are computed again from the lineage.
+    Column pruning gives each reader its own version of the aggregate, so exchange reuse does not
+    save the scans.  It goes to the shared folder: nothing stays in the executors' memory, and a lost
+    executor loses none of it.
     """
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+    return saved(df, "aggregate")
