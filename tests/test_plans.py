@@ -29,7 +29,10 @@ def test_no_cross_join(spark, name):
 
 
 def test_only_needed_columns_are_read(spark):
-    plan = plan_of(queries()["category_sales"](spark, SMALL))
+    from scorelake.operators.grouped import totals_by
+    from scorelake.plans.views import sales
+
+    plan = plan_of(totals_by(sales(spark, SMALL, "category", "amount"), "category", "amount"))
     schemas = re.findall(r"ReadSchema: struct<([^>]*)>", plan)
     read = {f.split(":")[0] for s in schemas for f in s.split(",")}
     assert read == {"l_partkey", "l_extendedprice", "p_partkey", "p_type"}
@@ -60,19 +63,68 @@ def test_shared_folder(spark):
 
 
 def test_shared_folder_without_setting():
-    class Context:
-        applicationId, master = "app-x", "local[2]"
-
     class Session:
-        sparkContext = Context
-
         class conf:
-            get = staticmethod(lambda key, default=None: default)
+            get = staticmethod(lambda key, default=None: "hdfs://store/warehouse/" if key == "spark.sql.warehouse.dir" else default)
+
+    assert shared_dir(Session).startswith("hdfs://store/warehouse/") and shared_dir(Session) == shared_dir(Session)
+
+
+def test_tables_are_read_once(spark):
+    """What quantiles, moments and ranks need comes from one saved table of counts."""
+    for name in ("age_band_spend", "group_profile", "spearman"):
+        plan = plan_of(queries()[name](spark, SMALL))
+        assert not re.search(r"(lineitem|events|part|orders)\.parquet", plan), name
+
+
+def test_relevance_shuffles_texts_once(spark):
+    df = spark.createDataFrame([("1", "a query here", "some response here")], "id string, q string, r string")
+    from scorelake.operators.scoring import tfidf_relevance
+
+    assert plan_of(tfidf_relevance(df, "id", "q", "r")).count("Exchange") <= 2  # the node and its mention in the details
+
+
+@pytest.mark.parametrize("name", ["category_sales", "session_sample", "crosstab_season_category", "group_profile", "cosine_topk"])
+def test_no_scalar_array_is_exploded_beside_a_table(spark, name):
+    """A cross join can hide as the explode of an array from a subquery; only grids that are the result may do so."""
+    plan = plan_of(queries()[name](spark, SMALL))
+    hidden = re.findall(r"explode\((?:scalar-)?subquery", plan, re.I)
+    assert len(hidden) <= (1 if name in ("session_sample", "crosstab_season_category") else 0)
+
+
+def test_no_text_is_lost_to_a_rank(spark):
+    """Budgets keep every document that fits, however many: 3,000 short ones, empty ones first."""
+    from scorelake.operators.windows import leading_within
+
+    rows = [("a", i, 1) for i in range(3000)] + [("a", 5000 + i, 0) for i in range(40)] + [("b", 1, 5000), (None, 2, 3)]
+    df = spark.createDataFrame(rows, "s string, id long, n long")
+    got = leading_within(df, "s", "n", ["id"], "n", 2000).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.max("rank").alias("m")).collect()
+    assert {(r.s, r.c, r.m) for r in got} == {("a", 2040, 2040), (None, 1, 1)}
+
+
+def test_missing_vectors_and_keys(spark):
+    from scorelake.operators import retrieval as V
+    from scorelake.operators.windows import sessions
+
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [None, 1.0])], "id long, v array<double>")
+    asked = spark.createDataFrame([("q", [1.0, 0.1]), ("none", None)], "q string, v array<double>")
+    assert [(r.q, r.id) for r in V.cosine_topk(asked, corpus, "q", "id", "v", 3).orderBy("rank").collect()] == [("q", 1), ("q", 3)]
+    events = spark.createDataFrame([("a", 10), (None, 10), ("a", None)], "who string, t long").withColumn("ts", F.timestamp_seconds("t"))
+    assert sessions(events, ["who"], "ts", 60).agg(F.sum("events")).first()[0] == 3
+
+
+def test_approximate_search_finds_most(spark):
+    """Recall of both indexes against the exact search."""
+    from scorelake.operators import retrieval as V
 
-    assert shared_dir(Session) == shared_dir(Session)
-    Context.master = "spark://host:7077"
-    with pytest.raises(RuntimeError):
-        shared_dir(Session)
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((20, 16))
+    data = [(i, [float(x) for x in centres[i % 20] + 0.2 * rng.standard_normal(16)]) for i in range(800)]
+    corpus = spark.createDataFrame(data, "id long, v array<double>")
+    asked = corpus.where("id % 100 = 0").withColumnRenamed("id", "q")
+    exact = {(r.q, r.id) for r in V.cosine_topk(asked, corpus, "q", "id", "v", 5).collect()}
+    for found in (V.ivf_topk(asked, corpus, "q", "id", "v", 5, probes=8), V.hyperplane_topk(asked, corpus, "q", "id", "v", 5, tables=16)):
+        assert len(exact & {(r.q, r.id) for r in found.collect()}) >= 0.9 * len(exact)
 
 
 def test_agreement(spark):
