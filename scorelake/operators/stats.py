@@ -290,3 +290,10 @@ def full_report(df: DataFrame, group: str, value: str) -> DataFrame:
         .unionByName(long("pairs", with_p(pairs(m)), F.concat_ws(" vs ", "a_grp", "b_grp"), ["statistic", "p_value", "effect_size"]))
         .unionByName(long("effects", effect_vs_best(m), F.col("comparison"), ["effect_size"]))
     )
+
+
+def effect_word(d: Column, words: Sequence[str] = ("Large", "Medium", "Small")) -> Column:
+    """Three-step label of an effect size: beyond 0.8, beyond 0.5, the rest."""
+    large, medium, small = words
+    a = F.abs(d)
+    return F.when(a > 0.8, large).when(a > 0.5, medium).when(a.isNotNull(), small)

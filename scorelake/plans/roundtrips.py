@@ -9,6 +9,7 @@ from scorelake.functions import text
 from scorelake.operators import feedback as P
 from scorelake.operators import joins as J
 from scorelake.operators import quality as Q
+from scorelake.operators import stats as S
 from scorelake.plans.people import FB_SQL, RATINGS, feedback
 from scorelake.plans.registry import query
 from scorelake.plans.scoring import SPACES_SQL, keyword_case_sql, words_sql
@@ -177,3 +178,32 @@ def session_slice(spark, d):
     log = feedback(spark, d)
     own = P.session_feedback(log, 7).select("event_id", F.lit("session").alias("part"))
     return own.unionByName(P.industry_feedback(log, "retail").select("event_id", F.lit("industry").alias("part")))
+
+
+BATCH_SQL = f"""{EVAL_SQL}, w AS (SELECT id, provider, response_time_ms, list_distinct({words_sql('lower(truth)')}) AS wanted,
+    {words_sql('lower(response)')} AS said FROM eval_log WHERE truth IS NOT NULL AND tokens_used > 20),
+    sc AS (SELECT provider, response_time_ms, len(list_intersect(wanted, said)) / greatest(len(wanted), 1) AS o FROM w),
+    scored AS (SELECT provider, response_time_ms, CASE WHEN o >= 0.7 THEN 1.0 ELSE o END AS score FROM sc),
+    m AS (SELECT provider AS grp, count(*) AS n, avg(score) AS mean, var_samp(score) AS var, avg(response_time_ms) AS ms FROM scored GROUP BY 1),
+    g AS (SELECT count(*) AS k, sum(n) AS total, sum(n * mean) / sum(n) AS gm, sum((n - 1) * var) AS ssw FROM m),
+    a AS (SELECT any_value(k) AS k, (sum(n * pow(mean - gm, 2)) / (any_value(k) - 1)) / (any_value(ssw) / (any_value(total) - any_value(k))) AS f FROM m, g)"""
+
+
+@query("batch_evaluation", f"""WITH {BATCH_SQL} SELECT 'batch_1' AS evaluation_id, grp AS provider, n, round(mean, 8) AS mean, round(ms, 6) AS avg_time_ms,
+    row_number() OVER (ORDER BY mean DESC, grp) AS rank, round(f, 6) AS anova_f FROM m, a""")
+def batch_evaluation(spark, d):
+    """One evaluation as a job: filter, score, summarise, test, save, load by its id, rank."""
+    asked = eval_log(spark, d).where("truth IS NOT NULL AND tokens_used > 20")
+    scored = asked.select("id", "provider", "response_time_ms", text.token_overlap("response", "truth").alias("overall_score")).withColumn(
+        "evaluation_id", F.lit("batch_1"))
+    folder = scratch_path(spark, "batch")
+    summary = scored.groupBy("evaluation_id", "provider").agg(F.avg("overall_score").alias("mean"))
+    tested = S.anova_p(S.anova(S.moments(scored, "provider", "overall_score"))).withColumn("evaluation_id", F.lit("batch_1"))
+    W.save_evaluation(scored, summary, tested, folder)
+    rows = R.load_evaluation(spark, folder, "batch_1")
+    test = spark.read.parquet(f"{folder}/tests").where("evaluation_id = 'batch_1'")
+    times = rows.groupBy(F.col("provider").alias("grp")).agg(F.avg("response_time_ms").alias("ms"))
+    ranked = S.rank_groups(S.moments(rows, "provider", "overall_score")).join(times, "grp")
+    return ranked.select(
+        F.lit("batch_1").alias("evaluation_id"), F.col("grp").alias("provider"), "n", F.round("mean", 8).alias("mean"), F.round("ms", 6).alias("avg_time_ms"),
+        "rank", F.round(test.select("statistic").scalar(), 6).alias("anova_f"))

@@ -117,6 +117,16 @@ def effect_vs_best(spark, d):
                       S.effect_label(F.col("effect_size")).alias("label"))
 
 
+@query("effect_words", f"""WITH {PAIR_SQL} SELECT first, second, CASE WHEN abs(gap / sqrt(v)) > 0.8 THEN 'Large' WHEN abs(gap / sqrt(v)) > 0.5 THEN 'Medium'
+    ELSE 'Small' END AS label, CASE WHEN abs(gap / sqrt(v)) > 0.8 THEN 'strong' WHEN abs(gap / sqrt(v)) > 0.5 THEN 'moderate' ELSE 'weak' END AS significance FROM p""")
+def effect_words(spark, d):
+    """Both three-step labels of every pair's effect size."""
+    d_ = F.col("effect_size")
+    return S.pairs(score_moments(spark, d)).select(
+        F.col("a_grp").alias("first"), F.col("b_grp").alias("second"), S.effect_word(d_).alias("label"),
+        S.effect_word(d_, ("strong", "moderate", "weak")).alias("significance"))
+
+
 @query("rank_providers", f"""WITH {MOMENTS_SQL}, r AS (SELECT *,
     row_number() OVER (ORDER BY mean DESC, grp) AS rank, count(*) OVER () AS k FROM m)
     SELECT grp AS provider, n, round(mean, 6) AS mean, round(sqrt(var), 6) AS std, min, max, rank,
