@@ -40,9 +40,9 @@ def test_words_and_sentences(spark):
         assert r.s == [s.strip() for s in r.t.split(".") if s.strip()]
 
 
-def brute_relevance(q, r, cap=1000):
+def brute_relevance(q, r, cap=None):
     def terms(t):
-        toks = [w for w in re.findall(r"\b\w\w+\b", t.lower()) if w not in set(text.STOP_WORDS)]
+        toks = [w for w in re.findall(r"\b\w\w+\b", t.lower()) if w not in set(text.RELEVANCE_STOP_WORDS)]
         return Counter(toks + [f"{a} {b}" for a, b in zip(toks, toks[1:])])
 
     a, b = terms(q), terms(r)
@@ -59,12 +59,13 @@ def test_relevance(rows):
         assert abs(got[i] - brute_relevance(q, r)) < 1e-9, i
 
 
-def test_relevance_cap(spark):
+def test_relevance_of_many_terms(spark):
     rng = random.Random(2)
     many = " ".join(f"w{rng.randrange(900)}" for _ in range(3000))
     df = spark.createDataFrame([(0, many[:4000], many)], "id int, query string, response string")
-    got = scoring.tfidf_relevance(df, "id", "query", "response").first().relevance
-    assert abs(got - brute_relevance(many[:4000], many)) < 1e-9
+    for most in (None, 1000):
+        got = scoring.tfidf_relevance(df, "id", "query", "response", max_terms=most).first().relevance
+        assert abs(got - brute_relevance(many[:4000], many, most)) < 1e-9
 
 
 def brute_facts(t):
