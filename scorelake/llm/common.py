@@ -33,14 +33,22 @@ def keep_rows(docs: DataFrame, keys: DataFrame, one_of_each: bool = False, keep:
     ``one_of_each``: of rows that repeat both, one stays.  Texts are dealt out once, by both keys,
     and repeats meet in that same exchange.
     """
-    wanted = keys.select(_filled("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    here = docs.withColumns({"_id": _filled("doc_id"), "_key": text_key()})
-    kept = here.join(wanted, ["_id", "_key"], "left_semi" if keep else "left_anti")
+    own_id, own_key = (_unused(docs, n) for n in ("row_id", "row_key"))
+    wanted = keys.select(_filled("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
+    here = docs.withColumns({own_id: _filled("doc_id"), own_key: text_key()})
+    kept = here.join(wanted, [own_id, own_key], "left_semi" if keep else "left_anti")
     if one_of_each:
-        kept = kept.dropDuplicates(["_id", "_key"])
+        kept = kept.dropDuplicates([own_id, own_key])
     return kept.select(docs.columns)
 
 
+def _unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _filled(column: str) -> Column:
     """Rows without doc_id meet too."""
     return F.coalesce(F.col(column), F.lit(-(2**63)))

@@ -83,7 +83,10 @@ class _Shard:
         self.tokens.close(), self.index.close()
         for name, file in zip(self.names, self.files):
             file.close()
-            self.fs.move(f"{name}.{self.attempt}", name)
+            if self.fs.get_file_info(name).type == filesystems.FileType.NotFound:
+                self.fs.move(f"{name}.{self.attempt}", name)
+            else:  # another attempt was here first, with the same bytes
+                self.fs.delete_file(f"{name}.{self.attempt}")
         return self.sequences
 
 
