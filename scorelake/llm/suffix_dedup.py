@@ -292,7 +292,7 @@ def _counted_spans(found: DataFrame, files: DataFrame, length: int, gram: int) -
 
     strings = saved(_by_file(found, files, ["gram"]).mapInArrow(run, "row bigint, place int, one bigint, two bigint"), "strings")
     where = F.struct("row", "place")  # several anchors may bring the same string of one place
-    twice = strings.groupBy("one", "two").agg((F.min(where) != F.max(where)).alias("twice")).where("twice").drop("twice")
+    twice = saved(strings.groupBy("one", "two").agg((F.min(where) != F.max(where)).alias("twice")).where("twice").drop("twice"), "twice")
     return strings.join(twice, ["one", "two"], "left_semi").select("row", "place", (F.col("place") + length).cast("int").alias("end"))
 
 
@@ -347,8 +347,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     store = _store(docs)
     files = saved(store.select(F.shiftright("row", 32).alias("file"), "path").distinct(), "files")
     found = _anchor_table(store, length, gram)
-    counts = found.groupBy("gram").agg(
-        F.count(F.lit(1)).alias("n"), (F.min("context") == F.max("context")).alias("same")).where("n > 1").drop("n")
+    # written, so that the join's sides are plain exchanges and a gram with very many anchors can be split
+    counts = saved(found.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), (F.min("context") == F.max("context")).alias("same")).where("n > 1").drop("n"), "counts")
     again = saved(found.join(counts, "gram"), "repeated")
     mixed = again.where("NOT same")
     classes = saved(mixed.groupBy("gram", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "place")).alias("one")), "contexts")
@@ -356,7 +357,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
     # a whole context is repeated; what reaches beyond the text is cut where the text is at hand
     whole = again.where("same").select("row", "place").unionByName(copies.select("row", "place")).select(
         "row", F.greatest(F.col("place") + (gram - length), F.lit(0)).cast("int").alias("place"), (F.col("place") + length).cast("int").alias("end"))
-    large = classes.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group).select("gram")
+    large = saved(classes.groupBy("gram").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > group).select("gram"), "large")
     each = classes.select("gram", "one.row", "one.place")
     few = each.join(large, "gram", "left_anti")
     sorted_ = _sorted_spans(_contexts(few, files, length, gram), length, gram)
