@@ -11,13 +11,15 @@ from scorelake.llm.common import saved
 def _large_star(edges: DataFrame) -> DataFrame:
     """Each node's larger neighbours move to its least neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the join's sides are plain exchanges and a node with very many links can be split
+    least = saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
     return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Each node and its smaller neighbours move to the least of them; edges run from large to small."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    edges = saved(edges, "stars")
+    least = saved(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
