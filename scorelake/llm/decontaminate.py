@@ -26,7 +26,7 @@ REACH = WINDOW - GRAM
 #: Bits of the map, as a power of two: 8 MB, whatever the size of the benchmark.
 MAP_BITS = 26
 #: Bytes of text hashed at a time; a longer text is taken alone.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BASE = 0x9E3779B97F4A7C15 | 1
 
 _BYTES = np.arange(256, dtype=np.uint8)

@@ -35,7 +35,7 @@ ONE_EDIT, TWO_EDITS, CLOSE_ODDS = 5, 10, 4.5
 #: Such words, at most: those of the highest log odds.
 CLOSE_TERMS = 40
 #: Words remembered by one worker.
-MEMORY = 400_000
+MEMORY = 250_000
 FEATURES = 9
 
 _WORD = re.compile(r"[^\W_]+")
