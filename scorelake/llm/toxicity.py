@@ -3,7 +3,8 @@
 Terms (whole words, and stems: beginnings of words) that labelled toxic texts prefer make a lexicon,
 kept as a trie.  A word is matched by running the Levenshtein automaton of that word over the trie:
 the automaton's states are bit masks, one per number of edits, and branches on which no state is
-left are cut.  Hits are then scored by their surroundings: sums over sliding windows, and hits inside
+left are cut.  Words that share no deletion neighbour with a term cannot be misspellings and are
+not run.  Hits are then scored by their surroundings: sums over sliding windows, and hits inside
 quotation marks apart from the others.  A logistic regression on these sums gives the score.
 """
 
@@ -24,19 +25,19 @@ from pyspark.sql import functions as F
 from scorelake.llm.common import saved, shuffle_width, text_of
 
 #: Labelled rows that the lexicon and the weights are fitted on, at most: those least by hash.
-FIT_ROWS = 8000
+FIT_ROWS = 20_000
 #: Terms of the lexicon; how often a term must occur in toxic texts, and its least log odds.
 TERMS, LEAST_COUNT, LEAST_ODDS = 2000, 4, 2.0
 STEMS = range(4, 9)
 #: Words of a window.
 WINDOW = 25
-#: Whole words of this length and over are also found with one edit, longer ones with two, if their log odds are as high.
-ONE_EDIT, TWO_EDITS, CLOSE_ODDS = 5, 10, 4.5
-#: Such words, at most: those of the highest log odds.
+#: Whole words and stems of this length and over are also found with one edit, longer words with two; shorter words count apart.
+ONE_EDIT, TWO_EDITS, SHORT = 5, 10, 3
+#: Bounds nothing any more: the number of terms that the automaton's first test draws.
 CLOSE_TERMS = 40
 #: Words remembered by one worker.
 MEMORY = 250_000
-FEATURES = 9
+FEATURES = 11
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"«»“”„]")
@@ -49,9 +50,17 @@ def _folded(word: str) -> str:
 
 
 def _misspelled(terms: dict[str, float]) -> dict[str, float]:
-    """The terms whose misspellings count."""
-    words = [(-w, t) for t, w in terms.items() if not t.endswith("*") and len(t) >= ONE_EDIT and w >= CLOSE_ODDS]
-    return {t: -w for w, t in sorted(words)[:CLOSE_TERMS]}
+    """The terms whose misspellings count: whole words, and stems that are long enough for an edit."""
+    return {t: w for t, w in terms.items() if (len(t) > ONE_EDIT if t.endswith("*") else len(t) >= SHORT)}
+
+
+def _neighbours(word: str, edits: int) -> set[str]:
+    """The word with up to ``edits`` letters left out.  Words within that many edits of each other share one."""
+    out = last = {word}
+    for _ in range(edits):
+        last = {w[:i] + w[i + 1:] for w in last for i in range(len(w))}
+        out = out | last
+    return out
 
 
 class Trie:
@@ -61,7 +70,10 @@ class Trie:
         self.children: list[dict[str, int]] = [{}]
         self.word, self.stem = [0.0], [0.0]
         self.loose = Trie(_misspelled(terms), False) if top else self
-        forms: list[str] = []
+        self.near_words: set[str] = set()
+        self.near_long: set[str] = set()
+        self.near_stems: set[str] = set()
+        self.longest = 0
         for term, weight in terms.items():
             node = 0
             for c in term.rstrip("*"):
@@ -71,13 +83,34 @@ class Trie:
                     self.word.append(0.0)
                     self.stem.append(0.0)
             (self.stem if term.endswith("*") else self.word)[node] = weight
-            if not top:  # one edit leaves one half of a term whole, two leave one of three parts whole
-                edits = 1 if len(term) < TWO_EDITS else 2
-                cuts = [len(term) * k // (edits + 1) for k in range(edits + 2)]
-                for a, b in zip(cuts, cuts[1:]):
-                    before, after = (f".{{{max(0, n - edits)},{n + edits}}}" for n in (a, len(term) - b))
-                    forms.append(before + re.escape(term[a:b]) + after)
-        self.worth_a_walk = re.compile("|".join(forms) or "(?!)").fullmatch
+            if not top:
+                if term.endswith("*"):
+                    self.near_stems |= _neighbours(term[:-1], 1)
+                elif len(term) < TWO_EDITS:
+                    self.near_words |= _neighbours(term, 1)
+                else:
+                    self.near_long |= _neighbours(term, 2)
+                    self.longest = max(self.longest, len(term))
+
+    def worth_a_walk(self, word: str) -> bool:
+        """Whether a term can be within the edits that its length allows; no such term is missed."""
+        size = len(word)
+        if size <= TWO_EDITS and not self.near_words.isdisjoint(_neighbours(word, 1)):
+            return True
+        if TWO_EDITS - 2 <= size <= self.longest + 2 and not self.near_long.isdisjoint(_neighbours(word, 2)):
+            return True
+        stems = self.near_stems
+        if size < ONE_EDIT or not stems:
+            return False
+        top = min(size - 1, STEMS[-1] + 1)
+        if any(word[:n] in stems for n in range(ONE_EDIT - 1, top + 1)):
+            return True
+        for i in range(top):
+            rest = word[:i] + word[i + 1:top]
+            for n in range(max(i, ONE_EDIT - 1), top):
+                if rest[:n] in stems:
+                    return True
+        return False
 
     def exact(self, word: str) -> float:
         """Weight of the word, or of the heaviest stem that it goes on from."""
@@ -92,22 +125,35 @@ class Trie:
 
     def close(self, word: str) -> float:
         """Heaviest whole word within one edit (two, if long) of ``word``, but not equal to it."""
-        if len(word) < ONE_EDIT - 1 or not self.worth_a_walk(word):
-            return 0.0
+        return self.near(word)[0]
+
+    def near(self, word: str) -> tuple[float, float, float]:
+        """Weights of the heaviest misspelt terms: whole words as in ``close``, shorter whole words with one edit,
+        and stems.  A stem is met where ``word`` goes on from the stem's last letter with one edit before it.
+        """
+        if len(word) < SHORT - 1 or not self.worth_a_walk(word):
+            return 0.0, 0.0, 0.0
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
         edits = 2 if len(word) >= TWO_EDITS - 2 else 1
-        size, best = len(word), 0.0
+        size, best, short, stem = len(word), 0.0, 0.0, 0.0
+        inside = (1 << size) - 1
         # state e: bit i is set if the path so far matches the first i letters with e edits
         start = tuple(sum(1 << i for i in range(min(e, size) + 1)) for e in range(edits + 1))
-        stack = [(0, 0, start)]
+        stack = [(0, 0, start, 0)]
         while stack:
-            node, depth, states = stack.pop()
-            if self.word[node] > best and depth >= ONE_EDIT:
+            node, depth, states, kept = stack.pop()
+            weight = self.word[node]
+            if weight > (best if depth >= ONE_EDIT else short):
                 allowed = 1 if depth < TWO_EDITS else 2
                 if any(states[e] >> size & 1 for e in range(1, min(allowed, edits) + 1)) and not states[0] >> size & 1:
-                    best = self.word[node]
+                    if depth >= ONE_EDIT:
+                        best = weight
+                    else:
+                        short = weight
+            if self.stem[node] > stem and kept & inside and not states[0] & inside:
+                stem = self.stem[node]
             for c, child in self.children[node].items():
                 mask, moved = masks.get(c, 0), []
                 for e, now in enumerate(states):
@@ -116,26 +162,26 @@ class Trie:
                         new |= states[e - 1] | states[e - 1] << 1 | moved[e - 1] << 1
                     moved.append(new & (1 << size + 1) - 1)
                 if any(moved):
-                    stack.append((child, depth + 1, tuple(moved)))
-        return best
+                    stack.append((child, depth + 1, tuple(moved), (states[1] & mask) << 1))
+        return best, short, stem
 
 
 class Scorer:
     """Features of a text; remembers the words it has seen."""
 
     def __init__(self, terms: dict[str, float]):
-        self.trie, self.kinds, self.exact, self.close = Trie(terms), {(0.0, 0.0): 0}, [0.0], [0.0]
+        self.trie, self.kinds = Trie(terms), {(0.0, 0.0, 0.0, 0.0): 0}
+        self.weights, self.table = [(0.0, 0.0, 0.0, 0.0)], np.zeros((0, 4))
         outer = self
 
         class Seen(dict):
             def __missing__(self, word: str) -> int:
                 folded = _folded(word)
                 exact = outer.trie.exact(folded)
-                found = (exact, 0.0 if exact else outer.trie.loose.close(folded))
+                found = (exact, *((0.0, 0.0, 0.0) if exact else outer.trie.loose.near(folded)))
                 number = outer.kinds.setdefault(found, len(outer.kinds))
-                if number == len(outer.exact):
-                    outer.exact.append(found[0])
-                    outer.close.append(found[1])
+                if number == len(outer.weights):
+                    outer.weights.append(found)
                 if len(self) < MEMORY and len(word) < 40:
                     self[word] = number
                 return number
@@ -149,13 +195,16 @@ class Scorer:
             return [0.0] * FEATURES
         number = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
         if not number.any():
-            return [0.0] * (FEATURES - 1) + [math.log(len(words))]
-        exact, close = np.array(self.exact)[number], np.array(self.close)[number]
+            return [0.0] * 8 + [math.log(len(words))] + [0.0] * (FEATURES - 9)
+        if len(self.table) < len(self.weights):
+            self.table = np.array(self.weights)
+        exact, close, short, stems = self.table[number].T
         quoted = self._quoted(text) if _QUOTES.search(text) else np.zeros(len(words), bool)
         said, cited = np.where(quoted, 0.0, exact), np.where(quoted, exact, 0.0)
         return [
             math.log1p((said > 0).sum()), float(said.max()), math.log1p(said.sum()), _window_sum(said), float(said.sum()) / len(words),
             math.log1p((said > 3).sum()), math.log1p(cited.sum()), _window_sum(close), math.log(len(words)),
+            math.log1p(short.sum()), math.log1p(stems.sum()),
         ]
 
     @staticmethod

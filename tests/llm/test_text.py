@@ -180,6 +180,23 @@ def test_levenshtein_automaton():
     assert (stems.exact("run"), stems.exact("runs"), stems.exact("running"), stems.exact("ru")) == (0, 2, 5, 0)
 
 
+def test_misspellings_of_every_term_count():
+    rnd = random.Random(5)
+    words = {"".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(3, 14))): rnd.uniform(2, 7) for _ in range(600)}
+    stems = {"".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(5, 8))) + "*": rnd.uniform(2, 7) for _ in range(200)}
+    trie, tried = toxicity.Trie({**words, **stems}), 0
+    for term in list(words) + list(stems):
+        i = rnd.randrange(len(term.rstrip("*")))
+        word = term.rstrip("*")[:i] + rnd.choice(["", "x", "xa"]) + term.rstrip("*")[i + 1:] + ("ed" if term[-1] == "*" else "")
+        if trie.exact(word):
+            continue
+        tried += 1
+        near = [(len(t) >= 5, w) for t, w in words.items() if 0 < edits(word, t) <= (1 if len(t) < 10 else 2)]
+        begun = [w for t, w in stems.items() for n in range(1, len(word)) if word[n - 1] == t[-2] and edits(word[:n - 1], t[:-2]) == 1]
+        assert trie.loose.near(word) == (max((w for long, w in near if long), default=0), max((w for long, w in near if not long), default=0), max(begun, default=0))
+    assert tried > 600
+
+
 def test_quotation_is_apart():
     scorer = toxicity.Scorer({"idiot": 6.0})
     said, cited = scorer.features("you idiot here"), scorer.features('the word "idiot" here')
