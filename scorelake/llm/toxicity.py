@@ -3,8 +3,8 @@
 Terms (whole words, and stems: beginnings of words) that labelled toxic texts prefer make a lexicon,
 kept as a trie.  A word is matched by running the Levenshtein automaton of that word over the trie:
 the automaton's states are bit masks, one per number of edits, and branches on which no state is
-left are cut.  Words that share no deletion neighbour with a term cannot be misspellings and are
-not run.  Hits are then scored by their surroundings: sums over sliding windows, and hits inside
+left are cut.  Only terms that share a deletion neighbour with the word can be met, so the automaton
+runs on the branches that lead to them.  Hits are then scored by their surroundings: sums over sliding windows, and hits inside
 quotation marks apart from the others.  A logistic regression on these sums gives the score.
 """
 
@@ -13,8 +13,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,8 @@ STEMS = range(4, 9)
 WINDOW = 25
 #: Whole words and stems of this length and over are also found with one edit, longer words with two; shorter words count apart.
 ONE_EDIT, TWO_EDITS, SHORT = 5, 10, 3
+#: First letters by which deletion neighbours are looked up before all of them are formed.
+HEAD = ONE_EDIT - 1
 #: Bounds nothing any more: the number of terms that the automaton's first test draws.
 CLOSE_TERMS = 40
 #: Words remembered by one worker.
@@ -63,6 +66,15 @@ def _neighbours(word: str, edits: int) -> set[str]:
     return out
 
 
+def _without(word: str, place: int) -> str:
+    return word[:place] + word[place + 1:] if place >= 0 else word
+
+
+def _heads(word: str, edits: int) -> set[str]:
+    """The first HEAD letters of all its deletion neighbours that are as long."""
+    return set(map("".join, combinations(word[:HEAD + edits], HEAD)))
+
+
 class Trie:
     """Lexicon of words and stems with weights; a stem ends in ``*``."""
 
@@ -70,9 +82,12 @@ class Trie:
         self.children: list[dict[str, int]] = [{}]
         self.word, self.stem = [0.0], [0.0]
         self.loose = Trie(_misspelled(terms), False) if top else self
-        self.near_words: set[str] = set()
-        self.near_long: set[str] = set()
-        self.near_stems: set[str] = set()
+        #: Terms by the strings that they leave with one letter left out, and its place (-1: none left out); long words by two letters.
+        self.once: dict[str, list[tuple[str, int]]] = {}
+        self.stems: dict[str, list[tuple[str, int]]] = {}
+        self.twice: dict[str, list[str]] = {}
+        #: The first letters of the strings that stems and long words leave.
+        self.heads: tuple[set[str], set[str]] = set(), set()
         self.longest = 0
         for term, weight in terms.items():
             node = 0
@@ -84,33 +99,40 @@ class Trie:
                     self.stem.append(0.0)
             (self.stem if term.endswith("*") else self.word)[node] = weight
             if not top:
-                if term.endswith("*"):
-                    self.near_stems |= _neighbours(term[:-1], 1)
-                elif len(term) < TWO_EDITS:
-                    self.near_words |= _neighbours(term, 1)
-                else:
-                    self.near_long |= _neighbours(term, 2)
+                bare = term.rstrip("*")
+                if len(term) >= TWO_EDITS and bare == term:
                     self.longest = max(self.longest, len(term))
-
-    def worth_a_walk(self, word: str) -> bool:
-        """Whether a term can be within the edits that its length allows; no such term is missed."""
-        size = len(word)
-        if size <= TWO_EDITS and not self.near_words.isdisjoint(_neighbours(word, 1)):
-            return True
-        if TWO_EDITS - 2 <= size <= self.longest + 2 and not self.near_long.isdisjoint(_neighbours(word, 2)):
-            return True
-        stems = self.near_stems
-        if size < ONE_EDIT or not stems:
-            return False
-        top = min(size - 1, STEMS[-1] + 1)
-        if any(word[:n] in stems for n in range(ONE_EDIT - 1, top + 1)):
-            return True
-        for i in range(top):
-            rest = word[:i] + word[i + 1:top]
-            for n in range(max(i, ONE_EDIT - 1), top):
-                if rest[:n] in stems:
-                    return True
-        return False
+                    self.heads[1].update(_heads(term, 2))
+                    for rest in _neighbours(term, 2):
+                        self.twice.setdefault(rest, []).append(term)
+                    continue
+                known = self.once if bare == term else self.stems
+                if known is self.stems:
+                    self.heads[0].update(_heads(bare, 1))
+                for i in range(-1, len(bare)):
+                    known.setdefault(_without(bare, i), []).append((term, i))
+
+    def candidates(self, word: str) -> set[str]:
+        """Terms within the allowed edits of the word or its beginning, and few others."""
+        size, found = len(word), set()
+        if size <= TWO_EDITS:
+            for i in range(-1, size):
+                for term, place in self.once.get(_without(word, i), ()):
+                    if place == i or place < 0 or i < 0:
+                        found.add(term)
+        if size >= ONE_EDIT:
+            top = min(size - 1, STEMS[-1] + 1)
+            for i in range(-1, top):
+                rest = _without(word[:top], i)
+                if rest[:HEAD] in self.heads[0]:
+                    for n in range(max(i, HEAD), len(rest) + 1):
+                        for term, place in self.stems.get(rest[:n], ()):
+                            if place == i or place < 0 or i < 0:
+                                found.add(term)
+        if TWO_EDITS - 2 <= size <= self.longest + 2 and not self.heads[1].isdisjoint(_heads(word, 2)):
+            for rest in _neighbours(word, 2):
+                found.update(self.twice.get(rest, ()))
+        return found
 
     def exact(self, word: str) -> float:
         """Weight of the word, or of the heaviest stem that it goes on from."""
@@ -123,6 +145,17 @@ class Trie:
                 best = max(best, self.stem[node])
         return max(best, self.word[node])
 
+    def _branches(self, terms: Iterable[str]) -> dict[int, set[tuple[str, int]]]:
+        """The part of the trie that leads to the terms."""
+        out: dict[int, set[tuple[str, int]]] = {}
+        for term in terms:
+            node = 0
+            for c in term.rstrip("*"):
+                child = self.children[node][c]
+                out.setdefault(node, set()).add((c, child))
+                node = child
+        return out
+
     def close(self, word: str) -> float:
         """Heaviest whole word within one edit (two, if long) of ``word``, but not equal to it."""
         return self.near(word)[0]
@@ -131,8 +164,10 @@ class Trie:
         """Weights of the heaviest misspelt terms: whole words as in ``close``, shorter whole words with one edit,
         and stems.  A stem is met where ``word`` goes on from the stem's last letter with one edit before it.
         """
-        if len(word) < SHORT - 1 or not self.worth_a_walk(word):
+        terms = self.candidates(word) if len(word) >= SHORT - 1 else ()
+        if not terms:
             return 0.0, 0.0, 0.0
+        branches = self._branches(terms)
         masks: dict[str, int] = {}
         for i, c in enumerate(word):
             masks[c] = masks.get(c, 0) | 1 << i
@@ -154,7 +189,7 @@ class Trie:
                         short = weight
             if self.stem[node] > stem and kept & inside and not states[0] & inside:
                 stem = self.stem[node]
-            for c, child in self.children[node].items():
+            for c, child in branches.get(node, ()):
                 mask, moved = masks.get(c, 0), []
                 for e, now in enumerate(states):
                     new = (now & mask) << 1
