@@ -36,14 +36,20 @@ LEAST_VALUE = 6
 
 _CANDIDATE = re.compile(f"[A-Za-z0-9+/_=-]{{{LEAST},}}")
 _MIXED = re.compile("(?=.*[0-9])(?=.*[A-Za-z])")
+_LETTERS = re.compile(f"[A-Za-z]{{{LEAST},}}")
 # Lengths of hexadecimal digests, and forms of identifiers that are no secrets.
 _DIGEST = re.compile("(?i:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{48}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})")
 _IDENTIFIER = re.compile(
     "(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # UUID
     "|(?:sha|md)[0-9]+[-_=].*"  # named digest
-    "|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9:]*Z?"  # time stamp
-    "|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})")  # bank account number
-_ADDRESS = re.compile(r"(?:@|://)\S*$")
+    "|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9:]*Z?)")  # time stamp
+_ACCOUNT = re.compile("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+#: Characters of an address; a white space, quote, comma or bracket ends it.
+_RUN = r"[^\s\"'`,;<>(){}\[\]|\\]"
+_BEFORE, _AFTER = re.compile(_RUN + "*$"), re.compile(_RUN + "*")
+#: Name and password before the host of an address; a port is none.
+_LOGIN = re.compile(r"(?:[^:@/?#]*:(?![0-9]{1,5}/)[^@?#]*|[^:@/?#]+)@")
+_HOOK = re.compile(r"(?i)(?:^|[@./-])(?:web)?hooks?(?:[./-]|$)")
 
 
 @cache
@@ -68,17 +74,51 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _account(word: str) -> bool:
+    """Whether the word is a bank account number with right check digits."""
+    return bool(_ACCOUNT.fullmatch(word)) and int("".join(str(int(c, 36)) for c in word[4:] + word[:4])) % 97 == 1
+
+
+def _judged_from(text: str, start: int, end: int) -> int | None:
+    """Where the candidate begins to count; None if it is host or path of an address.
+
+    Logins, what follows ``?`` or ``#``, and the paths of web hooks count.
+    """
+    first = start - len(_BEFORE.search(text, max(0, start - 2000), start).group())
+    run = text[first:end]
+    scheme = run.rfind("://")
+    if scheme < 0:
+        at = run.rfind("@")
+        return start if at < 0 or set("=?#") & set(run[at:start - first]) else None
+    place = scheme + 3
+    whole = text[first + place:_AFTER.match(text, end).end()]
+    login = _LOGIN.match(whole)
+    if login and start < first + place + login.end():
+        return max(start, first + place)
+    marks = [i for i in (run.find("?", place), run.find("#", place)) if i >= 0]
+    if marks and start > first + min(marks) or _HOOK.search(re.split("[?#]", whole)[0]):
+        return max(start, first + place)
+    return None
+
+
 def random_spans(text: str, known: list[tuple[int, int, int]], vocabulary: str = VOCABULARY, below: float = EFFICIENCY) -> list[tuple[int, int, int]]:
     """Further strings of few characters per token; those that touch a known span are left out."""
     found, taken = [], [(s, e) for s, _, e in known]
     for m in _CANDIDATE.finditer(text):
         word = m.group()
-        if not _MIXED.match(word) or _DIGEST.fullmatch(word) or _IDENTIFIER.fullmatch(word):
+        start, letters = m.start(), None
+        if not _MIXED.match(word):
+            letters = max(_LETTERS.findall(word), key=len, default=None)
+            if letters is None:
+                continue
+        if _DIGEST.fullmatch(word) or _IDENTIFIER.fullmatch(word) or _account(word):
             continue
-        if any(s < m.end() and m.start() < e for s, e in taken) or _ADDRESS.search(text, max(0, m.start() - 200), m.end()):
+        if any(s < m.end() and m.start() < e for s, e in taken):
             continue
-        if efficiency(word, vocabulary) < below:
-            found.append((m.start(), 3, m.end()))
+        # strings without a digit are judged by their longest run of letters: signs between short words are no secret
+        if efficiency(letters or word, vocabulary) < below and (start := _judged_from(text, start, m.end())) is not None:
+            if m.end() - start >= LEAST and efficiency(letters or text[start:m.end()], vocabulary) < below:
+                found.append((start, 3, m.end()))
     return found
 
 

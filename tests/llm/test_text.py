@@ -66,6 +66,19 @@ def test_token_efficiency():
     assert secrets.efficiency("internationalization") > secrets.EFFICIENCY > secrets.efficiency("zQ8xV2pL9mK4wR7tY1uB")
 
 
+def test_random_strings_near_addresses():
+    def found(text):
+        return [text[s:e] for s, _, e in secrets.random_spans(text, secrets.base_spans(text))]
+
+    key = "zQ8xV2pL9mK4wR7tY1uB6nC3"
+    assert found(f"postgres://app:{key}@db/x") == [key] and found(f"https://{key}@host/x") == [key]
+    assert found(f'{{"url":"https://a/x","note":"{key}"}}') == [key] and found(f"fetch('https://a/b'),k='{key}'") == [key]
+    assert found(f"https://a/b?{key}") == [key] and found(f"https://hooks.chat.com/services/{key}") != []
+    assert found(f"https://host:8080/a/{key}") == found(f"git@host.org:a/{key}") == found(f"https://a/b/{key}?x=1") == []
+    assert found("DE89370400440532013000 x") == [] and found("qZ47kXvR9mT2wLpB6sYdH x") == ["qZ47kXvR9mT2wLpB6sYdH"]
+    assert found("key zQxVpLmKwRtYuBnCjHgF end") == ["zQxVpLmKwRtYuBnCjHgF"] and found("a-b-c-d-e-f-g-h-i-j internationalization") == []
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "at no charge whatsoever").replace("merge, ", "")
