@@ -178,6 +178,10 @@ def cosine_topk(
     return cell_topk(queries.withColumn("cell", zero), corpus.withColumn("cell", zero), query_id, corpus_id, vector, k)
 
 
+#: Queries that recall is measured on, and tables of signatures, at most, before signatures get shorter.
+RECALL_QUERIES, MOST_TABLES = 64, 64
+
+
 def _nearest(centres: np.ndarray, probes: int):
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
     def nearest(vectors: pd.Series) -> pd.Series:
@@ -196,13 +200,53 @@ def train_cells(corpus: DataFrame, vector: str, seed: int = 7, cells: int | None
     return _unit_rows(model.clusterCenters())
 
 
+def _true_pairs(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors of some queries (those with the least hash) and of their exact neighbours, pair by pair."""
+    some = queries.orderBy(F.xxhash64(vector), query_id).limit(RECALL_QUERIES)
+    found = cosine_topk(some, corpus, query_id, corpus_id, vector, k).select(query_id, corpus_id)
+    asked = some.select(query_id, F.col(vector).alias("_asked"))
+    pairs = corpus.select(corpus_id, vector).join(found, corpus_id).join(asked, query_id).select("_asked", vector).toPandas()
+    if not len(pairs):
+        return np.zeros((0, 1)), np.zeros((0, 1))
+    return _unit_rows(pairs["_asked"]), _unit_rows(pairs[vector])
+
+
+def _probes_for(recall: float, asked: np.ndarray, found: np.ndarray, centres: np.ndarray) -> int:
+    """Probes by which the share ``recall`` of the pairs meets."""
+    if not len(asked):
+        return 1
+    home = np.argmax(found @ centres.T, axis=1)
+    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    needed = np.sort(np.argmax(order == home[:, None], axis=1) + 1)
+    return int(needed[math.ceil(recall * len(needed)) - 1])
+
+
+def _tables_for(recall: float, asked: np.ndarray, found: np.ndarray, bits: int, seed: int) -> tuple[int, int]:
+    """(tables, bits) by which the share ``recall`` of the pairs meets; fewer bits where too many tables would be needed."""
+    while len(asked):
+        planes = np.random.default_rng(seed).standard_normal((MOST_TABLES * bits, asked.shape[1]))
+        same = ((asked @ planes.T > 0) == (found @ planes.T > 0)).reshape(len(asked), MOST_TABLES, bits).all(axis=2)
+        reached = np.maximum.accumulate(same, axis=1).mean(axis=0) >= recall
+        if reached.any():
+            return int(np.argmax(reached)) + 1, bits
+        if bits == 1:
+            return MOST_TABLES, 1
+        bits -= 1
+    return 1, bits
+
+
 def ivf_topk(
     queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int,
-    probes: int = 1, seed: int = 7,
+    probes: int = 1, seed: int = 7, recall: float | None = None,
 ) -> DataFrame:
-    """Approximate top-k: only the ``probes`` nearest cells of a query are searched."""
+    """Approximate top-k: only the ``probes`` nearest cells of a query are searched.
+
+    With ``recall``, as many as some of the queries need to reach it against the exact top-k.
+    """
     queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
     centres = train_cells(corpus, vector, seed)
+    if recall is not None:
+        probes = _probes_for(recall, *_true_pairs(queries, corpus, query_id, corpus_id, vector, k), centres)
     probes = min(probes, len(centres))
     home, near = _nearest(centres, 1), _nearest(centres, probes)
     placed = corpus.withColumn("cell", home(vector)[0])
@@ -212,15 +256,18 @@ def ivf_topk(
 
 def hyperplane_topk(
     queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int,
-    tables: int = 8, bits: int | None = None, seed: int = 7,
+    tables: int = 8, bits: int | None = None, seed: int = 7, recall: float | None = None,
 ) -> DataFrame:
     """Approximate top-k through random-hyperplane signatures in several tables.
 
     Unless told, a signature has half as many bits as the corpus size has, so the share of pairs
-    that are scored falls as the corpus grows.
+    that are scored falls as the corpus grows.  With ``recall``, there are as many tables as some of
+    the queries need to reach it against the exact top-k.
     """
     queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
     bits = bits or max(4, corpus.count().bit_length() // 2)
+    if recall is not None:
+        tables, bits = _tables_for(recall, *_true_pairs(queries, corpus, query_id, corpus_id, vector, k), bits, seed)
     width = corpus.select(F.max(F.size(vector))).first()[0] or 1
     planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
     weights = 1 << np.arange(bits)

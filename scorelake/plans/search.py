@@ -173,13 +173,13 @@ def vector_norms(spark, d):
 
 @query("ann_cells")
 def ann_cells(spark, d):
-    out = R.ivf_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, probes=4)
+    out = R.ivf_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, recall=0.9)
     return rounded(out, 6, "score")
 
 
 @query("ann_hyperplanes")
 def ann_hyperplanes(spark, d):
-    out = R.hyperplane_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K)
+    out = R.hyperplane_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, recall=0.9)
     return rounded(out, 6, "score")
 
 

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from scorelake.operators import chunking as C
 from scorelake.operators import retrieval as R
+from scorelake.plans import search  # noqa: F401  (registers the queries)
+from scorelake.plans.registry import QUERIES
 
 
 def brute_chunks(t, size, overlap):
@@ -106,6 +108,18 @@ def test_approximate_recall(vectors):
     assert len(cells & best) >= 24 and len(planes & best) >= 20
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_of_registered_queries(spark, size):
+    def pairs(name):
+        return {(r.label, r.vec_id) for r in QUERIES[name](spark, f"/root/testdata/{size}").collect()}
+
+    best = pairs("cosine_topk")
+    for name in ("ann_cells", "ann_hyperplanes"):
+        share = len(pairs(name) & best) / len(best)
+        print(size, name, share)
+        assert share >= 0.9
+
+
 def test_quality_and_contexts(spark):
     queries = spark.createDataFrame([(1,), (2,)], "qid long")
     found = spark.createDataFrame([(1, 1, .9, "s", "x" * 30), (1, 2, .5, "s", "y" * 900), (1, 3, .4, "t", "z")],
