@@ -1,9 +1,10 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to one line per block; what the markup itself marks as outside the article
-(menus, forms, adverts, ...) leaves blank lines.  Text lengths, links not counted, are summed over
+(menus, adverts, ...) leaves blank lines, elements that are only named so or are forms just if they
+hold little of the page's text.  Text lengths, links counted inside articles alone, are summed over
 sliding windows of lines.  Where a sum rises from zero a stretch begins, where it falls to zero it
-ends; a stretch with a surge is main text, and everything between its two points is kept.
+ends; stretches with a surge are main text, and everything between the outer points is kept.
 """
 
 from __future__ import annotations
@@ -21,11 +22,13 @@ from scorelake.llm.common import text_of
 
 #: Lines of a window, and the characters in one that make a surge.
 WINDOW, SURGE = 2, 80
+#: Shares of the page's text without links above which a form or an element named as outside stays: a name of its own, and one inside a longer name.
+OWN_NAME, PART_NAME = 2 / 3, 1 / 3
 
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 _OUTSIDE = set(
-    "head title script style noscript template iframe object svg math canvas nav header footer aside form select button textarea dialog menu audio video".split())
+    "head title script style noscript template iframe object svg math canvas nav header footer aside select button textarea dialog menu audio video".split())
 _ENDS_AT_ARTICLE = {"nav", "header", "head", "form", "aside", "footer"}
 _ARTICLE = {"article", "main"}
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "menu", "menubar", "dialog", "alert"}
@@ -35,39 +38,46 @@ _NAMES = re.compile(
 
 
 class _Lines(HTMLParser):
-    """lines: (text, characters outside links, article number; 0 outside any); an empty text is a blank line."""
+    """lines: (text, characters outside links, whether in an article, number of the innermost named element); an empty text is a blank line.
+
+    named: (number of the named element around, share above which it stays); the first is the page.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, bool, int]] = []
         self.parts: list[str] = []
-        self.linked = self.links = 0
+        self.linked = self.links = self.articles = 0
         self.skipped: str | None = None
         self.depth = 0
-        self.open: list[int] = []
-        self.articles = 0
+        self.named: list[tuple[int, float]] = [(0, 0.0)]
+        self.inside: list[list] = []  # tag, depth, number
 
     def _flush(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            self.lines.append((text, max(0, len(text) - self.linked), self.open[-1] if self.open else 0))
+            self.lines.append((text, max(0, len(text) - self.linked), self.articles > 0, self.inside[-1][2] if self.inside else 0))
         self.parts, self.linked = [], 0
 
     def _gap(self) -> None:
         self._flush()
-        self.lines += [("", 0, 0)] * WINDOW
+        self.lines += [("", 0, False, 0)] * WINDOW
 
-    def _outside(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
+    def _outside(self, tag: str, told: dict[str, str | None]) -> bool:
         if tag in _OUTSIDE:
             return True
-        if tag in _ARTICLE and not self.open or tag in ("html", "body"):
+        if tag in _ARTICLE and not self.articles or tag in ("html", "body"):
             return False
-        told = dict(attrs)
-        return (
-            told.get("role", "") in _ROLES or "hidden" in told or told.get("aria-hidden") == "true"
-            or "display:none" in (told.get("style") or "").replace(" ", "").lower()
-            or bool(_NAMES.search(f"{told.get('class') or ''} {told.get('id') or ''}"))
-        )
+        return "hidden" in told or told.get("aria-hidden") == "true" or "display:none" in (told.get("style") or "").replace(" ", "").lower()
+
+    def _stays_above(self, tag: str, told: dict[str, str | None]) -> float:
+        """The share of the page's text above which the element stays; 0 if nothing names it as outside."""
+        if tag in _ARTICLE and not self.articles or tag in ("html", "body"):
+            return 0.0
+        words = f"{told.get('class') or ''} {told.get('id') or ''}".split()
+        if tag == "form" or told.get("role", "") in _ROLES or any(_NAMES.fullmatch(w) for w in words):
+            return OWN_NAME
+        return PART_NAME if any(_NAMES.search(w) for w in words) else 0.0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.skipped:
@@ -77,17 +87,25 @@ class _Lines(HTMLParser):
                 self.skipped = None
             if self.skipped:
                 return
-        if tag not in _VOID and self._outside(tag, attrs):
-            self._flush() if self.open else self._gap()
+        told = dict(attrs)
+        if tag not in _VOID and self._outside(tag, told):
+            self._flush() if self.articles else self._gap()
             self.skipped, self.depth = tag, 1
             return
+        if tag in _ARTICLE | {"body"} and self.inside and self.inside[-1][0] == "form":
+            self._gap()
+            self.inside.pop()
+        for held in self.inside:
+            held[1] += tag == held[0]
+        if tag not in _VOID and (share := self._stays_above(tag, told)):
+            self._flush()
+            self.named.append((self.inside[-1][2] if self.inside else 0, share))
+            self.inside.append([tag, 1, len(self.named) - 1])
         if tag == "a":
             self.links += 1
         if tag in _ARTICLE:
-            self._gap() if not self.open else self._flush()
-            if not self.open:
-                self.articles += 1
-            self.open.append(self.articles)
+            self._flush() if self.articles else self._gap()
+            self.articles += 1
         elif tag not in _INLINE:
             self._flush()
 
@@ -104,13 +122,36 @@ class _Lines(HTMLParser):
             return
         if tag == "a":
             self.links = max(0, self.links - 1)
-        if tag in _ARTICLE and self.open:
+        if tag in _ARTICLE and self.articles:
             self._flush()
-            self.open.pop()
-            if not self.open:
+            self.articles -= 1
+            if not self.articles:
                 self._gap()
         elif tag not in _INLINE:
             self._flush()
+        for held in self.inside:
+            held[1] -= tag == held[0]
+        while self.inside and any(not held[1] for held in self.inside):  # what is left open inside ends with it
+            self._flush()
+            self.inside.pop()
+
+    def kept(self) -> list[tuple[str, int, bool]]:
+        """The lines, with blank ones for named elements of little text; inside an article these leave none."""
+        own = [0] * len(self.named)
+        for _, n, _, of in self.lines:
+            own[of] += n
+        for k in range(len(own) - 1, 0, -1):
+            own[self.named[k][0]] += own[k]
+        gone = [False] * len(own)
+        for k in range(1, len(own)):
+            gone[k] = gone[self.named[k][0]] or own[k] < own[0] and own[k] <= max(SURGE, self.named[k][1] * own[0])
+        out: list[tuple[str, int, bool]] = []
+        for text, n, article, of in self.lines:
+            if not gone[of]:
+                out.append((text, n, article))
+            elif not article:
+                out += [("", 0, False)] * WINDOW
+        return out
 
     def handle_data(self, data: str) -> None:
         if not self.skipped:
@@ -141,18 +182,12 @@ def main_text(html: str | None, window: int = WINDOW, surge: int = SURGE) -> str
     reader.feed(html or "")
     reader.close()
     reader._flush()
-    lines = reader.lines
-    found = stretches(np.array([n for _, n, _ in lines], float), window)
+    lines = reader.kept()
+    found = stretches(np.array([len(text) if article else n for text, n, article in lines], float), window)
     if not found:
         return ""
-    highest = max(found, key=lambda x: x[2])
-    article = lines[highest[0]][2]
-    if not article and (within := [x for x in found if lines[x[0]][2] and x[2] >= surge]):
-        highest = max(within, key=lambda x: x[2])
-        article = lines[highest[0]][2]
-    if article:  # the whole article: its own blank lines stand for what was cut out of it
-        return " ".join(text for text, _, of in lines if text and of == article)
-    kept = [x for x in found if x[2] >= surge] or [highest]
+    main = [x for x in found if x[2] >= surge] or [max(found, key=lambda x: x[2])]
+    kept = [x for x in found if main[0][0] <= x[0] and x[1] <= main[-1][1]]
     return " ".join(text for first, end, _ in kept for text, _, _ in lines[first:end] if text)
 
 

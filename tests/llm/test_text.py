@@ -27,6 +27,17 @@ def test_main_text(html, text):
     assert html_blocks.main_text(html) == text
 
 
+@pytest.mark.parametrize("html, text", [
+    (f"<div><h1>T</h1>{P}{P}</div><article>{P}</article>", f"T {L} {L} {L}"),
+    (f"<article>{P}<p>a</p></article><article>{P}<p>b</p></article><article>{P}</article>", f"{L} a {L} b {L}"),
+    (f'<div class="has-sidebar"><p>T</p>{P}<div class="sidebar">{P[:60]}</p></div></div>', f"T {L}"),
+    (f'<div class="no-nav">{P}</div>', L), (f'<div id="content-search">{P}</div>', L),
+    (f'<form action="x"><div>{P}</div></form>', L),
+])
+def test_line_sums_decide(html, text):
+    assert html_blocks.main_text(html) == text
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article>{P}</article>", 5), (None, None, None, 6), (2, "v", "<p>" + "w " * 100_000 + "</p>", 7)]
     got = {r.page_id: (r.text, r.n_chars) for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
@@ -91,6 +102,24 @@ def test_licenses(spark):
     assert licenses.licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_licenses_in_any_surroundings():
+    rnd, index = random.Random(6), licenses.Index(licenses.TEMPLATES)
+
+    def found(text):
+        return [r[2] for r in licenses.scan(index, [text.encode()], _powers(CHUNK))[0]]
+
+    for _ in range(60):
+        before, after = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(5)) for _ in range(2))
+        for line in ("distributed under the MIT License", "Released under MIT License"):
+            assert found(f"{before} {line} {after}") == ["MIT-line"]
+    mit = licenses.TEMPLATES["MIT"].split()
+    assert found(" ".join(mit[:35] + [f"x{i}" for i in range(20)] + mit[35:])) == ["MIT"]
+    assert found(" ".join("rem " + w if i % 6 == 0 else w for i, w in enumerate(mit))) == ["MIT"]
+    assert found("# " + licenses.TEMPLATES["MIT"] + " " + licenses.TEMPLATES["MIT"]) == ["MIT", "MIT"]
+    for name, text in licenses.TEMPLATES.items():
+        assert found(text) == [name]
+
+
 def test_licenses_against_plain_search(spark):
     lines = {n: t.rstrip(".").lower() for n, t in licenses.TEMPLATES.items() if n.endswith("line")}
     docs = spark.read.parquet(f"{LARGER}/documents.parquet")
