@@ -20,7 +20,9 @@ from scorelake.llm.decontaminate import CHUNK, Words, _chunks, _powers, winnowed
 
 #: Words of a gram, and grams of a winnowing window: every 5 shared words hold a kept gram.
 GRAM, WINDOW = 3, 3
-#: Words that an alignment may drift to either side, and the share of a template's words it must cover.
+#: Templates of fewer words are found by grams of two words, all of them kept: what covers them without insertions holds one.
+SHORT, SHORT_GRAM = 20, 2
+#: Words that an alignment may drift to either side (a fourth of a longer template), and the share of a template's words it must cover.
 BAND, COVERAGE = 8, 0.8
 #: Grams of all templates, at most; 24 bytes each.
 INDEX_GRAMS = 1_000_000
@@ -54,6 +56,23 @@ TEMPLATES = {
         "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
         "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above "
         "copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "AGPL-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the "
+        "Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    "LGPL-notice": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the "
+        "Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by "
+        "this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the "
+        "Software, and to permit third-parties to whom the Software is furnished to do so"),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this "
+        "software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the "
+        "use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions"),
     "MPL-2.0-notice": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
         "obtain one at https://mozilla.org/MPL/2.0/."),
@@ -68,13 +87,16 @@ class Index:
         raw = [templates[n].encode() for n in self.names]
         words = Words(raw, _powers(sum(map(len, raw)) + len(raw) + 1))
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-        h, valid = words.grams(GRAM)
-        at = np.flatnonzero(valid)  # all grams of a template: a document keeps only winnowed ones
-        if len(at) > INDEX_GRAMS:
+        size = np.array([len(w) for w in self.words], np.int64)
+        #: Per gram size: sorted hashes, their templates and places; all grams of a template.
+        self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for gram, wanted in ((GRAM, size >= SHORT), (SHORT_GRAM, size < SHORT)):
+            h, valid = words.grams(gram)
+            at = np.flatnonzero(valid & wanted[words.text[:len(h)]])
+            at = at[np.argsort(h[at], kind="stable")]
+            self.grams[gram] = h[at], words.text[at], at - words.first[words.text[at]]
+        if sum(len(h) for h, _, _ in self.grams.values()) > INDEX_GRAMS:
             raise ValueError("too many license templates for an index that every task holds")
-        order = np.argsort(h[at], kind="stable")
-        self.hash, at = h[at][order], at[order]
-        self.template, self.place = words.text[at], at - words.first[words.text[at]]
 
 
 def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int, int]:
@@ -103,7 +125,7 @@ def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int,
 
 def _band(size: int) -> int:
     """Short templates drift less, so that neighbouring copies stay apart."""
-    return min(BAND, size // 2)
+    return min(max(BAND, size // 4), size // 2)
 
 
 def _stretches(index: Index, words: Words, of: int) -> Iterator[tuple[int, int, int]]:
@@ -112,22 +134,30 @@ def _stretches(index: Index, words: Words, of: int) -> Iterator[tuple[int, int,
     for template, place, near in words.hits.get(of, ()):
         size = len(index.words[template])
         drift = _band(size)
-        yield template, max(first, near - place - drift), min(last, near - place + size + drift)
+        start = near - place
+        yield template, max(first, start - drift), min(last, start + size + drift)
+        if size >= SHORT:  # words put in between move the rest to later diagonals: up to there it is one stretch
+            later = max((n - p for t, p, n in words.hits[of] if t == template and start < n - p < start + size * 3 // 4), default=start)
+            if later > start:
+                yield template, max(first, start - drift), min(last, later + size + drift)
 
 
 def scan(index: Index, texts: list[bytes], powers) -> list[list[tuple]]:
     """Per text (template, start, end, matched, coverage); bytes offsets of the first and last matched word."""
     words = Words(texts, powers)
-    h, valid = words.grams(GRAM)
-    at = winnowed(h, valid, WINDOW)
-    low, high = np.searchsorted(index.hash, h[at]), np.searchsorted(index.hash, h[at], side="right")
     words.hits = defaultdict(dict)
-    for k in np.flatnonzero(high > low).tolist():
-        of = int(words.text[at[k]])
-        for e in range(int(low[k]), int(high[k])):
-            template, place = int(index.template[e]), int(index.place[e])
-            # hits of one template on neighbouring diagonals are one candidate
-            words.hits[of].setdefault((template, (int(at[k]) - place) // max(1, _band(len(index.words[template])) // 2)), (template, place, int(at[k])))
+    for gram, (known, templates, places) in index.grams.items():
+        h, valid = words.grams(gram)
+        at = winnowed(h, valid, WINDOW) if gram == GRAM else np.flatnonzero(valid)
+        low = np.searchsorted(known, h[at])
+        hit = np.flatnonzero(known[np.minimum(low, len(known) - 1)] == h[at]) if len(known) else np.zeros(0, np.int64)
+        high = np.searchsorted(known, h[at[hit]], side="right")
+        for k, top in zip(hit.tolist(), high.tolist()):
+            of = int(words.text[at[k]])
+            for e in range(int(low[k]), top):
+                template, place = int(templates[e]), int(places[e])
+                # hits of one template on neighbouring diagonals are one candidate
+                words.hits[of].setdefault((template, (int(at[k]) - place) // max(1, min(BAND, len(index.words[template]) // 2) // 2)), (template, place, int(at[k])))
     out: list[list[tuple]] = []
     for of in range(len(texts)):
         found = []
