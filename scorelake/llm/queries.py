@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scorelake.llm import (
-    decontaminate, exact_dedup, html_blocks, licenses, packing, secrets, simhash_dedup, suffix_dedup, token_files, toxicity,
+    decontaminate, exact_dedup, html_blocks, licenses, packing, secrets, simhash_dedup, suffix_dedup, token_files, toxicity, trie,
 )
 from scorelake.llm.common import table
 
@@ -92,3 +92,47 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of documents packed into sequences."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+OP13_SQL = r"""
+WITH t AS (
+    SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos, digest, words
+    FROM (SELECT conv_id, turn, sha256(length(r) || ':' || r || x) AS digest, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS words
+          FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x FROM conversations WHERE conv_id IS NOT NULL))
+), c AS (
+    SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base, xor(4294967295, list_reduce(
+        list_concat([4294967295], [(ascii(s[(1 + i // 8)::INTEGER]) >> (i % 8)::INTEGER) & 1 FOR i IN range(8 * length(s))]),
+        lambda a, b: xor(a >> 1, 3988292384 * (xor(a, b) & 1)))) % 4 AS h
+    FROM (SELECT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t) GROUP BY conv_id, s
+), m AS (
+    SELECT c.*, least(c.h, coalesce(b.n, 0)) AS taken, least(c.h, coalesce(b.n, 0)) + greatest(c.n - c.h, 0) AS length
+    FROM c LEFT JOIN c b ON b.conv_id = c.base
+), turns AS (
+    SELECT m.conv_id, pos + 1 AS d, digest, words, length FROM m JOIN t ON t.conv_id = m.base AND pos < h
+    UNION ALL
+    SELECT m.conv_id, pos - h + taken + 1, digest, words, length FROM m JOIN t ON t.conv_id = m.conv_id AND pos >= h
+), p AS (
+    SELECT conv_id, d, words, length, sha256(string_agg(digest, ',') OVER (PARTITION BY conv_id ORDER BY d)) AS k FROM turns
+    UNION ALL SELECT conv_id, 0, 0, length, '' FROM m
+), nodes AS (
+    SELECT d, k, min(conv_id) AS conv_id, count(*) AS n_convs, min(words) AS words,
+           sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = length), '')) AS ends_sha256
+    FROM p GROUP BY d, k
+), linked AS (
+    SELECT n.*, u.conv_id AS parent_conv_id, u.k AS up
+    FROM nodes n LEFT JOIN p a ON a.conv_id = n.conv_id AND a.d = n.d - 1 LEFT JOIN nodes u ON u.d = a.d AND u.k = a.k
+), kids AS (
+    SELECT n.d, n.k, count(l.k) AS n_children FROM nodes n LEFT JOIN linked l ON l.d = n.d + 1 AND l.up = n.k GROUP BY n.d, n.k
+), sums AS (
+    SELECT a.d, a.k, CAST(sum(CAST(q.n_children = 0 AS INTEGER)) AS BIGINT) AS n_leaves, CAST(sum((n.n_convs - 1) * n.words) AS BIGINT) AS saved_tokens
+    FROM nodes n JOIN kids q ON q.d = n.d AND q.k = n.k JOIN p a ON a.conv_id = n.conv_id AND a.d <= n.d GROUP BY a.d, a.k
+)
+SELECT l.conv_id, l.d AS depth, l.parent_conv_id, l.n_convs, q.n_children, s.n_leaves, s.saved_tokens, l.ends_sha256
+FROM linked l JOIN kids q ON q.d = l.d AND q.k = l.k JOIN sums s ON s.d = l.d AND s.k = l.k
+"""
+
+
+@query("op13_conversation_trie", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of rebuilt conversations with subtree totals."""
+    return trie.trie(table(spark, sf_dir, "conversations"))
