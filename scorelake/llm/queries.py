@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scorelake.llm import (
-    decontaminate, exact_dedup, html_blocks, licenses, packing, secrets, simhash_dedup, suffix_dedup, token_files, toxicity, trie,
+    alignment, decontaminate, exact_dedup, html_blocks, licenses, packing, secrets, simhash_dedup, suffix_dedup, token_files, toxicity, trie,
+    window_dedup,
 )
 from scorelake.llm.common import table
 
@@ -94,6 +96,37 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+OP11_SQL = r"""
+WITH w AS (
+    SELECT doc_id, i, list[i] AS word, CASE WHEN i + 34 <= len(list) THEN md5(array_to_string(list[i:i + 34], ' ')) END AS k
+    FROM (SELECT doc_id, list, unnest(range(1, len(list) + 1)) AS i
+          FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS list FROM documents))
+), f AS (
+    SELECT doc_id, i, word, k IS NOT NULL AND count(*) OVER (PARTITION BY k) > 1 AS twice FROM w
+), g AS (
+    SELECT doc_id, i, word, bool_or(twice) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f
+), d AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept
+    FROM g GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+
+@query("op11_window_dedup", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that repeated windows cover."""
+    found = window_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links between the tokens of two vocabularies in each document."""
+    return alignment.token_links(table(spark, sf_dir, "documents"))
+
+
 OP13_SQL = r"""
 WITH t AS (
     SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, digest) - 1 AS pos, digest, words

@@ -29,7 +29,7 @@ _BYTE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_DIGITS}]+| ?[^
 _WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^{_SPACE}{_LETTERS}{_DIGITS}]+")
 
 
-def _byte_names() -> dict[int, str]:
+def byte_names() -> dict[int, str]:
     """Byte-level vocabularies write each byte as one visible character."""
     visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
     hidden = [b for b in range(256) if b not in visible]
@@ -39,11 +39,13 @@ def _byte_names() -> dict[int, str]:
 class Encoder:
     """ids(text): little-endian unsigned 32-bit ids as bytes."""
 
-    def __init__(self, path: str, lower: bool):
+    def __init__(self, path: str, lower: bool, plain: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
-        self.model, self.lower, self.names, self.seen = self.whole.model, lower, _byte_names(), _Seen(self)
+        self.whole.encode_special_tokens = plain
+        # a text that may hold the string of an added token goes through the library whole
+        self.added = () if plain else tuple(t.content.lower() for t in self.whole.get_added_tokens_decoder().values())
+        self.model, self.lower, self.names, self.seen = self.whole.model, lower, byte_names(), _Seen(self)
         self.cut = (_WORD if lower else _BYTE).findall
 
     def piece(self, piece: str) -> bytes:
@@ -53,7 +55,7 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text):
+        if not _PLAIN.fullmatch(text) or self.added and any(map(text.lower().__contains__, self.added)):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.seen.__getitem__, self.cut(text.lower() if self.lower else text)))
 
@@ -69,11 +71,15 @@ class _Seen(dict):
         return found
 
 
-_encoders: dict[tuple[str, bool], Encoder] = {}
+_encoders: dict[tuple[str, bool, bool], Encoder] = {}
 
 
-def encoder(file: str, lower: bool) -> Encoder:
-    """One per worker; its memory serves all tasks of that worker."""
-    if (file, lower) not in _encoders:
-        _encoders[file, lower] = Encoder(file if os.path.isabs(file) else public_tokenizers.path(file), lower)
-    return _encoders[file, lower]
+def encoder(file: str, lower: bool, plain: bool = False) -> Encoder:
+    """One per worker; its memory serves all tasks of that worker.
+
+    ``plain``: strings of special tokens inside a text are ordinary text; else they get their own ids,
+    as the library does unless told otherwise.
+    """
+    if (file, lower, plain) not in _encoders:
+        _encoders[file, lower, plain] = Encoder(file if os.path.isabs(file) else public_tokenizers.path(file), lower, plain)
+    return _encoders[file, lower, plain]
