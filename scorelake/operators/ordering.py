@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.operators.merging import in_order, together
 from scorelake.session import kept, shuffle_width
 
 
@@ -101,22 +102,23 @@ def value_positions(
 
 def row_positions(
     df: DataFrame, order: str, by: Sequence[str] = (), name: str = "position",
-    ties: Sequence[str] = (), buckets: int | None = None,
+    ties: Sequence[str] = (),
 ) -> DataFrame:
-    """Adds the 0-based position of every row inside its group, ordered by ``order``."""
-    by = list(by)
-    spread = _with_bucket(df, order, cut_points(df, order, buckets))
-    cells = spread.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_cell_rows"))
-    offsets = _cell_offsets(cells, by)
-    keys = [*by, "_bucket"]
-    right = offsets.select(*[F.col(k).alias(f"_o_{k}") for k in keys], "_offset")
-    met = F.lit(True)
-    for k in keys:
-        # a missing group key is a group of its own here, so no row is lost
-        met = met & (F.col(k).eqNullSafe(F.col(f"_o_{k}")) if k in by else F.col(k) == F.col(f"_o_{k}"))
-    placed = spread.join(right, met)
-    local = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))
-    return placed.withColumn(name, F.col("_offset") + local - 1).drop("_bucket", "_offset", *[f"_o_{k}" for k in keys])
+    """Adds the 0-based position of every row inside its group, ordered by ``order``, then ``ties``.
+
+    The rows are cut by range over group, order, ties and a hash of the row, so neither a busy group nor
+    a value that half of the rows share fills one task; a border element in front of each group says
+    where its count begins.  A missing group key is a group of its own, missing values come first.
+    """
+    by, names = list(by), df.columns
+    rows = df.select(*names, F.lit(1).alias("_row"), F.xxhash64(*[c for c in names if _hashable(df, c)]).alias("_salt"), F.lit(1).alias("weight"))
+    borders = df.select(*by).distinct().select(*by, F.lit(0).alias("_row"), F.lit(0).alias("weight"), F.lit(True).alias("marked"))
+    placed = in_order(together(rows, borders) if by else rows, [*by, "_row", order, *ties, "_salt"], "positions")
+    return placed.where("_row = 1").select(*names, (F.col("since") - 1).alias(name))
+
+
+def _hashable(df: DataFrame, column: str) -> bool:
+    return not any(t in df.schema[column].dataType.simpleString() for t in ("map<", "variant"))
 
 
 def _at(position: Column, value: str) -> Column:

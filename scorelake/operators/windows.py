@@ -7,7 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scorelake.operators.merging import in_order, together
 from scorelake.operators.ordering import row_positions
+from scorelake.session import kept
 
 
 def within_budget(df: DataFrame, by: Sequence[str], rank: str, length: Column, budget: int) -> DataFrame:
@@ -42,20 +44,28 @@ def trailing_count(
     """Events of the key in the last ``seconds`` up to and including each event, and
     optionally the time of the oldest of them.
 
-    Time is cut into buckets of the window's length and every event also enters the next
-    bucket as history, so a window only ever covers one bucket of one key, however hot.
+    Equal times of a key are counted together first.  Newest first, each (key, time) and the question
+    how many lie at or after (key, time - seconds) are sorted as one; the answer is the difference of
+    two running counts, and the last event before the question is the oldest.  No window of a key or an
+    hour is ever formed, so a busy hour spreads over all ranges.  Events without a time are in no
+    window; events without a key share one.
     """
-    span = seconds * 1_000_000
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    placed = df.withColumn("_us", micros).withColumn("_b", F.floor(F.col("_us") / span))
-    both = placed.withColumn("_step", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
-        "_bucket", F.col("_b") + F.col("_step")
-    )
-    frame = Window.partitionBy(*keys, "_bucket").orderBy("_us").rangeBetween(-span, 0)
-    counted = both.withColumn(name, F.count(F.lit(1)).over(frame))
-    if oldest:
-        counted = counted.withColumn(oldest, F.timestamp_micros(F.min("_us").over(frame)))
-    return counted.where(F.col("_step") == 0).drop("_us", "_b", "_step", "_bucket")
+    keys = list(keys)
+    here = df.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    times = kept(here.where(F.col("_us").isNotNull()).groupBy(*keys, "_us").agg(F.count(F.lit(1)).alias("weight")))
+    events = times.select(
+        *keys, "_us", F.col("_us").alias("_of"), "weight", F.lit(True).alias("marked"), F.col("_us").alias("carry"), F.col("weight").alias("_own"))
+    asked = times.select(*keys, (F.col("_us") - seconds * 1_000_000).alias("_us"), F.col("_us").alias("_of"), F.lit(0).alias("weight"))
+    newest_first = [*[F.col(k).desc() for k in keys], F.col("_us").desc(), F.col("_own").desc_nulls_last()]
+    placed = in_order(together(events, asked), newest_first, "trailing")
+    answers = kept(placed.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], "_of").agg(
+        (F.max(F.when(F.col("_own").isNull(), F.col("upto"))) - F.max(F.col("upto") - F.col("_own"))).alias("_n"),
+        F.max(F.when(F.col("_own").isNull(), F.col("last"))).alias("_oldest")))
+    met = F.col("_us") == F.col("_of")
+    for k in keys:
+        met = met & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    added = {name: F.coalesce("_n", F.lit(0)), **({oldest: F.timestamp_micros("_oldest")} if oldest else {})}
+    return here.join(answers, met, "left").withColumns(added).drop("_us", "_of", "_n", "_oldest", *[f"_k_{k}" for k in keys])
 
 
 def activity_islands(

@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from scorelake.operators.windows import activity_islands, trailing_count
+from scorelake.streaming.refusals import NEVER, decided
 
 MICROS = 1_000_000
 
@@ -114,12 +115,28 @@ def rate_limit(
     df: DataFrame, identifier: str, ts: str, request_id: str, checks: Sequence[Check],
     block_seconds: int = BLOCK_SECONDS,
 ) -> DataFrame:
-    """Decision for every request of a log, in event-time order per identifier.
+    """Decision for every request of a log, in event-time order per identifier, ties by ``request_id``.
 
-    A pause longer than every window and the block clears the state, so stretches between
-    such pauses are independent and spread over tasks.  Within one stretch rows stream
-    through sorted, holding only the gate's own bounded state.
+    Refusals are linked and followed by pointer doubling (``refusals``), so a busy identifier is dealt
+    out over all tasks.  A block shorter than a window lets older requests count after it; then a refusal
+    does not settle the next one alone, and the log is decided stretch by stretch in ``_one_by_one``.
+    Requests without an identifier share one; those without a time count as made before all others.
     """
+    if block_seconds * MICROS < max(c.window for c in checks):
+        return _one_by_one(df, identifier, ts, request_id, checks, block_seconds)
+    when = F.col(ts).cast("timestamp")
+    slim = df.select(
+        F.col(identifier).alias("who"), F.coalesce(F.unix_micros(when), F.lit(NEVER)).alias("us"), F.col(request_id).alias("request"), when.alias("ts"))
+    out = decided(slim, checks, block_seconds)
+    return out.select(
+        F.col("who").alias(identifier), F.col("request").alias(request_id), F.col("ts").alias(ts), (F.col("reason") == "admitted").alias("allowed"), "reason")
+
+
+def _one_by_one(
+    df: DataFrame, identifier: str, ts: str, request_id: str, checks: Sequence[Check], block_seconds: int
+) -> DataFrame:
+    """The gate run over each stretch between pauses that clear its state; rows stream through sorted,
+    holding only the gate's own bounded state."""
     quiet = max(block_seconds, *[c.window // MICROS for c in checks])
     slim = df.select(identifier, request_id, F.col(ts).cast("timestamp").alias(ts))
     islands = activity_islands(slim, [identifier], ts, quiet)

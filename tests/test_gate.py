@@ -164,3 +164,28 @@ def test_session_stream(spark, tmp_path):
 def test_islands_cover_every_row(spark):
     rows = log(8, 300)
     assert activity_islands(frame(spark, rows), ["who"], "ts", 3600).count() == len(rows)
+
+
+@pytest.mark.parametrize("checks", [CASES[0], [L.Check("a_per_minute", 3), L.Check("b_per_hour", 3)], [L.Check("a_per_hour", 2), L.Check("b_per_hour", 3)],
+                                    [L.Check("a_per_hour", 3), L.Check("b_per_hour", 2)], [L.Check("b_per_hour", 4), L.Check("a_per_minute", 2)]])
+def test_linked_refusals_equal_row_by_row(spark, checks):
+    """Steps of whole windows and many equal times, where a request at the edge of the window counts or not."""
+    rng = np.random.default_rng(7)
+    rows, clock = [], {}
+    for i in range(4000):
+        who = ["hot", None, f"u{i % 40}"][rng.integers(0, 3)]
+        clock[who] = clock.get(who, 0) + int(rng.choice([0, 0, 0, 60, 1800, 3600, 3601]))
+        rows.append((who, i, clock[who] * SECOND))
+    got = L.rate_limit(frame(spark, rows), "who", "ts", "rid", checks).collect()
+    assert {r.rid: r.reason for r in got} == expected_of(rows, checks) and len(got) == len(rows)
+
+
+def test_short_block_goes_one_by_one(spark):
+    rows = log(3, 300)
+    got = L.rate_limit(frame(spark, rows), "who", "ts", "rid", CASES[1], block_seconds=600).collect()
+    expected = {}
+    for who in {r[0] for r in rows}:
+        mine = sorted((us, rid) for w, rid, us in rows if w == who)
+        for (_, rid), v in zip(mine, one_by_one([us for us, _ in mine], CASES[1], 600)):
+            expected[rid] = ["admitted", "limit", "blocked"][v]
+    assert {r.rid: r.reason for r in got} == expected
