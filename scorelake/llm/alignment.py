@@ -19,7 +19,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import chain, groupby
 
 import numpy as np
 import public_tokenizers
@@ -37,9 +37,9 @@ from scorelake.llm.tokens import byte_names, encoder
 
 FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text that one chunk of documents holds; a longer text is taken alone.
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 #: Stretches, and characters of stretches, that a worker remembers.
-STRETCHES, CHARACTERS = 400_000, 12 << 20
+STRETCHES, CHARACTERS = 250_000, 8 << 20
 #: Products that are formed before they are added up.
 PRODUCTS = 1 << 21
 
@@ -115,14 +115,17 @@ class Aligner:
         back = {c: b for b, c in byte_names().items()}
         names = self.first.whole.get_vocab()
         self.size = max(names.values()) + 1
-        self.bytes = [b""] * self.size
+        raw = [b""] * self.size
         for name, number in names.items():
-            self.bytes[number] = bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
+            raw[number] = bytes(back[c] for c in name) if all(c in back for c in name) else name.encode()
         pieces = [self.second.id_to_piece(i) for i in range(self.second.get_piece_size())]
-        self.pieces = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.width = len(pieces)
         self.space = self.second.piece_to_id("▁")
-        self.lengths = [np.array([len(x) for x in t], np.int64) for t in (self.bytes, self.pieces)]
+        self.bytes = [_table(t) for t in (raw, [
+            bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)])]
+        # an id's text after each mark that can stand before it
+        self.said_a = np.array([[f"{mark}{i}" for i in range(self.size)] for mark in (",", ";", "\n")], object)
+        self.said_b = np.array([[f"{mark}{i}" for i in range(self.width)] for mark in (",", "|")], object)
         self.forget()
 
     def forget(self) -> None:
@@ -138,10 +141,10 @@ class Aligner:
             return _CUT.split(spaced)
         return spaced.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")[1:]
 
-    def _second(self, stretch: str) -> list[int]:
-        if stretch[0] == " ":
-            return self.second.encode(stretch[1:]) if len(stretch) > 1 else [self.space]
-        return self.second.encode(stretch)[1:]  # a line end: no token joins it to the space put in front
+    def _seconds(self, stretches: list[str]) -> list[list[int]]:
+        ids = self.second.encode([s[1:] if s[0] == " " else s for s in stretches], num_threads=1)
+        # a line end: no token joins it to the space put in front; a space alone is not encoded
+        return [([self.space] if s == " " else x) if s[0] == " " else x[1:] for s, x in zip(stretches, ids)]
 
     def learn(self, texts: list[list[str]]) -> None:
         """Aligns the stretches that are not remembered yet."""
@@ -154,21 +157,31 @@ class Aligner:
         if not old:
             return
         self.characters += size
-        a, b, good = [], [], []
-        for stretch in (old := list(old)):
-            x, y, raw = np.frombuffer(self.first.ids(stretch), "<u4").tolist(), self._second(stretch), stretch.encode("utf-8", "surrogatepass")
-            fits = b"".join(map(self.bytes.__getitem__, x)) == raw and b"".join(map(self.pieces.__getitem__, y)) == raw
-            good.append(fits)
-            a.append(x if fits else [])
-            b.append(y if fits else [])
-        self._align(a, b)
+        old = list(old)
+        raw = [s.encode("utf-8", "surrogatepass") for s in old]
+        long = np.array([len(r) for r in raw], np.int64)
+        joined = np.frombuffer(b"".join(raw), np.uint8)
+        firsts, seconds = [self.first.ids(s) for s in old], self._seconds(old)
+        sides = [
+            (np.array([len(x) // 4 for x in firsts], np.int64), np.frombuffer(b"".join(firsts), "<u4").astype(np.int64)),
+            (np.array([len(x) for x in seconds], np.int64), np.fromiter(chain.from_iterable(seconds), np.int64))]
+        good = np.ones(len(old), bool)
+        for (n, ids), (pointers, held) in zip(sides, self.bytes):
+            good &= np.bincount(np.repeat(np.arange(len(old)), n), np.diff(pointers)[ids], len(old)).astype(np.int64) == long
+        for (n, ids), (pointers, held) in zip(sides, self.bytes):
+            own = np.repeat(np.arange(len(old)), long)
+            stays = good[own]
+            given = _gather(held, pointers, ids[np.repeat(good, n)])
+            good[own[stays][given != joined[stays]]] = False
+        sides = [(np.where(good, n, 0), ids[np.repeat(good, n)]) for n, ids in sides]
+        self._align(*sides[0], *sides[1])
         self.good = np.concatenate([self.good, good])
         self.known.update(zip(old, range(len(self.known), len(self.known) + len(old))))
 
-    def _align(self, a: list[list[int]], b: list[list[int]]) -> None:
-        own_a, own_b = (np.repeat(np.arange(len(x)), [len(ids) for ids in x]) for x in (a, b))
-        ids_a, ids_b = (np.array([i for ids in x for i in ids], np.int64) for x in (a, b))
-        long_a, long_b = self.lengths[0][ids_a], self.lengths[1][ids_b]
+    def _align(self, n_a: np.ndarray, ids_a: np.ndarray, n_b: np.ndarray, ids_b: np.ndarray) -> None:
+        many = len(n_a)
+        own_a, own_b = np.repeat(np.arange(many), n_a), np.repeat(np.arange(many), n_b)
+        long_a, long_b = np.diff(self.bytes[0][0])[ids_a], np.diff(self.bytes[1][0])[ids_b]
         total = int(long_a.sum())
         one = np.ones(total, np.int64)
         covers = Rows(np.concatenate([[0], np.cumsum(long_a)]), np.arange(total), one)
@@ -186,17 +199,24 @@ class Aligner:
         links = product(Rows.of(row, group_a, len(rows)), Rows.of(group_b, ids_b, groups))
         pair = np.repeat(rows % self.size, np.diff(links.pointers)) * self.width + links.columns
         owner = np.repeat(rows // self.size, np.diff(links.pointers))
-        pointers = np.searchsorted(owner, np.arange(1, len(a) + 1))
+        pointers = np.searchsorted(owner, np.arange(1, many + 1))
         self.pairs = Rows(np.concatenate([self.pairs.pointers, self.pairs.pointers[-1] + pointers]), np.concatenate([self.pairs.columns, pair]), np.concatenate([self.pairs.values, links.values]))
         own_g = np.zeros(groups, np.int64)
         own_g[group_a] = own_a
-        numbers = [np.bincount(own_a, minlength=len(a)), np.bincount(own_b, minlength=len(a)), np.bincount(own_g, minlength=len(a)), np.bincount(owner, links.values, len(a)).astype(np.int64)]
+        numbers = [n_a, n_b, np.bincount(own_g, minlength=many), np.bincount(owner, links.values, many)]
         self.numbers = np.concatenate([self.numbers, np.stack(numbers, 1).astype(np.int64)])
-        edge_a, edge_b = (np.searchsorted(g, np.arange(groups + 1)).tolist() for g in (group_a, group_b))
-        said_a, said_b = ([str(i) for i in x.tolist()] for x in (ids_a, ids_b))
-        said = [",".join(said_a[p:q]) + "|" + ",".join(said_b[r:s]) for p, q, r, s in zip(edge_a, edge_a[1:], edge_b, edge_b[1:])]
-        edge = np.searchsorted(own_g, np.arange(len(a) + 1)).tolist()
-        self.texts += [";".join(said[p:q]) for p, q in zip(edge, edge[1:])]
+        # all groups' texts, the stretches as lines
+        new_a, new_b = (np.concatenate([[True], g[1:] != g[:-1]]) if len(g) else np.zeros(0, bool) for g in (group_a, group_b))
+        line = np.concatenate([[True], own_a[1:] != own_a[:-1]]) if len(own_a) else np.zeros(0, bool)
+        words = np.concatenate([self.said_a[np.where(line, 2, new_a), ids_a], self.said_b[new_b.astype(np.int64), ids_b]])
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        lines = iter("".join(words[order].tolist()).split("\n")[1:])
+        self.texts += [next(lines) if n else "" for n in n_a.tolist()]
+
+
+def _table(values: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte strings end to end: where each begins, and the bytes."""
+    return np.concatenate([[0], np.cumsum([len(v) for v in values])]), np.frombuffer(b"".join(values), np.uint8)
 
 
 _aligners: dict[tuple[str, str], Aligner] = {}
@@ -240,14 +260,16 @@ class Batch:
         cut = [links.stretches(t) if t else [] for t in texts]
         links.learn(cut)
         own = [list(map(links.known.__getitem__, c)) for c in cut]
-        own = [x if all(links.good[x]) else [] for x in own]
-        sizes = [len(x) for x in own]
-        all_ = np.array([i for x in own for i in x], np.int64)
+        sizes = np.array([len(x) for x in own], np.int64)
+        all_ = np.fromiter(chain.from_iterable(own), np.int64)
         doc = np.repeat(np.arange(len(own)), sizes)
-        self.numbers = np.zeros((len(own), 4), np.int64)
-        np.add.at(self.numbers, doc, links.numbers[all_])
+        whole = np.bincount(doc, ~links.good[all_], len(own)) == 0
+        self.numbers = np.stack([np.bincount(doc, x[all_], len(own)) for x in links.numbers.T], 1).astype(np.int64) * whole[:, None]
         said = links.texts.__getitem__
-        self.digests = [hashlib.sha256(";".join(map(said, x)).encode()).hexdigest() if x else "" for x in own]
+        self.digests = [hashlib.sha256(";".join(map(said, x)).encode()).hexdigest() if x and fits else "" for x, fits in zip(own, whole.tolist())]
+        stays = whole[doc]
+        doc, all_ = doc[stays], all_[stays]
+        del cut, own
         met, times = np.unique(doc * len(links.good) + all_, return_counts=True)
         doc, stretch = np.divmod(met, max(1, len(links.good)))
         here = np.unique(stretch)
@@ -265,7 +287,7 @@ class Batch:
         first = _starts(entry)
         self.times = np.add.reduceat(many[order], first) if len(first) else many
         doc, self.place = np.divmod(entry[first], max(1, len(self.pairs)))
-        self.size = np.bincount(doc, minlength=len(own))
+        self.size = np.bincount(doc, minlength=len(texts))
         self.docs = np.bincount(self.place, minlength=len(self.pairs))
 
     def parts(self) -> Iterator[tuple[int, bytes, bytes]]:
