@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorelake.operators.ordering import exact_quantiles
-from scorelake.operators.ordering import value_counts as value_counts_of
 from scorelake.session import kept
 
 
@@ -60,23 +59,14 @@ def category_breakdown(df: DataFrame, key: str, amount: str, top: int = 3) -> Da
 def spread_by(
     df: DataFrame, key: str, amount: str, extra_means: Mapping[str, str] | None = None
 ) -> DataFrame:
-    """Mean, exact median, sample deviation, count and sum per group."""
+    """Mean, exact median, sample deviation, count and sum per group; the means come from the median's first read."""
     rows = present(df, key)
-    means = [F.round(F.avg(c), 2).alias(n) for n, c in (extra_means or {}).items()]
-    counted = value_counts_of(rows, amount, [key])
-    value, weight = F.col(amount).cast("double"), F.col("n_rows")
-    totals = counted.groupBy(key).agg(F.sum(weight).alias("_n"), (F.sum(weight * value) / F.sum(weight)).alias("_mean"))
-    centred = counted.join(totals, key).groupBy(key).agg(
-        F.max("_n").alias("customer_count"), F.max("_mean").alias("_mean"),
-        F.sum(weight * F.pow(value - F.col("_mean"), 2)).alias("_squares"), F.sum(weight * value).alias("_sum"))
-    simple = centred.select(
-        key, F.round("_mean", 2).alias("mean_spend"),
-        F.when(F.col("customer_count") > 1, F.round(F.sqrt(F.col("_squares") / (F.col("customer_count") - 1)), 2)).alias("std_spend"),
-        "customer_count", F.round("_sum", 2).alias("total_revenue"))
-    if means:
-        simple = simple.join(rows.groupBy(key).agg(*means), key)
-    medians = exact_quantiles(rows, amount, {"median_spend": 0.5}, [key], counted=counted)
-    return simple.join(medians.withColumn("median_spend", F.round("median_spend", 3)), key)
+    also = [
+        F.round(F.avg(amount), 2).alias("mean_spend"), F.round(F.stddev_samp(amount), 2).alias("std_spend"),
+        F.count(amount).alias("customer_count"), F.round(F.sum(amount), 2).alias("total_revenue"),
+        *[F.round(F.avg(c), 2).alias(n) for n, c in (extra_means or {}).items()]]
+    found = exact_quantiles(rows, amount, {"median_spend": 0.5}, [key], also)
+    return found.withColumn("median_spend", F.round("median_spend", 3))
 
 
 def crosstab_share(df: DataFrame, row: str, column: str) -> DataFrame:

@@ -121,34 +121,98 @@ def _hashable(df: DataFrame, column: str) -> bool:
     return not any(t in df.schema[column].dataType.simpleString() for t in ("map<", "variant"))
 
 
-def _at(position: Column, value: str) -> Column:
-    inside = (F.col("n_before") <= position) & (position < F.col("n_before") + F.col("n_rows"))
-    return F.max(F.when(inside, F.col(value).cast("double")))
+def _brackets(rows: DataFrame, probs: dict[str, float], by: list[str], accuracy: int, also: Sequence[Column]) -> DataFrame:
+    """Per group the row count and, per probability, a low and a high value with the place sought between them,
+    as far as the sketch keeps its promise; further aggregates come from the same read."""
+    margin = 1.5 / accuracy
+    edges = [e for p in probs.values() for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = F.percentile_approx("_v", edges, accuracy).alias("_edges")
+    return kept(rows.groupBy(*by).agg(F.count("_v").alias("n_group"), sketch, *also))
+
+
+def _cells(rows: DataFrame, brackets: DataFrame, by: list[str], n: int) -> DataFrame:
+    """Row counts per group in the order of the values: each value inside a bracket on its own, each stretch
+    between brackets as one cell with its least and greatest value.  Only the former travel one by one."""
+    edges = brackets.select(*[F.col(k).alias(f"_b_{k}") for k in by], F.col("_edges"))
+    met = F.lit(True)
+    for k in by:
+        met = met & (F.col(k) == F.col(f"_b_{k}"))
+    placed = rows.join(edges, met) if by else rows.withColumn("_edges", edges.scalar())
+    low, high = ([F.col("_edges")[2 * j + side] for j in range(n)] for side in (0, 1))
+    inside = F.lit(False)
+    above = F.lit(0)
+    for lo, hi in zip(low, high):
+        inside = inside | ((F.col("_v") >= lo) & (F.col("_v") <= hi))
+        above = above + F.when(F.col("_v") > hi, 1).otherwise(0)
+    marked = placed.select(*by, "_v", F.when(inside, F.col("_v")).alias("_exact"), F.when(inside, -1).otherwise(above).alias("_stretch"))
+    return kept(marked.groupBy(*by, "_stretch", "_exact").agg(
+        F.count(F.lit(1)).alias("weight"), F.min("_v").alias("_least"), F.max("_v").alias("_most")))
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (),
-    buckets: int | None = None, counted: DataFrame | None = None,
+    df: DataFrame, value: str, probs: dict[str, float], by: Sequence[str] = (), also: Sequence[Column] = (), accuracy: int = 4000,
 ) -> DataFrame:
-    """Linearly interpolated quantiles, one column per name in ``probs``."""
-    by = list(by)
-    positions = value_positions(df, value, by, buckets, counted)
+    """Linearly interpolated quantiles, one column per name in ``probs``; ``also``: further aggregates of the same rows.
+
+    Selection in rounds: a sketch brackets each place sought, one aggregate counts the rows below and
+    between the brackets and the values inside them, and only those values are put in order.  Where a
+    place lies outside its bracket after all, the cell it lies in is the bracket of the next round, so
+    results are exact whatever the sketch says.  Rows without a value count only in ``also``; groups
+    without a key are left out, groups without a value have null quantiles.
+    """
+    by, names = list(by), list(probs)
+    rows = df
+    for k in by:
+        rows = rows.where(F.col(k).isNotNull())
+    rows = rows.withColumn("_v", _sortable(df, value))
+    brackets = _brackets(rows, probs, by, accuracy, also)
+    filled = rows.where(F.col("_v").isNotNull()).select(*by, "_v")
+    found, open_ = [], brackets
+    while True:
+        picked = kept(_picked(_cells(filled, open_, by, len(names)), brackets, probs, by))
+        missed = picked.where(F.exists("marks", lambda m: m.isNotNull() & m["value"].isNull()))
+        if missed.isEmpty():
+            found.append(picked)
+            break
+        found.append(picked.join(missed.select(*by), by, "left_anti") if by else picked.limit(0))
+        edges = F.flatten(F.transform("marks", lambda m: F.array(m["least"], m["most"])))
+        open_ = kept(missed.select(*by, _paired(edges, len(names)).alias("_edges")))
+        filled = filled.join(open_.select(*by), by, "left_semi") if by else filled
+    marks = found[0]
+    for more in found[1:]:
+        marks = marks.unionByName(more)
+    spots = {}
+    for j, (name, p) in enumerate(probs.items()):
+        exact = F.lit(float(p)) * (F.col("n_group") - 1)
+        lo, hi = (F.col("marks")[2 * j + side]["value"] for side in (0, 1))
+        spots[name] = lo + (exact - F.floor(exact)) * (hi - lo)
+    extra = [c for c in brackets.columns if c not in (*by, "n_group", "_edges")]
+    held = brackets.select(*by, "n_group", *extra)
+    joined = held.join(marks, by, "left") if by else held.withColumn("marks", marks.select("marks").scalar())
+    return joined.select(*by, *extra, *[c.alias(n) for n, c in spots.items()])
+
+
+def _paired(edges: Column, n: int) -> Column:
+    """Of the low and high place of each probability, one bracket over both cells."""
+    return F.array(*[x for j in range(n) for x in (edges[4 * j], edges[4 * j + 3])])
+
+
+def _picked(cells: DataFrame, sizes: DataFrame, probs: dict[str, float], by: list[str]) -> DataFrame:
+    """Per group an array ``marks`` with the value at the low and the high place of each probability, or null and the
+    bounds of the cell that holds the place."""
+    borders = cells.select(*by).distinct().select(*by, F.lit(0).alias("weight"), F.lit(True).alias("marked"))
+    elements = together(cells.withColumn("_own", F.col("weight")), borders) if by else cells.withColumn("_own", F.col("weight"))
+    placed = in_order(elements, [*by, F.col("_least").asc_nulls_first()], "cells").where("_own IS NOT NULL")
+    first, last = F.col("since") - F.col("_own"), F.col("since") - 1
+    joined = placed.join(sizes.select(*by, "n_group"), by) if by else placed.withColumn("n_group", sizes.select("n_group").scalar())
     picks = []
-    for name, p in probs.items():
+    for p in probs.values():
         exact = F.lit(float(p)) * (F.col("n_group") - 1)
-        picks += [
-            _at(F.floor(exact), value).alias(f"_lo_{name}"),
-            _at(F.ceil(exact), value).alias(f"_hi_{name}"),
-            F.max(exact - F.floor(exact)).alias(f"_part_{name}"),
-        ]
-    picked = positions.groupBy(*by).agg(*picks)
-    return picked.select(
-        *by,
-        *[
-            (F.col(f"_lo_{n}") + F.col(f"_part_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n)
-            for n in probs
-        ],
-    )
+        for place in (F.floor(exact), F.ceil(exact)):
+            sure = F.when((place == first) | (F.col("_least") == F.col("_most")), F.col("_least")).when(place == last, F.col("_most"))
+            cell = F.struct(sure.cast("double").alias("value"), F.col("_least").alias("least"), F.col("_most").alias("most"))
+            picks.append(F.max(F.when((first <= place) & (place <= last), cell)))
+    return joined.groupBy(*by).agg(F.array(*picks).alias("marks"))
 
 
 def average_ranks(
