@@ -31,10 +31,10 @@ def _numbered(requests: DataFrame) -> DataFrame:
 
 
 def _first_at(rows: DataFrame, questions: DataFrame) -> DataFrame:
-    """Adds ``first`` to each question (who, us, ...): the place of the first request of ``who`` at or after ``us``; if there is
+    """Adds ``first`` to each question (who, us, g, ...): the place of the first request of ``who`` at or after ``us``; if there is
     none, the place after its last request."""
-    elements = together(rows.select("who", "us", F.lit(True).alias("_row"), F.lit(1).alias("weight")), questions.withColumn("weight", F.lit(0)))
-    placed = in_order(elements, ["who", "us", F.col("_row").asc_nulls_first()], "first")
+    elements = together(rows.select("who", "us", "g", F.lit(True).alias("_row"), F.lit(1).alias("weight")), questions.withColumn("weight", F.lit(0)))
+    placed = in_order(elements, ["who", "us", F.col("_row").asc_nulls_first(), "g"], "first")
     return placed.where("_row IS NULL").drop("_row", "last", "since").withColumnRenamed("upto", "first")
 
 

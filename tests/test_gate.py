@@ -5,6 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from scorelake.operators import merging
 from scorelake.operators.windows import activity_islands, consecutive_runs, sessions, trailing_count
 from scorelake.streaming import flows
 from scorelake.streaming import gate as L
@@ -189,3 +190,23 @@ def test_short_block_goes_one_by_one(spark):
         for (_, rid), v in zip(mine, one_by_one([us for us, _ in mine], CASES[1], 600)):
             expected[rid] = ["admitted", "limit", "blocked"][v]
     assert {r.rid: r.reason for r in got} == expected
+
+
+def test_a_busy_identifier_is_dealt_over_all_tasks(spark, monkeypatch):
+    """A third of the requests come from one identifier within one hour, half of those at one moment."""
+    n = 12_000
+    busy = F.col("id") % 3 == 0
+    us = F.when(busy & (F.col("id") % 2 == 0), 1_000_000).when(busy, F.col("id") * 250_000).otherwise(F.col("id") * 40 * SECOND)
+    df = spark.range(n).select(F.when(busy, "busy").otherwise(F.concat(F.lit("u"), F.col("id") % 97)).alias("who"), F.col("id").alias("rid"), us.alias("us")).withColumn("ts", F.timestamp_micros("us"))
+    before, written, plain = spark.conf.get("spark.sql.shuffle.partitions"), [], merging.saved
+    monkeypatch.setattr(merging, "saved", lambda d, label: written.append(plain(d, label)) or written[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    try:
+        got = L.rate_limit(df, "who", "ts", "rid", [L.Check("a_per_hour", 3)])
+        counts = trailing_count(df, ["who"], "ts", 3600)
+        assert got.count() == counts.count() == n
+        for table in written:
+            largest, total = table.groupBy("_part").count().agg(F.max("count"), F.sum("count")).first()
+            assert largest <= 0.05 * total, (table.columns, largest, total)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
