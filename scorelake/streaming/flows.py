@@ -76,13 +76,13 @@ def stream_parquet(spark: SparkSession, path: str, schema: T.StructType | None =
     return reader.parquet(path)
 
 
-def drain(stream: DataFrame, label: str, mode: str = "append", write: Callable | None = None) -> DataFrame:
+def drain(stream: DataFrame, label: str, mode: str = "append", write: Callable | None = None, base: str | None = None) -> DataFrame:
     """Runs the stream over everything available and returns what it wrote.
 
-    Output, offsets and state live in the shared folder, so a restarted query resumes.
+    Output, offsets and state live in the shared folder, so a query restarted with the same ``base`` resumes.
     """
     spark = stream.sparkSession
-    base = scratch_path(spark, label)
+    base = base or scratch_path(spark, label)
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True)
     if write is None:
         started = writer.format("parquet").option("path", f"{base}/out").start()

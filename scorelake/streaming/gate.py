@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from scorelake.operators.windows import activity_islands, trailing_count
 from scorelake.streaming.refusals import NEVER, decided
@@ -179,10 +179,108 @@ def _verdict_schema(df: DataFrame, identifier, request_id, ts) -> T.StructType:
     ])
 
 
-STATE = T.StructType([
-    T.StructField("blocked", T.LongType()), T.StructField("last", T.LongType()),
-    T.StructField("times", T.ArrayType(T.LongType())), T.StructField("sizes", T.ArrayType(T.IntegerType())),
-])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a key that come in several chunks are held in the state store by spans of this length until all are there.
+HELD = MICROS
+
+
+class Limiter(StatefulProcessor):
+    """One identifier's gate as keyed state: when it was blocked, and the newest admitted times as a list.
+
+    A micro-batch brings a key's rows in chunks, in no order of time.  A lone chunk is sorted and
+    decided; several are put into a map in the state store, by second, and decided second by second, so
+    no more than a chunk and a second of one key is in memory.
+    """
+
+    def __init__(self, identifier: str, ts: str, request_id: str, schema: T.StructType, checks: Sequence[Check], block_seconds: int, expires: bool):
+        self.names, self.schema, self.checks = (identifier, ts, request_id), schema, list(checks)
+        self.block_seconds, self.expires = block_seconds, expires
+        self.quiet_ms = 1000 * max(block_seconds, *[c.window // MICROS for c in checks])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        long = T.LongType()
+        self.handle = handle
+        self.state = handle.getValueState("gate", T.StructType([T.StructField("blocked", long), T.StructField("last", long)]))
+        self.times = handle.getListState("times", T.StructType([T.StructField("check", T.IntegerType()), T.StructField("us", long)]))
+        one = T.StructType([T.StructField("us", long), T.StructField("request", self.schema[self.names[2]].dataType)])
+        self.held = handle.getMapState("held", T.StructType([T.StructField("span", long)]), T.StructType([T.StructField("rows", T.ArrayType(one))]))
+
+    def _gate(self) -> tuple[Gate, int | None]:
+        gate, last = Gate(self.checks, self.block_seconds), None
+        if self.state.exists():
+            blocked, last = self.state.get()
+            gate.blocked = None if blocked is None or pd.isna(blocked) else int(blocked)
+            kept = [(int(i), int(us)) for i, us in self.times.get()] if self.times.exists() else []
+            gate.history = [np.array([us for j, us in kept if j == i], "int64") for i in range(len(self.checks))]
+        return gate, None if last is None else int(last)
+
+    def _frame(self, key, micros: np.ndarray, requests, verdicts: np.ndarray) -> pd.DataFrame:
+        identifier, ts, request_id = self.names
+        reasons = np.array(["admitted", "limit", "blocked", "late"], dtype=object)
+        stamps = pd.Series(micros.astype("datetime64[us]"))
+        return pd.DataFrame({identifier: [key[0]] * len(micros), request_id: list(requests), ts: stamps, "allowed": verdicts == 0, "reason": reasons[verdicts]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        _, ts, request_id = self.names
+        watermark = timerValues.getCurrentWatermarkInMs() * 1000 if self.expires else -1
+        gate, last = self._gate()
+        first, spans = None, set()
+        for chunk in rows:
+            micros = chunk[ts].to_numpy().astype("datetime64[us]").astype("int64")
+            late = micros < watermark
+            if late.any():
+                yield self._frame(key, micros[late], chunk[request_id][late], np.full(int(late.sum()), 3, "int8"))
+            part = pd.DataFrame({"us": micros[~late], "request": chunk[request_id].to_numpy()[~late]})
+            if first is None and not spans:
+                first = part
+                continue
+            for held in (x for x in (first, part) if x is not None):
+                spans |= self._hold(held)
+            first = None
+        newest = last
+        for part in [first] if first is not None else map(self._take, sorted(spans)):
+            if not len(part):
+                continue
+            part = part.sort_values(["us", "request"], ignore_index=True)
+            micros = part["us"].to_numpy("int64")
+            # a row older than one that is decided counts as happening then
+            counted = micros if newest is None else np.maximum(micros, newest)
+            newest = int(counted[-1])
+            yield self._frame(key, micros, part["request"], gate.decide(counted))
+        if newest is None or newest == last and first is not None and not len(first):
+            return
+        self.state.update((gate.blocked, newest))
+        self.times.clear()
+        recent = [(i, int(us)) for i, h in enumerate(gate.history) for us in h]
+        if recent:
+            self.times.put(recent)
+        if self.expires:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+            self.handle.registerTimer(max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
+
+    def _hold(self, part: pd.DataFrame) -> set[int]:
+        spans = part["us"].to_numpy() // HELD
+        for span in np.unique(spans):
+            mine = part[spans == span]
+            rows = list(zip(mine["us"].tolist(), mine["request"].tolist()))
+            known = self.held.getValue((int(span),))[0] if self.held.containsKey((int(span),)) else []
+            self.held.updateValue((int(span),), ([tuple(x) for x in known] + rows,))
+        return {int(x) for x in np.unique(spans)}
+
+    def _take(self, span: int) -> pd.DataFrame:
+        rows = self.held.getValue((span,))[0]
+        self.held.removeKey((span,))
+        return pd.DataFrame([tuple(x) for x in rows], columns=["us", "request"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The identifier has been quiet so long that nothing it did counts any more."""
+        self.state.clear()
+        self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
 
 
 def rate_limit_stream(
@@ -193,43 +291,20 @@ def rate_limit_stream(
 
     Rows are decided in time order within a micro-batch; a row that arrives after a later
     one was decided counts as happening then.  Without ``expire_after`` every identifier
-    keeps its bounded state.  With it (a watermark delay) idle identifiers leave the
-    store, and rows later than the watermark are not decided.
+    keeps its bounded state.  With it (a watermark delay) an event-time timer removes idle
+    identifiers, and rows later than the watermark come out undecided, with the reason ``late``.
     """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the store that lists, maps and timers need
     slim = stream.select(identifier, request_id, F.col(ts).cast("timestamp").alias(ts))
     schema = _verdict_schema(slim, identifier, request_id, ts)
-    quiet_ms = 1000 * max(block_seconds, *[c.window // MICROS for c in checks])
-    timeout = GroupStateTimeout.NoTimeout
+    mode = "None"
     if expire_after:
-        slim, timeout = slim.withWatermark(ts, expire_after), GroupStateTimeout.EventTimeTimeout
-
-    def decide(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        gate, last = Gate(checks, block_seconds), None
-        if state.exists:
-            blocked, last, times, sizes = state.get
-            gate.blocked = None if blocked is None or pd.isna(blocked) else int(blocked)
-            ends = np.cumsum(list(sizes))
-            flat = np.asarray(list(times), dtype="int64")
-            gate.history = [flat[e - s : e] for s, e in zip(sizes, ends)]
-        batch = pd.concat(list(frames), ignore_index=True).sort_values([ts, request_id], ignore_index=True)
-        # pandas carries nanoseconds or microseconds; both become microseconds here
-        micros = batch[ts].to_numpy().astype("datetime64[us]").astype("int64")
-        if last is not None:
-            micros = np.maximum(micros, int(last))
-        verdicts = gate.decide(micros)
-        state.update((
-            gate.blocked, int(micros[-1]), [int(x) for h in gate.history for x in h], [len(h) for h in gate.history],
-        ))
-        if expire_after:
-            state.setTimeoutTimestamp(max(int(micros[-1]) // 1000, state.getCurrentWatermarkMs()) + quiet_ms)
-        yield _verdict_frame(batch, identifier, request_id, ts, verdicts)
-
-    return slim.groupBy(identifier).applyInPandasWithState(
-        decide, schema, STATE, "append", timeout
-    )
+        # the watermark follows a column of its own, or late rows would be gone before the gate sees them
+        slim = slim.withColumn("_seen", F.col(ts)).withWatermark("_seen", expire_after).select(identifier, request_id, ts)
+        mode = "EventTime"
+    limiter = Limiter(identifier, ts, request_id, schema, checks, block_seconds, bool(expire_after))
+    return slim.groupBy(identifier).transformWithStateInPandas(limiter, schema, "append", mode)
 
 
 def remaining_calls(df: DataFrame, keys: Sequence[str], ts: str, checks: Sequence[Check]) -> DataFrame:

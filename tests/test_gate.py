@@ -88,22 +88,41 @@ def test_batch(spark, checks):
     assert all(r.allowed == (r.reason == "admitted") for r in got)
 
 
-@pytest.mark.parametrize("expire", [None, "1 day"])
-def test_stream_equals_batch(spark, tmp_path, expire):
-    checks, rows = CASES[2], sorted(log(), key=lambda r: r[2])
+def parts_of(spark, rows, folder, n=3):
+    """Files in time order, one per micro-batch."""
     df = frame(spark, rows)
-    # three files in time order, one per micro-batch
-    for i, part in enumerate(np.array_split(np.arange(len(rows)), 3)):
-        low, high = int(part[0]), int(part[-1])
-        ids = [rows[j][1] for j in range(low, high + 1)]
-        df.where(F.col("rid").isin(ids)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = flows.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
-    out = flows.drain(L.rate_limit_stream(stream, "who", "ts", "rid", checks, expire_after=expire), "t")
+    for part in np.array_split(np.arange(len(rows)), n):
+        df.where(F.col("rid").isin([rows[j][1] for j in part.tolist()])).coalesce(1).write.mode("append").parquet(folder)
+
+
+@pytest.mark.parametrize("chunk", [10_000, 7])
+def test_stream_equals_batch(spark, tmp_path, chunk):
+    """Also where a key's rows come in many small chunks, held in the state store until all are there."""
+    checks, rows = CASES[2], sorted(log(n=600), key=lambda r: r[2])
+    parts_of(spark, rows, str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(chunk))
+    try:
+        stream = flows.stream_parquet(spark, str(tmp_path / "in"), files_per_trigger=1)
+        out = flows.drain(L.rate_limit_stream(stream, "who", "ts", "rid", checks), "t")
+        assert {r.rid: r.reason for r in out.collect()} == expected_of(rows, checks)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_late_rows_and_quiet_keys(spark, tmp_path):
+    """Rows behind the watermark come out as late; a key that was quiet past every window has no state left."""
+    hour = 3600 * SECOND
+    folder, base, checks = str(tmp_path / "in"), str(tmp_path / "run"), [L.Check("a_per_hour", 1)]
+    batches = [[("a", 1, 0), ("a", 2, 1 * SECOND), ("b", 3, 2 * SECOND)], [("c", 4, 50 * hour)], [("c", 5, 51 * hour), ("a", 6, 3 * SECOND)], [("a", 7, 52 * hour), ("c", 8, 52 * hour)]]
+    for rows in batches:
+        frame(spark, rows).coalesce(1).write.mode("append").parquet(folder)
+        stream = flows.stream_parquet(spark, folder, files_per_trigger=1)
+        out = flows.drain(L.rate_limit_stream(stream, "who", "ts", "rid", checks, expire_after="1 hour"), "t", base=base)
     got = {r.rid: r.reason for r in out.collect()}
-    if expire is None:
-        assert got == expected_of(rows, checks)
-    else:
-        assert set(got) <= {r[1] for r in rows} and len(got) > 0
+    assert got == {1: "admitted", 2: "limit", 3: "admitted", 4: "admitted", 5: "limit", 6: "late", 7: "admitted", 8: "admitted"}
+    state = spark.read.format("statestore").option("path", f"{base}/checkpoint").option("stateVarName", "gate").load()
+    assert {r.key[0] for r in state.collect()} == {"a", "c"}  # b is gone
 
 
 def test_defaults():
