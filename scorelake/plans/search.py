@@ -279,9 +279,3 @@ def trailing_counts(spark, d):
     return trailing_count(table(spark, d, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", 3600).select(
         "event_id", "user_id", "in_window")
 
-
-@query("hashed_embedding")
-def hashed_embedding(spark, d):
-    out = R.hashed_embedding(table(spark, d, "documents").select("doc_id", "text"), "text")
-    nonzero = F.size(F.filter("embedding", lambda x: x != 0))
-    return out.select("doc_id", F.round(R.l2_norm("embedding"), 6).alias("norm"), nonzero.alias("nonzero"))
