@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -38,6 +39,56 @@ def test_line_sums_decide(html, text):
     assert html_blocks.main_text(html) == text
 
 
+C = "<div class='comment'><p>" + "I do not agree with this at all, sorry. " * 6 + "</p></div>"
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<div><h1>T</h1>{P * 3}</div><div id=comments>{C * 9}</div>", f"T {L} {L} {L}"),
+    (f"<article><h1>T</h1>{P * 3}</article><section class=comments>{C * 9}</section>", f"T {L} {L} {L}"),
+    (f"<div>{P * 3}</div><div class='comment-list'>{P * 3}</div>", f"{L} {L} {L}"),
+    (f"<article>{P * 3}<div class='comment-list'>{P * 3}</div></article>", f"{L} {L} {L}"),
+    (f"<article>{P * 3}</article><article class=comment>{P}<article class=comment>{P}</article></article><article class=comment>{P}</article>", f"{L} {L} {L}"),
+    (f"<div>{P * 3}</div><div class='reader-opinions'>{P * 4}</div>", f"{L} {L} {L}"),
+    (f"<div>{P * 2}</div><div class=newsletter>{P * 5}</div>", f"{L} {L}"),
+    (f"<div class='cookie-consent'>{P * 5}</div><div>{P * 2}</div>", f"{L} {L}"),
+    (f"<div class='content-search'><div id=comments>{P * 5}</div><h1>T</h1>{P}</div><div class=cookies>{P * 5}</div>", f"T {L}"),
+    (f"<nav><a href=x>Home</a><div>{P}</div><div>{P}</div>", f"{L} {L}"),
+    (f"<header><p>a<header><p>b</p></header><nav><li>x<div>{P}</div>", f"x {L}"),
+    (f"{P}<p><a href=x>one link</a></p><p><a href=y>another</a></p><p><a href=z>third</a></p>{P}", f"{L} one link another third {L}"),
+    (f"{P}<ul><li><a href=x>one link</a></li><li><a href=y>another</a></li><li><a>third</a></li></ul>{P}", f"{L} {L}"),
+    (f"<div>{P}<!-- open <p>The end of it.</p></div>", f"{L} open The end of it."),
+    (f"<article><header><h1>T</h1><p>by me</p></header>{P}</article>", f"T {L}"),
+])
+def test_measured_pages(html, text):
+    assert html_blocks.main_text(html) == text
+
+
+def test_nesting_costs_no_more_than_its_length():
+    started = time.process_time()
+    assert html_blocks.main_text("<div class=ad>" * 20_000 + "x" + "</div>" * 20_000 + P) == L
+    assert html_blocks.main_text("<nav>" * 5000 + P) == L
+    assert time.process_time() - started < 10
+
+
+def test_generated_pages_with_known_articles():
+    """Random pages around a known article, in any order and nesting that keeps it apart."""
+    rnd = random.Random(12)
+
+    def prose(n):
+        return " ".join("".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 9))) for _ in range(n))
+
+    for _ in range(300):
+        blocks = [prose(rnd.randint(20, 60)) for _ in range(rnd.randint(1, 5))]
+        inner = "".join(rnd.choice([f"<p>{b}</p>", f"<div>{b}<br></div>", f"<p><b>{b[:5]}</b>{b[5:]}</p>"]) for b in blocks)
+        tag = rnd.choice(["<article>{}</article>", "<main>{}</main>", "<div>{}</div>", "<div class='post-body'>{}</div>", "<section class='no-sidebar'>{}</section>"])
+        before = ["<nav><ul><li><a href=x>Home</a></li></ul></nav>", f"<header><p>{prose(30)}</p></header>", f"<div class='cookie-notice'><p>{prose(40)}</p></div>",
+                  f"<script>{prose(50)}</script>", f"<form><p>{prose(30)}</p></form>", "<ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul>"]
+        after = [f"<footer>{prose(30)}</footer>", f"<div id=comments>{C * rnd.randint(1, 9)}</div>", f"<aside class=related>{prose(30)}</aside>",
+                 f"<div class='ad'>{prose(30)}</div>", f"<div role=complementary><p>{prose(60)}</p></div>", f"<section class=newsletter><p>{prose(40)}</p></section>"]
+        html = "".join(rnd.sample(before, rnd.randint(0, 6))) + tag.format(inner) + "".join(rnd.sample(after, rnd.randint(0, 6)))
+        assert html_blocks.main_text(rnd.choice(["{}", "<html><body class='no-nav'>{}</body></html>"]).format(html)) == " ".join(blocks)
+
+
 def test_pages(spark):
     rows = [(1, "u", f"<article>{P}</article>", 5), (None, None, None, 6), (2, "v", "<p>" + "w " * 100_000 + "</p>", 7)]
     got = {r.page_id: (r.text, r.n_chars) for r in html_blocks.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()}
@@ -207,7 +258,7 @@ def edits(a, b):
 
 def test_levenshtein_automaton():
     rnd = random.Random(2)
-    terms = {"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 12))): rnd.uniform(4.5, 7) for _ in range(toxicity.CLOSE_TERMS)}
+    terms = {"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 12))): rnd.uniform(4.5, 7) for _ in range(400)}
     trie = toxicity.Trie(terms)
     for _ in range(1500):
         word = list(rnd.choice(list(terms)))
@@ -239,10 +290,85 @@ def test_misspellings_of_every_term_count():
     assert tried > 600
 
 
+def test_first_test_loses_no_candidate():
+    rnd = random.Random(6)
+    words = {"".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(3, 14))): 3.0 for _ in range(300)}
+    stems = {"".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(5, 8))) + "*": 3.0 for _ in range(100)}
+    trie = toxicity.Trie({**words, **stems}).loose
+    tried = ["".join(rnd.choice("abcdefghé") for _ in range(rnd.randint(1, 16))) for _ in range(3000)]
+    for term in [*words, *stems]:
+        i = rnd.randrange(len(term.rstrip("*")))
+        tried += [term.rstrip("*")[:i] + rnd.choice(["", "x", "xa"]) + term.rstrip("*")[i + 1:] + rnd.choice(["", "ed"])]
+    may = toxicity.FirstTest(trie)(tried)
+    assert all(m for w, m in zip(tried, may) if len(w) >= toxicity.SHORT - 1 and trie.candidates(w))
+    lone = toxicity.FirstTest(toxicity.Trie({"idiot": 3.0}).loose)
+    assert lone(["idoit", "idiots", "weather", "x" * 30]).tolist() == [True, True, False, False]
+
+
+def plain_features(terms, text):
+    """The features, word by word and without any memory, index or trie."""
+    text = (text or "").lower()
+    found = [(m.group(), m.start()) for m in re.finditer(r"[^\W_]+", text)]
+    if not found:
+        return [0.0] * toxicity.FEATURES
+    spans = []
+    for line in re.finditer(r"[^\n]+", text):
+        marks = [line.start() + m.start() for m in re.finditer("[\"«»“”„]", line.group())]
+        spans += list(zip(marks[::2], marks[1::2]))
+    rows = []
+    for word, at in found:
+        word = toxicity._folded(word)
+        exact = max([w for t, w in terms.items() if t == word or t[-1] == "*" and len(t) <= len(word) and word.startswith(t[:-1])], default=0)
+        close = short = stem = 0
+        if not exact:
+            for t, w in terms.items():
+                if t[-1] != "*" and 0 < edits(word, t) <= (2 if len(t) >= 10 else 1):
+                    close, short = (max(close, w), short) if len(t) >= 5 else (close, max(short, w) if len(t) >= 3 else short)
+                if t[-1] == "*" and len(t) > 5 and any(word[n - 1] == t[-2] and edits(word[:n - 1], t[:-2]) == 1 for n in range(1, len(word))):
+                    stem = max(stem, w)
+        rows.append((exact, close, short, stem, any(a < at < b for a, b in spans)))
+    said = [0 if q else e for e, _, _, _, q in rows]
+    window = lambda x: max(sum(x[i:i + 25]) for i in range(max(1, len(x) - 24)))
+    apart = lambda k: [0 if r[4] else r[k] for r in rows]
+    log = np.log1p
+    return [log(sum(x > 0 for x in said)), max(said), log(sum(said)), window(said), sum(said) / len(said), log(sum(x > 3 for x in said)),
+            log(sum(r[0] for r in rows if r[4])), window(apart(1)), np.log(len(rows)), log(sum(apart(2))), log(sum(apart(3))), log(sum(sum(r[1:4]) for r in rows if r[4]))]
+
+
+def test_features_equal_plain_ones(monkeypatch):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("abcde") for _ in range(rnd.randint(2, 12))) for _ in range(60)]
+    terms = {w: rnd.uniform(2, 7) for w in words[:25]} | {w[:6] + "*": rnd.uniform(2, 7) for w in words[25:40] if len(w) > 6}
+    monkeypatch.setattr(toxicity, "MEMORY", 50)
+    monkeypatch.setattr(toxicity, "TOGETHER", 300)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randint(0, 40)):
+            w = rnd.choice(words)
+            if rnd.random() < 0.5:
+                i = rnd.randrange(len(w))
+                w = w[:i] + rnd.choice(["", "x", "a"]) + w[i + 1:] + rnd.choice(["", "e"])
+            parts.append(w + rnd.choice([" ", " ", '"', "\n", ", "]))
+        texts.append("".join(parts))
+    got = toxicity.Scorer(terms).all_features([*texts, None, ""])
+    assert np.allclose(got, [plain_features(terms, t) for t in [*texts, None, ""]])
+
+
+def test_ties_at_the_bound_of_terms(spark, monkeypatch):
+    """Terms of equal odds beyond the bound: the first by name stay, in every run."""
+    monkeypatch.setattr(toxicity, "TERMS", 3)
+    docs = spark.createDataFrame([(i, f"{'zed yam xen wok' if i % 2 else 'fine'} w{i % 3}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    assert list(toxicity.fit(docs, labels).terms) == ["wok", "xen", "yam"]
+
+
 def test_quotation_is_apart():
     scorer = toxicity.Scorer({"idiot": 6.0})
     said, cited = scorer.features("you idiot here"), scorer.features('the word "idiot" here')
     assert said[0] > 0 and said[6] == 0 and cited[0] == 0 and cited[6] > 0
+    said, cited = scorer.features("you idiott here"), scorer.features('the word "idiott" here')
+    assert said[7] > 0 and said[11] == 0 and cited[7] == 0 and cited[11] > 0
     assert scorer.features("you id1ot here")[1] == 6.0 and scorer.features("you idoit idiott")[7] == 6.0
 
 
