@@ -11,6 +11,7 @@ import base64
 import hashlib
 import os
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
 
@@ -43,10 +44,10 @@ _IDENTIFIER = re.compile(
     "(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"  # UUID
     "|(?:sha|md)[0-9]+[-_=].*"  # named digest
     "|[0-9]{4}-?[0-9]{2}-?[0-9]{2}[T_-]?[0-9:]*Z?)")  # time stamp
+_BASES = re.compile("[ACGTUN]+|[acgtun]+")
 _ACCOUNT = re.compile("[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
-#: Characters of an address; a white space, quote, comma or bracket ends it.
-_RUN = r"[^\s\"'`,;<>(){}\[\]|\\]"
-_BEFORE, _AFTER = re.compile(_RUN + "*$"), re.compile(_RUN + "*")
+#: A white space, quote, comma or bracket ends an address.
+_BREAK = re.compile(r"[\s\"'`,;<>(){}\[\]|\\]")
 #: Name and password before the host of an address; a port is none.
 _LOGIN = re.compile(r"(?:[^:@/?#]*:(?![0-9]{1,5}/)[^@?#]*|[^:@/?#]+)@")
 _HOOK = re.compile(r"(?i)(?:^|[@./-])(?:web)?hooks?(?:[./-]|$)")
@@ -79,31 +80,65 @@ def _account(word: str) -> bool:
     return bool(_ACCOUNT.fullmatch(word)) and int("".join(str(int(c, 36)) for c in word[4:] + word[:4])) % 97 == 1
 
 
-def _judged_from(text: str, start: int, end: int) -> int | None:
-    """Where the candidate begins to count; None if it is host or path of an address.
-
-    Logins, what follows ``?`` or ``#``, and the paths of web hooks count.
-    """
-    first = start - len(_BEFORE.search(text, max(0, start - 2000), start).group())
-    run = text[first:end]
-    scheme = run.rfind("://")
-    if scheme < 0:
-        at = run.rfind("@")
-        return start if at < 0 or set("=?#") & set(run[at:start - first]) else None
-    place = scheme + 3
-    whole = text[first + place:_AFTER.match(text, end).end()]
-    login = _LOGIN.match(whole)
-    if login and start < first + place + login.end():
-        return max(start, first + place)
-    marks = [i for i in (run.find("?", place), run.find("#", place)) if i >= 0]
-    if marks and start > first + min(marks) or _HOOK.search(re.split("[?#]", whole)[0]):
-        return max(start, first + place)
-    return None
+class _Addresses:
+    """Finds the addresses that candidates, taken in order, are parts of; each character is looked at a few times at most."""
+
+    def __init__(self, text: str):
+        self.text, self.breaks = text, _BREAK.finditer(text)
+        self.coming = next(self.breaks, None)
+        self._new_run(0)
+
+    def _new_run(self, first: int) -> None:
+        self.first = self.seen = self.signed = first
+        self.scheme = self.at = self.sign = -1
+
+    def _read(self, start: int, end: int) -> None:
+        while self.coming and self.coming.start() < start:
+            self._new_run(self.coming.end())
+            self.coming = next(self.breaks, None)
+        text = self.text
+        scheme = text.rfind("://", max(self.first, self.seen - 2), end)
+        if scheme >= 0:
+            self.scheme, place = scheme, scheme + 3
+            stop = self.coming.start() if self.coming else len(text)
+            login = _LOGIN.match(text, place, stop)
+            marks = [i for i in (text.find("?", place, stop), text.find("#", place, stop)) if i >= 0]
+            self.login, self.query = login.end() if login else place, min(marks, default=stop)
+            self.hook = bool(_HOOK.search(text[place:self.query]))
+        self.at = max(self.at, text.rfind("@", self.seen, end))
+        self.sign = max(self.sign, *(text.rfind(c, self.signed, start) for c in "=?#"))
+        self.seen, self.signed = end, start
+
+    def judged_from(self, start: int, end: int) -> int | None:
+        """Where the candidate begins to count; None if it is host or path of an address.
+
+        Logins, what follows ``?`` or ``#``, and the paths of web hooks count.
+        """
+        self._read(start, end)
+        if self.scheme < 0:
+            return start if self.at < 0 or self.at <= self.sign < start else None
+        place = self.scheme + 3
+        if place < self.login and start < self.login or start > self.query or self.hook:
+            return max(start, place)
+        return None
+
+
+def _merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the runs that sorted spans cover."""
+    starts, ends = [], []
+    for s, e in spans:
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return starts, ends
 
 
 def random_spans(text: str, known: list[tuple[int, int, int]], vocabulary: str = VOCABULARY, below: float = EFFICIENCY) -> list[tuple[int, int, int]]:
     """Further strings of few characters per token; those that touch a known span are left out."""
-    found, taken = [], [(s, e) for s, _, e in known]
+    found, addresses = [], _Addresses(text)
+    starts, ends = _merged(sorted((s, e) for s, _, e in known))
     for m in _CANDIDATE.finditer(text):
         word = m.group()
         start, letters = m.start(), None
@@ -111,17 +146,24 @@ def random_spans(text: str, known: list[tuple[int, int, int]], vocabulary: str =
             letters = max(_LETTERS.findall(word), key=len, default=None)
             if letters is None:
                 continue
-        if _DIGEST.fullmatch(word) or _IDENTIFIER.fullmatch(word) or _account(word):
+        if _DIGEST.fullmatch(word) or _IDENTIFIER.fullmatch(word) or _BASES.fullmatch(word) or _account(word):
             continue
-        if any(s < m.end() and m.start() < e for s, e in taken):
+        before = bisect_left(starts, m.end()) - 1  # the last run that begins before the candidate ends
+        if before >= 0 and ends[before] > start:
             continue
         # strings without a digit are judged by their longest run of letters: signs between short words are no secret
-        if efficiency(letters or word, vocabulary) < below and (start := _judged_from(text, start, m.end())) is not None:
+        if efficiency(letters or word, vocabulary) < below and not _named(word) and (start := addresses.judged_from(start, m.end())) is not None:
             if m.end() - start >= LEAST and efficiency(letters or text[start:m.end()], vocabulary) < below:
                 found.append((start, 3, m.end()))
     return found
 
 
+def _named(word: str) -> bool:
+    """Whether short words and numbers make up the whole: a file name or a title with a date."""
+    parts = re.split("[-_/]", word)
+    return len(parts) >= 4 and all(re.fullmatch("[a-z]{1,12}|[A-Z][a-z]{1,11}|[A-Z]{1,5}|v?[0-9]{1,4}", p) for p in parts)
+
+
 def _joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 

@@ -4,12 +4,13 @@ Terms (whole words, and stems: beginnings of words) that labelled toxic texts pr
 kept as a trie.  A word is matched by running the Levenshtein automaton of that word over the trie:
 the automaton's states are bit masks, one per number of edits, and branches on which no state is
 left are cut.  Only terms that share a deletion neighbour with the word can be met, so the automaton
-runs on the branches that lead to them.  Hits are then scored by their surroundings: sums over sliding windows, and hits inside
-quotation marks apart from the others.  A logistic regression on these sums gives the score.
+runs on the branches that lead to them.  Hits, misspelt ones too, are then scored by their
+surroundings: sums over sliding windows, and hits inside quotation marks apart from the others.  A logistic regression on these sums gives the score.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections import Counter
@@ -36,11 +37,11 @@ WINDOW = 25
 ONE_EDIT, TWO_EDITS, SHORT = 5, 10, 3
 #: First letters by which deletion neighbours are looked up before all of them are formed.
 HEAD = ONE_EDIT - 1
-#: Bounds nothing any more: the number of terms that the automaton's first test draws.
-CLOSE_TERMS = 40
-#: Words remembered by one worker.
-MEMORY = 250_000
-FEATURES = 11
+#: Words remembered by one worker, and characters of text whose new words are looked up together.
+MEMORY, TOGETHER = 250_000, 1 << 20
+#: Bits of the maps that new words are tried on first, as a power of two.
+MAP_BITS = 22
+FEATURES = 12
 
 _WORD = re.compile(r"[^\W_]+")
 _QUOTES = re.compile("[\"«»“”„]")
@@ -201,45 +202,124 @@ class Trie:
         return best, short, stem
 
 
+class FirstTest:
+    """Tells the words that may have a candidate from those that have none, for many words at once.
+
+    It asks the same questions as ``Trie.candidates``, of bit maps filled with hashes of the terms'
+    deletion neighbours and of the first letters that these begin with: a word with a candidate always
+    passes, and few others do.
+    """
+
+    #: Letters that matter: whole words of up to TWO_EDITS letters, and the first six of others.
+    WIDTH = TWO_EDITS + 2
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, trie: Trie):
+        powers = np.array([pow(self.BASE, i, 1 << 64) for i in range(self.WIDTH)], np.uint64)
+        self.powers, self.inverse = powers, np.uint64(pow(self.BASE, -1, 1 << 64))
+        self.once, self.stems, self.twice = (self._map(x) for x in (trie.once, *trie.heads))
+        self.longest = trie.longest
+
+    def _letters(self, words: Iterable[str]) -> np.ndarray:
+        return np.array([w[:self.WIDTH] for w in words], f"U{self.WIDTH}").view("<u4").reshape(-1, self.WIDTH).astype(np.uint64)
+
+    @staticmethod
+    def _place(h: np.ndarray) -> np.ndarray:
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - MAP_BITS)
+
+    def _map(self, strings: Iterable[str]) -> np.ndarray:
+        out = np.zeros(1 << MAP_BITS, bool)
+        if strings:
+            out[self._place((self._letters(strings) * self.powers).sum(axis=1, dtype=np.uint64))] = True
+        return out
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        size = np.array([len(w) for w in words])
+        letters = self._letters(words)
+        sums = np.cumsum(letters * self.powers, axis=1, dtype=np.uint64)
+        found = self.once[self._place(sums[:, -1])]
+        for i in range(TWO_EDITS):  # without letter i
+            rest = (sums[:, i - 1] if i else np.uint64(0)) + (sums[:, -1] - sums[:, i]) * self.inverse
+            found |= (i < size) & self.once[self._place(rest)]
+        found &= size <= TWO_EDITS
+        if self.stems.any():
+            found |= (size >= ONE_EDIT) & self._heads(letters[:, :ONE_EDIT], self.stems)
+        if self.twice.any():
+            long = np.flatnonzero((size >= TWO_EDITS - 2) & (size <= self.longest + 2))
+            found[long] |= self._heads(letters[long, :HEAD + 2], self.twice)
+        return found
+
+    def _heads(self, letters: np.ndarray, known: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(letters), bool)
+        for columns in combinations(range(letters.shape[1]), HEAD):
+            out |= known[self._place((letters[:, columns] * self.powers[:HEAD]).sum(axis=1, dtype=np.uint64))]
+        return out
+
+
 class Scorer:
-    """Features of a text; remembers the words it has seen."""
+    """Features of texts; remembers the words it has seen."""
 
     def __init__(self, terms: dict[str, float]):
         self.trie, self.kinds = Trie(terms), {(0.0, 0.0, 0.0, 0.0): 0}
-        self.weights, self.table = [(0.0, 0.0, 0.0, 0.0)], np.zeros((0, 4))
-        outer = self
-
-        class Seen(dict):
-            def __missing__(self, word: str) -> int:
-                folded = _folded(word)
-                exact = outer.trie.exact(folded)
-                found = (exact, *((0.0, 0.0, 0.0) if exact else outer.trie.loose.near(folded)))
-                number = outer.kinds.setdefault(found, len(outer.kinds))
-                if number == len(outer.weights):
-                    outer.weights.append(found)
-                if len(self) < MEMORY and len(word) < 40:
-                    self[word] = number
-                return number
-
-        self.seen = Seen()
+        self.test = FirstTest(self.trie.loose)
+        self.weights, self.table = [(0.0, 0.0, 0.0, 0.0)], np.zeros((1, 4))
+        self.seen: dict[str, int] = {}
+
+    def learn(self, new: set[str]) -> None:
+        """Looks up words that are not remembered, all at once."""
+        words = list(new)
+        folded = [_folded(w) for w in words]
+        may = self.test(folded) if folded else ()
+        none = (0.0, 0.0, 0.0)
+        for word, bare, near in zip(words, folded, may):
+            exact = self.trie.exact(bare)
+            found = (exact, *(self.trie.loose.near(bare) if near and not exact else none))
+            number = self.kinds.setdefault(found, len(self.kinds))
+            if number == len(self.weights):
+                self.weights.append(found)
+            self.seen[word] = number
+        if len(self.table) < len(self.weights):
+            self.table = np.array(self.weights)
+
+    def all_features(self, texts: Iterable[str | None]) -> np.ndarray:
+        """One row of features per text."""
+        out, held, size = [], [], 0
+        for text in texts:
+            text = (text or "").lower()
+            held.append((text, _WORD.findall(text)))
+            size += len(text)
+            if size > TOGETHER:
+                out += self._features(held)
+                held, size = [], 0
+        out += self._features(held)
+        return np.array(out, float).reshape(-1, FEATURES)
 
     def features(self, text: str | None) -> list[float]:
-        text = (text or "").lower()
-        words = _WORD.findall(text)
+        return self.all_features([text])[0].tolist()
+
+    def _features(self, held: list[tuple[str, list[str]]]) -> list[list[float]]:
+        every = set().union(*(words for _, words in held))
+        new = every - self.seen.keys()
+        if len(self.seen) + len(new) > MEMORY:
+            self.seen.clear()
+            new = every
+        self.learn(new)
+        return [self._one(text, words) for text, words in held]
+
+    def _one(self, text: str, words: list[str]) -> list[float]:
         if not words:
             return [0.0] * FEATURES
         number = np.fromiter(map(self.seen.__getitem__, words), np.int64, len(words))
         if not number.any():
             return [0.0] * 8 + [math.log(len(words))] + [0.0] * (FEATURES - 9)
-        if len(self.table) < len(self.weights):
-            self.table = np.array(self.weights)
-        exact, close, short, stems = self.table[number].T
+        exact, *near = self.table[number].T
         quoted = self._quoted(text) if _QUOTES.search(text) else np.zeros(len(words), bool)
         said, cited = np.where(quoted, 0.0, exact), np.where(quoted, exact, 0.0)
+        close, short, stems = (np.where(quoted, 0.0, x) for x in near)
         return [
             math.log1p((said > 0).sum()), float(said.max()), math.log1p(said.sum()), _window_sum(said), float(said.sum()) / len(words),
             math.log1p((said > 3).sum()), math.log1p(cited.sum()), _window_sum(close), math.log(len(words)),
-            math.log1p(short.sum()), math.log1p(stems.sum()),
+            math.log1p(short.sum()), math.log1p(stems.sum()), math.log1p(sum(x[quoted].sum() for x in near)),
         ]
 
     @staticmethod
@@ -257,6 +337,18 @@ class Scorer:
         return (at >= 0) & (starts < closed[np.maximum(at, 0)])
 
 
+_scorers: dict[str, Scorer] = {}
+
+
+def scorer(terms: dict[str, float]) -> Scorer:
+    """One per worker and lexicon; its memory serves all tasks of that worker."""
+    key = hashlib.sha256(repr(sorted(terms.items())).encode()).hexdigest()
+    if key not in _scorers:
+        _scorers.clear()
+        _scorers[key] = Scorer(terms)
+    return _scorers[key]
+
+
 def _window_sum(x: np.ndarray) -> float:
     total = np.concatenate([[0.0], np.cumsum(x)])
     size = min(WINDOW, len(x))
@@ -332,9 +424,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     terms = {r["term"]: r["odds"] for r in lexicon.collect()}
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(terms)
+        own = scorer(terms)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([scorer.features(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64())), batch.column("toxic")], ["x", "y"])
+            x = own.all_features(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column("toxic")], ["x", "y"])
 
     kind = labels.schema["toxic"].dataType.simpleString()
     points = sample.mapInArrow(measured, f"x array<double>, y {kind}").toPandas().sort_values("y", kind="stable")  # ``rows`` short rows at most
@@ -346,10 +439,9 @@ def score(model: Model, text: Column) -> Column:
     """Column from 0 to 1, by whole texts."""
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = Scorer(model.terms)
+        own = scorer(model.terms)
         for part in parts:
-            x = np.array([scorer.features(t) for t in part], float).reshape(-1, FEATURES)
-            yield pd.Series(model.score(x))
+            yield pd.Series(model.score(own.all_features(part)))
 
     return scored(text)
 

@@ -141,6 +141,36 @@ def test_random_strings_near_addresses():
     assert found("key zQxVpLmKwRtYuBnCjHgF end") == ["zQxVpLmKwRtYuBnCjHgF"] and found("a-b-c-d-e-f-g-h-i-j internationalization") == []
 
 
+def test_long_texts_take_time_in_proportion():
+    rnd = random.Random(2)
+    key = lambda: "".join(rnd.choice("abcdefghijkLMNOPQRSTUVWXYZ0123456789") for _ in range(24))
+    log = " ".join(key() + " " + hashlib.md5(str(i).encode()).hexdigest() for i in range(7000))
+    started = time.process_time()
+    assert len(secrets.random_spans(log, secrets.base_spans(log))) > 6500
+    assert time.process_time() - started < 5
+    for length in (30, 900, 9000, 90_000):  # however far back the address begins
+        path = "https://a.example/" + "segment/" * (length // 8)
+        text = f"see {path}x.{key()}.html and {key()}"
+        assert [s for s, _, _ in secrets.random_spans(text, [])] == [len(text) - 24]
+
+
+def test_recall_and_false_alarms():
+    rnd = random.Random(11)
+    words = [r for r in "the quick brown fox jumps over lazy dogs while international organisations reconsider sustainability".split()]
+    alphabets = ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+    caught = planted = 0
+    for _ in range(1500):
+        secret = "".join(rnd.choice(alphabets[planted % 4]) for _ in range(rnd.randint(20, 40)))
+        text = " ".join(rnd.choices(words, k=8)) + f" {secret} " + " ".join(rnd.choices(words, k=8))
+        planted += 1
+        caught += any(text[s:e] == secret for s, _, e in secrets.random_spans(text, secrets.base_spans(text)))
+    assert caught >= 0.97 * planted
+    plain = ["xkcd-2024-01-05-some-long-file-name-v2", "ACGTACGTTTGACCATGACGT", "acgtacgtttgaccatgacgt", "Some-Title_Of-A_Page-2023", "internationalization_of_everything",
+             "src/main/java/com/example/Application", "2024-01-05T10:11:12Z", hashlib.sha1(b"x").hexdigest().upper(), "very-long-hyphenated-adjective-like-this-one"]
+    for text in plain + [" ".join(rnd.choices(words, k=40)) for _ in range(50)]:
+        assert secrets.random_spans(text, secrets.base_spans(text)) == [], text
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     changed = mit.replace("free of charge", "at no charge whatsoever").replace("merge, ", "")
