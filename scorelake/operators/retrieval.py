@@ -1,20 +1,16 @@
 """Vector search, retrieval quality and prompt contexts.
 
-Exact and approximate search share one kernel: a matrix product of a block of queries
-with a batch of vectors that keeps only the best ``k`` per query.  No (query, vector)
-pair ever becomes a row; each task hands on at most ``k`` rows per query.
+The exact search is a block join: a matrix product of a block of queries with a block of
+vectors that keeps only the best ``k`` per query.  No (query, vector) pair ever becomes a
+row; each task hands on at most ``k`` rows per query.  Stored indexes are in ``vector_index``.
 """
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +18,6 @@ from pyspark.sql import types as T
 from scorelake.functions import text as X
 from scorelake.operators.windows import within_budget
 
-MAX_BLOCK_VALUES = 4_000_000  # doubles in one query block, 32 MB
 SLICE_ROWS = 50_000  # vectors in one task of the block join
 QUERY_ROWS = 2_000  # queries in one task of the block join
 
@@ -100,21 +95,6 @@ def _merge(parts: list, k: int):
     return rows[keep], ids[keep], scores[keep]
 
 
-def _scan_topk(block: pd.DataFrame, corpus: DataFrame, query_id, corpus_id, vector, k, schema) -> DataFrame:
-    matrix, names = _unit_rows(block[vector]), block[query_id].to_numpy()
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
-        for batch in batches:
-            if len(batch):
-                found = _best(matrix, batch[corpus_id].to_numpy(), _unit_rows(batch[vector]), k)
-                held = found if held is None else _merge([held, found], k)
-        if held is not None:
-            yield pd.DataFrame({query_id: names[held[0]], corpus_id: held[1], "score": held[2]})
-
-    return corpus.select(corpus_id, vector).mapInPandas(search, schema)
-
-
 def _cells(df: DataFrame, per_task: int) -> Column:
     """Map from cell to the number of slices its rows need; there are few cells."""
     sizes = df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / per_task).cast("int").alias("n"))
@@ -159,137 +139,12 @@ def cell_topk(
 
 def cosine_topk(
     queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int,
-    max_block_values: int = MAX_BLOCK_VALUES,
+    slice_rows: int = SLICE_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
-    """Exact cosine top-k.
-
-    A query table that fits the size bound travels to every task and the corpus is
-    scanned in place, without a shuffle of vectors.  A larger one meets the corpus in a
-    block join; the answer is the same.
-    """
-    queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
-    width = queries.select(F.max(F.size(vector))).first()[0] or 0
-    fits = max_block_values // max(1, width)
-    block = queries.select(query_id, vector).limit(fits + 1).toPandas()
-    if 0 < len(block) <= fits:
-        schema = _result_schema(queries, query_id, corpus, corpus_id)
-        return _ranked(_scan_topk(block, corpus, query_id, corpus_id, vector, k, schema), query_id, corpus_id, k)
+    """Exact cosine top-k: blocks of bounded size on both sides meet, whatever the number of queries."""
     zero = F.lit(0)
-    return cell_topk(queries.withColumn("cell", zero), corpus.withColumn("cell", zero), query_id, corpus_id, vector, k)
-
-
-#: Queries that recall is measured on, and tables of signatures, at most, before signatures get shorter.
-RECALL_QUERIES, MOST_TABLES = 64, 64
-
-
-def _nearest(centres: np.ndarray, probes: int):
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def nearest(vectors: pd.Series) -> pd.Series:
-        scores = _unit_rows(vectors) @ centres.T
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :probes]
-        return pd.Series(list(best.astype("int32")))
-
-    return nearest
-
-
-def train_cells(corpus: DataFrame, vector: str, seed: int = 7, cells: int | None = None) -> np.ndarray:
-    """Unit centroids, trained on all vectors; as many as the square root of their number unless told."""
-    cells = cells or max(1, math.isqrt(corpus.count()))
-    training = normalised(corpus.select(vector), vector).select(array_to_vector(vector).alias("features"))
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(training)
-    return _unit_rows(model.clusterCenters())
-
-
-def _true_pairs(queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Unit vectors of some queries (those with the least hash) and of their exact neighbours, pair by pair."""
-    some = queries.orderBy(F.xxhash64(vector), query_id).limit(RECALL_QUERIES)
-    found = cosine_topk(some, corpus, query_id, corpus_id, vector, k).select(query_id, corpus_id)
-    asked = some.select(query_id, F.col(vector).alias("_asked"))
-    pairs = corpus.select(corpus_id, vector).join(found, corpus_id).join(asked, query_id).select("_asked", vector).toPandas()
-    if not len(pairs):
-        return np.zeros((0, 1)), np.zeros((0, 1))
-    return _unit_rows(pairs["_asked"]), _unit_rows(pairs[vector])
-
-
-def _probes_for(recall: float, asked: np.ndarray, found: np.ndarray, centres: np.ndarray) -> int:
-    """Probes by which the share ``recall`` of the pairs meets."""
-    if not len(asked):
-        return 1
-    home = np.argmax(found @ centres.T, axis=1)
-    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
-    needed = np.sort(np.argmax(order == home[:, None], axis=1) + 1)
-    return int(needed[math.ceil(recall * len(needed)) - 1])
-
-
-def _tables_for(recall: float, asked: np.ndarray, found: np.ndarray, bits: int, seed: int) -> tuple[int, int]:
-    """(tables, bits) by which the share ``recall`` of the pairs meets; fewer bits where too many tables would be needed."""
-    while len(asked):
-        planes = np.random.default_rng(seed).standard_normal((MOST_TABLES * bits, asked.shape[1]))
-        same = ((asked @ planes.T > 0) == (found @ planes.T > 0)).reshape(len(asked), MOST_TABLES, bits).all(axis=2)
-        reached = np.maximum.accumulate(same, axis=1).mean(axis=0) >= recall
-        if reached.any():
-            return int(np.argmax(reached)) + 1, bits
-        if bits == 1:
-            return MOST_TABLES, 1
-        bits -= 1
-    return 1, bits
-
-
-def ivf_topk(
-    queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int,
-    probes: int = 1, seed: int = 7, recall: float | None = None,
-) -> DataFrame:
-    """Approximate top-k: only the ``probes`` nearest cells of a query are searched.
-
-    With ``recall``, as many as some of the queries need to reach it against the exact top-k.
-    """
-    queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
-    centres = train_cells(corpus, vector, seed)
-    if recall is not None:
-        probes = _probes_for(recall, *_true_pairs(queries, corpus, query_id, corpus_id, vector, k), centres)
-    probes = min(probes, len(centres))
-    home, near = _nearest(centres, 1), _nearest(centres, probes)
-    placed = corpus.withColumn("cell", home(vector)[0])
-    asked = queries.withColumn("cell", F.explode(near(vector)))
-    return cell_topk(asked, placed, query_id, corpus_id, vector, k)
-
-
-def hyperplane_topk(
-    queries: DataFrame, corpus: DataFrame, query_id: str, corpus_id: str, vector: str, k: int,
-    tables: int = 8, bits: int | None = None, seed: int = 7, recall: float | None = None,
-) -> DataFrame:
-    """Approximate top-k through random-hyperplane signatures in several tables.
-
-    Unless told, a signature has half as many bits as the corpus size has, so the share of pairs
-    that are scored falls as the corpus grows.  With ``recall``, there are as many tables as some of
-    the queries need to reach it against the exact top-k.
-    """
-    queries, corpus = with_vectors(queries, vector), with_vectors(corpus, vector)
-    bits = bits or max(4, corpus.count().bit_length() // 2)
-    if recall is not None:
-        tables, bits = _tables_for(recall, *_true_pairs(queries, corpus, query_id, corpus_id, vector, k), bits, seed)
-    width = corpus.select(F.max(F.size(vector))).first()[0] or 1
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, width))
-    weights = 1 << np.arange(bits)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def signatures(vectors: pd.Series) -> pd.Series:
-        signs = (_unit_rows(vectors) @ planes.T > 0).reshape(len(vectors), tables, bits)
-        codes = signs @ weights + np.arange(tables) * (1 << bits)
-        return pd.Series(list(codes.astype("int32")))
-
-    asked = queries.withColumn("cell", F.explode(signatures(vector)))
-    placed = corpus.withColumn("cell", F.explode(signatures(vector)))
-    return cell_topk(asked, placed, query_id, corpus_id, vector, k)
-
-
-def hashed_embedding(df: DataFrame, text: str, width: int = 256, name: str = "embedding") -> DataFrame:
-    """Unit TF-IDF vectors of hashed words, for corpora that come without vectors."""
-    tokens = df.withColumn("_tokens", X.words(F.lower(text)))
-    counted = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=width).transform(tokens)
-    weighted = IDF(inputCol="_tf", outputCol="_tfidf").fit(counted).transform(counted)
-    unit = Normalizer(inputCol="_tfidf", outputCol="_unit").transform(weighted)
-    return unit.withColumn(name, vector_to_array("_unit")).drop("_tokens", "_tf", "_tfidf", "_unit")
+    queries, corpus = (with_vectors(x, vector).withColumn("cell", zero) for x in (queries, corpus))
+    return cell_topk(queries, corpus, query_id, corpus_id, vector, k, slice_rows, query_rows)
 
 
 def encode(df: DataFrame, text: str, encoder: Callable[[list[str]], np.ndarray], name: str = "embedding") -> DataFrame:

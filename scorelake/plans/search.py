@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from scorelake.functions import text as X
 from scorelake.operators import chunking as C
 from scorelake.operators import retrieval as R
+from scorelake.operators.ranking import dense, hashed_vectors
+from scorelake.operators.vector_index import CellIndex, PlaneIndex
 from scorelake.operators.windows import leading_within, trailing_count
 from scorelake.plans.registry import query
 from scorelake.plans.scoring import SPACES_SQL, quoted, words_sql
@@ -158,8 +160,8 @@ def cosine_topk(spark, d):
 
 @query("cosine_topk_blocks", f"WITH {TOPK_SQL} SELECT label, vec_id, rank, round(score, 6) AS score FROM topk", rank="INTEGER")
 def cosine_topk_blocks(spark, d):
-    """The block join that serves query tables beyond the size bound."""
-    out = R.cosine_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, max_block_values=1)
+    """The same with many small blocks on both sides."""
+    out = R.cosine_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, slice_rows=100, query_rows=3)
     return rounded(out, 6, "score")
 
 
@@ -173,14 +175,16 @@ def vector_norms(spark, d):
 
 @query("ann_cells")
 def ann_cells(spark, d):
-    out = R.ivf_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, recall=0.9)
-    return rounded(out, 6, "score")
+    """Nearest vectors by a stored cell index, built here and searched once."""
+    index = CellIndex.build(corpus(spark, d), "vec_id", "embedding", k=K, recall=0.95)
+    return rounded(index.search(label_queries(spark, d), "label", "embedding", K), 6, "score")
 
 
 @query("ann_hyperplanes")
 def ann_hyperplanes(spark, d):
-    out = R.hyperplane_topk(label_queries(spark, d), corpus(spark, d), "label", "vec_id", "embedding", K, recall=0.9)
-    return rounded(out, 6, "score")
+    """Nearest vectors by a stored index of hyperplane signatures."""
+    index = PlaneIndex.build(corpus(spark, d), "vec_id", "embedding", k=K, recall=0.95)
+    return rounded(index.search(label_queries(spark, d), "label", "embedding", K), 6, "score")
 
 
 @query("store_stats", """SELECT count(*) AS total_chunks, max(len(embedding))::INT AS dimension,
@@ -240,11 +244,11 @@ def prompt_contexts(spark, d):
         F.when(F.col("conv_id") % 2 == 0, "retail_01").otherwise("finance_01").alias("question_id"))
     # both are used several times, so they are computed once
     summaries = saved(chunk_summary(spark, d).withColumn("source_file", F.lit("events")), "summaries")
-    both = asked.select(F.lit("q").alias("side"), F.col("query_id").alias("id"), F.col("query_text").alias("t")).unionByName(
-        summaries.select(F.lit("c").alias("side"), F.col("chunk_id").alias("id"), F.col("content").alias("t")))
-    embedded = saved(R.hashed_embedding(both, "t").select("side", "id", "embedding"), "vectors")
-    queries = embedded.where("side = 'q'").select(F.col("id").alias("query_id"), "embedding")
-    vectors = embedded.where("side = 'c'").select(F.col("id").alias("chunk_id"), "embedding")
+    both = asked.select(F.concat(F.lit("q:"), "query_id").alias("id"), F.col("query_text").alias("t")).unionByName(
+        summaries.select(F.concat(F.lit("c:"), "chunk_id").alias("id"), F.col("content").alias("t")))
+    embedded = saved(dense(hashed_vectors(both, "id", "t"), both, "id", 256), "vectors")
+    queries = embedded.where("id LIKE 'q:%'").select(F.substring("id", 3, 1000).alias("query_id"), "embedding")
+    vectors = embedded.where("id LIKE 'c:%'").select(F.substring("id", 3, 1000).alias("chunk_id"), "embedding")
     found = R.cosine_topk(queries, vectors, "query_id", "chunk_id", "embedding", K)
     return R.prompt_contexts(asked, found, summaries, "query_id", "query_text", "question_id", "chunk_id", K)
 

@@ -113,20 +113,6 @@ def test_missing_vectors_and_keys(spark):
     assert sessions(events, ["who"], "ts", 60).agg(F.sum("events")).first()[0] == 3
 
 
-def test_approximate_search_finds_most(spark):
-    """Recall of both indexes against the exact search."""
-    from scorelake.operators import retrieval as V
-
-    rng = np.random.default_rng(4)
-    centres = rng.standard_normal((20, 16))
-    data = [(i, [float(x) for x in centres[i % 20] + 0.2 * rng.standard_normal(16)]) for i in range(800)]
-    corpus = spark.createDataFrame(data, "id long, v array<double>")
-    asked = corpus.where("id % 100 = 0").withColumnRenamed("id", "q")
-    exact = {(r.q, r.id) for r in V.cosine_topk(asked, corpus, "q", "id", "v", 5).collect()}
-    for found in (V.ivf_topk(asked, corpus, "q", "id", "v", 5, probes=8), V.hyperplane_topk(asked, corpus, "q", "id", "v", 5, tables=16)):
-        assert len(exact & {(r.q, r.id) for r in found.collect()}) >= 0.9 * len(exact)
-
-
 def test_agreement(spark):
     # the ten-subject, fourteen-rater table used to explain the statistic
     table = [[0, 0, 0, 0, 14], [0, 2, 6, 4, 2], [0, 0, 3, 5, 6], [0, 3, 9, 2, 0], [2, 2, 8, 1, 1], [7, 7, 0, 0, 0],

@@ -82,8 +82,8 @@ def vectors(spark):
 
 def test_exact_paths_agree(vectors):
     df, queries, best = vectors
-    for bound in (10**6, 1):
-        out = R.cosine_topk(queries, df, "qid", "vid", "v", 10, max_block_values=bound).collect()
+    for bound in (10**6, 40):
+        out = R.cosine_topk(queries, df, "qid", "vid", "v", 10, slice_rows=bound).collect()
         assert {(r.qid, r.vid) for r in out} == best
         assert sorted(r["rank"] for r in out if r.qid == 0) == list(range(1, 11))
 
@@ -101,13 +101,6 @@ def test_fewer_vectors_than_k(vectors, spark):
     assert R.cosine_topk(queries.where("qid < 0"), df, "qid", "vid", "v", 10).count() == 0
 
 
-def test_approximate_recall(vectors):
-    df, queries, best = vectors
-    cells = {(r.qid, r.vid) for r in R.ivf_topk(queries, df, "qid", "vid", "v", 10, probes=20).collect()}
-    planes = {(r.qid, r.vid) for r in R.hyperplane_topk(queries, df, "qid", "vid", "v", 10, tables=12).collect()}
-    assert len(cells & best) >= 24 and len(planes & best) >= 20
-
-
 @pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
 def test_recall_of_registered_queries(spark, size):
     def pairs(name):
@@ -158,13 +151,6 @@ def test_truth_contexts(spark):
     assert r.limited_context.endswith("Available dataset insights: a, b") and r.key_points_count == 5
 
 
-def test_embedding_is_deterministic(spark):
-    df = spark.createDataFrame([(1, "red fox runs"), (2, "red fox runs"), (3, "blue whale sings")], "id long, t string")
-    out = {r.id: np.array(r.embedding) for r in R.hashed_embedding(df, "t").collect()}
-    assert np.array_equal(out[1], out[2]) and abs(np.linalg.norm(out[1]) - 1) < 1e-9
-    assert out[1] @ out[2] > out[1] @ out[3]
-
-
 def test_given_encoder(spark):
     df = spark.createDataFrame([(1, "ab"), (2, "abcd"), (3, None)], "id long, t string")
     out = {r.id: r.embedding for r in R.encode(df, "t", lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()}
