@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorelake import schemas
+from scorelake.session import kept, saved
+from scorelake.sources.json_items import _file, read_json_items
 
 
 def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | None = None) -> DataFrame:
@@ -24,11 +27,50 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
     return raw.withColumn("Date", F.coalesce(F.try_to_timestamp("Date", F.lit("yyyy-MM-dd")), F.try_to_timestamp("Date")).cast("date"))
 
 
-def read_many_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> DataFrame:
-    """Several files as one table with their origin; unreadable files add no rows."""
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("ignoreCorruptFiles", True)
-    rows = reader.option("ignoreMissingFiles", True).schema(schema).csv(list(paths))
-    return rows.withColumn("source_file", F.col("_metadata.file_name"))
+def read_many_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Several files as one table with their origin, and a table of those left out: source_file, reason, n_rows, n_bad.
+
+    A file is taken whole or not at all: it is left out if it is missing, if it cannot be read to its
+    end, or if one of its rows does not fit the schema.  Rows are read once into the shared folder.
+    """
+    whole, reasons = _readable(spark, list(paths))
+    bad = "_bad_record"
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
+    kind = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
+    if not whole:
+        none = spark.createDataFrame([], kind).drop(bad).withColumn("source_file", F.lit(None).cast("string"))
+        return none, reasons
+    rows = saved(reader.schema(kind).csv(whole).withColumn("source_file", F.col("_metadata.file_name")), "csv-rows")
+    counts = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), F.count(bad).alias("n_bad"), F.min(bad).alias("_first"))
+    damaged = kept(counts.where("n_bad > 0").select(
+        "source_file", F.concat(F.lit("rows that do not fit: "), F.substring("_first", 1, 80)).alias("reason"), "n_rows", "n_bad"))
+    good = rows.drop(bad).join(damaged.select("source_file"), "source_file", "left_anti")
+    return good.select(*schema.names, "source_file"), damaged.unionByName(reasons)
+
+
+def _readable(spark: SparkSession, paths: list[str]) -> tuple[list[str], DataFrame]:
+    """The files that can be read to their end (a task reads each through, a block at a time), and the others with a reason."""
+    def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                reason = None
+                try:
+                    fs, name = _file(path)
+                    with fs.open_input_stream(name, compression="detect") as stream:
+                        while stream.read(1 << 20):
+                            pass
+                except FileNotFoundError:
+                    reason = "missing"
+                except (OSError, EOFError) as error:
+                    reason = f"cannot be read to its end: {str(error)[:80]}"
+                yield pa.RecordBatch.from_pylist([{"path": path, "reason": reason}], pa.schema([("path", pa.string()), ("reason", pa.string())]))
+
+    asked = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)), "path")
+    found = kept(asked.mapInArrow(probed, "path string, reason string"))
+    failed = {r.path for r in found.where("reason IS NOT NULL").collect()}  # names that the caller gave
+    reasons = found.where("reason IS NOT NULL").select(
+        F.substring_index("path", "/", -1).alias("source_file"), "reason", F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_bad"))
+    return [p for p in paths if p not in failed], reasons
 
 
 def discover_csv(spark: SparkSession, folder: str, more_than: int = 10) -> DataFrame:
@@ -41,9 +83,8 @@ def discover_csv(spark: SparkSession, folder: str, more_than: int = 10) -> DataF
 
 def discover_json(spark: SparkSession, folder: str, more_than: int = 5) -> DataFrame:
     """JSON files holding a list of more than ``more_than`` items, feedback files apart."""
-    whole = spark.read.option("pathGlobFilter", "*.json").option("wholetext", True).text(folder)
-    sized = whole.select(
-        F.col("_metadata.file_name").alias("file_name"), F.json_array_length("value").cast("long").alias("n_rows"))
+    found = read_json_items(spark, f"{folder.rstrip('/')}/*.json").where("key IS NULL AND error IS NULL")
+    sized = found.groupBy(F.substring_index("path", "/", -1).alias("file_name")).agg(F.count(F.lit(1)).alias("n_rows"))
     named = ~F.lower("file_name").rlike("feedback|blind")
     return sized.where(named & (F.col("n_rows") > more_than))
 
@@ -70,8 +111,8 @@ def explode_by_domain(documents: DataFrame) -> DataFrame:
 
 def read_question_pool(spark: SparkSession, path: str) -> DataFrame:
     """Question pool with the index of each question inside its domain and the domain context."""
-    text = spark.read.option("wholetext", True).text(path)
-    domains = text.select(F.explode(F.from_json("value", schemas.QUESTION_POOL)).alias("domain", "d"))
+    found = read_json_items(spark, path).where("error IS NULL")
+    domains = found.select(F.col("key").alias("domain"), F.from_json("value", schemas.QUESTION_POOL.valueType).alias("d"))
     return domains.select(
         "domain", "d.context", "d.evaluation_criteria", F.posexplode("d.questions").alias("question_idx", "q")
     ).select("domain", "question_idx", "q.id", "q.question", "context", "evaluation_criteria")

@@ -1,11 +1,16 @@
+import gzip
 import json
+import random
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from scorelake import schemas
 from scorelake.functions import text
 from scorelake.operators import stats as S
 from scorelake.operators.evallog import best_and_worst
+from scorelake.sources import json_items
 from scorelake.sources import readers as R
 from scorelake.sources import writers as W
 
@@ -28,8 +33,8 @@ def test_many_files_and_discovery(spark, tmp_path):
     (tmp_path / "map.json").write_text(json.dumps({"a": 1}))
     assert [tuple(r) for r in R.discover_csv(spark, str(tmp_path)).collect()] == [("long.csv", 11)]
     assert [tuple(r) for r in R.discover_json(spark, str(tmp_path)).collect()] == [("list.json", 6)]
-    both = R.read_many_csv(spark, [str(tmp_path / "long.csv"), str(tmp_path / "short.csv")], schemas.struct(a=schemas.L, b=schemas.L))
-    assert {(r.source_file, r["count"]) for r in both.groupBy("source_file").count().collect()} == {("long.csv", 11), ("short.csv", 10)}
+    both, left_out = R.read_many_csv(spark, [str(tmp_path / "long.csv"), str(tmp_path / "short.csv")], schemas.struct(a=schemas.L, b=schemas.L))
+    assert left_out.count() == 0 and {(r.source_file, r["count"]) for r in both.groupBy("source_file").count().collect()} == {("long.csv", 11), ("short.csv", 10)}
 
 
 def test_nested_documents(spark, tmp_path):
@@ -136,3 +141,63 @@ def test_catalogue_and_names(spark):
     assert spark.range(1).select(text.display_name(F.lit("overall_score"))).first()[0] == "Overall Score"
     truth = spark.createDataFrame([("retail", "q1", "a", {"k": "v"})], "domain string, question_id string, answer string, details map<string,string>")
     assert json.loads(W.truth_document(truth).first().document) == {"answer": "a", "details": {"k": "v"}}
+
+
+def test_damaged_files_are_left_out_whole(spark, tmp_path):
+    good, bad, cut, missing = (str(tmp_path / n) for n in ("good.csv", "bad.csv", "cut.csv.gz", "none.csv"))
+    Path(good).write_text("a,b\n1,x\n2,y\n")
+    Path(bad).write_text("a,b\n3,x\nfour,y\n5,z\n")
+    whole = gzip.compress(("a,b\n" + "".join(f"{i},{i * 7919}\n" for i in range(20_000))).encode())
+    Path(cut).write_bytes(whole[:len(whole) // 2])
+    rows, left_out = R.read_many_csv(spark, [good, bad, cut, missing], schemas.struct(a=schemas.L, b=schemas.S))
+    assert sorted((r.a, r.b, r.source_file) for r in rows.collect()) == [(1, "x", "good.csv"), (2, "y", "good.csv")]
+    found = {r.source_file: r for r in left_out.collect()}
+    assert found.keys() == {"bad.csv", "cut.csv.gz", "none.csv"} and (found["bad.csv"].n_rows, found["bad.csv"].n_bad) == (3, 1)
+    assert "four,y" in found["bad.csv"].reason and found["none.csv"].reason == "missing" and "end" in found["cut.csv.gz"].reason
+    none, all_ = R.read_many_csv(spark, [missing], schemas.struct(a=schemas.L, b=schemas.S))
+    assert none.count() == 0 and none.columns == ["a", "b", "source_file"] and all_.count() == 1
+
+
+def awkward(rnd, depth=0):
+    kind = rnd.randint(0, 5 if depth < 3 else 2)
+    if kind <= 2:
+        return rnd.choice([1, -2.5e3, True, None, "", 'a"b\\', "\\\\", "[{,:", "é日😀", "x" * rnd.randint(0, 30), "\n\t\\\""])
+    if kind == 3:
+        return [awkward(rnd, depth + 1) for _ in range(rnd.randint(0, 4))]
+    return {rnd.choice(["k", 'q"', "a,b:{", "\\"]) + str(i): awkward(rnd, depth + 1) for i in range(rnd.randint(0, 4))}
+
+
+@pytest.mark.parametrize("size", [1, 3, 17, 1 << 20])
+def test_items_whatever_the_ranges(tmp_path, size):
+    """Any cut into ranges gives each item once, wherever strings and escapes are cut."""
+    rnd = random.Random(size)
+    for case in range(25):
+        whole = [awkward(rnd) for _ in range(rnd.randint(0, 6))] if case % 2 else {f"k{i}": awkward(rnd) for i in range(rnd.randint(0, 6))}
+        path = tmp_path / f"{case}.json"
+        path.write_text(json.dumps(whole, ensure_ascii=bool(case % 3), indent=rnd.choice([None, 1])), encoding="utf-8")
+        inside, depth, found, length = False, 0, [], path.stat().st_size
+        for start in range(0, length, size):
+            end = min(length, start + size)
+            found += json_items.items(str(path), start, end, inside, depth)
+            turns, outside, within = json_items.range_effect(str(path), start, end)
+            depth += within if inside else outside
+            inside ^= turns
+        assert (depth, inside) == (0, False) and not any(e for _, _, _, e in found)
+        values = [json.loads(v) for _, _, v, _ in found]
+        assert (values if case % 2 else dict(zip([k for _, k, _, _ in found], values))) == whole
+
+
+def test_a_large_array_is_read_by_several_tasks(spark, tmp_path):
+    whole = [{"id": i, "name": f'n "{i}" [', "tags": ["a,b"] * (i % 4)} for i in range(20_000)]
+    path = tmp_path / "large.json"
+    path.write_text(json.dumps(whole))
+    found = json_items.read_json_items(spark, str(path), 1 << 16)
+    tasks = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(tasks) == -(-path.stat().st_size // (1 << 16)) and max(r["count"] for r in tasks) < 0.2 * len(whole)
+    rows = json_items.read_json_array(spark, str(path), "id long, name string, tags array<string>", 1 << 16)
+    assert sorted((r.id, r.name, r.tags) for r in rows.drop("error").collect()) == [(x["id"], x["name"], x["tags"]) for x in whole]
+    path.write_text(json.dumps(whole)[:-30])  # the end is lost
+    errors = json_items.read_json_items(spark, str(path), 1 << 16).where("error IS NOT NULL").collect()
+    assert len(errors) == 1 and errors[0].error.startswith("unfinished item") and errors[0].value is None
+    (tmp_path / "odd.json").write_text('[1,,"a"]')
+    assert [(r.value, r.error) for r in json_items.read_json_items(spark, str(tmp_path / "odd.json")).orderBy("at").collect()] == [("1", None), (None, "empty item"), ('"a"', None)]
