@@ -161,11 +161,13 @@ class Trie:
         """Heaviest whole word within one edit (two, if long) of ``word``, but not equal to it."""
         return self.near(word)[0]
 
-    def near(self, word: str) -> tuple[float, float, float]:
+    def near(self, word: str, terms: set[str] | None = None) -> tuple[float, float, float]:
         """Weights of the heaviest misspelt terms: whole words as in ``close``, shorter whole words with one edit,
         and stems.  A stem is met where ``word`` goes on from the stem's last letter with one edit before it.
+        ``terms``: the word's candidates, where they are known.
         """
-        terms = self.candidates(word) if len(word) >= SHORT - 1 else ()
+        if terms is None:
+            terms = self.candidates(word) if len(word) >= SHORT - 1 else ()
         if not terms:
             return 0.0, 0.0, 0.0
         branches = self._branches(terms)
@@ -202,57 +204,87 @@ class Trie:
         return best, short, stem
 
 
-class FirstTest:
-    """Tells the words that may have a candidate from those that have none, for many words at once.
+class _Strings:
+    """Terms by the hash of a string: a bit map first, then the sorted hashes of what it lets through."""
 
-    It asks the same questions as ``Trie.candidates``, of bit maps filled with hashes of the terms'
-    deletion neighbours and of the first letters that these begin with: a word with a candidate always
-    passes, and few others do.
-    """
-
-    #: Letters that matter: whole words of up to TWO_EDITS letters, and the first six of others.
-    WIDTH = TWO_EDITS + 2
-    BASE = 0x9E3779B97F4A7C15
-
-    def __init__(self, trie: Trie):
-        powers = np.array([pow(self.BASE, i, 1 << 64) for i in range(self.WIDTH)], np.uint64)
-        self.powers, self.inverse = powers, np.uint64(pow(self.BASE, -1, 1 << 64))
-        self.once, self.stems, self.twice = (self._map(x) for x in (trie.once, *trie.heads))
-        self.longest = trie.longest
-
-    def _letters(self, words: Iterable[str]) -> np.ndarray:
-        return np.array([w[:self.WIDTH] for w in words], f"U{self.WIDTH}").view("<u4").reshape(-1, self.WIDTH).astype(np.uint64)
+    def __init__(self, hashes: np.ndarray, terms: list[list[str]]):
+        order = np.argsort(hashes)
+        self.hashes, self.terms = hashes[order], [terms[i] for i in order]
+        self.map = np.zeros(1 << MAP_BITS, bool)
+        self.map[self._place(self.hashes)] = True
 
     @staticmethod
     def _place(h: np.ndarray) -> np.ndarray:
         return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - MAP_BITS)
 
-    def _map(self, strings: Iterable[str]) -> np.ndarray:
-        out = np.zeros(1 << MAP_BITS, bool)
-        if strings:
-            out[self._place((self._letters(strings) * self.powers).sum(axis=1, dtype=np.uint64))] = True
-        return out
+    def hits(self, h: np.ndarray) -> Iterator[tuple[int, list[str]]]:
+        """(row, terms) of the hashes that are known."""
+        rows = np.flatnonzero(self.map[self._place(h)])
+        at = np.minimum(np.searchsorted(self.hashes, h[rows]), len(self.hashes) - 1)
+        for row, place in zip(rows[self.hashes[at] == h[rows]].tolist(), at[self.hashes[at] == h[rows]].tolist()):
+            yield row, self.terms[place]
 
-    def __call__(self, words: list[str]) -> np.ndarray:
-        size = np.array([len(w) for w in words])
-        letters = self._letters(words)
-        sums = np.cumsum(letters * self.powers, axis=1, dtype=np.uint64)
-        found = self.once[self._place(sums[:, -1])]
-        for i in range(TWO_EDITS):  # without letter i
-            rest = (sums[:, i - 1] if i else np.uint64(0)) + (sums[:, -1] - sums[:, i]) * self.inverse
-            found |= (i < size) & self.once[self._place(rest)]
-        found &= size <= TWO_EDITS
-        if self.stems.any():
-            found |= (size >= ONE_EDIT) & self._heads(letters[:, :ONE_EDIT], self.stems)
-        if self.twice.any():
-            long = np.flatnonzero((size >= TWO_EDITS - 2) & (size <= self.longest + 2))
-            found[long] |= self._heads(letters[long, :HEAD + 2], self.twice)
-        return found
 
-    def _heads(self, letters: np.ndarray, known: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(letters), bool)
-        for columns in combinations(range(letters.shape[1]), HEAD):
-            out |= known[self._place((letters[:, columns] * self.powers[:HEAD]).sum(axis=1, dtype=np.uint64))]
+class Neighbours:
+    """``Trie.candidates`` of many words at once: hashes of all their deletion neighbours, a place of deletion at a time."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, trie: Trie):
+        self.width = max(TWO_EDITS, STEMS[-1] + 1, trie.longest + 2) + 1
+        self.longest = trie.longest
+        self.powers = np.array([pow(self.BASE, i, 1 << 64) for i in range(self.width)], np.uint64)
+        self.back = [np.uint64(pow(self.BASE, -i, 1 << 64)) for i in range(3)]
+        self.once = self._strings({k: [t for t, _ in v] for k, v in trie.once.items()})
+        self.stems = self._strings({k: [t for t, _ in v] for k, v in trie.stems.items()})
+        self.twice = self._strings(trie.twice)
+
+    def _sums(self, words: Iterable[str]) -> np.ndarray:
+        """Column i: hash of the first i letters."""
+        letters = np.array([w[:self.width] for w in words], f"U{self.width}").view("<u4").reshape(-1, self.width).astype(np.uint64)
+        return np.concatenate([np.zeros((len(letters), 1), np.uint64), np.cumsum(letters * self.powers, axis=1, dtype=np.uint64)], axis=1)
+
+    def _strings(self, known: dict[str, list[str]]) -> _Strings | None:
+        return _Strings(self._sums(known)[:, -1], list(known.values())) if known else None
+
+    def candidates(self, words: list[str]) -> dict[int, set[str]]:
+        """For the words that have any: terms within the allowed edits of the word or its beginning, and few others."""
+        out: dict[int, set[str]] = {}
+        order = sorted(range(len(words)), key=lambda i: -len(words[i]))  # the longest first, so that those with a letter i lead
+        size = -np.array([-len(words[i]) for i in order], np.int64)
+        sums, back = self._sums(words[i] for i in order), self.back
+
+        def met(known: _Strings, first: int, h: np.ndarray) -> None:
+            for row, terms in known.hits(h):
+                out.setdefault(order[first + row], set()).update(terms)
+
+        def longer(n: int) -> int:
+            """Number of words with more than ``n`` letters."""
+            return int(np.searchsorted(-size, -n, side="left"))
+
+        if self.once:
+            first, least = longer(TWO_EDITS), longer(SHORT - 2)
+            met(self.once, first, sums[first:least, -1])
+            for i in range(TWO_EDITS):
+                end = max(first, longer(i)) if i > SHORT - 2 else least
+                part = sums[first:end]
+                met(self.once, first, part[:, i] + (part[:, -1] - part[:, i + 1]) * back[1])
+        if self.stems:
+            # the first n letters with letter i left out; a stem is followed by a letter
+            for n in range(HEAD, STEMS[-1] + 1):
+                met(self.stems, 0, sums[:longer(n), n])
+                part = sums[:longer(n + 1)]
+                for i in range(n):
+                    met(self.stems, 0, part[:, i] + (part[:, n + 1] - part[:, i + 1]) * back[1])
+        if self.twice:
+            first, least = longer(self.longest + 2), longer(TWO_EDITS - 3)
+            met(self.twice, first, sums[first:least, -1])
+            for i in range(self.longest + 2):
+                part = sums[first:max(first, min(least, longer(i)))]
+                met(self.twice, first, part[:, i] + (part[:, -1] - part[:, i + 1]) * back[1])
+                for j in range(i + 1, self.longest + 2):
+                    part = sums[first:max(first, min(least, longer(j)))]
+                    met(self.twice, first, part[:, i] + (part[:, j] - part[:, i + 1]) * back[1] + (part[:, -1] - part[:, j + 1]) * back[2])
         return out
 
 
@@ -261,7 +293,7 @@ class Scorer:
 
     def __init__(self, terms: dict[str, float]):
         self.trie, self.kinds = Trie(terms), {(0.0, 0.0, 0.0, 0.0): 0}
-        self.test = FirstTest(self.trie.loose)
+        self.neighbours = Neighbours(self.trie.loose)
         self.weights, self.table = [(0.0, 0.0, 0.0, 0.0)], np.zeros((1, 4))
         self.seen: dict[str, int] = {}
 
@@ -269,11 +301,11 @@ class Scorer:
         """Looks up words that are not remembered, all at once."""
         words = list(new)
         folded = [_folded(w) for w in words]
-        may = self.test(folded) if folded else ()
+        candidates = self.neighbours.candidates(folded)
         none = (0.0, 0.0, 0.0)
-        for word, bare, near in zip(words, folded, may):
+        for i, (word, bare) in enumerate(zip(words, folded)):
             exact = self.trie.exact(bare)
-            found = (exact, *(self.trie.loose.near(bare) if near and not exact else none))
+            found = (exact, *(self.trie.loose.near(bare, candidates[i]) if i in candidates and not exact else none))
             number = self.kinds.setdefault(found, len(self.kinds))
             if number == len(self.weights):
                 self.weights.append(found)
