@@ -33,10 +33,11 @@ def keep_rows(docs: DataFrame, keys: DataFrame, one_of_each: bool = False, keep:
     ``one_of_each``: of rows that repeat both, one stays.  Texts are dealt out once, by both keys,
     and repeats meet in that same exchange.
     """
-    own_id, own_key = (_unused(docs, n) for n in ("row_id", "row_key"))
-    wanted = keys.select(_filled("doc_id").alias(own_id), F.col("text_key").alias(own_key)).distinct()
-    here = docs.withColumns({own_id: _filled("doc_id"), own_key: text_key()})
-    kept = here.join(wanted, [own_id, own_key], "left_semi" if keep else "left_anti")
+    own_id, own_key, their_id, their_key = (_unused(docs, n) for n in ("row_id", "row_key", "key_id", "key_key"))
+    wanted = keys.select(F.col("doc_id").alias(their_id), F.col("text_key").alias(their_key)).distinct()
+    here = docs.withColumns({own_id: F.col("doc_id"), own_key: text_key()})
+    met = F.col(own_id).eqNullSafe(F.col(their_id)) & (F.col(own_key) == F.col(their_key))  # rows without doc_id meet too
+    kept = here.join(wanted, met, "left_semi" if keep else "left_anti")
     if one_of_each:
         kept = kept.dropDuplicates([own_id, own_key])
     return kept.select(docs.columns)
@@ -48,7 +49,3 @@ def _unused(docs: DataFrame, name: str) -> str:
         name += "_"
     return name
 
-
-def _filled(column: str) -> Column:
-    """Rows without doc_id meet too."""
-    return F.coalesce(F.col(column), F.lit(-(2**63)))

@@ -9,7 +9,9 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
+from scorelake.llm.common import keep_rows
 from scorelake.llm import components, exact_dedup, queries, simhash_dedup, suffix_dedup
 
 SMALL = "/root/testdata/sf0.001"
@@ -146,3 +148,13 @@ def test_interval_tree():
     # banana's suffixes a, ana, anana, banana, na, nana
     assert sorted(suffix_dedup.intervals([1, 3, 0, 0, 2])) == [(1, 0, 2), (2, 4, 5), (3, 1, 2)]
     assert suffix_dedup._common(b"abcd", b"abxd") == 2 and suffix_dedup._common(b"", b"a") == 0 and suffix_dedup._common(b"ab", b"abc") == 2
+
+
+def test_rows_are_told_apart_by_any_kind_of_id(spark):
+    """Text ids, the least number and a missing one are three different ids."""
+    for kind, ids in (("string", ["a", "-9223372036854775808", None, "a"]), ("long", [1, -(2**63), None, 1])):
+        docs = spark.createDataFrame([(i, "same") for i in ids], f"doc_id {kind}, text string")
+        keys = docs.where("doc_id IS NULL").select("doc_id", F.xxhash64("text").alias("text_key"))
+        assert [r.doc_id for r in keep_rows(docs, keys).collect()] == [None]
+        assert len(keep_rows(docs, keys, keep=False).collect()) == 3 and len(keep_rows(docs, keys, True, False).collect()) == 2
+        assert [r.doc_id for r in exact_dedup.drop_copies(docs).collect()] == [min(i for i in ids if i is not None)]
