@@ -7,17 +7,15 @@ partial aggregates.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from scorelake.functions import dist
 from scorelake.operators.ordering import average_ranks, exact_quantiles, row_positions
-from scorelake.session import kept, shuffle_width
+from scorelake.session import kept
 
 
 def moments(df: DataFrame, group: str, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -232,43 +230,43 @@ def tukey_pairs(m: DataFrame) -> DataFrame:
     return tested.withColumn("p_value", dist.p_studentized_range("q", "k", "df"))
 
 
+#: Draws that one digest gives, hexadecimal digits of each.
+DRAWS, DIGITS = 8, 4
+
+
+def poisson_steps(most: int = 9) -> list[int]:
+    """A 16-bit number is a weight of w if it reaches w of these steps: the distribution of Poisson(1)."""
+    steps, upto, term = [], 0.0, math.exp(-1)
+    for w in range(most):
+        upto += term
+        steps.append(math.floor(upto * 16**DIGITS))
+        term /= w + 1
+    return [x for x in steps if x < 16**DIGITS]
+
+
 def bootstrap_intervals(
-    df: DataFrame, group: str, value: str, replicates: int = 1000, level: float = 0.95, seed: int = 7
+    df: DataFrame, group: str, value: str, key: str, replicates: int = 1000, level: float = 0.95
 ) -> DataFrame:
     """Percentile interval of the mean over Poisson-weighted resamples.
 
-    Equal values are counted first; each task then draws the weights of its values for
-    all replicates, a block of values at a time, and hands on sums only, so rows are never
-    multiplied by replicates.  Values are dealt out by buckets of their hash; a bucket is drawn
-    in order from a seed of its own, so a retried task repeats its draws.
+    A row's weights come from the md5 of its key and the number of a block of replicates, by the
+    inverse distribution, so any engine and any retried task draws the same.  The products of rows
+    and blocks are added up where they are made; only sums per group and block travel.
     """
-    counted = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).groupBy(
-        F.col(group).alias("grp"), F.col(value).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("c"))
-    buckets = 64 * shuffle_width(df.sparkSession)
-    keyed = counted.withColumn("bucket", F.pmod(F.xxhash64("grp", "x", F.lit(seed)), F.lit(buckets))).repartition("bucket").sortWithinPartitions("bucket", "grp", "x")
-    schema = T.StructType([
-        T.StructField("grp", df.schema[group].dataType), T.StructField("replicate", T.IntegerType()),
-        T.StructField("w", T.DoubleType()), T.StructField("wx", T.DoubleType()),
-    ])
-
-    def draw(batches):
-        sums, bucket, rng = {}, None, None
-        for batch in batches:
-            codes, names = pd.factorize(batch["grp"])
-            x, c, b = (batch[k].to_numpy() for k in ("x", "c", "bucket"))
-            starts = np.flatnonzero(np.r_[True, (codes[1:] != codes[:-1]) | (b[1:] != b[:-1])])
-            for s, e in zip(starts, np.r_[starts[1:], len(x)]):
-                if b[s] != bucket:
-                    bucket, rng = b[s], np.random.Generator(np.random.Philox(key=[seed, int(b[s])]))
-                held = sums.setdefault(names[codes[s]], np.zeros((2, replicates)))
-                for at in range(s, e, 256):
-                    w = rng.poisson(c[at:min(e, at + 256), None], (min(e, at + 256) - at, replicates))
-                    held[0] += w.sum(axis=0)
-                    held[1] += x[at:min(e, at + 256)] @ w
-        for g, held in sums.items():
-            yield pd.DataFrame({"grp": g, "replicate": np.arange(replicates, dtype="int32"), "w": held[0], "wx": held[1]})
-
-    means = keyed.mapInPandas(draw, schema).groupBy("grp", "replicate").agg((F.sum("wx") / F.sum("w")).alias("m"))
+    rows = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(
+        F.col(group).alias("grp"), F.col(value).cast("double").alias("x"), F.col(key).cast("string").alias("key"))
+    blocks = -(-replicates // DRAWS)
+    drawn = rows.select("grp", "x", "key", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).select(
+        "grp", "x", "block", F.md5(F.concat_ws("-", "key", "block").cast("binary")).alias("digest"))
+
+    def weight(j: int) -> Column:
+        u = F.conv(F.substring("digest", 1 + DIGITS * j, DIGITS), 16, 10).cast("int")
+        return sum((F.when(u >= step, 1.0).otherwise(0.0) for step in poisson_steps()), F.lit(0.0))
+
+    weights = drawn.select("grp", "x", "block", *[weight(j).alias(f"w{j}") for j in range(DRAWS)])
+    sums = weights.groupBy("grp", "block").agg(*[F.sum(f"w{j}").alias(f"w{j}") for j in range(DRAWS)], *[F.sum(F.col(f"w{j}") * F.col("x")).alias(f"s{j}") for j in range(DRAWS)])
+    each = F.explode(F.array(*[F.struct((F.col("block") * DRAWS + j).alias("replicate"), (F.col(f"s{j}") / F.nullif(F.col(f"w{j}"), F.lit(0.0))).alias("m")) for j in range(DRAWS)]))
+    means = sums.select("grp", each.alias("r")).select("grp", "r.replicate", "r.m").where(F.col("replicate") < replicates)
     tail = (1 - level) / 2
     ends = F.percentile("m", F.array(F.lit(tail), F.lit(1 - tail)))
     return means.groupBy("grp").agg(ends.alias("_e"), F.avg("m").alias("mean")).select(

@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = (
     "retail", "finance", "scoring", "statistics", "evaluation", "operations", "people", "hygiene",
-    "search", "streams", "agreement", "roundtrips", "ranking",
+    "search", "streams", "agreement", "roundtrips", "ranking", "sinks",
 )
 
 for _name in MODULES:

@@ -13,7 +13,7 @@ from scorelake.plans import tails
 from scorelake.plans.registry import query
 from scorelake.plans.scoring import words_sql
 from scorelake.plans.statistics import A_TEXT, ANOVA_P_SQL, MOMENTS_SQL, rounded, score_moments
-from scorelake.plans.views import EVAL_SQL, eval_log, scores, table
+from scorelake.plans.views import EVAL_SQL, SCORES_SQL, eval_log, scores, table
 from scorelake.sources.writers import report_lines
 
 
@@ -65,9 +65,18 @@ def reference_overlap(spark, d):
     return rounded(out, 8, "bleu", "rouge_1", "rouge_2")
 
 
-@query("bootstrap_intervals")
+REPLICATES = 400
+
+
+@query("bootstrap_intervals", f"""WITH {SCORES_SQL}, b AS (SELECT provider, score, unnest(range({REPLICATES // S.DRAWS})) AS block, id FROM scores WHERE score IS NOT NULL AND provider IS NOT NULL),
+    h AS (SELECT provider, score, block, md5(id || '-' || block) AS digest, unnest(range({S.DRAWS})) AS j FROM b),
+    u AS (SELECT provider, score, block * {S.DRAWS} + j AS replicate, CAST('0x' || substr(digest, (1 + {S.DIGITS} * j)::INT, {S.DIGITS}) AS INT) AS u FROM h),
+    w AS (SELECT provider, score, replicate, {' + '.join(f'CAST(u >= {x} AS INT)' for x in S.poisson_steps())} AS w FROM u),
+    m AS (SELECT provider, replicate, sum(w * score) / nullif(sum(w), 0) AS m FROM w GROUP BY 1, 2)
+    SELECT provider, round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m GROUP BY 1""")
 def bootstrap_intervals(spark, d):
-    return rounded(S.bootstrap_intervals(scores(spark, d), "provider", "score"), 6, "mean", "ci_low", "ci_high")
+    out = S.bootstrap_intervals(scores(spark, d), "provider", "score", "id", REPLICATES)
+    return rounded(out, 6, "mean", "ci_low", "ci_high")
 
 
 @query("tukey_pairs", f"""WITH {MOMENTS_SQL}, w AS (SELECT count(*) AS k, sum(n) - count(*) AS df, sum((n - 1) * var) / (sum(n) - count(*)) AS v FROM m),

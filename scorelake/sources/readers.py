@@ -28,7 +28,8 @@ def read_bars(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_many_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Several files as one table with their origin, and a table of those left out: source_file, reason, n_rows, n_bad.
+    """Several files as one table with their origin (source_file, source_path), and a table of those left out:
+    source_file, source_path, reason, n_rows, n_bad.
 
     A file is taken whole or not at all: it is left out if it is missing, if it cannot be read to its
     end, or if one of its rows does not fit the schema.  Rows are read once into the shared folder.
@@ -38,14 +39,15 @@ def read_many_csv(spark: SparkSession, paths: Sequence[str], schema: T.StructTyp
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad)
     kind = T.StructType([*schema.fields, T.StructField(bad, T.StringType())])
     if not whole:
-        none = spark.createDataFrame([], kind).drop(bad).withColumn("source_file", F.lit(None).cast("string"))
-        return none, reasons
-    rows = saved(reader.schema(kind).csv(whole).withColumn("source_file", F.col("_metadata.file_name")), "csv-rows")
-    counts = rows.groupBy("source_file").agg(F.count(F.lit(1)).alias("n_rows"), F.count(bad).alias("n_bad"), F.min(bad).alias("_first"))
+        text = F.lit(None).cast("string")
+        return spark.createDataFrame([], kind).drop(bad).withColumns({"source_file": text, "source_path": text}), reasons
+    origin = {"source_file": F.col("_metadata.file_name"), "source_path": F.col("_metadata.file_path")}
+    rows = saved(reader.schema(kind).csv(whole).withColumns(origin), "csv-rows")
+    counts = rows.groupBy("source_file", "source_path").agg(F.count(F.lit(1)).alias("n_rows"), F.count(bad).alias("n_bad"), F.min(bad).alias("_first"))
     damaged = kept(counts.where("n_bad > 0").select(
-        "source_file", F.concat(F.lit("rows that do not fit: "), F.substring("_first", 1, 80)).alias("reason"), "n_rows", "n_bad"))
-    good = rows.drop(bad).join(damaged.select("source_file"), "source_file", "left_anti")
-    return good.select(*schema.names, "source_file"), damaged.unionByName(reasons)
+        "source_file", "source_path", F.concat(F.lit("rows that do not fit: "), F.substring("_first", 1, 80)).alias("reason"), "n_rows", "n_bad"))
+    good = rows.drop(bad).join(damaged.select("source_path"), "source_path", "left_anti")
+    return good.select(*schema.names, "source_file", "source_path"), damaged.unionByName(reasons)
 
 
 def _readable(spark: SparkSession, paths: list[str]) -> tuple[list[str], DataFrame]:
@@ -69,7 +71,7 @@ def _readable(spark: SparkSession, paths: list[str]) -> tuple[list[str], DataFra
     found = kept(asked.mapInArrow(probed, "path string, reason string"))
     failed = {r.path for r in found.where("reason IS NOT NULL").collect()}  # names that the caller gave
     reasons = found.where("reason IS NOT NULL").select(
-        F.substring_index("path", "/", -1).alias("source_file"), "reason", F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_bad"))
+        F.substring_index("path", "/", -1).alias("source_file"), F.col("path").alias("source_path"), "reason", F.lit(None).cast("bigint").alias("n_rows"), F.lit(None).cast("bigint").alias("n_bad"))
     return [p for p in paths if p not in failed], reasons
 
 

@@ -9,7 +9,7 @@ from oracle import compare, connect
 
 # checked against brute force in the other test files instead
 WITHOUT_SQL = {
-    "coherence", "overall_score", "fuzzy_accuracy", "ann_cells", "ann_hyperplanes", "prompt_contexts", "hashed_embedding", "bootstrap_intervals",
+    "coherence", "overall_score", "fuzzy_accuracy", "ann_cells", "ann_hyperplanes", "prompt_contexts",
 }
 
 

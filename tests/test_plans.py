@@ -125,13 +125,13 @@ def test_agreement(spark):
 def test_bootstrap_and_tukey(spark):
     rng = np.random.default_rng(0)
     data = [(g, float(x)) for g, m in (("a", 0), ("b", 0.05), ("c", 3)) for x in rng.normal(m, 1, 200)]
-    df = spark.createDataFrame(data, "g string, x double")
-    out = {r.g: r for r in S.bootstrap_intervals(df, "g", "x", 800).collect()}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(data)], "id long, g string, x double")
+    out = {r.g: r for r in S.bootstrap_intervals(df, "g", "x", "id", 800).collect()}
     for g in "abc":
         v = np.array([x for k, x in data if k == g])
         half = 1.96 * v.std(ddof=1) / np.sqrt(len(v))
         assert abs(out[g].ci_low - (v.mean() - half)) < .04 and abs(out[g].ci_high - (v.mean() + half)) < .04
-    again = {r.g: r for r in S.bootstrap_intervals(df.repartition(7), "g", "x", 800).collect()}
+    again = {r.g: r for r in S.bootstrap_intervals(df.repartition(7), "g", "x", "id", 800).collect()}
     assert all(abs(again[g].ci_low - out[g].ci_low) < 1e-9 for g in "abc")
     p = {(r.a_grp, r.b_grp): r.p_value for r in S.tukey_pairs(S.moments(df, "g", "x")).collect()}
     assert p[("a", "c")] < 1e-6 and p[("a", "b")] > .05

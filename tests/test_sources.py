@@ -155,7 +155,7 @@ def test_damaged_files_are_left_out_whole(spark, tmp_path):
     assert found.keys() == {"bad.csv", "cut.csv.gz", "none.csv"} and (found["bad.csv"].n_rows, found["bad.csv"].n_bad) == (3, 1)
     assert "four,y" in found["bad.csv"].reason and found["none.csv"].reason == "missing" and "end" in found["cut.csv.gz"].reason
     none, all_ = R.read_many_csv(spark, [missing], schemas.struct(a=schemas.L, b=schemas.S))
-    assert none.count() == 0 and none.columns == ["a", "b", "source_file"] and all_.count() == 1
+    assert none.count() == 0 and none.columns == ["a", "b", "source_file", "source_path"] and all_.count() == 1
 
 
 def awkward(rnd, depth=0):
