@@ -7,6 +7,8 @@ the words around each gathered stretch are aligned with the template inside a na
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -76,7 +78,30 @@ TEMPLATES = {
     "MPL-2.0-notice": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can "
         "obtain one at https://mozilla.org/MPL/2.0/."),
+    "MIT-disclaimer": (
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER "
+        "LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN "
+        "THE SOFTWARE."),
+    "BSD-disclaimer": (
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE "
+        "LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES"),
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "EPL-2.0-notice": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"),
+    "Artistic-2.0-notice": "This is free software; you can redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    "WTFPL": (
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is "
+        "changed."),
 }
+# Identifiers that a tag line in a file's head can name; every word of such a line must be there.
+TAG = "SPDX-License-Identifier: "
+IDENTIFIERS = (
+    "0BSD AGPL-3.0-only AGPL-3.0-or-later Apache-2.0 Artistic-2.0 BSD-2-Clause BSD-3-Clause BSL-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC0-1.0 EPL-2.0 EUPL-1.2 "
+    "GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later ISC LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only MIT MPL-2.0 Unlicense WTFPL Zlib").split()
+TEMPLATES |= {f"SPDX-{i}": TAG + i for i in IDENTIFIERS}
 
 
 class Index:
@@ -88,6 +113,7 @@ class Index:
         words = Words(raw, _powers(sum(map(len, raw)) + len(raw) + 1))
         self.words = [words.hash[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         size = np.array([len(w) for w in self.words], np.int64)
+        self.needed = [len(w) if templates[n].startswith(TAG) else math.ceil(COVERAGE * len(w) - 1e-9) for n, w in zip(self.names, self.words)]
         #: Per gram size: sorted hashes, their templates and places; all grams of a template.
         self.grams: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for gram, wanted in ((GRAM, size >= SHORT), (SHORT_GRAM, size < SHORT)):
@@ -100,27 +126,27 @@ class Index:
 
 
 def align(template: np.ndarray, words: np.ndarray, band: int) -> tuple[int, int, int]:
-    """(matched words, first word, end): the template against a stretch of words.
+    """(matched words, first word, end): the template against a stretch of words."""
+    return tuple(int(x[0]) for x in align_many(template, words[None, :], band))
+
+
+def align_many(template: np.ndarray, words: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Matched words, first word and end for stretches of one length, a row each.
 
     Longest common subsequence within a band around the diagonal; the stretch's extra words widen it
     to the right.  Of equal ones the last to begin, then the first to end.
     """
-    n, m = len(template), len(words)
+    n, m = len(template), words.shape[1]
     slack = max(0, m - n) + band
-    best = [(0, 0)] * (m + 1)  # (matches, first matched word) of the best way within the first j words
+    best = np.zeros((len(words), m + 1), np.int64)  # matches above 32 bits of the first matched word: the best within the first j words
     for i in range(n):
         low, high = min(m, max(0, i - band)), min(m, i + slack + 1)
-        new = list(best)
-        for j in range(low, high):
-            way = max(new[j], best[j + 1])
-            if template[i] == words[j]:
-                matches, first = best[j]
-                way = max(way, (matches + 1, first if matches else j))
-            new[j + 1] = way
-        for j in range(high, m):
-            new[j + 1] = max(new[j + 1], new[j])
-        best = new
-    return best[m][0], best[m][1], best.index(best[m])
+        before, place = best[:, low:high], np.arange(low, high)
+        longer = np.where(before >> 32 > 0, before + (1 << 32), (1 << 32) | place)
+        way = np.maximum(best[:, low + 1:high + 1], np.where(words[:, low:high] == template[i], longer, 0))
+        best[:, low:] = np.maximum.accumulate(np.concatenate([best[:, low:low + 1], way, best[:, high + 1:]], axis=1), axis=1)
+    last = best[:, -1]
+    return last >> 32, last & 0xFFFFFFFF, np.argmax(best == last[:, None], axis=1)
 
 
 def _band(size: int) -> int:
@@ -128,24 +154,31 @@ def _band(size: int) -> int:
     return min(max(BAND, size // 4), size // 2)
 
 
-def _stretches(index: Index, words: Words, of: int) -> Iterator[tuple[int, int, int]]:
-    """(template, first word, end) of the gathered hits of text ``of``, with a band of words around."""
-    first, last = int(words.first[of]), int(words.first[of + 1])
-    for template, place, near in words.hits.get(of, ()):
+def _stretches(index: Index, words: Words, hits: dict[tuple[int, int], set[int]]) -> dict[tuple[int, int], list[tuple[int, int]]]:
+    """For each template and length the stretches (first word, text) around the gathered hits, with a band of words to either side.
+
+    hits: diagonals by (text, template).  Words put in between move the rest of a long template to later
+    diagonals: up to the last one within three fourths of its length it is one stretch as well.
+    """
+    out: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
+    for (of, template), found in hits.items():
+        first, last = int(words.first[of]), int(words.first[of + 1])
         size = len(index.words[template])
         drift = _band(size)
-        start = near - place
-        yield template, max(first, start - drift), min(last, start + size + drift)
-        if size >= SHORT:  # words put in between move the rest to later diagonals: up to there it is one stretch
-            later = max((n - p for t, p, n in words.hits[of] if t == template and start < n - p < start + size * 3 // 4), default=start)
-            if later > start:
-                yield template, max(first, start - drift), min(last, later + size + drift)
+        starts = np.array(sorted(found))
+        later = starts[np.searchsorted(starts, starts + size * 3 // 4) - 1]
+        for start, far in zip(starts.tolist(), later.tolist()):
+            for stop in {start, far if size >= SHORT else start}:
+                a, b = max(first, start - drift), min(last, stop + size + drift)
+                if b - a >= index.needed[template]:
+                    out[template, b - a].add((a, of))
+    return {k: sorted(v) for k, v in out.items()}
 
 
 def scan(index: Index, texts: list[bytes], powers) -> list[list[tuple]]:
     """Per text (template, start, end, matched, coverage); bytes offsets of the first and last matched word."""
     words = Words(texts, powers)
-    words.hits = defaultdict(dict)
+    gathered: dict[tuple[int, int, int], int] = {}
     for gram, (known, templates, places) in index.grams.items():
         h, valid = words.grams(gram)
         at = winnowed(h, valid, WINDOW) if gram == GRAM else np.flatnonzero(valid)
@@ -155,39 +188,60 @@ def scan(index: Index, texts: list[bytes], powers) -> list[list[tuple]]:
         for k, top in zip(hit.tolist(), high.tolist()):
             of = int(words.text[at[k]])
             for e in range(int(low[k]), top):
-                template, place = int(templates[e]), int(places[e])
+                template, start = int(templates[e]), int(at[k]) - int(places[e])
                 # hits of one template on neighbouring diagonals are one candidate
-                words.hits[of].setdefault((template, (int(at[k]) - place) // max(1, min(BAND, len(index.words[template]) // 2) // 2)), (template, place, int(at[k])))
+                gathered.setdefault((of, template, start // max(1, min(BAND, len(index.words[template]) // 2) // 2)), start)
+    hits: dict[tuple[int, int], set[int]] = defaultdict(set)
+    for (of, template, _), start in gathered.items():
+        hits[of, template].add(start)
+    found: list[set[tuple]] = [set() for _ in texts]
+    for (template, size), stretches in _stretches(index, words, hits).items():
+        held = np.concatenate([[0], np.cumsum(np.isin(words.hash, index.words[template]))])
+        start = np.array([a for a, _ in stretches])
+        enough = np.flatnonzero(held[start + size] - held[start] >= index.needed[template])
+        for some in np.array_split(enough, max(1, len(enough) * size // (1 << 19))):
+            if not len(some):
+                continue
+            rows = words.hash[start[some][:, None] + np.arange(size)]
+            for k, matched, s, e in zip(some.tolist(), *(x.tolist() for x in align_many(index.words[template], rows, _band(len(index.words[template]))))):
+                if matched >= index.needed[template]:
+                    a, of = stretches[k]
+                    found[of].add((matched, matched / len(index.words[template]), -(a + s), -(a + e), -template))
+    base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
     out: list[list[tuple]] = []
-    for of in range(len(texts)):
-        found = []
-        if of in words.hits:
-            words.hits[of] = list(words.hits[of].values())
-            for template, a, b in _stretches(index, words, of):
-                matched, s, e = align(index.words[template], words.hash[a:b], _band(len(index.words[template])))
-                coverage = matched / len(index.words[template])
-                if coverage >= COVERAGE:
-                    found.append((matched, coverage, -(a + s), -(a + e), -template))
-        taken: list[tuple[int, int]] = []
-        rows = []
-        for matched, coverage, s, e, template in sorted(set(found), reverse=True):
+    for of, own in enumerate(found):
+        starts, ends, rows = [], [], []  # of the matches that stay; they do not overlap
+        for matched, coverage, s, e, template in sorted(own, reverse=True):
             s, e = -s, -e
-            if all(e <= x or y <= s for x, y in taken):
-                taken.append((s, e))
-                rows.append((index.names[-template], s, e, matched, coverage))
-        base = int(np.cumsum([0] + [len(t) + 1 for t in texts])[of]) if rows else 0
-        out.append(sorted((int(words.start[s]) - base, int(words.end[e - 1]) - base, name, matched, coverage) for name, s, e, matched, coverage in rows))
+            k = bisect_left(starts, e)
+            if not k or ends[k - 1] <= s:
+                starts.insert(k, s)
+                ends.insert(k, e)
+                rows.append((int(words.start[s] - base[of]), int(words.end[e - 1] - base[of]), index.names[-template], matched, coverage))
+        out.append(sorted(rows))
     return out
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def templates_of(table: DataFrame) -> dict[str, str]:
+    """Templates from a table (license, text); its size is checked before it is fetched.  Missing values are left out."""
+    known = table.where("license IS NOT NULL AND text IS NOT NULL")
+    if (known.agg(F.sum(F.length("text"))).first()[0] or 0) > 8 * INDEX_GRAMS:
+        raise ValueError("too many license templates for an index that every task holds")
+    return {r.license: r.text for r in known.collect()}
+
+
+def licenses(docs: DataFrame, templates: dict[str, str] | DataFrame | None = None) -> DataFrame:
     """One row per license text found: doc_id, license, start, end, n_matched, coverage.
 
     start and end are code points of the whole text, end exclusive; n_matched the template's words
     found in order, coverage their share of it, ``COVERAGE`` at least.  Of matches that overlap in a
     document the one with most words stays, then the higher coverage, the earlier place and the
-    later end.  Documents without a license, null or empty ones give no row.
+    later end.  Documents without a license, null or empty ones give no row.  ``templates`` are the
+    built-in notices unless given, as names and texts or as a table (license, text).  Words put into a
+    text in one place are bridged up to three fourths of the template's length.
     """
+    if isinstance(templates, DataFrame):
+        templates = templates_of(templates)
     index = docs.sparkSession.sparkContext.broadcast(Index(templates or TEMPLATES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

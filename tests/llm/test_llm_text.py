@@ -208,6 +208,58 @@ def test_licenses_against_plain_search(spark):
     assert {(r.doc_id, r.license) for r in queries.QUERIES["op6_licenses"](spark, LARGER).collect()} == expected and len(expected) > 100
 
 
+def plain_alignment(template, words):
+    """Longest common subsequence without a band."""
+    row = [0] * (len(words) + 1)
+    for t in template:
+        new = [0]
+        for j, w in enumerate(words):
+            new.append(max(row[j + 1], new[j], row[j] + (t == w)))
+        row = new
+    return row[-1]
+
+
+def test_long_notices_against_unbanded_alignment():
+    """Notices of many words, changed here and there in prose: found where an alignment over all templates says so."""
+    rnd, index = random.Random(3), licenses.Index(licenses.TEMPLATES)
+    long = {n: re.findall("[a-z0-9]+", t.lower()) for n, t in licenses.TEMPLATES.items() if len(t.split()) >= 20}
+    for case in range(60):
+        name = rnd.choice(sorted(long))
+        share = rnd.choice([0.02, 0.1, 0.4])
+        changed = [w for w in long[name] for w in ([w] if rnd.random() > share else rnd.choice([[], [w, f"x{case}"], [f"y{case}"]]))]
+        prose = [f"w{rnd.randrange(10**6)}" for _ in range(60)]
+        text = " ".join(prose[:30] + changed + prose[30:])
+        best = {n: plain_alignment(t, text.split()) / len(t) for n, t in long.items()}
+        got = {r[2]: r[4] for r in licenses.scan(index, [text.encode()], _powers(CHUNK))[0] if r[2] in long}
+        if best[name] >= 0.85:
+            assert name in got or max(best, key=best.get) in got, (name, share, best[name])
+        for n, coverage in got.items():
+            assert 0.8 <= coverage <= best[n] + 1e-9
+        if max(best.values()) < 0.75:
+            assert not got
+
+
+def test_tags_and_templates_from_a_table(spark):
+    index = licenses.Index(licenses.TEMPLATES)
+    found = lambda text: [r[2] for r in licenses.scan(index, [text.encode()], _powers(CHUNK))[0]]
+    assert found("// SPDX-License-Identifier: MIT\n x = 1") == ["SPDX-MIT"] and found("# SPDX-License-Identifier: GPL-2.0-or-later") == ["SPDX-GPL-2.0-or-later"]
+    assert found("SPDX-License-Identifier: Unknown-9.9") == [] and found("SPDX-License-Name: MIT") == []
+    table = spark.createDataFrame([("own", "alpha beta gamma delta epsilon zeta"), (None, "x"), ("none", None)], "license string, text string")
+    docs = spark.createDataFrame([(1, "see alpha beta gamma delta epsilon zeta here"), (2, "Released under the MIT License")], "doc_id long, text string")
+    assert [(r.doc_id, r.license, r.coverage) for r in licenses.licenses(docs, table).collect()] == [(1, "own", 1.0)]
+    twins = {"a": "one two three four five six", "b": "one two three four five six"}  # equal templates: the first by name
+    assert [r[2] for r in licenses.scan(licenses.Index(twins), [b"x one two three four five six y"], _powers(CHUNK))[0]] == ["a"]
+
+
+def test_repeated_license_words_take_time_in_proportion():
+    rnd, index = random.Random(5), licenses.Index(licenses.TEMPLATES)
+    words = " ".join(licenses.TEMPLATES.values()).split()
+    for text in (" ".join(rnd.choice(words) for _ in range(45_000)), (licenses.TEMPLATES["MIT"] + " ") * 500):
+        started = time.process_time()
+        licenses.scan(index, [text.encode()], _powers(CHUNK))
+        assert time.process_time() - started < 8, len(text)
+
+
 def test_alignment():
     def words(text):
         return np.array([hash(w) for w in text.split()])
