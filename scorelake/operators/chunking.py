@@ -100,6 +100,33 @@ def block_trends(blocks: DataFrame, ts: str, columns: Sequence[str]) -> DataFram
     return r.withColumn("direction", trend_label(F.col("correlation")))
 
 
+def block_lines(blocks: DataFrame, numbers: Sequence[str], ts: str) -> DataFrame:
+    """Per block the lines that a prompt shows beside its text: stat_lines, trend_lines, outlier_lines, in the order of ``numbers``.
+
+    Figures are rounded to nine digits first: what computing leaves in the last ones must not decide a half.
+    """
+    order = F.element_at(F.create_map(*[x for i, c in enumerate(numbers) for x in (F.lit(c), F.lit(i))]), F.col("column"))
+    zero = F.lit(0.0)
+
+    def gathered(df: DataFrame, line: Column, name: str) -> DataFrame:
+        listed = F.sort_array(F.collect_list(F.struct(order.alias("o"), line.alias("l"))))  # a line per column
+        return df.groupBy("chunk_id").agg(F.transform(listed, lambda s: s["l"]).alias(name))
+
+    def near(column: str) -> Column:
+        return F.round(F.coalesce(column, zero), 9)
+
+    stats = block_statistics(blocks, numbers).where("n_rows > nulls")
+    spread = F.format_string("  %s: μ=%.2f, σ=%.2f, range=[%.2f-%.2f]", "column", near("mean"), near("std"), near("min"), near("max"))
+    trends = block_trends(blocks, ts, numbers).where(F.col("correlation").isNotNull())
+    trend = F.format_string("  %s: %s (r=%.3f)", "column", "direction", near("correlation"))
+    outside = F.format_string("  %s: %d outliers (%.1f%%)", "column", "outliers", near("outlier_pct"))
+    out = gathered(stats, spread, "stat_lines")
+    for df, line, name in ((trends, trend, "trend_lines"), (block_outliers(blocks, numbers), outside, "outlier_lines")):
+        out = out.join(gathered(df, line, name), "chunk_id", "left")
+    empty = F.array().cast("array<string>")
+    return out.select("chunk_id", "stat_lines", *[F.coalesce(n, empty).alias(n) for n in ("trend_lines", "outlier_lines")])
+
+
 def _lines(parts: Column) -> Column:
     return F.concat_ws("\n", parts)
 

@@ -130,6 +130,25 @@ def chunk_summary(spark, d):
     return C.block_summaries(blocks(spark, d), NUMBERS, ["event_type"], "ts", shown)
 
 
+
+def halves_up(x: str, digits: int) -> str:
+    return f"CAST(CAST(CAST({x} AS DECIMAL(30, 9)) AS DECIMAL(30, {digits})) AS VARCHAR)"
+
+
+@query("chunk_lines", f"""WITH {BLOCK_SQL}, q AS (SELECT chunk_id, col, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.75) AS q3 FROM long GROUP BY 1, 2),
+    s AS (SELECT chunk_id, col, list_position({NUMBERS}, col) AS o, avg(v) AS mean, coalesce(stddev_samp(v), 0) AS std, min(v) AS low, max(v) AS high,
+    corr(CAST(epoch_us(ts) AS DOUBLE), v) AS r, count(*) FILTER (v < q1 - 1.5 * (q3 - q1) OR v > q3 + 1.5 * (q3 - q1)) AS n, count(*) AS rows FROM long JOIN q USING (chunk_id, col) GROUP BY 1, 2)
+    SELECT chunk_id, array_to_string(list('  ' || col || ': μ=' || {halves_up('mean', 2)} || ', σ=' || {halves_up('std', 2)} || ', range=[' || {halves_up('low', 2)} || '-' || {halves_up('high', 2)} || ']' ORDER BY o)
+        FILTER (mean IS NOT NULL), chr(10)) AS stat_lines,
+    coalesce(array_to_string(list('  ' || col || ': ' || CASE WHEN r > 0.1 THEN 'increasing' WHEN r < -0.1 THEN 'decreasing' ELSE 'stable' END || ' (r=' || format('{{:.3f}}', round(r, 9)) || ')' ORDER BY o)
+        FILTER (r IS NOT NULL), chr(10)), '') AS trend_lines,
+    coalesce(array_to_string(list('  ' || col || ': ' || n || ' outliers (' || {halves_up('n / rows * 100', 1)} || '%)' ORDER BY o) FILTER (n > 0), chr(10)), '') AS outlier_lines FROM s GROUP BY 1""")
+def chunk_lines(spark, d):
+    """What a prompt says about each block beside its text."""
+    lines = C.block_lines(blocks(spark, d), NUMBERS, "ts")
+    return lines.select("chunk_id", *[F.concat_ws("\n", c).alias(c) for c in ("stat_lines", "trend_lines", "outlier_lines")])
+
+
 K = 8
 
 
@@ -243,14 +262,18 @@ def prompt_contexts(spark, d):
         F.concat_ws("_", "conv_id", "turn").alias("query_id"), F.col("text").alias("query_text"),
         F.when(F.col("conv_id") % 2 == 0, "retail_01").otherwise("finance_01").alias("question_id"))
     # both are used several times, so they are computed once
-    summaries = saved(chunk_summary(spark, d).withColumn("source_file", F.lit("events")), "summaries")
+    lines = C.block_lines(blocks(spark, d), NUMBERS, "ts")
+    summaries = saved(chunk_summary(spark, d).withColumn("source_file", F.lit("events")).join(lines, "chunk_id"), "summaries")
     both = asked.select(F.concat(F.lit("q:"), "query_id").alias("id"), F.col("query_text").alias("t")).unionByName(
         summaries.select(F.concat(F.lit("c:"), "chunk_id").alias("id"), F.col("content").alias("t")))
     embedded = saved(dense(hashed_vectors(both, "id", "t"), both, "id", 256), "vectors")
     queries = embedded.where("id LIKE 'q:%'").select(F.substring("id", 3, 1000).alias("query_id"), "embedding")
     vectors = embedded.where("id LIKE 'c:%'").select(F.substring("id", 3, 1000).alias("chunk_id"), "embedding")
     found = R.cosine_topk(queries, vectors, "query_id", "chunk_id", "embedding", K)
-    return R.prompt_contexts(asked, found, summaries, "query_id", "query_text", "question_id", "chunk_id", K)
+    # the first two benchmark items are the truth about the two questions
+    name = F.when(F.col("item_id") == 0, "retail_01").when(F.col("item_id") == 1, "finance_01")
+    truth = table(spark, d, "benchmark").select(name.alias("question_id"), F.array(F.left("text", F.lit(60))).alias("key_points"), F.array("text").alias("factual_claims"), F.lit("long").alias("expected_length"))
+    return R.prompt_contexts(asked, found, summaries, "query_id", "query_text", "question_id", "chunk_id", K, truth.where("question_id IS NOT NULL"))
 
 
 @query("truth_contexts", f"""WITH t AS (SELECT doc_id, lang AS domain, text AS question, 'point ' || n_chars AS p, n_chars % 4 + 1 AS n FROM documents),

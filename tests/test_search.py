@@ -166,3 +166,13 @@ def test_results_merge_over_small_batches(vectors, spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert {(r.qid, r.vid) for r in out} == best
+
+
+def test_prompt_lines_of_blocks(spark):
+    """Figures, trends and outliers of row blocks reach the prompt."""
+    rows = spark.range(60).select("id", F.timestamp_seconds(F.col("id") * 60).alias("ts"), (F.col("id") * 2.0).alias("up"), F.when(F.col("id") == 7, 900.0).otherwise(F.col("id") % 3).alias("odd"))
+    blocks = C.blocked(rows, "id", 30, "f.csv")
+    lines = {r.chunk_id: r for r in C.block_lines(blocks, ["up", "odd"], "ts").collect()}
+    first = next(r for k, r in lines.items() if "_0_" in k)
+    assert first.stat_lines[0] == "  up: μ=29.00, σ=17.61, range=[0.00-58.00]" and first.trend_lines[0] == "  up: increasing (r=1.000)"
+    assert first.outlier_lines == ["  odd: 1 outliers (3.3%)"] and sum(len(r.outlier_lines) for r in lines.values()) == 1
