@@ -1,4 +1,8 @@
-"""Sequence-matching ratios; no built-in equals them, so they run on Arrow batches."""
+"""Sequence-matching ratios; no built-in equals them, so they run on Arrow batches.
+
+They compare two texts row by row in time that grows with the square of their length: a reference
+for sentence-sized texts, not for whole documents.
+"""
 
 from __future__ import annotations
 

@@ -75,7 +75,7 @@ def with_p(tested: DataFrame, alternative: str = "two-sided", alpha: float = 0.0
     )
     return labelled.withColumn(
         "description",
-        F.concat(
+        F.concat(  # fixed values: the words of the sentence
             F.lit("T-test comparing "), F.col("a_n"), F.lit(" vs "), F.col("b_n"), F.lit(" samples"),
             verdict, F.format_string("%.4f", "p_value"), F.lit(")"),
         ),
