@@ -44,7 +44,8 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = plain
         # a text that may hold the string of an added token goes through the library whole
-        self.added = () if plain else tuple(t.content.lower() for t in self.whole.get_added_tokens_decoder().values())
+        added = () if plain else self.whole.get_added_tokens_decoder().values()
+        self.added = [t.content.lower() if lower else t.content for t in added]
         self.model, self.lower, self.names, self.seen = self.whole.model, lower, byte_names(), _Seen(self)
         self.cut = (_WORD if lower else _BYTE).findall
 
@@ -55,9 +56,10 @@ class Encoder:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not _PLAIN.fullmatch(text) or self.added and any(map(text.lower().__contains__, self.added)):
+        cased = text.lower() if self.lower else text
+        if any(map(cased.__contains__, self.added)) or not _PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.seen.__getitem__, self.cut(text.lower() if self.lower else text)))
+        return b"".join(map(self.seen.__getitem__, self.cut(cased)))
 
 
 class _Seen(dict):

@@ -1,16 +1,21 @@
 """Token files, packing and the pipeline."""
 
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scorelake.llm import packing, queries, token_files
+from scorelake.llm import packing, queries, token_files, toxicity
 from scorelake.llm.tokens import encoder
 from scorelake.session import scratch_path
+from test_dedup import classes, fingerprint
+from test_llm_text import contaminated
 
 SMALL = "/root/testdata/sf0.001"
 EDGES = [(7, None, "x"), (3, "", "x"), (5, "wort " * 40_000, "x"), (3, "Same id", "x"), (3, "Same id", "x"), (None, "no id", "x"), (9, "日本語 é  \x1f ok", "x")]
@@ -27,12 +32,16 @@ def test_remembered_pieces_change_no_id(spark, name, lower):
     alphabet = "ab 'sSTtll\n\r\t 12²½ÀéßŒœŁ!?#   _-.İŉſ­\x1f<|endoftext|>"
     texts += ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
     texts += ["".join(chr(rnd.choice([rnd.randint(0, 0x17F), rnd.randint(0x20, 0x7E), rnd.randint(0, 0x3000)])) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    texts += ["hello <|endoftext|> world", "<|STARTOFTEXT|>", "a<|startoftext|><|endoftext|>", "日本<|endoftext|>"]
+    fresh, plain = (Tokenizer.from_file(public_tokenizers.path(name)) for _ in range(2))  # as the library comes, and with the strings of special tokens as text
+    plain.encode_special_tokens = True
     for text in texts:
-        assert codes.ids(text) == le(codes.whole.encode(text, add_special_tokens=False).ids), ascii(text)
+        assert codes.ids(text) == le(fresh.encode(text, add_special_tokens=False).ids), ascii(text)
+        assert encoder(name, lower, True).ids(text) == le(plain.encode(text, add_special_tokens=False).ids), ascii(text)
 
 
 def expected_files(rows):
-    whole, at, out = encoder("word_bpe_49k.json", True).whole, 0, []
+    whole, at, out = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), 0, []
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")):
         ids = [*whole.encode(text or "", add_special_tokens=False).ids, 1]
         out.append((doc_id, at, len(ids), zlib.crc32(le(ids))))
@@ -63,7 +72,7 @@ def test_any_sequence_is_read_without_a_copy(spark):
 
 def check_packing(rows, documents, length=packing.LENGTH):
     """Every id in one piece, gapless sequences, no padding but at powers of two."""
-    whole = encoder("byte_bpe_50k.json", False).whole
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ids = {d: [*whole.encode(t or "", add_special_tokens=False).ids, 0] for d, t in documents}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -102,15 +111,32 @@ def test_sum_of_squares_choice():
     assert (packer.counts**2).sum() <= 6
 
 
+def stays(name, rows, spark):
+    """doc_ids that a stage keeps of the rows (doc_id, text), by the operator's own brute force."""
+    ids, texts = zip(*rows)
+    if name == "toxicity":
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        return {r.doc_id for r in toxicity.toxicity(docs, spark.read.parquet(f"{SMALL}/labels.parquet")).collect() if not r.predicted}
+    if name == "exact_dedup":
+        first = {}
+        for i, t in sorted(rows):
+            first.setdefault(re.sub("[\x20\x09-\x0D]+", " ", t or ""), i)
+        return set(first.values())
+    if name == "simhash_dedup":
+        return {i for i, least in zip(ids, classes([fingerprint(t) for t in texts], ids, 4)) if i == least}
+    items = [tuple(r) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").select("item_id", "text").collect()]
+    return {r[0] for r in contaminated(rows, items) if not r[-1]}
+
+
 def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
     assert names == ["toxicity", "exact_dedup", "simhash_dedup", "decontamination", "packing"]
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, SMALL)
+        out, before = stage(spark, docs, SMALL), docs.collect()
         assert out.columns == docs.columns
         kept = out.collect()
-        assert 0 < len(kept) <= docs.count() and set(kept) <= set(docs.collect())
+        assert set(kept) <= set(before) and {r.doc_id for r in kept} == stays(name, [(r.doc_id, r.text) for r in before], spark), name
         docs = spark.createDataFrame(kept, docs.schema)
     rows = corpus_pipeline.run(spark, SMALL).collect()
     check_packing(rows, [(r.doc_id, r.text) for r in docs.collect()])
