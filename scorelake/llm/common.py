@@ -33,16 +33,20 @@ def keep_rows(docs: DataFrame, keys: DataFrame, one_of_each: bool = False, keep:
     ``one_of_each``: of rows that repeat both, one stays.  Texts are dealt out once, by both keys,
     and repeats meet in that same exchange.
     """
-    own_id, own_key, their_id, their_key = (_unused(docs, n) for n in ("row_id", "row_key", "key_id", "key_key"))
-    wanted = keys.select(F.col("doc_id").alias(their_id), F.col("text_key").alias(their_key)).distinct()
-    here = docs.withColumns({own_id: F.col("doc_id"), own_key: text_key()})
-    met = F.col(own_id).eqNullSafe(F.col(their_id)) & (F.col(own_key) == F.col(their_key))  # rows without doc_id meet too
-    kept = here.join(wanted, met, "left_semi" if keep else "left_anti")
+    names = [_unused(docs, n) for n in ("row_id", "row_without_id", "row_key")]  # a missing doc_id is an id of its own
+    wanted = keys.select(*[c.alias(n) for c, n in zip(_identity("text_key"), names)]).distinct()
+    here = docs.withColumns(dict(zip(names, _identity(None))))
+    kept = here.join(wanted, names, "left_semi" if keep else "left_anti")
     if one_of_each:
-        kept = kept.dropDuplicates([own_id, own_key])
+        kept = kept.dropDuplicates(names)
     return kept.select(docs.columns)
 
 
+def _identity(key: str | None) -> list[Column]:
+    """What tells rows apart, in columns that are never null: then one exchange serves the join and the repeats."""
+    return [F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull(), F.col(key) if key else text_key()]
+
+
 def _unused(docs: DataFrame, name: str) -> str:
     """A column name that ``docs`` does not have."""
     while name in docs.columns:
