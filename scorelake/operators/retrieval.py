@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +20,8 @@ from pyspark.sql import types as T
 from scorelake.functions import text as X
 from scorelake.operators.windows import within_budget
 
-SLICE_ROWS = 50_000  # vectors in one task of the block join
+SLICE_ROWS = 50_000  # vectors in one task of the block join, at most
+SLICE_NUMBERS = 1 << 22  # numbers of those vectors, 32 MB
 QUERY_ROWS = 2_000  # queries in one task of the block join
 
 
@@ -43,6 +46,19 @@ def _unit_rows(vectors) -> np.ndarray:
     return m / np.where(norms > 0, norms, 1.0)
 
 
+def _unit_matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """The same from Arrow's own numbers, batch by batch, so that there is one copy beside them."""
+    out, at = np.empty((len(vectors), len(vectors[0]))), 0
+    for part in vectors.chunks:
+        if not pc.all(pc.equal(pc.list_value_length(part), out.shape[1])).as_py():
+            raise ValueError("vectors differ in length")
+        rows = part.flatten().to_numpy(zero_copy_only=False).reshape(len(part), out.shape[1])
+        norms = np.sqrt(np.einsum("ij,ij->i", rows, rows, dtype="float64"))
+        np.divide(rows, np.where(norms > 0, norms, 1.0)[:, None], out=out[at:at + len(part)])
+        at += len(part)
+    return out
+
+
 TILE_SCORES = 1 << 19  # scores computed at a time, 4 MB
 
 
@@ -116,8 +132,11 @@ def cell_topk(
     """Best ``k`` per query among the vectors that share one of its cells.
 
     Both sides carry ``cell``.  Every cell is cut into blocks of bounded size on both
-    sides, so a cell that holds a third of the corpus becomes many tasks.
+    sides, so a cell that holds a third of the corpus becomes many tasks.  Long vectors make
+    smaller blocks.
     """
+    width = corpus.select(F.max(F.size(vector))).first()[0] or 1
+    slice_rows, query_rows = (max(1, min(n, SLICE_NUMBERS // max(1, width))) for n in (slice_rows, query_rows))
     schema = _result_schema(queries, query_id, corpus, corpus_id)
     c_slices, q_slices = _cells(corpus, slice_rows), _cells(queries, query_rows)
     left = queries.select("cell", query_id, vector).withColumn("_own", q_slices).withColumn("_other", c_slices)
@@ -125,14 +144,13 @@ def cell_topk(
     left, right = _spread(left, "_q", "_c", query_id), _spread(right, "_c", "_q", corpus_id)
     keys = ["cell", "_q", "_c"]
 
-    def search(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(c):
-            return pd.DataFrame({query_id: q[query_id][:0], corpus_id: c[corpus_id][:0], "score": np.zeros(0)})
-        names = q[query_id].to_numpy()
-        r, ids, scores = _best(_unit_rows(q[vector]), c[corpus_id].to_numpy(), _unit_rows(c[vector]), k)
-        return pd.DataFrame({query_id: names[r], corpus_id: ids, "score": scores})
+    def search(q: pa.Table, c: pa.Table) -> pa.Table:
+        r, ids, scores = np.zeros(0, np.int64), [], np.zeros(0)
+        if q.num_rows and c.num_rows:
+            r, ids, scores = _best(_unit_matrix(q[vector]), c[corpus_id].to_numpy(), _unit_matrix(c[vector]), k)
+        return pa.table({query_id: q[query_id].take(pa.array(r)), corpus_id: pa.array(ids, c.schema.field(corpus_id).type), "score": pa.array(scores)})
 
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(search, schema)
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, schema)
     once = found.groupBy(query_id, corpus_id).agg(F.max("score").alias("score"))
     return _ranked(once, query_id, corpus_id, k)
 
