@@ -25,8 +25,10 @@ GRAM = 5
 REACH = WINDOW - GRAM
 #: Bits of the map, as a power of two: 8 MB, whatever the size of the benchmark.
 MAP_BITS = 26
-#: Bytes of text hashed at a time; a longer text is taken alone.
-CHUNK = 1 << 20
+#: Bytes of text hashed at a time, in Python's memory some hundred times that at worst; a longer text is taken alone.
+CHUNK = 1 << 18
+#: Rows whose texts are Python's at a time.
+ROWS = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 
 _BYTES = np.arange(256, dtype=np.uint8)
@@ -136,14 +138,11 @@ def _scanned(df: DataFrame, short: tuple[int, ...], bits=None, items: bool = Fal
             keep = lambda h: np.ones(len(h), bool)
         else:
             keep = lambda h: (bits.value[(h >> np.uint64(64 - MAP_BITS + 3)).astype(np.int64)] >> ((h >> np.uint64(64 - MAP_BITS)) & np.uint64(7)).astype(np.uint8)) & 1 > 0
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            counts, hits = [], []
-            for _, chunk in _chunks(texts):
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            for start, chunk in _chunks(batch.column("text").to_pylist()):
                 words = Words(chunk, powers)
                 lengths = np.diff(words.first)
-                counts += lengths.tolist()
-                own = [[] for _ in chunk]
+                hits = [[] for _ in chunk]
                 for size, at, hashes in _prints(words, short, keep):
                     of = words.text[at]
                     if items:
@@ -153,10 +152,10 @@ def _scanned(df: DataFrame, short: tuple[int, ...], bits=None, items: bool = Fal
                     for p, t, h in zip(at.tolist(), of.tolist(), hashes.view(np.int64).tolist()):
                         first, last = words.first[t], words.first[t + 1]
                         a, b = max(first, p - reach), min(last, p + abs(size) + reach)
-                        own[t].append({"place": p - int(first), "size": size, "hash": h, "reach": p - int(a), "words": words.words(int(a), int(b))})
-                hits += own
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(k) for k in keys] + [pa.array(counts, pa.int64()), pa.array(hits, _HITS_TYPE)], [*keys, "n_words", "hits"])
+                        hits[t].append({"place": p - int(first), "size": size, "hash": h, "reach": p - int(a), "words": words.words(int(a), int(b))})
+                # a chunk goes on at once: no more than its hits are held
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(k).slice(start, len(chunk)) for k in keys] + [pa.array(lengths, pa.int64()), pa.array(hits, _HITS_TYPE)], [*keys, "n_words", "hits"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema if f.name in keys)
     return df.mapInArrow(run, f"{kinds}, n_words bigint, hits {_HITS}")

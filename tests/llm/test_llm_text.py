@@ -7,6 +7,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from scorelake.llm import decontaminate, html_blocks, licenses, queries, secrets, toxicity
@@ -479,3 +480,23 @@ def test_toxicity_edges(spark):
     assert kept.columns == docs.columns and not {r.doc_id for r in kept.collect()} & {0, 3, 6}
     assert toxicity.toxicity(docs, labels.limit(0)).where("predicted = 1").count() == 0
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
+
+
+def test_scan_hands_on_each_chunk(spark):
+    """Pipeline, decontamination: hits of a chunk go on before the next is read, whatever the rows of a batch."""
+    texts = ["one two three four five six " * (1 + i % 40) for i in range(3000)] + [None, "", "x" * 400_000]
+    frame = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+
+    class Frame:
+        columns, schema = frame.columns, frame.schema
+
+        def mapInArrow(self, run, kinds):
+            return run
+
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+    out = list(decontaminate._scanned(Frame(), ())(iter([batch])))
+    rows = [r for b in out for r in b.to_pylist()]
+    assert len(out) >= 12 and max(b.num_rows for b in out) <= 256
+    assert [r["doc_id"] for r in rows] == list(range(len(texts)))
+    assert [r["n_words"] for r in rows] == [len((t or "").split()) for t in texts]
+    assert all(h["words"][h["reach"]:h["reach"] + 5] == texts[r["doc_id"]].split()[h["place"]:h["place"] + 5] for r in rows for h in r["hits"])
