@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
 from scorelake import schemas
@@ -46,9 +47,9 @@ def json_array_round_trip(spark, d):
     def arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mark = "["
         for batch in batches:
-            values = batch.column("value").to_pylist()
-            if values:
-                yield pa.RecordBatch.from_arrays([pa.array([f"{mark}{values[0]}", *[f",{v}" for v in values[1:]]])], ["value"])
+            if batch.num_rows:
+                marks = pa.array([mark, *[","] * (batch.num_rows - 1)])
+                yield pa.RecordBatch.from_arrays([pc.binary_join_element_wise(marks, batch.column("value"), "")], ["value"])
                 mark = ","
         yield pa.RecordBatch.from_arrays([pa.array(["]" if mark == "," else "[]"])], ["value"])
 

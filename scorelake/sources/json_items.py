@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -21,9 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: Bytes of a range, and bytes read at a time.
-RANGE, BLOCK = 64 << 20, 1 << 20
+#: Bytes of a range; bytes read at a time, and behind the end of a range; bytes of the items handed on at a time.
+RANGE, BLOCK, REST, HANDED = 64 << 20, 1 << 20, 1 << 16, 4 << 20
 SCHEMA = "path string, at bigint, key string, value string, error string"
+ARROW = pa.schema([("path", pa.string()), ("at", pa.int64()), ("key", pa.string()), ("value", pa.string()), ("error", pa.string())])
 
 _QUOTE, _SLASH, _COMMA, _COLON = (ord(c) for c in '"\\,:')
 _STEP = np.zeros(256, np.int64)
@@ -44,10 +46,10 @@ class _Bytes:
         fs, name = _file(path)
         self.file = fs.open_input_file(name)
 
-    def blocks(self, start: int, end: int | None = None) -> Iterator[tuple[int, bytes]]:
+    def blocks(self, start: int, end: int | None = None, size: int = BLOCK) -> Iterator[tuple[int, bytes]]:
         at = start
         while end is None or at < end:
-            data = self.file.read_at(BLOCK if end is None else min(BLOCK, end - at), at)
+            data = self.file.read_at(size if end is None else min(size, end - at), at)
             if not data:
                 return
             yield at, data
@@ -100,7 +102,7 @@ def items(path: str, start: int, end: int, inside: bool, depth: int) -> Iterator
     escaped = file.escaped(start)
     held: list[bytes] = []
     first = colon = None  # place after the separator that begins the open item; its colon, if it has one
-    for at, data in file.blocks(start):
+    for at, data in chain(file.blocks(start, end), file.blocks(end, size=REST)):
         raw = np.frombuffer(data, np.uint8)
         quotes, escaped = _quotes(raw, escaped)
         within = (np.cumsum(quotes) + inside) % 2 == 1
@@ -160,9 +162,20 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [_Range(*r) for r in self.ranges]
 
-    def read(self, partition: _Range) -> Iterator[tuple]:
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
         for found in items(partition.path, partition.start, partition.end, partition.inside, partition.depth):
-            yield partition.path, *found
+            rows.append((partition.path, *found))
+            held += len(found[2] or "")
+            if held >= HANDED or len(rows) >= 10_000:
+                yield _batch(rows)
+                rows, held = [], 0
+        if rows:
+            yield _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), ARROW.types)], schema=ARROW)
 
 
 class JsonItems(DataSource):
@@ -192,8 +205,8 @@ def ranges_of(spark: SparkSession, path: str, size: int = RANGE) -> list[tuple]:
                 yield pa.RecordBatch.from_pylist([{**row, "turns": turns, "outside": outside, "inside": inside}], schema)
 
     schema = pa.schema([("path", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("turns", pa.bool_()), ("outside", pa.int64()), ("inside", pa.int64())])
-    n = max(1, cut.count())
-    effects = cut.repartition(n, "path", "start").mapInArrow(scanned, "path string, start bigint, end bigint, turns boolean, outside bigint, inside bigint")
+    n = cut.count()
+    effects = cut.repartition(_tasks(spark, n, size)).mapInArrow(scanned, "path string, start bigint, end bigint, turns boolean, outside bigint, inside bigint")
 
     def composed(ranges: pd.DataFrame) -> pd.DataFrame:
         inside, depth, out = False, 0, []
@@ -207,6 +220,22 @@ def ranges_of(spark: SparkSession, path: str, size: int = RANGE) -> list[tuple]:
     return sorted(tuple(r) for r in states.collect())
 
 
+def _tasks(spark: SparkSession, n: int, size: int) -> int:
+    """Tasks for so many ranges: a few a core, and more where a task would read more than ``RANGE`` bytes."""
+    return max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-n * size // RANGE))))
+
+
+def joined(ranges: list[tuple], span: int) -> list[tuple]:
+    """Ranges that follow each other in a file as one, of ``span`` bytes about; the first one's state holds for all."""
+    out: list[tuple] = []
+    for r in ranges:
+        if out and out[-1][0] == r[0] and out[-1][2] == r[1] and r[2] - out[-1][1] <= span:
+            out[-1] = (*out[-1][:2], r[2], *out[-1][3:])
+        else:
+            out.append(r)
+    return out
+
+
 def read_json_items(spark: SparkSession, path: str, size: int = RANGE) -> DataFrame:
     """path, at (byte), key (of an object's item), value (JSON text) and error of every item of the arrays and objects under ``path``.
 
@@ -215,7 +244,10 @@ def read_json_items(spark: SparkSession, path: str, size: int = RANGE) -> DataFr
     arrays, have no items.
     """
     spark.dataSource.register(JsonItems)
-    return spark.read.format("json_items").option("ranges", json.dumps(ranges_of(spark, path, size))).load()
+    ranges = ranges_of(spark, path, size)
+    # a task a range costs more than reading it where ranges are small
+    ranges = joined(ranges, -(-len(ranges) // _tasks(spark, len(ranges), size)) * size)
+    return spark.read.format("json_items").option("ranges", json.dumps(ranges)).load()
 
 
 def read_json_array(spark: SparkSession, path: str, schema: T.DataType | str, size: int = RANGE) -> DataFrame:
