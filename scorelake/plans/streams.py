@@ -12,6 +12,8 @@ from scorelake.streaming import flows as S
 from scorelake.streaming import gate as L
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
+#: Rows of a file that a stream is fed with, about.
+FILE_ROWS = 1 << 20
 # sparse request data, so limits are low enough for refusals to occur
 CHECKS = [L.Check("queries_per_minute", 1), L.Check("queries_per_hour", 2)]
 
@@ -131,14 +133,19 @@ def stream_sessions(spark, d):
 def stream_rate_limit(spark, d):
     """The earlier half of the time first, then, with the query restarted, the later half in two micro-batches."""
     asked = requests(spark, d)
-    low, high = asked.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    low, high, n = asked.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts")), F.count(F.lit(1))).first()
     cuts = [low + (high - low) * k // 4 for k in (2, 3)] if low is not None else [0, 0]
     part = F.when(F.unix_micros("ts") < cuts[0], 0).when(F.unix_micros("ts") < cuts[1], 1).otherwise(2)
     folder, base = scratch_path(spark, "requests"), scratch_path(spark, "limits")
+    written = 0
     for rounds in ([0], [1, 2]):
+        files = max(1, -(-n // FILE_ROWS))
         for k in rounds:
-            asked.where(part == k).repartition(1).write.mode("append").parquet(folder)
-        stream = S.stream_parquet(spark, folder, asked.schema, files_per_trigger=1)
+            asked.where(part == k).repartition(files).write.mode("append").parquet(folder)
+            before, written = written, len(spark.read.schema(asked.schema).parquet(folder).inputFiles())
+            if k == rounds[0]:  # the part after it fills no more files, so each micro-batch is one whole part
+                files = max(1, written - before)
+        stream = S.stream_parquet(spark, folder, asked.schema, files_per_trigger=files)
         out = S.drain(L.rate_limit_stream(stream, "user_id", "ts", "event_id", [L.Check("queries_per_hour", 1)]), "limits", base=base)
     return out.select("event_id", "user_id", "allowed", "reason")
 

@@ -8,12 +8,14 @@ grows with the number of blocks rather than with per-row Python steps.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -180,103 +182,99 @@ def _verdict_schema(df: DataFrame, identifier, request_id, ts) -> T.StructType:
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a key that are taken in at a time.
+CHUNK = 10_000
+REASONS = ("admitted", "limit", "blocked", "late")
 #: Rows of a key that come in several chunks are held in the state store by spans of this length until all are there.
 HELD = MICROS
 
 
 class Limiter(StatefulProcessor):
-    """One identifier's gate as keyed state: when it was blocked, and the newest admitted times as a list.
+    """One identifier's gate as keyed state: when it was blocked, and the newest admitted times of each check.
 
-    A micro-batch brings a key's rows in chunks, in no order of time.  A lone chunk is sorted and
+    All of it is one value, read once and written once per key: each call to the state store is a round trip.
+    A micro-batch's rows of a key are taken in chunks, in no order of time.  A lone chunk is sorted and
     decided; several are put into a map in the state store, by second, and decided second by second, so
     no more than a chunk and a second of one key is in memory.
     """
 
     def __init__(self, identifier: str, ts: str, request_id: str, schema: T.StructType, checks: Sequence[Check], block_seconds: int, expires: bool):
         self.names, self.schema, self.checks = (identifier, ts, request_id), schema, list(checks)
+        self.out = Row(*schema.names)
         self.block_seconds, self.expires = block_seconds, expires
         self.quiet_ms = 1000 * max(block_seconds, *[c.window // MICROS for c in checks])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         long = T.LongType()
         self.handle = handle
-        self.state = handle.getValueState("gate", T.StructType([T.StructField("blocked", long), T.StructField("last", long)]))
-        self.times = handle.getListState("times", T.StructType([T.StructField("check", T.IntegerType()), T.StructField("us", long)]))
+        times = T.ArrayType(T.ArrayType(long))
+        self.state = handle.getValueState("gate", T.StructType([T.StructField("blocked", long), T.StructField("last", long), T.StructField("times", times)]))
         one = T.StructType([T.StructField("us", long), T.StructField("request", self.schema[self.names[2]].dataType)])
         self.held = handle.getMapState("held", T.StructType([T.StructField("span", long)]), T.StructType([T.StructField("rows", T.ArrayType(one))]))
 
     def _gate(self) -> tuple[Gate, int | None]:
         gate, last = Gate(self.checks, self.block_seconds), None
-        if self.state.exists():
-            blocked, last = self.state.get()
+        if (known := self.state.get()) is not None:
+            blocked, last, times = known
             gate.blocked = None if blocked is None or pd.isna(blocked) else int(blocked)
-            kept = [(int(i), int(us)) for i, us in self.times.get()] if self.times.exists() else []
-            gate.history = [np.array([us for j, us in kept if j == i], "int64") for i in range(len(self.checks))]
+            gate.history = [np.array(x, "int64") for x in times]
         return gate, None if last is None else int(last)
 
-    def _frame(self, key, micros: np.ndarray, requests, verdicts: np.ndarray) -> pd.DataFrame:
-        identifier, ts, request_id = self.names
-        reasons = np.array(["admitted", "limit", "blocked", "late"], dtype=object)
-        stamps = pd.Series(micros.astype("datetime64[us]"))
-        return pd.DataFrame({identifier: [key[0]] * len(micros), request_id: list(requests), ts: stamps, "allowed": verdicts == 0, "reason": reasons[verdicts]})
+    def _verdicts(self, key, part: list[tuple], verdicts: np.ndarray) -> Iterator[Row]:
+        for (us, request), verdict in zip(part, verdicts.tolist()):
+            yield self.out(key[0], request, us, verdict == 0, REASONS[verdict])
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        _, ts, request_id = self.names
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         watermark = timerValues.getCurrentWatermarkInMs() * 1000 if self.expires else -1
         gate, last = self._gate()
         first, spans = None, set()
-        for chunk in rows:
-            micros = chunk[ts].to_numpy().astype("datetime64[us]").astype("int64")
-            late = micros < watermark
-            if late.any():
-                yield self._frame(key, micros[late], chunk[request_id][late], np.full(int(late.sum()), 3, "int8"))
-            part = pd.DataFrame({"us": micros[~late], "request": chunk[request_id].to_numpy()[~late]})
+        pairs = ((row[2], row[1]) for row in rows)
+        while chunk := list(islice(pairs, CHUNK)):
+            late = [x for x in chunk if x[0] is None or x[0] < watermark]
+            if late:
+                yield from self._verdicts(key, late, np.full(len(late), 3))
+                chunk = [x for x in chunk if x[0] is not None and x[0] >= watermark]
             if first is None and not spans:
-                first = part
+                first = chunk
                 continue
-            for held in (x for x in (first, part) if x is not None):
+            for held in (x for x in (first, chunk) if x is not None):
                 spans |= self._hold(held)
             first = None
         newest = last
         for part in [first] if first is not None else map(self._take, sorted(spans)):
             if not len(part):
                 continue
-            part = part.sort_values(["us", "request"], ignore_index=True)
-            micros = part["us"].to_numpy("int64")
+            part.sort(key=lambda x: (x[0], True) if x[1] is None else (x[0], False, x[1]))
+            micros = np.array([us for us, _ in part], "int64")
             # a row older than one that is decided counts as happening then
             counted = micros if newest is None else np.maximum(micros, newest)
             newest = int(counted[-1])
-            yield self._frame(key, micros, part["request"], gate.decide(counted))
+            yield from self._verdicts(key, part, gate.decide(counted))
         if newest is None or newest == last and first is not None and not len(first):
             return
-        self.state.update((gate.blocked, newest))
-        self.times.clear()
-        recent = [(i, int(us)) for i, h in enumerate(gate.history) for us in h]
-        if recent:
-            self.times.put(recent)
+        self.state.update((gate.blocked, newest, [h.tolist() for h in gate.history]))
         if self.expires:
             for old in list(self.handle.listTimers()):
                 self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
             self.handle.registerTimer(max(newest // 1000, timerValues.getCurrentWatermarkInMs()) + self.quiet_ms)
 
-    def _hold(self, part: pd.DataFrame) -> set[int]:
-        spans = part["us"].to_numpy() // HELD
-        for span in np.unique(spans):
-            mine = part[spans == span]
-            rows = list(zip(mine["us"].tolist(), mine["request"].tolist()))
-            known = self.held.getValue((int(span),))[0] if self.held.containsKey((int(span),)) else []
-            self.held.updateValue((int(span),), ([tuple(x) for x in known] + rows,))
-        return {int(x) for x in np.unique(spans)}
+    def _hold(self, part: list[tuple]) -> set[int]:
+        spans = defaultdict(list)
+        for x in part:
+            spans[x[0] // HELD].append(x)
+        for span, rows in spans.items():
+            known = self.held.getValue((span,))[0] if self.held.containsKey((span,)) else []
+            self.held.updateValue((span,), ([tuple(x) for x in known] + rows,))
+        return set(spans)
 
-    def _take(self, span: int) -> pd.DataFrame:
+    def _take(self, span: int) -> list[tuple]:
         rows = self.held.getValue((span,))[0]
         self.held.removeKey((span,))
-        return pd.DataFrame([tuple(x) for x in rows], columns=["us", "request"])
+        return [tuple(x) for x in rows]
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         """The identifier has been quiet so long that nothing it did counts any more."""
         self.state.clear()
-        self.times.clear()
         return iter(())
 
     def close(self) -> None:
@@ -298,13 +296,17 @@ def rate_limit_stream(
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)  # the store that lists, maps and timers need
     slim = stream.select(identifier, request_id, F.col(ts).cast("timestamp").alias(ts))
     schema = _verdict_schema(slim, identifier, request_id, ts)
+    schema[ts].dataType = T.LongType()  # microseconds
     mode = "None"
     if expire_after:
         # the watermark follows a column of its own, or late rows would be gone before the gate sees them
         slim = slim.withColumn("_seen", F.col(ts)).withWatermark("_seen", expire_after).select(identifier, request_id, ts)
         mode = "EventTime"
+    slim = slim.withColumn(ts, F.unix_micros(ts))
     limiter = Limiter(identifier, ts, request_id, schema, checks, block_seconds, bool(expire_after))
-    return slim.groupBy(identifier).transformWithStateInPandas(limiter, schema, "append", mode)
+    # rows, not frames: a frame a key costs far more than a key's few rows
+    decisions = slim.groupBy(identifier).transformWithState(limiter, schema, "append", mode)
+    return decisions.withColumn(ts, F.timestamp_micros(ts))
 
 
 def remaining_calls(df: DataFrame, keys: Sequence[str], ts: str, checks: Sequence[Check]) -> DataFrame:
