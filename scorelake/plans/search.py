@@ -266,7 +266,7 @@ def prompt_contexts(spark, d):
     summaries = saved(chunk_summary(spark, d).withColumn("source_file", F.lit("events")).join(lines, "chunk_id"), "summaries")
     both = asked.select(F.concat(F.lit("q:"), "query_id").alias("id"), F.col("query_text").alias("t")).unionByName(
         summaries.select(F.concat(F.lit("c:"), "chunk_id").alias("id"), F.col("content").alias("t")))
-    embedded = saved(dense(hashed_vectors(both, "id", "t"), both, "id", 256), "vectors")
+    embedded = saved(dense(hashed_vectors(both, "id", "t", lists=True), both, "id", 256), "vectors")
     queries = embedded.where("id LIKE 'q:%'").select(F.substring("id", 3, 1000).alias("query_id"), "embedding")
     vectors = embedded.where("id LIKE 'c:%'").select(F.substring("id", 3, 1000).alias("chunk_id"), "embedding")
     found = R.cosine_topk(queries, vectors, "query_id", "chunk_id", "embedding", K)
