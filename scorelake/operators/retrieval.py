@@ -203,12 +203,16 @@ def retrieval_quality(
 
 
 def format_contexts(
-    queries: DataFrame, results: DataFrame, query_id: str, text: str, budget: int = 2000
+    queries: DataFrame, results: DataFrame, query_id: str, text: str, budget: int = 2000, length: str | None = None
 ) -> DataFrame:
-    """Context per query within a character budget; at most the retrieved k chunks meet."""
+    """Context per query within a character budget; at most the retrieved k chunks meet.
+
+    With ``length``, the texts' lengths, texts over the budget may be left out.
+    """
     header = F.format_string("[Document %d] (Similarity: %.3f)\n", F.col("rank"), F.col("score"))
     pieces = results.withColumn("_piece", F.concat(header, text, F.lit("\n")))
-    kept = within_budget(pieces, [query_id], "rank", F.length("_piece"), budget)
+    size = F.length("_piece") if length is None else F.length(header) + F.col(length) + 1
+    kept = within_budget(pieces, [query_id], "rank", size, budget)
     joined = kept.groupBy(query_id).agg(
         F.concat_ws("\n", F.transform(
             F.sort_array(F.collect_list(F.struct("rank", "_piece"))), lambda s: s["_piece"])).alias("context"),
